@@ -10,10 +10,12 @@ from pairforge.llm.audio import op1_audio
 from pairforge.llm.bpe_reuse import op2_bpe
 from pairforge.llm.packing import op5_packing
 from pairforge.llm.secrets import op4_secrets
+from pairforge.llm.warc_index import op3_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_audio": op1_audio,
     "op2_bpe": op2_bpe,
+    "op3_warc": op3_warc,
     "op4_secrets": op4_secrets,
     "op5_packing": op5_packing,
 }
