@@ -10,6 +10,8 @@ from pairforge.llm.audio import op1_audio
 from pairforge.llm.bpe_reuse import op2_bpe
 from pairforge.llm.packing import op5_packing
 from pairforge.llm.secrets import op4_secrets
+from pairforge.llm.topk import ORACLE as TOPK_SQL
+from pairforge.llm.topk import op8_topk
 from pairforge.llm.warc_index import op3_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -18,6 +20,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_secrets": op4_secrets,
     "op5_packing": op5_packing,
+    "op8_topk": op8_topk,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_topk": TOPK_SQL,
+}
