@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pairforge.llm.audio import op1_audio
 from pairforge.llm.bpe_reuse import op2_bpe
+from pairforge.llm.hostrep import ORACLE as HOSTS_SQL
+from pairforge.llm.hostrep import op9_hosts
 from pairforge.llm.packing import op5_packing
 from pairforge.llm.secrets import op4_secrets
 from pairforge.llm.topk import ORACLE as TOPK_SQL
@@ -21,8 +23,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secrets": op4_secrets,
     "op5_packing": op5_packing,
     "op8_topk": op8_topk,
+    "op9_hosts": op9_hosts,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op8_topk": TOPK_SQL,
+    "op9_hosts": HOSTS_SQL,
 }
