@@ -10,6 +10,7 @@ from pairforge.llm.audio import op1_audio
 from pairforge.llm.bpe_reuse import op2_bpe
 from pairforge.llm.hostrep import ORACLE as HOSTS_SQL
 from pairforge.llm.hostrep import op9_hosts
+from pairforge.llm.order_minhash import op6_near
 from pairforge.llm.ordinal_tox import op10_toxicity
 from pairforge.llm.packing import op5_packing
 from pairforge.llm.secrets import op4_secrets
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_secrets": op4_secrets,
     "op5_packing": op5_packing,
+    "op6_near": op6_near,
     "op8_topk": op8_topk,
     "op9_hosts": op9_hosts,
     "op10_toxicity": op10_toxicity,
