@@ -13,6 +13,7 @@ from pairforge.llm.hostrep import op9_hosts
 from pairforge.llm.order_minhash import op6_near
 from pairforge.llm.ordinal_tox import op10_toxicity
 from pairforge.llm.packing import op5_packing
+from pairforge.llm.ppm import op7_ppm
 from pairforge.llm.secrets import op4_secrets
 from pairforge.llm.topk import ORACLE as TOPK_SQL
 from pairforge.llm.topk import op8_topk
@@ -25,6 +26,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secrets": op4_secrets,
     "op5_packing": op5_packing,
     "op6_near": op6_near,
+    "op7_ppm": op7_ppm,
     "op8_topk": op8_topk,
     "op9_hosts": op9_hosts,
     "op10_toxicity": op10_toxicity,

@@ -89,22 +89,26 @@ def seeds(n: int, salt: int) -> np.ndarray:
     return mix64(steps + np.uint64(salt & 0xFFFFFFFFFFFFFFFF))
 
 
-def word_hashes(data: bytes) -> np.ndarray:
-    """64-bit hashes of the words of data (runs without ASCII white space), in order.
+def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and 64-bit hashes of the words of data (runs without ASCII white space), in order.
 
     Equal words have equal hashes. Computed without a loop over words: a prefix sum of
     byte values times powers of an odd base, divided by the power at the word's start.
     """
     raw = np.frombuffer(data, np.uint8)
     if not raw.size:
-        return np.empty(0, np.uint64)
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
     space = (raw == 32) | ((raw >= 9) & (raw <= 13))
     edge = np.diff(np.concatenate(([True], space, [True])).astype(np.int8))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
     power, inverse = _powers(raw.size)
     total = np.zeros(raw.size + 1, np.uint64)
     np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[: raw.size], out=total[1:])
-    return mix64((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+    return start, mix64((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64))
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    return word_spans(data)[1]
 
 
 _BASE = 0x2545F4914F6CDD1D
