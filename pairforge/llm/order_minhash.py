@@ -222,7 +222,7 @@ class NearDuplicates:
     def _texts(self, nodes: DataFrame, members: DataFrame) -> DataFrame:
         """Text of each node that shares a sketch: read from the row of its smallest id."""
         wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("w"), "first_id")
-        found = self.docs.join(self.save(wanted, "wanted"), (F.col("node") == F.col("w")) & F.col("id").eqNullSafe(F.col("first_id")), "left_semi")
+        found = self.docs.join(self.save(wanted, "wanted").hint("merge"), (F.col("node") == F.col("w")) & F.col("id").eqNullSafe(F.col("first_id")), "left_semi")
         return self.save(found.select("node", "text").dropDuplicates(["node"]), "texts")
 
     def _link_all(self, members: DataFrame) -> DataFrame:
@@ -274,7 +274,7 @@ class NearDuplicates:
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
         side = lambda key, name: self.texts.select(F.col("node").alias(key), F.col("text").alias(name))
-        both = pairs.join(side("a", "ta"), "a").join(side("b", "tb"), "b").select("a", "b", "ta", "tb")
+        both = pairs.join(side("a", "ta").hint("merge"), "a").join(side("b", "tb").hint("merge"), "b").select("a", "b", "ta", "tb")
         return self.save(both.mapInArrow(_verify_kernel(self.cfg), "a long, b long"), "links")
 
     def _merge(self, labels: DataFrame | None, links: DataFrame) -> DataFrame:
