@@ -35,9 +35,9 @@ from pairforge.llm import common
 @dataclass(frozen=True)
 class PpmConfig:
     order: int = 4
-    block_bytes: int = 48 << 20
+    block_bytes: int = 32 << 20
     least_block: int = 4 << 20
-    slice_bytes: int = 2 << 20
+    slice_bytes: int = 1 << 20
 
 
 #: Bytes that no UTF-8 text holds: what precedes a text, and its end.
@@ -101,7 +101,7 @@ def _summarise(cfg: PpmConfig):
                     k, c = np.unique(found, return_counts=True)
                     keys.append(k)
                     counts.append(c * (not out))
-            if len(keys) > 40:
+            if len(keys) > 24:
                 k, c = _added(keys, counts)
                 keys, counts = [k], [c]
         k, c = _added(keys, counts)
@@ -115,27 +115,28 @@ class Lookup:
     """Values by 64-bit keys: two hashed tables, the few keys left over by binary search."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(10, int(4 * keys.size - 1).bit_length())
         self.tables = []
         for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
-            slot = self._slot(keys, salt)
-            held, value = np.full(1 << self.bits, 0xFFFFFFFFFFFFFFFF, np.uint64), np.zeros(1 << self.bits)
+            shift = 64 - max(10, int(2 * keys.size).bit_length())
+            slot = self._slot(keys, salt, shift)
+            held, value = np.full(1 << 64 - shift, 0xFFFFFFFFFFFFFFFF, np.uint64), np.zeros(1 << 64 - shift)
             held[slot], value[slot] = keys, values
-            self.tables.append((salt, held, value))
+            self.tables.append((salt, shift, held, value))
             left = held[slot] != keys
             keys, values = keys[left], values[left]
         order = np.argsort(keys)
         self.keys, self.values = keys[order], values[order]
 
-    def _slot(self, keys: np.ndarray, salt: int) -> np.ndarray:
-        return ((keys * np.uint64(salt)) >> np.uint64(64 - self.bits)).astype(np.int64)
+    @staticmethod
+    def _slot(keys: np.ndarray, salt: int, shift: int) -> np.ndarray:
+        return ((keys * np.uint64(salt)) >> np.uint64(shift)).astype(np.int64)
 
     def get(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Values (0 where absent) and which keys are there."""
         out, there = np.zeros(keys.size), np.zeros(keys.size, bool)
         rest = np.arange(keys.size)
-        for salt, held, value in self.tables:
-            slot = self._slot(keys[rest], salt)
+        for salt, shift, held, value in self.tables:
+            slot = self._slot(keys[rest], salt, shift)
             hit = held[slot] == keys[rest]
             out[rest[hit]], there[rest[hit]] = value[slot[hit]], True
             rest = rest[~hit]
