@@ -7,10 +7,11 @@ candidates, and a banded alignment of their shingle sequences decides: m aligned
 give similarity m / (n1 + n2 - m), and 0.8 makes a link. Classes are the components of the links.
 
 Equal texts are one node. In a bucket (the nodes of one sketch) a node is compared with the bucket's
-leader, not with all others; what the leader does not link goes on to other leaders, and buckets that
-still hold several components at the end are compared in full, but only across components. A link that
-is not tried joins nodes that are in one class already, so none between classes is lost, and large
-groups of copies cost a comparison a copy. All tables live in the shared folder; leaders, links and
+leader, not with all others; what the leader does not link goes on to another leader. Buckets that still
+hold several components then are compared in full, but only across components and without pairs that
+share too few shingles with any other node to reach 0.8. A link that is not tried joins nodes that are
+in one class already, so none between classes is lost, and large groups of copies cost a comparison a
+copy. All tables live in the shared folder; leaders, links and
 components are joined and aggregated, never collected.
 
 Short and long texts have sketches of their own (`short_keep` of the lowest, `keep` of the lowest); texts
@@ -46,7 +47,7 @@ class NearConfig:
     short_to: int = 24
     long_from: int = 20
     full_bucket: int = 32
-    leader_rounds: int = 3
+    leader_rounds: int = 2
 
 
 def shingles(text: bytes, words: int) -> np.ndarray:
@@ -167,6 +168,34 @@ def _sketch_kernel(cfg: NearConfig):
     return run
 
 
+def _shingle_kernel(cfg: NearConfig):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                h = label_occurrences(shingles(text.as_py().encode(), cfg.words)).view(np.int64)
+                yield pa.record_batch([pa.array(np.full(h.size, node, np.int64)), pa.array(h)], names=["node", "shingle"])
+
+    return run
+
+
+def _mask_kernel(cfg: NearConfig):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sorted_leader = None, np.empty(0, np.uint64)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 256):
+                part, masks, inside = batch.slice(lo, 256), [], []
+                for k in range(part.num_rows):
+                    leader = part.column(1)[k].as_py()
+                    if leader != at:
+                        at, sorted_leader = leader, np.sort(label_occurrences(shingles(part.column(3)[k].as_py().encode(), cfg.words)))
+                    has = np.isin(sorted_leader, label_occurrences(shingles(part.column(2)[k].as_py().encode(), cfg.words)))
+                    masks.append(np.packbits(np.pad(has, (0, -has.size % 64))).view(np.int64))
+                    inside.append(int(has.sum()))
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(masks, pa.list_(pa.int64())), pa.array(inside, pa.int32())], names=["node", "l", "mask", "inside"])
+
+    return run
+
+
 def _verify_kernel(cfg: NearConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, np.ndarray] = {}
@@ -211,7 +240,9 @@ class NearDuplicates:
         nodes = self.save(signed.groupBy("node").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("sketches").alias("sketches")), "nodes")
         rows = nodes.select("node", "n", F.explode("sketches").alias("bucket"))
         sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-        members = self.save(rows.join(self.save(sizes, "sizes"), "bucket"), "members")
+        members = self.save(rows.join(self.save(sizes, "sizes"), "bucket"), "shared")
+        fame = self.save(members.groupBy("node").agg(F.sum("size").alias("fame")), "fame")
+        members = self.save(members.join(fame, "node"), "members")
         self.texts = self._texts(nodes, members)
         labels = self._link_all(members)
         named = nodes.select("node", "first_id").join(labels, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label"))
@@ -231,11 +262,11 @@ class NearDuplicates:
         tried = None
         for turn in range(self.cfg.leader_rounds + 1):
             if labels is not None:
-                current = members.select("bucket", "node", "n", "size").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+                current = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
                 spread = current.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
                 current = current.join(spread, "bucket", "left_semi")
             else:
-                current = members.select("bucket", "node", "n", "size", F.col("node").alias("label"))
+                current = members.withColumn("label", F.col("node"))
             current = self.save(current, "open")
             if current.isEmpty():
                 break
@@ -247,31 +278,65 @@ class NearDuplicates:
             tried = pairs if tried is None else tried.unionByName(pairs)
             labels = self._merge(labels, links)
             if turn >= 1 and turn < self.cfg.leader_rounds:
-                members = self.save(current.where(F.col("size") > self.cfg.full_bucket).select("bucket", "node", "n", "size"), "large")
+                members = self.save(current.where(F.col("size") > self.cfg.full_bucket).drop("label"), "large")
         if labels is None:
             return self.spark.createDataFrame([], "node long, label long")
         return labels
 
     def _pairs(self, current: DataFrame, turn: int) -> DataFrame:
-        """Pairs to compare: with leaders; all across components in small buckets, and in any at last."""
-        least = self.cfg.similarity
-        order = F.xxhash64("node", F.lit(turn))
-        lead = current.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "node", "label", "n")).alias("x"))
-        lead = self.save(lead.select("bucket", F.col("x.node").alias("l"), F.col("x.label").alias("l_label"), F.col("x.n").alias("l_n")), "leaders")
+        """Pairs to compare: with leaders; all across components in small buckets, and in any at last.
+
+        The first leader of a bucket is the node that shares most sketches with others, the likely
+        centre of its copies; later ones are chosen by hash.
+        """
+        least, last = self.cfg.similarity, turn == self.cfg.leader_rounds
         near = lambda p, q: F.least(p, q) >= least * F.greatest(p, q)
-        by_leader = current if turn == 0 else current.where(F.col("size") > self.cfg.full_bucket)
         out = None
-        if turn < self.cfg.leader_rounds:
+        if not last:
+            order = F.struct(-F.col("fame") if turn == 0 else F.lit(0), F.xxhash64("node", F.lit(turn)))
+            lead = current.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "node", "label", "n")).alias("x"))
+            lead = self.save(lead.select("bucket", F.col("x.node").alias("l"), F.col("x.label").alias("l_label"), F.col("x.n").alias("l_n")), "leaders")
+            by_leader = current if turn == 0 else current.where(F.col("size") > self.cfg.full_bucket)
             met = by_leader.join(lead, "bucket").where((F.col("label") != F.col("l_label")) & near(F.col("n"), F.col("l_n")))
             out = met.select(F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b"))
         if turn >= 1:
-            rest = current if turn == self.cfg.leader_rounds else current.where(F.col("size") <= self.cfg.full_bucket)
-            p, q = rest.alias("p"), rest.select("bucket", F.col("node").alias("m"), F.col("label").alias("m_label"), F.col("n").alias("m_n")).alias("q")
-            across = p.join(q, "bucket").where((F.col("node") < F.col("m")) & (F.col("label") != F.col("m_label")) & near(F.col("n"), F.col("m_n")))
-            across = across.select(F.col("node").alias("a"), F.col("m").alias("b"))
+            rest = self._masked(current) if last else current.where(F.col("size") <= self.cfg.full_bucket)
+            rest = rest.select("bucket", "node", "label", "n", *(["extra", "mask"] if last else []))
+            p, q = rest.alias("p"), rest.toDF("bucket", *(f"m_{c}" for c in rest.columns[1:])).alias("q")
+            good = (F.col("node") < F.col("m_node")) & (F.col("label") != F.col("m_label")) & near(F.col("n"), F.col("m_n"))
+            if last:
+                both = F.aggregate(F.zip_with("mask", "m_mask", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, x: s + x)
+                good = good & (both + F.least("extra", "m_extra") >= least / (1 + least) * (F.col("n") + F.col("m_n")) - 1e-9)
+            across = p.join(q, "bucket").where(good).select(F.col("node").alias("a"), F.col("m_node").alias("b"))
             out = across if out is None else out.unionByName(across)
         return out.distinct()
 
+    def _shared(self, current: DataFrame) -> DataFrame:
+        """Adds how many of a node's shingles any other node of these buckets has.
+
+        No alignment can match more, so nodes and pairs that cannot reach the similarity drop out
+        without being compared: copies with edits of their own, in the end. One row per shingle.
+        """
+        nodes = self.save(current.select("node", "n").distinct(), "rest")
+        rows = self.save(self.texts.join(nodes.select("node").hint("merge"), "node").select("node", "text").mapInArrow(_shingle_kernel(self.cfg), "node long, shingle long"), "shingles")
+        own = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("node").alias("node")).where("df = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
+        counted = nodes.join(self.save(own, "own"), "node", "left").select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
+        counted = counted.where(F.col("common") >= self.cfg.similarity * F.col("n") - 1e-9).select("node", "common")
+        return self.save(current.join(self.save(counted, "counted"), "node"), "remaining")
+
+    def _masked(self, current: DataFrame) -> DataFrame:
+        """Adds which of the bucket's leader's shingles a node has, as bits, and how many others it shares.
+
+        Two nodes have at most the bits that both have, and of the rest no more than either shares.
+        """
+        rows = self._shared(current)
+        lead = rows.groupBy("bucket").agg(F.min(F.struct(-F.col("fame"), "node")).alias("x")).select("bucket", F.col("x.node").alias("l"))
+        rows = self.save(rows.join(self.save(lead, "leaders"), "bucket"), "led")
+        side = lambda key, name: self.texts.select(F.col("node").alias(key), F.col("text").alias(name)).hint("merge")
+        pairs = rows.select("node", "l").distinct().join(side("node", "tn"), "node").join(side("l", "tl"), "l").select("node", "l", "tn", "tl")
+        masks = self.save(pairs.mapInArrow(_mask_kernel(self.cfg), "node long, l long, mask array<long>, inside int"), "masks")
+        return self.save(rows.join(masks, ["node", "l"]).withColumn("extra", F.col("common") - F.col("inside")), "final")
+
     def _verify(self, pairs: DataFrame) -> DataFrame:
         side = lambda key, name: self.texts.select(F.col("node").alias(key), F.col("text").alias(name))
         both = pairs.join(side("a", "ta").hint("merge"), "a").join(side("b", "tb").hint("merge"), "b").select("a", "b", "ta", "tb")
