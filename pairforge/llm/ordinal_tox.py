@@ -3,8 +3,8 @@
 P(grade >= j) = sigmoid(w . x - threshold_j): one weight per word, shared by all thresholds, which
 are kept in order. The severity of a text is its expected grade, the sum of those probabilities.
 Features are which of a bounded vocabulary's words and word beginnings a text has, anywhere in it; the
-vocabulary holds those that are more frequent in toxic documents by many standard errors, so ordinary
-words of long texts add nothing. Weights are not negative: no amount of harmless text makes up for a
+vocabulary holds those that are more frequent in toxic documents by several standard errors and found in
+few others, so ordinary words of long texts add nothing. Weights are not negative: no amount of harmless text makes up for a
 toxic word.
 
 The model is fitted on a bounded sample of labelled rows (`sample` rows of smallest hash, exact
@@ -37,8 +37,9 @@ from pairforge.llm import common
 class ToxicityConfig:
     sample: int = 8192
     vocabulary: int = 4096
-    least_documents: int = 5
-    least_z: float = 4.0
+    least_documents: int = 4
+    least_z: float = 3.0
+    least_share: float = 0.6
     l2: float = 1e-6
     steps: int = 600
     rate: float = 0.1
@@ -130,6 +131,7 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit_toxicity(df: DataFrame, labels: DataFrame, cfg: ToxicityConfig, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
     """labels: (id, grade). At most cfg.sample rows are read in full; the fit runs on the driver."""
     spark = df.sparkSession
+    common.ship(spark)
     graded = labels.where("id IS NOT NULL AND grade IS NOT NULL").groupBy("id").agg(F.max("grade").cast("int").alias("grade"))
     sample = graded.orderBy(F.xxhash64("id"), "id").limit(cfg.sample)
     texts = df.select(F.col(id_col).alias("id"), common.whole_text(text_col).alias("text")).join(F.broadcast(sample), "id")
@@ -142,7 +144,7 @@ def fit_toxicity(df: DataFrame, labels: DataFrame, cfg: ToxicityConfig, id_col:
     rate = min(total["k"] / total["n"], 1 - 1e-9)
     by_word = words.select(F.explode("words").alias("word"), (F.col("grade") > 0).cast("long").alias("y")).groupBy("word").agg(F.count("*").alias("d"), F.sum("y").alias("k"))
     z = (F.col("k") - F.col("d") * rate) / F.sqrt(F.col("d") * rate * (1 - rate))
-    telling = by_word.where(F.col("d") >= cfg.least_documents).withColumn("z", z).where(F.col("z") >= cfg.least_z).orderBy(F.desc("z"), "word").limit(cfg.vocabulary)
+    telling = by_word.where(F.col("d") >= cfg.least_documents).withColumn("z", z).where((F.col("z") >= cfg.least_z) & (F.col("k") >= cfg.least_share * F.col("d"))).orderBy(F.desc("z"), "word").limit(cfg.vocabulary)
     vocabulary = sorted(r["word"] for r in telling.select("word").collect())
     place = {w: i for i, w in enumerate(vocabulary)}
     kept = words.select("grade", F.array_intersect("words", F.lit(vocabulary) if vocabulary else F.array().cast("array<string>")).alias("words"), "id").orderBy("id").collect()
