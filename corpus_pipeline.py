@@ -4,11 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pairforge.llm import common, packing, secrets
+from pairforge.llm import common, order_minhash, ordinal_tox, packing, secrets
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model, fitted on the labelled ones among them, rejects go."""
+    cfg = ordinal_tox.ToxicityConfig()
+    model = ordinal_tox.fit_toxicity(docs, ordinal_tox.toxic_labels(spark, sf_dir), cfg)
+    return ordinal_tox.drop_toxic(docs, model, cfg)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the smallest id stays."""
+    return order_minhash.keep_one(docs)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are cut out of the texts; every document stays."""
+    """Secrets, plain or encoded, are cut out of the texts; every document stays."""
     return secrets.redact_secrets(docs)
 
 
@@ -17,7 +29,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs)
 
 
-STAGES = [("secrets", redact), ("packing", pack)]
+STAGES = [("toxicity", drop_toxic), ("near_dedup", deduplicate), ("secrets", redact), ("packing", pack)]
 
 #: No SQL: the stages fit a model, align texts and run tokenizers.
 ORACLE_SQL = None

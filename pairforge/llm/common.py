@@ -2,67 +2,16 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-import zipfile
-
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-_SHIPPED: set[str] = set()
-#: Process-wide store of Python workers for loaded vocabularies and caches.
-WORKER: dict = {}
-
-
-def ship(spark: SparkSession) -> None:
-    """Make this package importable in every Python worker, once per application."""
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="pairforge-"), "pairforge_src.zip")
-    with zipfile.ZipFile(path, "w") as out:
-        for folder, _, names in os.walk(root):
-            for name in sorted(names):
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    out.write(full, os.path.relpath(full, os.path.dirname(root)))
-    sc.addPyFile(path)
-    _SHIPPED.add(sc.applicationId)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """URI of the shared folder named by the session; only where unset is one made (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="pairforge-shared-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base if "://" in base or base.startswith("file:") else "file://" + os.path.abspath(base)
-
+from pairforge.shared import literal, materialize, remove, scratch, shared_dir, ship, table
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/pairforge-{name}-{uuid.uuid4().hex}"
+__all__ = ["literal", "materialize", "remove", "scratch", "shared_dir", "ship", "table"]
 
-
-def materialize(spark: SparkSession, df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write df to the shared folder and read it back: lineage ends, executors may be lost."""
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path), path
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a scratch path through Hadoop's file system."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Process-wide store of Python workers for loaded vocabularies and caches.
+WORKER: dict = {}
 
 
 def whole_text(name: str = "text") -> Column:
