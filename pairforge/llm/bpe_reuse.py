@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.llm import common
+from pairforge.llm.stretches import PreTokenModel, StretchStore, no_collection
 
 
 @dataclass(frozen=True)
@@ -37,6 +39,7 @@ class ChunkConfig:
     least: int = 256
     most: int = 16_384
     store_tokens: int = 6_000_000
+    store_words: int = 1_000_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -103,12 +106,22 @@ def safe_points(raw: np.ndarray) -> np.ndarray:
     return np.flatnonzero((raw[1:-1] == 32) & seen[:-2] & seen[2:]) + 1
 
 
+#: White space beyond ASCII, in UTF-8.
+ODD_SPACE = re.compile(b"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+
+
+def _visible(raw: np.ndarray) -> np.ndarray:
+    return (raw > 32) & (raw != 127)
+
+
 class ReusingEncoder:
     """Encodes batches of texts by stored chunks and repaired joins."""
 
     def __init__(self, path: str, cfg: ChunkConfig):
         self.tok, self.cfg, self.store, self.held = load_tokenizer(path), cfg, {}, 0
         self.encoded_bytes = 0
+        self.first = StretchStore(cfg.store_words // 8, PreTokenModel(self.tok, "H", cfg.store_words // 8, fold=False).learn)
+        self.spaced = StretchStore(cfg.store_words, PreTokenModel(self.tok, "H", cfg.store_words, fold=False, before=" ").learn)
         vocab = self.tok.get_vocab(with_added_tokens=True)
         added = {t.content for t in self.tok.get_added_tokens_decoder().values()}
         self.width = np.zeros(max(vocab.values()) + 1, np.int64)
@@ -116,8 +129,25 @@ class ReusingEncoder:
             self.width[i] = len(token.encode()) if token in added else len(token)
 
     def _encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        """Where every space of a text is a safe point, its ids are those of its words in order."""
         self.encoded_bytes += sum(map(len, texts))
-        return [np.array(e.ids, np.int32) for e in self.tok.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+        out: list[np.ndarray | None] = [None] * len(texts)
+        plain, words = [], []
+        for k, data in enumerate(texts):
+            raw = np.frombuffer(data, np.uint8)
+            spaces = np.flatnonzero(raw == 32)
+            if spaces.size and (spaces[0] == 0 or spaces[-1] == raw.size - 1 or not _visible(raw[spaces - 1]).all() or not _visible(raw[spaces + 1]).all() or ODD_SPACE.search(data)):
+                plain.append(k)
+            else:
+                words.append((k, data.decode().split(" ")))
+        heads = self.first.ids([w[:1] for _, w in words])
+        tails = self.spaced.ids([w[1:] for _, w in words])
+        for (k, _), a, b in zip(words, heads, tails, strict=True):
+            out[k] = np.frombuffer(a + b, np.uint16)
+        encoded = self.tok.encode_batch_fast([texts[k].decode() for k in plain], add_special_tokens=False)
+        for k, e in zip(plain, encoded, strict=True):
+            out[k] = np.array(e.ids, np.uint16)
+        return out
 
     def _fetch(self, pieces: list[bytes]) -> dict[bytes, np.ndarray]:
         """Ids of pieces, each encoded at most once while it stays in the store."""
@@ -125,14 +155,18 @@ class ReusingEncoder:
         if self.held > self.cfg.store_tokens:
             self.store, self.held = {p: self.store[p] for p in set(pieces) if p in self.store}, 0
             self.held = sum(v.size for v in self.store.values())
-        for a in range(0, len(missing), 2048):
-            part = missing[a : a + 2048]
+        for a in range(0, len(missing), 8192):
+            part = missing[a : a + 8192]
             for p, ids in zip(part, self._encode(part), strict=True):
                 self.store[p] = ids
                 self.held += ids.size + 16
         return self.store
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
+        with no_collection():
+            return self._encode_all(texts)
+
+    def _encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
         plans = []
         for data in texts:
             raw = np.frombuffer(data, np.uint8)
@@ -146,7 +180,7 @@ class ReusingEncoder:
     def _windows(self, data: bytes, cuts: list[int], chunks: list[np.ndarray]):
         """All ids by chunk, the windows to encode anew, and the byte offset of each token's end."""
         if not chunks:
-            return np.empty(0, np.int32), [], np.empty(0, np.int64)
+            return np.empty(0, np.uint16), [], np.empty(0, np.int64)
         ids = np.concatenate(chunks)
         ends = np.cumsum(self.width[ids])
         if len(cuts) == 1:
@@ -192,7 +226,7 @@ def _kernel(path: str | None, cfg: ChunkConfig, full: bool):
             lo = 0
             while lo < batch.num_rows:
                 part, size, hi = [], 0, lo
-                while hi < batch.num_rows and (not part or size < 2_000_000):
+                while hi < batch.num_rows and (not part or size < 4_000_000):
                     part.append(texts[hi].as_py().encode())
                     size += len(part[-1])
                     hi += 1
