@@ -59,7 +59,8 @@ def response_id(payload: Column) -> Column:
 
 def strict_boolean(payload: Column, field: str) -> Column:
     """The field where the payload is an object with that boolean alone, else null."""
-    return F.when(F.size(F.json_object_keys(payload)) == 1, F.try_variant_get(F.try_parse_json(payload), f"$.{field}", "boolean"))
+    found = F.try_variant_get(F.try_parse_json(payload), f"$.{field}", "variant")
+    return F.when((F.size(F.json_object_keys(payload)) == 1) & (F.schema_of_variant(found) == "BOOLEAN"), found.cast("boolean"))
 
 
 def tool_call_id(name: Column, arguments: Column, number: Column) -> Column:

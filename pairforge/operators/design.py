@@ -118,3 +118,23 @@ def ragged_pairs(counts: DataFrame) -> DataFrame:
 def with_assistants(studies: DataFrame, assistants: tuple[str, ...]) -> DataFrame:
     """One design for every assistant; the list is fixed and short."""
     return studies.drop("assistant").withColumn("assistant", F.explode(F.array(*map(F.lit, assistants))))
+
+
+def channel_degrees(quotas: DataFrame, specs: DataFrame) -> DataFrame:
+    """Mean degree that the quotas give a node of each pair and channel."""
+    ends = quotas.select("pair_id", F.explode(F.array("channel1", "channel2")).alias("channel"), "quota").groupBy("pair_id", "channel").agg(F.sum("quota").alias("ends"))
+    nodes = specs.groupBy("pair_id", "channel").agg(F.count(F.lit(1)).alias("nodes"))
+    degree = F.coalesce(F.try_divide(F.col("ends"), F.col("nodes")), F.lit(0.0))
+    return nodes.join(ends, ["pair_id", "channel"], "left").select("pair_id", "channel", "nodes", F.when(degree > 0, degree).otherwise(1.0).alias("target_degree"))
+
+
+def edge_of_rank(rank: Column, first_user: Column, first_other: Column, second: Column, second_user: Column) -> Column:
+    """Ordinals (side one, side two) of an edge: user firsts with all seconds, then other firsts with user seconds."""
+    block = first_user * second
+    rest = rank - block
+    return F.when(rank < block, F.struct(F.floor(rank / second).alias("first"), (rank % second).alias("second"))).otherwise(F.struct((first_user + F.floor(rest / second_user)).alias("first"), (rest % second_user).alias("second")))
+
+
+def expected_judge_rows(studies: DataFrame) -> DataFrame:
+    """Four coordinates a study, each with the input that stands there: orders mirror positions."""
+    return probe_requests(studies).select("study_id", "assistant", "permutation", "position", "input_index")

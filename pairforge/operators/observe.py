@@ -139,3 +139,39 @@ def similarity(first: str, second: str):
 def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The last saved row of each key."""
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).where("_r = 1").drop("_r")
+
+
+def delivered_provenance(delivered: DataFrame, cached: DataFrame) -> DataFrame:
+    """Provenance of cached messages that were delivered as they are, once per specification."""
+    return cached.join(delivered.select(*SPEC, "content").distinct(), [*SPEC, "content"], "left_semi").dropDuplicates(list(SPEC))
+
+
+def score_requests(requests: DataFrame, scorer, schema: str) -> DataFrame:
+    """Rows of scorer(pandas frame) for each assistant; if it fails, one error row per request instead.
+
+    The schema needs an error column; the others are null in error rows.
+    """
+    import pandas as pd
+
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        try:
+            out = scorer(rows)
+            return (out if "error" in out else out.assign(error=None)).reindex(columns=names)
+        except Exception as failure:  # the failure is the result of these requests
+            return rows.reindex(columns=names).assign(error=str(failure))
+
+    return requests.groupBy("assistant").applyInPandas(run, schema)
+
+
+def ordered_distinct(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """First occurrences of the keys with their place in the given order."""
+    return rows.groupBy(*keys).agg(F.min(order).alias("first_at"))
+
+
+def input_counts(specs: DataFrame, rejected: DataFrame, axes: tuple[str, ...] = SPEC) -> DataFrame:
+    """Distinct inputs and how many of them are rejected, by axis value."""
+    bad = rejected.select(*SPEC).distinct().withColumn("bad", F.lit(1))
+    rows = specs.select(*SPEC).distinct().join(bad, list(SPEC), "left").withColumn("bad", F.coalesce("bad", F.lit(0)))
+    return rows.unpivot(["bad"], list(axes), "axis", "value").groupBy("axis", "value").agg(F.count(F.lit(1)).alias("inputs"), F.sum("bad").cast("long").alias("failed_inputs"))

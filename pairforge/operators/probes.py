@@ -216,3 +216,27 @@ def project_role(rows: DataFrame) -> DataFrame:
 def neutral_pair_violations(tokens: DataFrame) -> DataFrame:
     """Tokens that differ between the roles of a document. tokens: document, idx, role, token, position."""
     return tokens.groupBy("document", "idx").agg(F.countDistinct("token", "position").alias("kinds"), F.countDistinct("role").alias("roles")).where("kinds > 1 OR roles < 2")
+
+
+def threshold_candidates(rows: DataFrame) -> DataFrame:
+    """Distinct scores and the midpoints of neighbours; ties and order by value."""
+    scores = rows.select(F.col("score").cast("double").alias("score")).distinct()
+    scores = scores.withColumn("following", F.lead("score").over(Window.orderBy("score")))
+    both = scores.select(F.explode(F.array_compact(F.array(F.col("score"), (F.col("score") + F.col("following")) / 2))).alias("threshold"))
+    return both.distinct()
+
+
+def classify(score: Column, threshold: Column) -> Column:
+    return F.when(score >= threshold, "reasoning").otherwise("final")
+
+
+def coverage(requests: DataFrame, results: DataFrame, keys: list[str]) -> DataFrame:
+    """(requested, answered, unexpected) by coordinates."""
+    a, b = requests.select(*keys).distinct().withColumn("a", F.lit(1)), results.select(*keys).distinct().withColumn("b", F.lit(1))
+    both = a.join(b, keys, "full")
+    return both.agg(F.count("a").alias("requested"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("answered"), F.count_if(F.col("a").isNull()).alias("unexpected"))
+
+
+def descriptive_probabilities(rows: DataFrame) -> DataFrame:
+    """Sorted probabilities of descriptive rows by pair."""
+    return rows.where(F.col("expectation") == "descriptive").groupBy("pair").agg(F.sort_array(F.collect_list("probability")).alias("probabilities"))
