@@ -17,10 +17,8 @@ rows are separate examples; an empty table gives no pieces; a text longer than a
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +27,7 @@ from pyspark.sql import functions as F
 
 from pairforge.llm import common
 from pairforge.llm.bpe_reuse import load_tokenizer, tokenizer_path
+from pairforge.llm.stretches import PreTokenModel, StretchStore, no_collection
 
 
 @dataclass(frozen=True)
@@ -38,7 +37,7 @@ class PackConfig:
     loss: int = 2048
     pool: int = 1024
     end_id: int = 1
-    store_words: int = 400_000
+    store_words: int = 1_000_000
 
 
 @dataclass
@@ -129,33 +128,21 @@ class Packer:
 
 
 class WordStore:
-    """Ids of texts by whitespace-free stretches, each encoded once while it stays in the store.
+    """Ids of texts by whitespace-free stretches.
 
     The vocabulary's normalizer and pre-tokenizer never look across a space or a line feed, so
-    a text's ids are those of its stretches in order. When the store is full, the stretches that
-    were needed by more than one batch stay.
+    a text's ids are those of its stretches in order. A stretch of letters with marks after it is
+    one pre-token of letters and one of marks; where the letters are ASCII, or lower-case and
+    composed already, the normalizer's work is known and the model alone is asked.
     """
 
     def __init__(self, path: str, cfg: PackConfig):
-        self.tok, self.cfg = load_tokenizer(path), cfg
-        self.known: dict[str, bytes] = {}
-        self.again: set[str] = set()
+        self.tok = load_tokenizer(path)
+        self.store = StretchStore(cfg.store_words, PreTokenModel(self.tok, "I", cfg.store_words, fold=True).learn)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        need = set(chain.from_iterable(split))
-        self.again |= need & self.known.keys()
-        missing = list(need - self.known.keys())
-        if len(self.known) + len(missing) > self.cfg.store_words:
-            if 2 * len(self.again) > self.cfg.store_words:
-                self.again = need & self.known.keys()
-            self.known = {w: self.known[w] for w in self.again}
-        for a in range(0, len(missing), 8192):
-            part = missing[a : a + 8192]
-            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = array("I", e.ids).tobytes()
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        with no_collection():
+            return self.store.ids([t.replace("\n", " ").split(" ") for t in texts])
 
 
 OUT = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
