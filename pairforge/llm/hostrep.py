@@ -1,10 +1,11 @@
 """URL filter by empirical-Bayes host reputation, in DataFrame functions alone.
 
 Labelled page outcomes (bad or not) are counted by host, registered domain and suffix. At each level
-the rate of bad pages gets a beta prior whose mean is the posterior mean of the level above and whose
-strength is estimated from how much the children of that level differ beyond binomial noise (moments
-of the beta-binomial). So a host with many labels speaks for itself, one with few follows its domain,
-and one with none its suffix. A page is blocked if even the lower posterior bound of its host's bad
+the rate of bad pages gets a beta prior whose mean is the posterior mean of the level above without
+the child's own labels, and whose strength is estimated from how much the children of that level differ
+beyond binomial noise (moments of the beta-binomial), but is never more than what stands behind that
+mean. So a host with many labels speaks for itself, one with few follows its domain, and one with none
+its suffix. A page is blocked if even the lower posterior bound of its host's bad
 rate is above the limit. Explicit rules on host and path win over the method, the longest first.
 
 Counts are aggregated before they are shuffled; a page row meets one row of its host in a join that
@@ -94,32 +95,39 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[Column
     return name, verdict
 
 
-def _strength(children: DataFrame, cfg: ReputationConfig) -> Column:
-    """Prior strength from n, k and the parent's mean m: moments of the beta-binomial."""
-    noise = F.sum(F.col("n") * F.col("m") * (1 - F.col("m")))
-    extra = F.sum(F.pow(F.col("k") - F.col("n") * F.col("m"), 2)) - noise
-    room = F.sum(F.col("n") * (F.col("n") - 1) * F.col("m") * (1 - F.col("m")))
-    share = F.try_divide(extra, room)
-    return F.when(share.isNull() | (share <= 0), F.lit(cfg.strongest)).otherwise(F.greatest(F.lit(cfg.weakest), F.least(F.lit(cfg.strongest), F.try_divide(1 - share, share))))
+def _strength(cfg: ReputationConfig) -> Column:
+    """Prior strength of children from n, k and the parent's mean: moments of the beta-binomial."""
+    n, k, m = F.col("n"), F.col("k"), (F.col("pk") + F.col("ps") * F.col("pm")) / (F.col("pn") + F.col("ps"))
+    noise = F.sum(n * m * (1 - m))
+    share = F.try_divide(F.sum(F.pow(k - n * m, 2)) - noise, F.sum(n * (n - 1) * m * (1 - m)))
+    between = F.greatest(F.lit(cfg.weakest), F.least(F.lit(cfg.strongest), F.try_divide(1 - share, share)))
+    return F.when(share.isNull() | (share <= 0), F.lit(cfg.strongest)).otherwise(between)
 
 
-def _posterior(children: DataFrame, cfg: ReputationConfig) -> tuple[DataFrame, float]:
-    strength = children.agg(_strength(children, cfg).alias("s")).first()["s"]
-    return children.withColumn("p", (F.col("k") + strength * F.col("m")) / (F.col("n") + strength)), strength
+def _with_prior(children: DataFrame, cfg: ReputationConfig) -> DataFrame:
+    """Adds m and s, prior mean and strength. children: n, k, and of the parent pn, pk, pm, ps."""
+    strength = children.agg(_strength(cfg).alias("s")).first()["s"]
+    size = F.col("pn") - F.col("n") + F.col("ps")
+    mean = (F.col("pk") - F.col("k") + F.col("ps") * F.col("pm")) / size
+    return children.withColumn("m", mean).withColumn("s", F.least(F.lit(float(strength)), size)).drop("pn", "pk", "pm", "ps")
+
+
+def _as_parent(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.select(*keys, F.col("n").alias("pn"), F.col("k").alias("pk"), F.col("m").alias("pm"), F.col("s").alias("ps"))
 
 
 def host_reputation(counts: DataFrame, cfg: ReputationConfig) -> DataFrame:
     """host, n, k -> host, bad_rate, bad_low: posterior mean and lower bound."""
     counts = counts.withColumn("domain", domain_of(F.col("host"), cfg)).withColumn("suffix", suffix_of(F.col("host"), cfg))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("k"), F.lit(0)).alias("k")).first()
-    overall = (total["k"] + 1.0) / (total["n"] + 2.0)
     sums = [F.sum("n").alias("n"), F.sum("k").alias("k")]
-    suffixes, _ = _posterior(counts.groupBy("suffix").agg(*sums).withColumn("m", F.lit(overall)), cfg)
-    domains = counts.groupBy("domain", "suffix").agg(*sums).join(suffixes.select("suffix", F.col("p").alias("m")), "suffix")
-    domains, _ = _posterior(domains, cfg)
-    hosts, strength = _posterior(counts.join(domains.select("domain", "suffix", F.col("p").alias("m")), ["domain", "suffix"]), cfg)
-    p = F.col("p")
-    low = F.greatest(F.lit(0.0), p - cfg.z * F.sqrt(p * (1 - p) / (F.col("n") + strength + 1)))
+    top = {"pn": F.lit(total["n"]), "pk": F.lit(total["k"]), "pm": F.lit(0.5), "ps": F.lit(2.0)}
+    suffixes = _with_prior(counts.groupBy("suffix").agg(*sums).withColumns(top), cfg)
+    domains = counts.groupBy("domain", "suffix").agg(*sums).join(_as_parent(suffixes, "suffix"), "suffix")
+    domains = _with_prior(domains, cfg)
+    hosts = _with_prior(counts.join(_as_parent(domains, "domain", "suffix"), ["domain", "suffix"]), cfg)
+    p, size = (F.col("k") + F.col("s") * F.col("m")) / (F.col("n") + F.col("s")), F.col("n") + F.col("s")
+    low = F.greatest(F.lit(0.0), p - cfg.z * F.sqrt(p * (1 - p) / (size + 1)))
     return hosts.select("host", p.alias("bad_rate"), low.alias("bad_low"), "n", "k")
 
 
@@ -132,7 +140,7 @@ def filter_urls(pages: DataFrame, outcomes: DataFrame, rules: tuple[Rule, ...] =
     seen = rows.join(labels, rows["page_id"] == labels["id"], "left")
     counts = seen.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("k"))
     counts, _ = common.materialize(spark, counts, "hosts")
-    reputation = host_reputation(counts, cfg)
+    reputation, _ = common.materialize(spark, host_reputation(counts, cfg), "reputation")
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
     out = rows.join(reputation.select("host", "bad_low"), "host", "left").withColumn("rule", name)
     by_method = F.when(F.col("bad_low") > cfg.limit, "block").otherwise("allow")
@@ -146,10 +154,13 @@ def op9_hosts(spark, sf_dir: str) -> DataFrame:
     return filter_urls(common.table(spark, sf_dir, "pages"), outcomes, RULES)
 
 
-def _strength_sql(source: str) -> str:
-    return f"""SELECT CASE WHEN room = 0 OR room IS NULL OR extra / room <= 0 THEN 1000.0
-      ELSE greatest(2.0, least(1000.0, (1 - extra / room) / (extra / room))) END AS s
-    FROM (SELECT sum(pow(k - n * m, 2)) - sum(n * m * (1 - m)) AS extra, sum(n * (n - 1) * m * (1 - m)) AS room FROM {source})"""
+def _prior_sql(name: str, source: str, keys: str) -> str:
+    """CTEs name_s (strength) and name (keys, n, k, m, s) from source with pn, pk, pm, ps."""
+    m = "((pk + ps * pm) / (pn + ps))"
+    return f"""{name}_s AS (SELECT CASE WHEN room = 0 OR room IS NULL OR extra / room <= 0 THEN 1000.0
+      ELSE greatest(2.0, least(1000.0, (1 - extra / room) / (extra / room))) END AS strength
+    FROM (SELECT sum(pow(k - n * {m}, 2)) - sum(n * {m} * (1 - {m})) AS extra, sum(n * (n - 1) * {m} * (1 - {m})) AS room FROM {source})),
+{name} AS (SELECT {keys}, n, k, (pk - k + ps * pm) / (pn - n + ps) AS m, least(strength, pn - n + ps) AS s FROM {source}, {name}_s)"""
 
 
 ORACLE = f"""
@@ -166,17 +177,14 @@ h AS (
          regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name
   FROM p LEFT JOIN l ON page_id = doc_id GROUP BY host),
 hd AS (SELECT host, n, k, split(name, '.')[-1] AS suffix, array_to_string(split(name, '.')[-2:], '.') AS domain FROM h),
-t AS (SELECT (coalesce(sum(k), 0) + 1.0) / (coalesce(sum(n), 0) + 2.0) AS m FROM hd),
-s1 AS (SELECT suffix, sum(n) AS n, sum(k) AS k, any_value(t.m) AS m FROM hd, t GROUP BY suffix),
-s2 AS ({_strength_sql('s1')}),
-s3 AS (SELECT suffix, (k + s * m) / (n + s) AS p FROM s1, s2),
-d1 AS (SELECT domain, suffix, sum(n) AS n, sum(k) AS k, any_value(p) AS m FROM hd JOIN s3 USING (suffix) GROUP BY domain, suffix),
-d2 AS ({_strength_sql('d1')}),
-d3 AS (SELECT domain, suffix, (k + s * m) / (n + s) AS p FROM d1, d2),
-h1 AS (SELECT host, n, k, p AS m FROM hd JOIN d3 USING (domain, suffix)),
-h2 AS ({_strength_sql('h1')}),
-h3 AS (SELECT host, n, s, (k + s * m) / (n + s) AS p FROM h1, h2),
-h4 AS (SELECT host, greatest(0.0, p - 1.645 * sqrt(p * (1 - p) / (n + s + 1))) AS bad_low FROM h3),
+t AS (SELECT coalesce(sum(k), 0)::DOUBLE AS pk, coalesce(sum(n), 0)::DOUBLE AS pn, 0.5::DOUBLE AS pm, 2.0::DOUBLE AS ps FROM hd),
+s0 AS (SELECT suffix, sum(n)::DOUBLE AS n, sum(k)::DOUBLE AS k, any_value(pn) AS pn, any_value(pk) AS pk, any_value(pm) AS pm, any_value(ps) AS ps FROM hd, t GROUP BY suffix),
+{_prior_sql('s1', 's0', 'suffix')},
+d0 AS (SELECT domain, suffix, sum(hd.n)::DOUBLE AS n, sum(hd.k)::DOUBLE AS k, any_value(s1.n) AS pn, any_value(s1.k) AS pk, any_value(m) AS pm, any_value(s) AS ps FROM hd JOIN s1 USING (suffix) GROUP BY domain, suffix),
+{_prior_sql('d1', 'd0', 'domain, suffix')},
+h0 AS (SELECT host, hd.n::DOUBLE AS n, hd.k::DOUBLE AS k, d1.n AS pn, d1.k AS pk, m AS pm, s AS ps FROM hd JOIN d1 USING (domain, suffix)),
+{_prior_sql('h1', 'h0', 'host')},
+h4 AS (SELECT host, greatest(0.0, p - 1.645 * sqrt(p * (1 - p) / (n + s + 1))) AS bad_low FROM (SELECT *, (k + s * m) / (n + s) AS p FROM h1)),
 r(verdict, rule_host, rule_path) AS (VALUES {', '.join(f"('{r.verdict}', '{r.host}', '{r.path}')" for r in RULES)}),
 f AS (
   SELECT host, path, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
