@@ -22,6 +22,7 @@ gives an empty result.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -50,16 +51,25 @@ class ToxicityConfig:
 WORD = re.compile(r"\w+")
 
 
-PREFIXES = (3, 4, 5)
+PREFIXES = (3, 4, 5, 6)
 
 
 def words_of(text: str) -> set[str]:
-    """The features of a text: its words and, marked by a hyphen, their beginnings.
+    """The features of a text: its words and their beginnings, the latter marked by a hyphen.
 
-    Beginnings find words that are inflected or joined with others.
+    Beginnings find words that are inflected or joined with others. One that several words of the text
+    share, at least two or four, is a feature of its own, since a single such word may be chance.
     """
     words = set(WORD.findall(text.lower()))
-    return words.union(*({w[:n] + "-" for w in words if len(w) > n} for n in PREFIXES))
+    out = set(words)
+    for n in PREFIXES:
+        for p, count in Counter([w[:n] for w in words if len(w) > n]).items():
+            out.add(p + "-")
+            if count > 1:
+                out.add(p + "-2")
+                if count > 3:
+                    out.add(p + "-4")
+    return out
 
 
 @dataclass(frozen=True)
