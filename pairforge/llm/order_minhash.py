@@ -226,13 +226,21 @@ class NearDuplicates:
     """One run: tables by node (hash of a text), links, and components."""
 
     def __init__(self, df: DataFrame, cfg: NearConfig, id_col: str, text_col: str):
-        self.spark, self.cfg = df.sparkSession, cfg
+        self.spark, self.cfg, self.paths = df.sparkSession, cfg, []
         common.ship(self.spark)
         text = common.whole_text(text_col)
         self.docs = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("node"), text.alias("text"))
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        return common.materialize(self.spark, df, f"near-{name}")[0]
+        """A table in the shared folder; all but the last ones go when the classes are known."""
+        out, path = common.materialize(self.spark, df, f"near-{name}")
+        self.paths.append(path)
+        return out
+
+    def clear(self, keep: tuple[str, ...]) -> None:
+        for path in self.paths:
+            if not path.rsplit("/", 1)[1].startswith(tuple(f"pairforge-near-{k}-" for k in keep)):
+                common.remove(self.spark, path)
 
     def classes(self) -> DataFrame:
         """(id, class_id) for every row."""
@@ -248,6 +256,7 @@ class NearDuplicates:
         named = nodes.select("node", "first_id").join(labels, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label"))
         names = named.groupBy("label").agg(F.min("first_id").alias("class_id"))
         of_node = self.save(named.join(self.save(names, "names"), "label").select("node", "class_id"), "classes")
+        self.clear(keep=("sketches", "classes"))
         return signed.select("id", "node").join(of_node, "node").select("id", "class_id")
 
     def _texts(self, nodes: DataFrame, members: DataFrame) -> DataFrame:
@@ -350,7 +359,8 @@ class NearDuplicates:
             of = lambda key: labels.select(F.col("node").alias(key), F.col("label").alias(f"{key}_label"))
             edges = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
             edges = edges.select(F.coalesce("a_label", "a").alias("a"), F.coalesce("b_label", "b").alias("b")).where("a <> b").distinct()
-        fresh = components(self.spark, self.save(edges, "edges"))
+        fresh, path = components(self.spark, self.save(edges, "edges"))
+        self.paths.append(path)
         if labels is None:
             return fresh
         moved = labels.join(fresh.select(F.col("node").alias("label"), F.col("label").alias("to")), "label", "left").select("node", F.coalesce("to", "label").alias("label"))
@@ -358,22 +368,25 @@ class NearDuplicates:
         return self.save(moved.unionByName(new), "labels")
 
 
-def components(spark, edges: DataFrame) -> DataFrame:
-    """(node, label) with label the smallest node of the component; edges (a, b).
+def components(spark, edges: DataFrame) -> tuple[DataFrame, str]:
+    """(node, label) with label the smallest node of the component, and the table's path; edges (a, b).
 
     Every node takes the smallest label around it, then the label of its label, until nothing changes.
     """
-    keep = lambda df, name: common.materialize(spark, df, f"components-{name}")[0]
-    both = keep(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b"), "edges")
-    labels = keep(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
+    keep = lambda df, name: common.materialize(spark, df, f"components-{name}")
+    both, edge_path = keep(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b"), "edges")
+    labels, path = keep(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
     while True:
         around = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("m"))
-        lower = keep(labels.join(around.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label")), "lower")
+        lower, lower_path = keep(labels.join(around.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("old"), F.least("label", "m").alias("label")), "lower")
         jump = lower.join(lower.select(F.col("node").alias("label"), F.col("label").alias("next")), "label", "left")
-        jumped = keep(jump.select("node", "old", F.coalesce(F.least("label", "next"), "label").alias("label")), "jumped")
-        labels = jumped.select("node", "label")
+        jumped, jumped_path = keep(jump.select("node", "old", F.coalesce(F.least("label", "next"), "label").alias("label")), "jumped")
+        for old in (path, lower_path):
+            common.remove(spark, old)
+        labels, path = jumped.select("node", "label"), jumped_path
         if jumped.where("old <> label").isEmpty():
-            return labels
+            common.remove(spark, edge_path)
+            return labels, path
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", cfg: NearConfig | None = None) -> DataFrame:

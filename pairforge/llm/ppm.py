@@ -176,25 +176,31 @@ def _score(cfg: PpmConfig, total: int, distinct: int):
     return run
 
 
-def trie_levels(spark, grams: DataFrame, order: int) -> list[DataFrame]:
-    """Level k: (key, n) with key of k context bytes and a symbol, for k = 0 .. order."""
+def trie_levels(spark, grams: DataFrame, order: int, paths: list[str]) -> list[DataFrame]:
+    """Level k: (key, n) with key of k context bytes and a symbol, for k = 0 .. order.
+
+    paths gets the tables that are written.
+    """
     levels = [grams.where("n > 0").select("key", "n")]
     for k in range(order - 1, -1, -1):
         lower = levels[0].groupBy(F.col("key").bitwiseAND(F.lit(mask(k))).alias("key")).agg(F.sum("n").alias("n"))
-        levels.insert(0, common.materialize(spark, lower, f"ppm-level-{k}")[0])
+        level, path = common.materialize(spark, lower, f"ppm-level-{k}")
+        levels.insert(0, level)
+        paths.append(path)
     return levels
 
 
-def value_grams(spark, grams: DataFrame, order: int) -> DataFrame:
+def value_grams(spark, grams: DataFrame, order: int, paths: list[str]) -> DataFrame:
     """(key, value): log10 probability of each key's symbol after its context; n = 0 means unseen."""
-    levels = trie_levels(spark, grams, order)
+    levels = trie_levels(spark, grams, order, paths)
     context = F.shiftright("key", 8).alias("context")
     nodes = [level.groupBy(context).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")) for level in levels]
     distinct_symbols = levels[0].count()
     low = lambda k: F.col("key").bitwiseAND(F.lit(mask(k)))
     small = lambda df, bytes_of_key: F.broadcast(df) if bytes_of_key <= 2 else df
     top = grams.join(nodes[order].withColumnRenamed("context", "c"), F.shiftright("key", 8) == F.col("c"), "left")
-    top, _ = common.materialize(spark, top.select("key", "n", "total", "kinds"), "ppm-top")
+    top, path = common.materialize(spark, top.select("key", "n", "total", "kinds"), "ppm-top")
+    paths.append(path)
     seen = top.where("n > 0").select("key", F.log10(F.col("n") / (F.col("total") + F.col("kinds"))).alias("value"))
     escape = F.when(F.col("kinds") > 0, F.log10(F.col("kinds") / (F.col("total") + F.col("kinds")))).otherwise(F.lit(0.0))
     rest = top.where("n = 0").select("key", escape.alias("acc"), F.lit(None).cast("double").alias("value"))
@@ -223,11 +229,14 @@ def score_documents(df: DataFrame, held_out, id_col: str = "doc_id", text_col: s
     blocks = max(1, -(-size // cfg.block_bytes), min(2 * spark.sparkContext.defaultParallelism, -(-size // cfg.least_block)))
     rows = rows.select("id", F.coalesce(held_out(F.col("id")), F.lit(False)).alias("held_out"), "text", F.pmod(F.xxhash64("id", F.length("text")), F.lit(blocks)).alias("block"))
     keys, _ = common.materialize(spark, rows.groupBy("block").applyInArrow(_summarise(cfg), "block long, key long, n long"), "ppm-keys")
-    counts, _ = common.materialize(spark, keys.groupBy("key").agg(F.sum("n").alias("n")), "ppm-counts")
+    counts, count_path = common.materialize(spark, keys.groupBy("key").agg(F.sum("n").alias("n")), "ppm-counts")
     words = counts.where((F.col("key") >= END_WORD) & (F.col("n") > 0))
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    values = value_grams(spark, counts.where(F.col("key") < END_WORD), cfg.order).unionByName(words.select("key", F.col("n").cast("double").alias("value")))
+    paths: list[str] = []
+    values = value_grams(spark, counts.where(F.col("key") < END_WORD), cfg.order, paths).unionByName(words.select("key", F.col("n").cast("double").alias("value")))
     values, _ = common.materialize(spark, values, "ppm-values")
+    for path in (*paths, count_path):
+        common.remove(spark, path)
     wanted = keys.select("block", "key").join(values, "key").select("block", "key", "value")
     out = rows.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(_score(cfg, total["n"], total["v"]), OUT)
     return out.withColumnRenamed("id", id_col)
