@@ -72,3 +72,35 @@ def tool_call_id(name: Column, arguments: Column, number: Column) -> Column:
         return "call_" + hashlib.blake2s(f"{name}\0{arguments}\0{number}".encode(), digest_size=12).hexdigest()
 
     return F.udf(one, T.StringType())(name, arguments, number)
+
+
+def is_written(content: Column, placeholder: str = "TODO") -> Column:
+    """Whether a text is there and not just a placeholder."""
+    return F.coalesce((F.trim(content) != "") & ~F.startswith(F.trim(content), F.lit(placeholder)), F.lit(False))
+
+
+def ordered_inputs(inputs: Column, permutation: Column) -> Column:
+    """The two inputs in the order of a permutation."""
+    return F.when(permutation == 2, F.reverse(inputs)).otherwise(inputs)
+
+
+def response_content(payload: Column) -> Column:
+    """Content of the first choice of a response."""
+    return F.get_json_object(payload, "$.choices[0].message.content")
+
+
+def tool_calls(payload: Column) -> Column:
+    """Names and arguments of the first choice's tool calls."""
+    raw = F.get_json_object(payload, "$.choices[0].message.tool_calls")
+    calls = F.from_json(raw, "array<struct<id:string,function:struct<name:string,arguments:string>>>")
+    return F.transform(calls, lambda c: F.struct(c["id"].alias("id"), c["function"]["name"].alias("name"), c["function"]["arguments"].alias("arguments")))
+
+
+def verdict_with_issues(payload: Column) -> Column:
+    """{complies, issues} where the payload is exactly that and complies means no issues, else null."""
+    parsed = F.try_parse_json(payload)
+    complies = F.try_variant_get(parsed, "$.complies", "variant")
+    keys = F.sort_array(F.json_object_keys(payload)) == F.array(F.lit("complies"), F.lit("issues"))
+    issues = F.from_json(F.get_json_object(payload, "$.issues"), "array<string>")
+    flag = F.when(F.schema_of_variant(complies) == "BOOLEAN", complies.cast("boolean"))
+    return F.when(keys & (flag == (F.size(issues) == 0)), F.struct(flag.alias("complies"), issues.alias("issues")))

@@ -10,14 +10,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairforge.functions.stats import softmax
+from pairforge.schema import DESCRIPTIVE_FRAMINGS, REASONING_FRAMINGS
 from pairforge.shared import literal, ship
 
-REASONING = ("reasonese-normal", "reasonese-persuasive")
-DESCRIPTIVE = ("subagent", "compressed-normal", "compressed-persuasive")
-
-
 def probe_expectation(framing: Column) -> Column:
-    return F.when(framing.isin(*REASONING), "reasoning").when(framing.isin(*DESCRIPTIVE), "descriptive").otherwise("nonreasoning")
+    return F.when(framing.isin(*REASONING_FRAMINGS), "reasoning").when(framing.isin(*DESCRIPTIVE_FRAMINGS), "descriptive").otherwise("nonreasoning")
 
 
 def decision(expectation: Column, probability: Column, threshold: Column) -> Column:

@@ -319,3 +319,19 @@ def scored_requests(spark, sf_dir):
         return rows.assign(score=rows["permutation"] / (rows["permutation"] + rows["position"]))
 
     return observe.score_requests(requests, scorer, "study_id string, assistant string, permutation int, position int, score double, error string")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN 'second' ELSE 'first' END AS leading, 'text ' || o_orderkey AS content, 'tool' AS tool, '{\"n\":' || o_orderkey || '}' AS arguments, CASE WHEN o_orderkey % 3 = 0 THEN true WHEN o_orderkey % 3 = 1 THEN false END AS complies, o_orderkey % 4 <> 0 AS written FROM orders")
+def response_fields(spark, sf_dir):
+    """Contents, tool calls, verdicts with issues, input order and placeholders."""
+    key = F.col("o_orderkey")
+    arguments = F.concat(F.lit('{"n":'), key.cast("string"), F.lit("}"))
+    call = F.struct(F.lit("c").alias("id"), F.struct(F.lit("tool").alias("name"), arguments.alias("arguments")).alias("function"))
+    message = F.struct(F.concat(F.lit("text "), key.cast("string")).alias("content"), F.array(call).alias("tool_calls"))
+    payload = F.to_json(F.struct(F.array(F.struct(message.alias("message"))).alias("choices")))
+    none, one = F.array().cast("array<string>"), F.array(F.lit("bad"))
+    verdict = F.to_json(F.struct((key % 3 != 1).alias("complies"), F.when(key % 3 == 0, none).otherwise(one).alias("issues")))
+    inputs = F.array(F.lit("first"), F.lit("second"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", payload.alias("p"), verdict.alias("v"), text.ordered_inputs(inputs, (2 - key % 2).cast("int"))[0].alias("leading"), text.is_written(F.when(key % 4 == 0, " TODO: write").otherwise("x")).alias("written"))
+    first = text.tool_calls(F.col("p"))[0]
+    return rows.select("o_orderkey", "leading", text.response_content(F.col("p")).alias("content"), first["name"].alias("tool"), first["arguments"].alias("arguments"), text.verdict_with_issues(F.col("v"))["complies"].alias("complies"), "written")
