@@ -63,20 +63,20 @@ def strict_boolean(payload: Column, field: str) -> Column:
     return F.when((F.size(F.json_object_keys(payload)) == 1) & (F.schema_of_variant(found) == "BOOLEAN"), found.cast("boolean"))
 
 
-def tool_call_id(name: Column, arguments: Column, number: Column) -> Column:
-    """Short id of a tool call; no built-in function has BLAKE2s."""
+def tool_call_id(assistant: Column, identity: Column, long_prefix: str = "Qwen3.8 2.4T") -> Column:
+    """Id of a tool call in the assistant's own form; no built-in function has BLAKE2s."""
 
-    def one(name: str | None, arguments: str | None, number: int | None) -> str | None:
-        if name is None or arguments is None:
-            return None
-        return "call_" + hashlib.blake2s(f"{name}\0{arguments}\0{number}".encode(), digest_size=12).hexdigest()
+    def digest(text: str | None) -> str | None:
+        return None if text is None else hashlib.blake2s(text.encode(), digest_size=16).hexdigest()
 
-    return F.udf(one, T.StringType())(name, arguments, number)
+    d = F.udf(digest, T.StringType())(identity)
+    return F.when(assistant == long_prefix, F.concat(F.lit("chatcmpl-tool-"), F.substring(d, 1, 16))).otherwise(F.concat(F.lit("call_"), F.substring(d, 1, 24)))
 
 
-def is_written(content: Column, placeholder: str = "TODO") -> Column:
+def is_written(content: Column, placeholder: str = "TODO:") -> Column:
     """Whether a text is there and not just a placeholder."""
-    return F.coalesce((F.trim(content) != "") & ~F.startswith(F.trim(content), F.lit(placeholder)), F.lit(False))
+    text = F.regexp_replace(content, r"^\s+|\s+$", "")
+    return F.coalesce((text != "") & ~F.startswith(text, F.lit(placeholder)), F.lit(False))
 
 
 def ordered_inputs(inputs: Column, permutation: Column) -> Column:

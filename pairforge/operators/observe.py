@@ -109,11 +109,18 @@ def provenance_counts(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("n")).orderBy(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
 
 
-def failure_reasons(checks: DataFrame) -> DataFrame:
-    """Checks with pass and the reasons against them, in order."""
-    tests = [(~F.col("first_feasible"), "first not feasible"), (~F.col("second_feasible"), "second not feasible"), (~F.col("difficulty").between(2, 4), "difficulty"), (~F.col("uses_tool"), "no tool"), (~F.col("mutually_exclusive"), "not exclusive")]
-    reasons = F.array_compact(F.array(*(F.when(bad, F.lit(name)) for bad, name in tests)))
-    return checks.withColumn("reasons", reasons).withColumn("passes", F.size("reasons") == 0)
+def failure_reasons(checks: DataFrame, easiest: int = 2, hardest: int = 4) -> DataFrame:
+    """Checks with the reasons against them, in order, and whether there are none.
+
+    checks: first_feasible, first_difficulty, second_feasible, second_difficulty, requires_tools,
+    mutually_exclusive.
+    """
+    tests = []
+    for side in ("first", "second"):
+        level = F.col(f"{side}_difficulty")
+        tests += [F.when(~F.col(f"{side}_feasible"), F.lit(f"{side} instruction is not feasible")), F.when(~level.between(easiest, hardest), F.concat(F.lit(f"{side} instruction difficulty "), level.cast("string")))]
+    tests += [F.when(~F.col("requires_tools"), F.lit("neither instruction requires tools")), F.when(~F.col("mutually_exclusive"), F.lit("instructions are not mutually exclusive"))]
+    return checks.withColumn("reasons", F.array_compact(F.array(*tests))).withColumn("passes", F.size("reasons") == 0)
 
 
 def jaccard_neighbours(texts: DataFrame, least: float = 0.0) -> DataFrame:

@@ -147,13 +147,22 @@ def status_mismatches(spark, sf_dir):
     return validate.status_mismatches(rows).select("trial_id")
 
 
-_CHECK = "c AS (SELECT p_partkey, p_size % 2 = 0 AS first_feasible, p_size % 3 <> 0 AS second_feasible, CAST(p_size % 5 + 1 AS INTEGER) AS difficulty, p_retailprice > 1000 AS uses_tool, p_size > 10 AS mutually_exclusive FROM part)"
+_CHECK = "c AS (SELECT p_partkey, p_size % 2 = 0 AS f1, p_size % 3 <> 0 AS f2, CAST(p_size % 5 + 1 AS INTEGER) AS d1, CAST(p_size % 4 + 2 AS INTEGER) AS d2, p_retailprice > 1000 AS tools, p_size > 10 AS exclusive FROM part)"
+_REASONS = "CASE WHEN NOT f1 THEN 'first instruction is not feasible' END, CASE WHEN d1 NOT BETWEEN 2 AND 4 THEN 'first instruction difficulty ' || d1 END, CASE WHEN NOT f2 THEN 'second instruction is not feasible' END, CASE WHEN d2 NOT BETWEEN 2 AND 4 THEN 'second instruction difficulty ' || d2 END, CASE WHEN NOT tools THEN 'neither instruction requires tools' END, CASE WHEN NOT exclusive THEN 'instructions are not mutually exclusive' END"
 
 
-@query(f"WITH {_CHECK}, r AS (SELECT p_partkey, list_filter([CASE WHEN NOT first_feasible THEN 'first not feasible' END, CASE WHEN NOT second_feasible THEN 'second not feasible' END, CASE WHEN difficulty NOT BETWEEN 2 AND 4 THEN 'difficulty' END, CASE WHEN NOT uses_tool THEN 'no tool' END, CASE WHEN NOT mutually_exclusive THEN 'not exclusive' END], lambda x: x IS NOT NULL) AS reasons FROM c) SELECT p_partkey, reasons, len(reasons) = 0 AS passes FROM r")
+@query(f"WITH {_CHECK}, r AS (SELECT p_partkey, list_filter([{_REASONS}], lambda x: x IS NOT NULL) AS reasons FROM c) SELECT p_partkey, reasons, len(reasons) = 0 AS passes FROM r")
 def failure_reasons(spark, sf_dir):
     size = F.col("p_size")
-    checks = table(spark, sf_dir, "part").select("p_partkey", (size % 2 == 0).alias("first_feasible"), (size % 3 != 0).alias("second_feasible"), (size % 5 + 1).alias("difficulty"), (F.col("p_retailprice") > 1000).alias("uses_tool"), (size > 10).alias("mutually_exclusive"))
+    checks = table(spark, sf_dir, "part").select(
+        "p_partkey",
+        (size % 2 == 0).alias("first_feasible"),
+        (size % 3 != 0).alias("second_feasible"),
+        (size % 5 + 1).alias("first_difficulty"),
+        (size % 4 + 2).alias("second_difficulty"),
+        (F.col("p_retailprice") > 1000).alias("requires_tools"),
+        (size > 10).alias("mutually_exclusive"),
+    )
     return observe.failure_reasons(checks).select("p_partkey", "reasons", "passes")
 
 

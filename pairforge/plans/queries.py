@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pairforge.functions import stats, text
 from pairforge.operators import design, lasso, observe, probes, ranking, reports, sampling, validate
 from pairforge.plans.fixture import OBS_SQL, observations, pair_bank
-from pairforge.schema import AUTHORS, AXES, CHANNELS, FRAMINGS, MANUAL_FRAMINGS, REASONING_FRAMINGS, STRATA, AxisOrder
+from pairforge.schema import AUTHORS, AXES, CHANNELS, DESCRIPTIVE_FRAMINGS, FRAMINGS, MANUAL_FRAMINGS, REASONING_FRAMINGS, STRATA, AxisOrder
 from pairforge.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -411,7 +411,7 @@ def project_role(spark, sf_dir):
 
 def _probe_rows(spark, sf_dir):
     """Documents' labels as probe verdicts: the language stands for the framing."""
-    framing = F.when(F.col("lang") == "en", REASONING_FRAMINGS[0]).when(F.col("lang") == "fr", "subagent").otherwise("normal")
+    framing = F.when(F.col("lang") == "en", REASONING_FRAMINGS[0]).when(F.col("lang") == "fr", DESCRIPTIVE_FRAMINGS[0]).otherwise("normal")
     expectation = probes.probe_expectation(framing)
     p = F.col("n_chars") / (F.col("n_chars") + 1500.0)
     error = F.when(F.col("toxic") == 1, "failed")

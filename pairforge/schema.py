@@ -12,7 +12,7 @@ from pairforge.shared import literal
 # Levels of each axis in declared order.
 FRAMINGS = ("normal", "casual", "persuasive", "subagent", "reasonese-normal", "reasonese-persuasive", "compressed-normal", "compressed-persuasive")
 REASONING_FRAMINGS = FRAMINGS[4:6]
-DESCRIPTIVE_FRAMINGS = (FRAMINGS[3], *FRAMINGS[6:8])
+DESCRIPTIVE_FRAMINGS = FRAMINGS[6:8]
 MANUAL_FRAMINGS = ("normal", "casual", "persuasive")
 CHANNELS = ("system prompt", "user message", "README.md")
 USER_CHANNEL = "user message"

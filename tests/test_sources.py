@@ -91,7 +91,7 @@ def test_text_functions(spark):
     row = literal(spark, [('{"id": 5}', '{"id": "x"}', '{"complies": true}', '{"complies": 1}', '{"complies": true, "b": 1}')], "a string, b string, c string, d string, e string")
     out = row.select(text.response_id(F.col("a")), text.response_id(F.col("b")), text.strict_boolean(F.col("c"), "complies"), text.strict_boolean(F.col("d"), "complies"), text.strict_boolean(F.col("e"), "complies")).first()
     assert tuple(out) == (None, "x", True, None, None)
-    assert row.select(text.tool_call_id(F.lit("n"), F.lit("{}"), F.lit(1)).alias("x")).first()["x"].startswith("call_")
+    assert row.select(text.tool_call_id(F.lit("n"), F.lit("{}")).alias("x")).first()["x"].startswith("call_")
 
 
 def test_auc_and_softmax_kernels():
