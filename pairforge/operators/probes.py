@@ -22,6 +22,18 @@ def decision(expectation: Column, probability: Column, threshold: Column) -> Col
     return F.when(expectation == "reasoning", probability >= threshold).when(expectation == "nonreasoning", probability < threshold)
 
 
+def split_counts(n: int, shares: tuple[float, ...]) -> list[int]:
+    """Whole sizes of parts: at least one each where n allows, then by the largest remainders."""
+    exact = [n * s for s in shares]
+    sizes = [max(1, int(x)) for x in exact] if n >= len(shares) else [n, *[0] * (len(shares) - 1)]
+    rest = lambda k: exact[k] - sizes[k]
+    for _ in range(sum(sizes) - n):
+        sizes[min((k for k, size in enumerate(sizes) if size > 1), key=rest)] -= 1
+    for _ in range(n - sum(sizes)):
+        sizes[max(range(len(sizes)), key=rest)] += 1
+    return sizes
+
+
 def hash_split(documents: DataFrame, id_col: str, seed: int, shares: tuple[float, float] = (0.8, 0.1)) -> DataFrame:
     """(id, split): train, validation and test by the order of the documents' hashes.
 
@@ -32,9 +44,7 @@ def hash_split(documents: DataFrame, id_col: str, seed: int, shares: tuple[float
     key = F.sha2(F.concat_ws("\0", F.lit(str(seed)), F.col("id").cast("string")), 256)
     ids = documents.select(F.col(id_col).alias("id")).distinct().withColumn("h", key)
     n = ids.count()
-    train, validation = max(1, int(n * shares[0])), max(1, int(n * shares[1]))
-    if train + validation >= n:
-        train = max(0, n - validation - 1)
+    train, validation, _ = split_counts(n, (*shares, 1 - shares[0] - shares[1]))
     bucket = F.conv(F.substring("h", 1, 3), 16, 10).cast("int")
     ids = ids.withColumn("bucket", bucket)
     counts = ids.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).orderBy("bucket").collect()  # at most 4096 rows

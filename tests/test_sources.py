@@ -94,6 +94,12 @@ def test_text_functions(spark):
     assert row.select(text.tool_call_id(F.lit("n"), F.lit("{}")).alias("x")).first()["x"].startswith("call_")
 
 
+def test_split_counts():
+    shares = (0.8, 0.1, 0.1)
+    assert [probes.split_counts(n, shares) for n in (0, 2, 3, 4, 10, 15)] == [[0, 0, 0], [2, 0, 0], [1, 1, 1], [2, 1, 1], [8, 1, 1], [12, 2, 1]]
+    assert all(sum(probes.split_counts(n, shares)) == n for n in range(200))
+
+
 def test_auc_and_softmax_kernels():
     rng = np.random.default_rng(0)
     a, b = rng.normal(1, 1, 30).round(1), rng.normal(0, 1, 30).round(1)
