@@ -17,6 +17,7 @@ from pairforge.llm.ppm import op7_ppm
 from pairforge.llm.secrets import op4_secrets
 from pairforge.llm.topk import ORACLE as TOPK_SQL
 from pairforge.llm.topk import op8_topk
+from pairforge.llm.warc_index import ORACLE as WARC_SQL
 from pairforge.llm.warc_index import op3_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -33,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_warc": WARC_SQL,
     "op8_topk": TOPK_SQL,
     "op9_hosts": HOSTS_SQL,
 }

@@ -378,5 +378,19 @@ def archive_and_index(pages: DataFrame, cfg: WarcConfig | None = None, folder: s
 
 
 def op3_warc(spark, sf_dir: str) -> DataFrame:
+    """What the merged index says of every page; archive_and_index also has keys, places and order."""
     out = archive_and_index(common.table(spark, sf_dir, "pages"))
-    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "surt", "timestamp", F.col("range").alias("range_no"), "ordinal")
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_NIBBLE = "(instr('0123456789abcdef', substr(x, 5 * g + {k}, 1)) - 1)"
+_TWENTY_BITS = "(" + " + ".join(f"{16 ** (5 - k)} * {_NIBBLE.format(k=k)}" for k in range(1, 6)) + ")"
+_FOUR_DIGITS = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (({_TWENTY_BITS} // {1 << shift}) % 32) + 1, 1)" for shift in (15, 10, 5, 0))
+
+ORACLE = f"""
+WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS x FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY x) AS first FROM p)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 8), lambda g: {_FOUR_DIGITS}), '') AS payload_digest,
+       CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to
+FROM f
+"""
