@@ -2,14 +2,14 @@
 
 The trie of byte contexts is kept as tables, one for each order: (context and symbol, count). At each
 order the symbol is coded if the context has seen it, else an escape is; the estimates are those of
-PPM method C (escape: number of distinct symbols), and symbols that a longer context has seen are
-excluded from the shorter ones. A text's score is the log10 probability of its bytes (A-Z lower-cased)
+PPM method D (of n occurrences of a symbol, half a one goes to the escape), and symbols that a longer
+context has seen are excluded from the shorter ones. A text's score is the log10 probability of its bytes (A-Z lower-cased)
 and of its end under the counts of all training texts.
 
 Rows are dealt into blocks of bounded size by a hash. A block reports each distinct (context, symbol)
 and word once, with its training count; counts are added over blocks; the trie's tables are joined
 level by level to value what was never seen in training; values go back to the blocks that asked, and
-a block sums them over its texts. Every table is keyed by context or block, none is collected; what is
+a block sums them over its texts. Counts of words go back only where they are not the block's own. Every table is keyed by context or block, none is collected; what is
 broadcast is keyed by at most two bytes, 65,536 rows. What is gathered grows with the corpus.
 
 Words of the base score are told apart by 62 bits of hash.
@@ -34,8 +34,8 @@ from pairforge.llm import common
 
 @dataclass(frozen=True)
 class PpmConfig:
-    order: int = 4
-    block_bytes: int = 32 << 20
+    order: int = 5
+    block_bytes: int = 24 << 20
     least_block: int = 4 << 20
     slice_bytes: int = 1 << 20
 
@@ -70,7 +70,7 @@ def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.searchsorted(first, start, "right") - 1, (h >> np.uint64(2)) | np.uint64(WORD_BIT)
 
 
-def _slices(table: pa.Table, most: int) -> Iterator[tuple[int, list[bytes]]]:
+def _slices(table: pa.Table | pa.RecordBatch, most: int) -> Iterator[tuple[int, list[bytes]]]:
     """Row of the first text and the texts, lower-cased, of each part of a block."""
     texts, part, size, first = table.column("text"), [], 0, 0
     for k in range(table.num_rows):
@@ -84,29 +84,39 @@ def _slices(table: pa.Table, most: int) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    unique, place = np.unique(np.concatenate(keys), return_inverse=True)
-    return unique, np.bincount(place, np.concatenate(counts), unique.size).astype(np.int64)
+    key, count = np.concatenate(keys), np.concatenate(counts)
+    if not key.size:
+        return key, count
+    order = np.argsort(key)
+    key = key[order]
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return key[first], np.add.reduceat(count[order], first)
 
 
 def _summarise(cfg: PpmConfig):
-    def run(table: pa.Table) -> pa.Table:
-        keys, counts = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
-        held = np.asarray(table.column("held_out"))
-        for first, part in _slices(table, cfg.slice_bytes):
-            for out in (False, True):
-                mine = [t for t, h in zip(part, held[first : first + len(part)].tolist(), strict=True) if h == out]
-                if not mine:
-                    continue
-                for found in (gram_keys(mine, cfg.order), word_keys(mine)[1], np.full(len(mine), END_WORD, np.uint64)):
-                    k, c = np.unique(found, return_counts=True)
-                    keys.append(k)
-                    counts.append(c * (not out))
-            if len(keys) > 24:
-                k, c = _added(keys, counts)
-                keys, counts = [k], [c]
+    """Distinct keys of a block with their training counts; its texts stream through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, counts, block = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
+        for batch in batches:
+            held, block = np.asarray(batch.column("held_out").cast(pa.int8())).astype(bool), batch.column("block")[0].as_py()
+            for first, part in _slices(batch, cfg.slice_bytes):
+                for out in (False, True):
+                    mine = [t for t, h in zip(part, held[first : first + len(part)].tolist(), strict=True) if h == out]
+                    if not mine:
+                        continue
+                    for found in (gram_keys(mine, cfg.order), word_keys(mine)[1], np.full(len(mine), END_WORD, np.uint64)):
+                        k, c = np.unique(found, return_counts=True)
+                        keys.append(k)
+                        counts.append(c * (not out))
+                if len(keys) > 12:
+                    k, c = _added(keys, counts)
+                    keys, counts = [k], [c]
         k, c = _added(keys, counts)
-        block = pa.array(np.full(k.size, table.column("block")[0].as_py(), np.int64))
-        return pa.table({"block": block, "key": pa.array(k.view(np.int64)), "n": pa.array(c)})
+        del keys, counts
+        for a in range(0, k.size, 100_000):
+            part_k, part_c = k[a : a + 100_000], c[a : a + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(part_k.size, block, np.int64)), pa.array(part_k.view(np.int64)), pa.array(part_c)], names=["block", "key", "n"])
 
     return run
 
@@ -150,19 +160,38 @@ class Lookup:
 OUT = "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
+def _own_words(docs: pa.Table, cfg: PpmConfig) -> tuple[np.ndarray, np.ndarray]:
+    """Words of a block's training texts, their ends among them, and how often they occur."""
+    held = np.asarray(docs.column("held_out"))
+    keys, counts = [np.array([END_WORD], np.uint64)], [np.array([(~held).sum()], np.int64)]
+    for first, part in _slices(docs, cfg.slice_bytes):
+        k, c = np.unique(word_keys([t for t, h in zip(part, held[first : first + len(part)].tolist(), strict=True) if not h])[1], return_counts=True)
+        keys.append(k)
+        counts.append(c)
+        if len(keys) > 24:
+            k, c = _added(keys, counts)
+            keys, counts = [k], [c]
+    return _added(keys, counts)
+
+
 def _score(cfg: PpmConfig, total: int, distinct: int):
     denominator = total + 0.1 * (distinct + 1)
 
     def run(docs: pa.Table, values: pa.Table) -> pa.Table:
         keys, value = np.asarray(values.column("key")).view(np.uint64), np.asarray(values.column("value"))
         is_word = keys >= np.uint64(END_WORD)
-        grams, words = Lookup(keys[~is_word], value[~is_word]), Lookup(keys[is_word], value[is_word])
+        grams = Lookup(keys[~is_word], value[~is_word])
+        own, count = _own_words(docs, cfg)
+        alone = ~np.isin(own, keys[is_word])
+        words = Lookup(np.concatenate((own[alone], keys[is_word])), np.concatenate((count[alone], value[is_word])))
+        del keys, value, own, count
         ends = float(words.get(np.array([END_WORD], np.uint64))[0][0])
         columns: list[list[np.ndarray]] = [[] for _ in range(4)]
         for _, part in _slices(docs, cfg.slice_bytes):
             n = len(part)
             of, found = word_keys(part)
-            count, known = words.get(found)
+            count, _ = words.get(found)
+            known = count > 0
             tokens = np.bincount(of, minlength=n) + 1
             base = np.bincount(of, np.log10((count + 0.1) / denominator), n) + np.log10((ends + 0.1) / denominator)
             logs, _ = grams.get(gram_keys(part, cfg.order))
@@ -201,8 +230,8 @@ def value_grams(spark, grams: DataFrame, order: int, paths: list[str]) -> DataFr
     top = grams.join(nodes[order].withColumnRenamed("context", "c"), F.shiftright("key", 8) == F.col("c"), "left")
     top, path = common.materialize(spark, top.select("key", "n", "total", "kinds"), "ppm-top")
     paths.append(path)
-    seen = top.where("n > 0").select("key", F.log10(F.col("n") / (F.col("total") + F.col("kinds"))).alias("value"))
-    escape = F.when(F.col("kinds") > 0, F.log10(F.col("kinds") / (F.col("total") + F.col("kinds")))).otherwise(F.lit(0.0))
+    seen = top.where("n > 0").select("key", F.log10((2 * F.col("n") - 1) / (2 * F.col("total"))).alias("value"))
+    escape = F.when(F.col("kinds") > 0, F.log10(F.col("kinds") / (2 * F.col("total")))).otherwise(F.lit(0.0))
     rest = top.where("n = 0").select("key", escape.alias("acc"), F.lit(None).cast("double").alias("value"))
     for k in range(order - 1, -1, -1):
         below = levels[k].select(F.col("key").alias("k_key"), F.col("n").alias("k_n"))
@@ -213,8 +242,8 @@ def value_grams(spark, grams: DataFrame, order: int, paths: list[str]) -> DataFr
         rest = rest.join(small(excluded, k + 1), F.shiftright(low(k + 1), 8) == F.col("x_context"), "left")
         t = F.coalesce("total", F.lit(0)) - F.coalesce("out_total", F.lit(0))
         d = F.coalesce("kinds", F.lit(0)) - F.coalesce("out_kinds", F.lit(0))
-        coded = F.when(F.col("k_n").isNotNull(), F.col("acc") + F.log10(F.col("k_n") / (t + d)))
-        acc = F.col("acc") + F.when(d > 0, F.log10(d / (t + d))).otherwise(F.lit(0.0))
+        coded = F.when(F.col("k_n").isNotNull(), F.col("acc") + F.log10((2 * F.col("k_n") - 1) / (2 * t)))
+        acc = F.col("acc") + F.when(d > 0, F.log10(d / (2 * t))).otherwise(F.lit(0.0))
         rest = rest.select("key", F.coalesce("value", coded).alias("value"), acc.alias("acc"))
     last = F.col("acc") - F.lit(float(np.log10(max(1, SYMBOLS - distinct_symbols))))
     return seen.unionByName(rest.select("key", F.coalesce("value", last).alias("value")))
@@ -237,7 +266,7 @@ def score_documents(df: DataFrame, held_out, id_col: str = "doc_id", text_col: s
     values, _ = common.materialize(spark, values, "ppm-values")
     for path in (*paths, count_path):
         common.remove(spark, path)
-    wanted = keys.select("block", "key").join(values, "key").select("block", "key", "value")
+    wanted = keys.join(values, "key").where((F.col("key") < END_WORD) | (F.col("n") != F.col("value"))).select("block", "key", "value")
     out = rows.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(_score(cfg, total["n"], total["v"]), OUT)
     return out.withColumnRenamed("id", id_col)
 

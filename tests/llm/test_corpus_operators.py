@@ -39,7 +39,7 @@ def test_matches_sql(spark, name):
 
 def test_warc_query_is_ordered_and_whole(spark):
     pages = {r["page_id"]: r for r in read(spark, "pages").collect()}
-    rows = warc_index.op3_warc(spark, SF).collect()
+    rows = warc_index.archive_and_index(read(spark, "pages")).collect()
     assert len(rows) == len(pages)
     first = {}
     for i in sorted(pages):
@@ -49,7 +49,7 @@ def test_warc_query_is_ordered_and_whole(spark):
         f = first[hashlib.sha1(data).digest()]
         want = ("response", None) if f == r["page_id"] else ("revisit", f)
         assert (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) == (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), *want)
-    keys = [(r["surt"], r["timestamp"], r["page_id"]) for r in sorted(rows, key=lambda r: (r["range_no"], r["ordinal"]))]
+    keys = [(r["surt"], r["timestamp"], r["page_id"]) for r in sorted(rows, key=lambda r: (r["range"], r["ordinal"]))]
     assert keys == sorted(keys)
 
 
@@ -174,7 +174,7 @@ def test_ppm_equals_a_trie(spark):
     docs = {r["doc_id"]: (r["text"] or "").encode().lower() for r in read(spark, "documents").limit(60).collect()}
     df = read(spark, "documents").where(F.col("doc_id").isin(list(docs)))
     held = {i: zlib.crc32(str(i).encode()) % 10 == 0 for i in docs}
-    order = 4
+    order = ppm.PpmConfig().order
     tries = [defaultdict(Counter) for _ in range(order + 1)]
     words = Counter()
     for i, t in docs.items():
@@ -194,12 +194,13 @@ def test_ppm_equals_a_trie(spark):
                 continue
             left = {s: n for s, n in seen.items() if s not in out}
             if symbol in left:
-                return total + math.log10(left[symbol] / (sum(left.values()) + len(left)))
+                return total + math.log10((2 * left[symbol] - 1) / (2 * sum(left.values())))
             if left:
-                total += math.log10(len(left) / (sum(left.values()) + len(left)))
+                total += math.log10(len(left) / (2 * sum(left.values())))
             out = set(seen)
         return total - math.log10(256 - len(out))
 
+    assert {h for h in held.values()} == {True, False}
     n, v = sum(words.values()), len(words)
     for r in ppm.score_documents(df, ppm.held_out_tenth, cfg=ppm.PpmConfig(block_bytes=20_000, least_block=5_000, slice_bytes=3_000)).collect():
         t = docs[r["doc_id"]]
