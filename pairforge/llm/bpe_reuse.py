@@ -39,7 +39,7 @@ class ChunkConfig:
     least: int = 256
     most: int = 16_384
     store_tokens: int = 6_000_000
-    store_words: int = 1_000_000
+    store_words: int = 600_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -216,6 +216,7 @@ DIGEST = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 def _kernel(path: str | None, cfg: ChunkConfig, full: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.worker_turn("bpe")
         key = ("encoder", path, cfg)
         if key not in common.WORKER:
             common.WORKER[key] = ReusingEncoder(path or tokenizer_path("byte_bpe_50k.json"), cfg)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+
 import numpy as np
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +17,21 @@ __all__ = ["literal", "materialize", "remove", "scratch", "shared_dir", "ship",
 WORKER: dict = {}
 
 
+def worker_turn(name: str) -> None:
+    """Begin an operator's task in this Python worker; what another operator kept goes, its memory too.
+
+    Workers outlive stages, so without this the stores of one operator would stand beside the next one's.
+    """
+    if WORKER.get("turn") != name:
+        WORKER.clear()
+        WORKER["turn"] = name
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):
+            pass
+
+
 def whole_text(name: str = "text") -> Column:
     """The whole text; null counts as empty."""
     return F.coalesce(F.col(name), F.lit(""))

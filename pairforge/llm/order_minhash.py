@@ -158,6 +158,7 @@ def similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
 
 def _sketch_kernel(cfg: NearConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.worker_turn("near")
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
@@ -170,6 +171,7 @@ def _sketch_kernel(cfg: NearConfig):
 
 def _shingle_kernel(cfg: NearConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.worker_turn("near")
         for batch in batches:
             for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 h = label_occurrences(shingles(text.as_py().encode(), cfg.words)).view(np.int64)
@@ -180,6 +182,7 @@ def _shingle_kernel(cfg: NearConfig):
 
 def _mask_kernel(cfg: NearConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.worker_turn("near")
         at, sorted_leader = None, np.empty(0, np.uint64)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
@@ -198,6 +201,7 @@ def _mask_kernel(cfg: NearConfig):
 
 def _verify_kernel(cfg: NearConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.worker_turn("near")
         kept: dict[int, np.ndarray] = {}
         size = 0
         for batch in batches:

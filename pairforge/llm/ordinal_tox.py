@@ -131,6 +131,7 @@ def fit_ordinal(features: list[np.ndarray], grade: np.ndarray, size: int, cfg: T
 
 
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    common.worker_turn("toxicity")
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
@@ -175,6 +176,7 @@ OUT = "id long, severity double, grade int, toxic boolean"
 
 def _score_kernel(model: OrdinalModel, cfg: ToxicityConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.worker_turn("toxicity")
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
@@ -197,6 +199,7 @@ def drop_toxic(df: DataFrame, model: OrdinalModel, cfg: ToxicityConfig | None =
     cfg = cfg or ToxicityConfig()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.worker_turn("toxicity")
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index(text_col))
             p = [model.probabilities(t.as_py() or "") for t in texts]

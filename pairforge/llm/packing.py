@@ -37,7 +37,7 @@ class PackConfig:
     loss: int = 2048
     pool: int = 1024
     end_id: int = 1
-    store_words: int = 1_000_000
+    store_words: int = 700_000
 
 
 @dataclass
@@ -162,6 +162,7 @@ def _kernel(path: str | None, cfg: PackConfig, keep_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        common.worker_turn("packing")
         key = ("words", path, cfg)
         if key not in common.WORKER:
             common.WORKER[key] = WordStore(path or tokenizer_path("word_bpe_49k.json"), cfg)

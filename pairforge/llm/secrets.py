@@ -245,6 +245,7 @@ OUT = "id long, n_assign long, n_access long, n_hex long, base_sha256 string, sp
 
 def _kernel(cfg: ScanConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.worker_turn("secrets")
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
@@ -272,6 +273,7 @@ def redact_secrets(df: DataFrame, text_col: str = "text", cfg: ScanConfig | None
     cfg = cfg or ScanConfig()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.worker_turn("secrets")
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
