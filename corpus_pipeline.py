@@ -25,8 +25,8 @@ def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of tokens, ready for training."""
-    return packing.pack_documents(docs)
+    """Sequences of tokens, ready for training. A small store of words, as executors are full by now."""
+    return packing.pack_documents(docs, cfg=packing.PackConfig(store_words=150_000))
 
 
 STAGES = [("toxicity", drop_toxic), ("near_dedup", deduplicate), ("secrets", redact), ("packing", pack)]
