@@ -340,7 +340,8 @@ class NearDuplicates:
     def _masked(self, current: DataFrame) -> DataFrame:
         """Adds which of the bucket's leader's shingles a node has, as bits, and how many others it shares.
 
-        Two nodes have at most the bits that both have, and of the rest no more than either shares.
+        Two nodes have at most the bits that both have, and of the rest no more than either shares. The
+        leader itself has no rest: all it has is inside, also what it shares with no other node.
         """
         rows = self._shared(current)
         lead = rows.groupBy("bucket").agg(F.min(F.struct(-F.col("fame"), "node")).alias("x")).select("bucket", F.col("x.node").alias("l"))
@@ -348,7 +349,7 @@ class NearDuplicates:
         side = lambda key, name: self.texts.select(F.col("node").alias(key), F.col("text").alias(name)).hint("merge")
         pairs = rows.select("node", "l").distinct().join(side("node", "tn"), "node").join(side("l", "tl"), "l").select("node", "l", "tn", "tl")
         masks = self.save(pairs.mapInArrow(_mask_kernel(self.cfg), "node long, l long, mask array<long>, inside int"), "masks")
-        return self.save(rows.join(masks, ["node", "l"]).withColumn("extra", F.col("common") - F.col("inside")), "final")
+        return self.save(rows.join(masks, ["node", "l"]).withColumn("extra", F.greatest(F.col("common") - F.col("inside"), F.lit(0))), "final")
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
         side = lambda key, name: self.texts.select(F.col("node").alias(key), F.col("text").alias(name))

@@ -162,6 +162,23 @@ def test_near_classes_equal_brute_force(spark):
     assert kept == {root(i) for i in range(len(texts))}
 
 
+def test_last_comparison_keeps_links_of_leaders(spark):
+    """Buckets of 12 texts with tied fame, in pairs at similarity 0.85; every one has shingles of its own."""
+    texts = []
+    for g in range(40):
+        core = [f"g{g}c{j}" for j in range(76)]
+        for p in range(6):
+            shared = [f"g{g}p{p}s{j}" for j in range(20)]
+            texts += [" ".join([*core, *shared, *(f"g{g}p{p}t{t}o{j}" for j in range(8))]) for t in (0, 1)]
+    cfg = order_minhash.NearConfig(sketches=1, keep=1, short_to=0, long_from=1, full_bucket=2)
+    sketches = [tuple(order_minhash.sketch(t.encode(), cfg)[1].tolist()) for t in texts]
+    together = [g for g in range(40) if len(set(sketches[12 * g : 12 * g + 12])) == 1][:6]
+    assert len(together) == 6
+    rows = [(i, texts[i]) for g in together for i in range(12 * g, 12 * g + 12)]
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(literal(spark, rows, "doc_id long, text string"), cfg=cfg).collect()}
+    assert got == {i: i - i % 2 for i, _ in rows}
+
+
 def test_sketches_keep_order_and_do_not_depend_on_blocks():
     h = order_minhash.label_occurrences(order_minhash.shingles(b"a b c d e f g a b c d e f g h i j k l m n o p q r s t u v w x y z 1 2 3", 5))
     assert len(set(h.tolist())) == h.size
