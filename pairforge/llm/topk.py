@@ -10,9 +10,12 @@ candidate below it cannot be in the answer. Then every partition of candidates m
 blocks that it streams from the shared folder, so neither side is shuffled or held whole, and sends on
 at most k rows per query and block. Products are exact integers.
 
+Every row is a candidate, or, with `distinct`, every id: then an id's best row stands for it before
+places are counted, in the threshold and in each block. The query takes every row, as its SQL does.
+
 Defined results: null ids, null vectors and vectors with null or non-finite components take no part;
 a candidate with the query's own id is passed over; vectors of unequal length are not compared; rows
-that repeat an id count once, with their best score; a query without candidates has no rows; products beyond 64 bits
+that repeat an id count once, with their best score, or each, without `distinct`; a query without candidates has no rows; products beyond 64 bits
 are held at the limits; empty tables give empty results.
 """
 
@@ -37,6 +40,7 @@ class SearchConfig:
     seeds: int = 4096
     query_block: int = 512
     candidate_block: int = 16_384
+    distinct: bool = True
 
 
 def segment_features(v: np.ndarray, segments: int) -> np.ndarray:
@@ -56,6 +60,7 @@ class Block:
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, levels: tuple[int, ...]):
         self.ids, self.ints = ids, vectors
+        self.repeats = np.unique(ids).size < ids.size
         self.vectors = vectors.astype(np.float64)
         self.features = [segment_features(self.vectors, s) for s in levels] if vectors.shape[1] else []
         self.largest = float(np.abs(self.vectors).max(initial=0.0))
@@ -78,7 +83,13 @@ def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return keep[np.lexsort((ids[keep], -scores[keep].astype(object) if scores.size and scores.min() == -(1 << 63) else -scores[keep]))[:k]]
 
 
-def search_block(queries: Block, thresholds: np.ndarray, candidates: Block, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def best_of_each(ids: np.ndarray, scores: np.ndarray) -> np.ndarray:
+    """Places of one highest score of each id."""
+    order = np.lexsort((scores, ids))
+    return order[np.append(ids[order][1:] != ids[order][:-1], True)] if order.size else order
+
+
+def search_block(queries: Block, thresholds: np.ndarray, candidates: Block, k: int, distinct: bool = True) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query its best candidates at or above its threshold: query id, ids, scores."""
     small = queries.largest * candidates.largest * max(1, candidates.vectors.shape[1]) < 2**52
     coarse = queries.features[0] @ candidates.features[0].T if candidates.features and small else None
@@ -96,6 +107,9 @@ def search_block(queries: Block, thresholds: np.ndarray, candidates: Block, k: i
         keep = scores >= least
         left, scores = left[keep], scores[keep]
         if scores.size:
+            if distinct and candidates.repeats:
+                one = best_of_each(candidates.ids[left], scores)
+                left, scores = left[one], scores[one]
             top = best(candidates.ids[left], scores, k)
             yield query_id, candidates.ids[left[top]], scores[top]
 
@@ -134,6 +148,9 @@ def _threshold_kernel(uri: str, cfg: SearchConfig):
                         continue
                     scores = block.vectors @ seed.vectors.T
                     scores[block.ids[:, None] == seed.ids[None, :]] = -np.inf
+                    if cfg.distinct and seed.repeats:
+                        order = np.argsort(seed.ids, kind="stable")
+                        scores = np.maximum.reduceat(scores[:, order], np.unique(seed.ids[order], return_index=True)[1], axis=1)
                     if scores.shape[1] > cfg.k:
                         cut = np.partition(scores, scores.shape[1] - cfg.k, axis=1)[:, scores.shape[1] - cfg.k]
                         least[rows] = np.where(np.isfinite(cut), cut, -(2.0**63)).astype(np.int64)
@@ -155,7 +172,7 @@ def _search_kernel(uri: str, cfg: SearchConfig):
                     continue
                 least = np.asarray(stored.column(2))
                 for rows, queries in _blocks(np.asarray(stored.column(0)), stored.column(1), cfg.query_block, cfg.levels):
-                    got = [x for c in own if c.ints.shape[1] == queries.ints.shape[1] for x in search_block(queries, least[rows], c, cfg.k)]
+                    got = [x for c in own if c.ints.shape[1] == queries.ints.shape[1] for x in search_block(queries, least[rows], c, cfg.k, cfg.distinct)]
                     if got:
                         count = [x[1].size for x in got]
                         yield pa.record_batch([pa.array(np.repeat([x[0] for x in got], count)), pa.array(np.concatenate([x[1] for x in got])), pa.array(np.concatenate([x[2] for x in got]))], names=["query_id", "vec_id", "score"])
@@ -185,13 +202,15 @@ def top_k(df: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "em
     _, seeds = common.materialize(spark, rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(cfg.seeds), "seeds")
     queries = rows.where(is_query(F.col("vec_id"))).mapInArrow(_threshold_kernel(seeds, cfg), "vec_id long, v array<long>, least long")
     _, stored = common.materialize(spark, queries, "queries")
-    found = rows.mapInArrow(_search_kernel(stored, cfg), "query_id long, vec_id long, score long").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    found = rows.mapInArrow(_search_kernel(stored, cfg), "query_id long, vec_id long, score long")
+    if cfg.distinct:
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= cfg.k).select("query_id", "rank", "vec_id", "score")
 
 
 def op8_topk(spark, sf_dir: str) -> DataFrame:
-    return top_k(common.table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
+    return top_k(common.table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, cfg=SearchConfig(distinct=False))
 
 
 ORACLE = """

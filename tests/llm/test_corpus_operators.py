@@ -255,6 +255,44 @@ def test_search_equals_brute_force(spark, scale):
         assert got[i] == [(j, s[j]) for j in want]
 
 
+@pytest.mark.parametrize("distinct", [True, False])
+def test_search_with_repeated_ids(spark, distinct):
+    """A third of the rows repeats one id with the best products; each id, or each row, takes its places."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 6))
+    ids = np.arange(300)
+    ids[::3] = 7
+    x[::3] = 3 * x[20] + 0.01 * rng.normal(size=(100, 6))
+    x[281] = x[20] + 0.3
+    ids[281] = 20
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>").repartition(3)
+    cfg = topk.SearchConfig(k=8, seeds=60, query_block=4, candidate_block=64, distinct=distinct)
+    got = defaultdict(list)
+    for r in topk.top_k(df, lambda i: i % 20 == 0, cfg=cfg).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    q = np.floor(64 * x).astype(np.int64)
+    want = defaultdict(list)
+    for row in np.flatnonzero(ids % 20 == 0):
+        want[int(ids[row])] += [(int(j), int(s)) for j, s in zip(ids, q @ q[row], strict=True) if j != ids[row]]
+    for i, pairs in want.items():
+        if distinct:
+            pairs = [(j, max(s for k, s in pairs if k == j)) for j in {j for j, _ in pairs}]
+        assert got[i] == sorted(pairs, key=lambda p: (-p[1], p[0]))[:8]
+    assert set(got) == set(want)
+
+
+def test_topk_query_equals_sql_with_repeated_ids(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = [(i if i % 3 else 1, (rng.normal(size=8) + 2 * (i % 3 == 0)).tolist()) for i in range(200)]
+    rows += [(20, rng.normal(size=8).tolist()), (20, rows[20][1])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    want = sorted(con.execute(f"SELECT query_id, rank, vec_id, score FROM ({ORACLE_SQL['op8_topk']})").fetchall())
+    got = QUERIES["op8_topk"](spark, str(tmp_path)).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == want
+
+
 def test_segment_bounds_hold():
     rng = np.random.default_rng(0)
     a, b = rng.integers(-90, 90, (50, 30)), rng.integers(-90, 90, (60, 30))
