@@ -246,8 +246,8 @@ class NearDuplicates:
             if not path.rsplit("/", 1)[1].startswith(tuple(f"pairforge-near-{k}-" for k in keep)):
                 common.remove(self.spark, path)
 
-    def classes(self) -> DataFrame:
-        """(id, class_id) for every row."""
+    def _named(self) -> tuple[DataFrame, DataFrame]:
+        """(id, node) of every row, and (node, first_id, label) of every node."""
         signed = self.save(self.docs.mapInArrow(_sketch_kernel(self.cfg), "id long, node long, n int, sketches array<long>"), "sketches")
         nodes = self.save(signed.groupBy("node").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("sketches").alias("sketches")), "nodes")
         rows = nodes.select("node", "n", F.explode("sketches").alias("bucket"))
@@ -258,10 +258,23 @@ class NearDuplicates:
         self.texts = self._texts(nodes, members)
         labels = self._link_all(members)
         named = nodes.select("node", "first_id").join(labels, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label"))
+        return signed.select("id", "node"), named
+
+    def classes(self) -> DataFrame:
+        """(id, class_id) for every row."""
+        rows, named = self._named()
         names = named.groupBy("label").agg(F.min("first_id").alias("class_id"))
         of_node = self.save(named.join(self.save(names, "names"), "label").select("node", "class_id"), "classes")
         self.clear(keep=("sketches", "classes"))
-        return signed.select("id", "node").join(of_node, "node").select("id", "class_id")
+        return rows.join(of_node, "node").select("id", "class_id")
+
+    def survivors(self) -> DataFrame:
+        """(id, node) of one row of each class: the smallest id, null last, then the smallest node."""
+        _, named = self._named()
+        first = named.groupBy("label").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "node")).alias("x"))
+        out = self.save(first.select(F.col("x.first_id").alias("id"), F.col("x.node").alias("node")), "survivors")
+        self.clear(keep=("survivors",))
+        return out
 
     def _texts(self, nodes: DataFrame, members: DataFrame) -> DataFrame:
         """Text of each node that shares a sketch: read from the row of its smallest id."""
@@ -400,12 +413,14 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", cfg: NearConfig | None = None) -> DataFrame:
-    """One row of each class, that of the smallest id; rows of classes without an id stay."""
-    spark = df.sparkSession
-    first = near_duplicates(df, id_col, text_col, cfg).where(F.col(id_col) == F.col("class_id")).select(F.col(id_col).alias("_first")).distinct()
-    first, _ = common.materialize(spark, first, "first-of-class")
-    kept = df.join(first, df[id_col] == F.col("_first"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(df.where(F.col(id_col).isNull()))
+    """One row of each class: that of the smallest id, a null id last; of several texts with it, one."""
+    first = NearDuplicates(df, cfg or NearConfig(), id_col, text_col).survivors()
+    key = lambda i, node: (F.coalesce(i, F.lit(0)), i.isNull(), node)
+    names = [f"_first_{k}" for k in ("id", "none", "node")]
+    first = first.select(*(c.alias(n) for c, n in zip(key(F.col("id"), F.col("node")), names, strict=True)))
+    own = key(df[id_col].cast("long"), F.xxhash64(common.whole_text(text_col)))
+    rows = df.select("*", *(c.alias(n) for c, n in zip(own, names, strict=True)))
+    return rows.join(first, names, "left_semi").dropDuplicates(names).select(*df.columns)
 
 
 def op6_near(spark, sf_dir: str) -> DataFrame:

@@ -162,6 +162,17 @@ def test_near_classes_equal_brute_force(spark):
     assert kept == {root(i) for i in range(len(texts))}
 
 
+def test_keep_one_keeps_one_row_of_every_class(spark):
+    """Repeated ids with different texts, ids in two classes, null ids beside others and alone."""
+    a, b, c, d = (" ".join(f"{x}{j}" for j in range(40)) for x in "abcd")
+    rows = [(1, a), (1, b), (1, b), (1, b + " more"), (2, b), (None, a), (None, c), (None, c), (5, d), (4, d + " more"), (None, None), (7, "")]
+    df = literal(spark, rows, "doc_id long, text string").withColumn("_other", F.lit(1))
+    out = order_minhash.keep_one(df)
+    assert out.columns == df.columns
+    kept = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["text"][:1]) for r in out.collect()))
+    assert kept == [(False, 1, "a"), (False, 1, "b"), (False, 4, "d"), (False, 7, ""), (True, 0, "c")]
+
+
 def test_last_comparison_keeps_links_of_leaders(spark):
     """Buckets of 12 texts with tied fame, in pairs at similarity 0.85; every one has shingles of its own."""
     texts = []
