@@ -1,7 +1,8 @@
 """Secret scan with a recursive decoding worklist.
 
 The whole text is scanned for three kinds of secret. Then a worklist unwraps what may hide more:
-URL escapes, Unicode escapes, base64 runs and compressed payloads inside them. Each unwrapping
+URL escapes, Unicode escapes, base64 runs (also over several lines) and compressed payloads inside them,
+between whose escapes plain characters may stand. Each unwrapping
 replaces the encoded stretch in place and gives a new layer; a layer is scanned, put on the
 worklist, and dropped if it has been seen before (cycles) until nothing new comes. Every character
 of a layer knows the span of the original text that it came from, so a finding in any layer is
@@ -10,10 +11,11 @@ reported in the coordinates of the original text.
 Each row is judged alone: no shuffle. A cheap search over a batch picks the rows that need the
 exact patterns.
 
-Defined results: null text counts as empty; rows repeat as they come; an unwrapping that is not
-valid text is left alone; a layer may be at most `max_growth` times the text plus `max_extra`
-characters, a guard against decompression bombs (a larger layer is not built; the layer it would
-have come from has been scanned in whole); an empty table gives an empty result.
+Defined results: null text counts as empty; rows repeat as they come; bytes that are not valid text are
+left alone in URL escapes, replaced in payloads, and base64 that has any and is no payload is left alone; a layer may be
+at most `max_growth` times the text plus `max_extra` characters: what would be larger becomes several
+layers, and a larger payload is streamed in windows that overlap. A guard against decompression bombs
+inside bombs ends the streaming of one text after `max_stream` bytes; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -45,7 +47,14 @@ HEX_16 = re.compile(r"[0-9a-f]{16,}")
 URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_RUN = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\})+")
 UNICODE_ONE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}")
-BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)*={0,2}")
+BASE64_LINE = re.compile(r"[A-Za-z0-9+/_-]+=*")
+#: Beginnings of gzip, zlib, bzip2 and xz with at least one escape, and a byte of the rest, escaped or not.
+URL_PAYLOAD = re.compile(r"(?i:%1f%8b|%78(?:%01|%5e|\^|%9c|%da)|x(?:%01|%5e|%9c|%da)|(?:B|%42)(?:Z|%5a)(?:h|%68)(?=[1-9%])|%fd(?:7|%37)(?:z|%7a))")
+URL_BYTE = re.compile(r"%([0-9A-Fa-f]{2})|([!-$&-~])")
+UNICODE_PAYLOAD = re.compile(r"(?i:(?:\\x|\\u00|\\u\{0*)1f\}?(?:\\x|\\u00|\\u\{0*)8b|(?:x|(?:\\x|\\u00|\\u\{0*)78\}?)(?:\^|(?:\\x|\\u00|\\u\{0*)(?:01|5e|9c|da))|(?:B|(?:\\x|\\u00|\\u\{0*)42\}?)(?:Z|(?:\\x|\\u00|\\u\{0*)5a\}?)(?:h|(?:\\x|\\u00|\\u\{0*)68\}?)(?=[1-9\\])|(?:\\x|\\u00|\\u\{0*)fd)")
+UNICODE_BYTE = re.compile(r"\\(?:x|u00)([0-9A-Fa-f]{2})|\\u\{0*([0-9A-Fa-f]{1,2})\}|\\([abfnrtv0'\"\\])|([ -\[\]-~])")
+SINGLE = dict(zip("abfnrtv0'\"\\", b"\a\b\f\n\r\t\v\0'\"\\", strict=True))
 
 #: For a whole batch: which rows can match at all. Never narrower than the exact patterns.
 MAY_ASSIGN = r"""(?i)(?:password|passwd|secret|token|api_?key)["']? *[:=]"""
@@ -58,7 +67,9 @@ MAY_BASE64 = r"[A-Za-z0-9+/_-]{16}"
 class ScanConfig:
     max_growth: int = 16
     max_extra: int = 1 << 20
-    printable: float = 0.9
+    max_stream: int = 1 << 28
+    window: int = 1 << 20
+    overlap: int = 1 << 13
 
 
 Span = tuple[str, int, int]
@@ -92,62 +103,179 @@ def scan(text: str) -> list[Span]:
     return out + [("hex", *m.span()) for m in HEX_16.finditer(text)]
 
 
-def _url(run: str) -> list[tuple[int, int, str]] | None:
-    data = bytes.fromhex(run.replace("%", ""))
-    return _by_character(data, lambda k: 3 * k)
+@dataclass
+class Decoded:
+    """Characters with their places in the encoded text; a payload too large for a layer comes as windows."""
+
+    at: int
+    to: int
+    text: str
+    start: np.ndarray
+    end: np.ndarray
+    windows: Iterator[str] | None = None
+
 
+class Budget:
+    """What a text's layers may hold, and how many bytes may still be streamed."""
 
-def _by_character(data: bytes, at) -> list[tuple[int, int, str]] | None:
+    def __init__(self, cfg: ScanConfig, most: int):
+        self.cfg, self.most, self.stream = cfg, most, cfg.max_stream
+
+
+def _by_character(data: bytes, at) -> tuple[str, list[int], list[int]] | None:
     """Characters of data with the encoded positions of their first and last bytes."""
     try:
         text = data.decode()
     except UnicodeDecodeError:
         return None
-    out, k = [], 0
+    starts, ends, k = [], [], 0
     for ch in text:
         n = len(ch.encode())
-        out.append((at(k), at(k + n), ch))
+        starts.append(at(k))
+        ends.append(at(k + n))
         k += n
-    return out
+    return text, starts, ends
+
+
+def _url(text: str, budget: Budget) -> Iterator[Decoded]:
+    for m in URL_RUN.finditer(text):
+        data, k = bytes.fromhex(m[0].replace("%", "")), 0
+        while k < len(data):
+            try:
+                data[k:].decode()
+                end = bad = len(data)
+            except UnicodeDecodeError as e:
+                end, bad = k + e.start, k + e.end
+            if end > k:
+                a = m.start() + 3 * k
+                chars, starts, ends = _by_character(data[k:end], lambda j: 3 * j)
+                yield Decoded(a, a + 3 * (end - k), chars, np.array(starts) + a, np.array(ends) + a)
+            k = bad
+
+
+def _unicode(text: str, budget: Budget) -> Iterator[Decoded]:
+    for m in UNICODE_RUN.finditer(text):
+        units, out = [(u.start(), u.end(), int(u[1] or u[2] or u[3], 16)) for u in UNICODE_ONE.finditer(m[0])], []
+        k = 0
+        while k < len(units):
+            a, b, code = units[k]
+            if 0xD800 <= code < 0xDC00 and k + 1 < len(units) and 0xDC00 <= units[k + 1][2] < 0xE000:
+                code, b, k = 0x10000 + ((code - 0xD800) << 10) + units[k + 1][2] - 0xDC00, units[k + 1][1], k + 1
+            out.append((a, b, "\ufffd" if code > 0x10FFFF or 0xD800 <= code < 0xE000 else chr(code)))
+            k += 1
+        starts, ends, chars = zip(*out, strict=True)
+        yield Decoded(m.start(), m.end(), "".join(chars), np.array(starts) + m.start(), np.array(ends) + m.start())
 
 
-def _unicode(run: str) -> list[tuple[int, int, str]] | None:
-    units, out = [(m.start(), m.end(), int(m[1] or m[2] or m[3], 16)) for m in UNICODE_ONE.finditer(run)], []
-    k = 0
-    while k < len(units):
-        a, b, code = units[k]
-        if 0xD800 <= code < 0xDC00 and k + 1 < len(units) and 0xDC00 <= units[k + 1][2] < 0xE000:
-            code, b, k = 0x10000 + ((code - 0xD800) << 10) + units[k + 1][2] - 0xDC00, units[k + 1][1], k + 1
-        if code > 0x10FFFF or 0xD800 <= code < 0xE000:
-            return None
-        out.append((a, b, chr(code)))
-        k += 1
-    return out
+FAULTS = (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError)
 
 
-def inflate(data: bytes, most: int) -> bytes | None:
-    """The payload if data is gzip, zlib, bzip2 or xz and at most `most` bytes long."""
-    try:
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 1 and (data[0] << 8 | data[1]) % 31 == 0:
-            box = zlib.decompressobj(47)
-        elif data[:3] == b"BZh":
-            box = bz2.BZ2Decompressor()
-        elif data[:6] == b"\xfd7zXZ\0":
-            box = lzma.LZMADecompressor(memlimit=1 << 26)
-        else:
-            return None
-        out = box.decompress(data, most + 1)
-    except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
-        return None
-    return out if box.eof and len(out) <= most else None
+def _box(data: bytes):
+    """A decompressor if data begins like gzip, zlib, bzip2 or xz."""
+    if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 1 and (data[0] << 8 | data[1]) % 31 == 0:
+        return zlib.decompressobj(47)
+    if data[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor(memlimit=1 << 26) if data[:6] == b"\xfd7zXZ\0" else None
 
 
-def _readable(text: str, least: float) -> bool:
-    good = sum(32 <= ord(c) < 127 or c in "\t\r\n" or ord(c) >= 160 for c in text)
-    return bool(text) and good >= least * len(text) and sum(c.isascii() for c in text) >= 0.5 * len(text)
+def inflate(data: bytes, most: int) -> tuple[bytes, int] | None:
+    """The payload and the bytes it took; more than `most` bytes of it: the payload is larger."""
+    box = _box(data)
+    try:
+        out = box.decompress(data, most + 1) if box else b""
+    except FAULTS:
+        return None
+    if len(out) > most:
+        return out, len(data)
+    return (out, len(data) - len(box.unused_data)) if box and box.eof else None
+
+
+def _pieces(data: Iterator[bytes], size: int) -> Iterator[bytes]:
+    """The payload of data in pieces of at most `size` bytes, as far as it can be read."""
+    head = b""
+    for more in data:
+        head += more
+        if len(head) >= 6:
+            break
+    box = _box(head)
+    try:
+        while box and not box.eof and head is not None:
+            out = box.decompress(head, size)
+            rest = getattr(box, "unconsumed_tail", b"")
+            if out:
+                yield out
+            head = rest if rest or out or not getattr(box, "needs_input", True) else next(data, None)
+    except FAULTS:
+        return
+
+
+def _windows(data: bytes, depth: int, budget: Budget) -> Iterator[str]:
+    """Overlapping texts of a payload that is compressed `depth` times over."""
+    stream: Iterator[bytes] = iter([data])
+    for _ in range(depth):
+        stream = _pieces(stream, budget.cfg.window)
+    last = b""
+    for piece in stream:
+        if budget.stream <= 0:
+            return
+        budget.stream -= len(piece)
+        yield (last + piece).decode("utf-8", "replace")
+        last = (last + piece)[-budget.cfg.overlap :]
+
+
+def _payload(data: bytes, budget: Budget) -> tuple[str, Iterator[str] | None, int] | None:
+    """The text of compressed data, or its windows, and the bytes it took."""
+    got = inflate(data, budget.most)
+    if got is None:
+        return None
+    (inner, used), depth = got, 1
+    while len(inner) <= budget.most and (deeper := inflate(inner, budget.most)) is not None:
+        inner, depth = deeper[0], depth + 1
+    if len(inner) <= budget.most:
+        return inner.decode("utf-8", "replace"), None, used
+    while depth < 8 and (inner := next(_pieces(iter([inner]), 64), b"")):
+        depth += 1
+    return "", _windows(data[:used], depth, budget), used
+
+
+def _whole(a: int, b: int, text: str, windows: Iterator[str] | None = None) -> Decoded:
+    return Decoded(a, b, text, np.broadcast_to(np.int64(a), len(text)), np.broadcast_to(np.int64(b), len(text)), windows)
+
+
+def _mixed(text: str, budget: Budget, begin: re.Pattern, unit: re.Pattern) -> Iterator[Decoded]:
+    """Payloads whose bytes are escaped where they are not printable. A run's bytes are read once for all its beginnings."""
+    at, k, data, ends, index = 0, 0, bytearray(), [], {}
+    while m := begin.search(text, at):
+        if m.start() not in index:
+            k, data, ends, index = m.start(), bytearray(), [], {}
+        first, size, got = index.get(m.start(), 0), 64, None
+        while True:
+            while len(data) < first + size and (u := unit.match(text, k)):
+                raw = u[u.lastindex]
+                index[k], k = len(data), u.end()
+                data.append(ord(raw) if u.lastindex == unit.groups else SINGLE[raw] if u.lastindex == 3 else int(raw, 16))
+                ends.append(k)
+            part = bytes(data[first : first + size])
+            box = _box(part)
+            try:
+                out = box.decompress(part, 1 << 16) if box else None
+            except FAULTS:
+                out = None
+            if out is None or len(part) < size or box.eof:
+                got = _payload(part, budget) if out is not None else None
+                break
+            size *= 4
+        if got:
+            at = ends[first + got[2] - 1]
+            yield _whole(m.start(), at, got[0], got[1])
+        else:
+            at = m.start() + 1
 
 
-def _base64(run: str, cfg: ScanConfig, most: int) -> list[tuple[int, int, str]] | None:
+def _base64_one(text: str, lines: list[tuple[int, int]], budget: Budget) -> Decoded | None:
+    """The text of base64 lines, as one."""
+    run = "".join(text[a:b] for a, b in lines)
     body = run.rstrip("=")
     if len(body) % 4 == 1 or (len(run) - len(body)) not in (0, -len(body) % 4):
         return None
@@ -155,41 +283,58 @@ def _base64(run: str, cfg: ScanConfig, most: int) -> list[tuple[int, int, str]]
         data = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
     except (binascii.Error, ValueError):
         return None
-    if (inner := inflate(data, most)) is not None:
-        while (deeper := inflate(inner, most)) is not None:
-            inner = deeper
-        try:
-            text = inner.decode()
-        except UnicodeDecodeError:
-            return None
-        return [(0, len(run), ch) for ch in text] if _readable(text, cfg.printable) else None
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    if not _readable(text, cfg.printable):
-        return None
-    return _by_character(data, lambda k: min(len(run), (4 * k + 2) // 3))
+    a, b = lines[0][0], lines[-1][1]
+    if (inner := _payload(data, budget)) is not None:
+        return _whole(a, b, inner[0], inner[1])
+    place = np.concatenate([*(np.arange(*x) for x in lines), [b]])
+    got = _by_character(data, lambda k: min(len(run), (4 * k + 2) // 3))
+    return got and Decoded(a, b, got[0], place[got[1]], place[got[2]])
+
+
+def _base64(text: str, budget: Budget) -> Iterator[Decoded]:
+    """Wrapped lines have one length but for the last; what does not decode together is tried line by line."""
+    for m in BASE64_RUN.finditer(text):
+        lines, k = [(x.start(), x.end()) for x in BASE64_LINE.finditer(text, m.start(), m.end())], 0
+        while k < len(lines):
+            size, to = lines[k][1] - lines[k][0], k + 1
+            while to < len(lines) and lines[to][1] - lines[to][0] == size:
+                to += 1
+            ends = [to + 1] if to < len(lines) and lines[to][1] - lines[to][0] < size else []
+            for end in (*ends, *([to] if to > k + 1 or not ends else []), k + 1):
+                if got := _base64_one(text, lines[k:end], budget):
+                    yield got
+                    break
+            k = end
 
 
-def unwrap(layer: Layer, cfg: ScanConfig, most: int) -> Iterator[Layer]:
-    """One new layer for each kind of encoding that the layer holds."""
-    decoders = ((URL_RUN, _url), (UNICODE_RUN, _unicode), (BASE64_RUN, lambda run: _base64(run, cfg, most)))
-    for pattern, decode in decoders:
+def _url_payload(text: str, budget: Budget) -> Iterator[Decoded]:
+    return _mixed(text, budget, URL_PAYLOAD, URL_BYTE)
+
+
+def _unicode_payload(text: str, budget: Budget) -> Iterator[Decoded]:
+    return _mixed(text, budget, UNICODE_PAYLOAD, UNICODE_BYTE)
+
+
+def unwrap(layer: Layer, budget: Budget) -> Iterator[Layer]:
+    """New layers for each kind of encoding that the layer holds: one, or several where it would be too large."""
+    for decode in (_url, _unicode, _base64, _url_payload, _unicode_payload):
         parts, starts, ends, at, size = [], [], [], 0, 0
         marks = None
-        for m in pattern.finditer(layer.text):
-            got = decode(m[0])
-            if not got:
-                continue
+        for got in decode(layer.text, budget):
             s, e = marks = marks or layer.marks()
-            a = m.start()
-            parts += [layer.text[at:a], "".join(c for _, _, c in got)]
-            starts += [s[at:a], np.array([s[a + x] for x, _, _ in got])]
-            ends += [e[at:a], np.array([e[a + max(x, y - 1)] for x, y, _ in got])]
-            at, size = m.end(), size + len(got)
-        if parts and len(layer.text) + size <= most:
-            s, e = marks
+            if got.windows is not None:
+                a, b = s[got.at : got.to].min(), e[got.at : got.to].max()
+                for window in got.windows:
+                    yield Layer(window, np.broadcast_to(a, len(window)), np.broadcast_to(b, len(window)))
+                continue
+            if parts and len(layer.text) + size + len(got.text) > budget.most:
+                yield Layer("".join([*parts, layer.text[at : got.at]]), np.concatenate([*starts, s[at : got.at]]), np.concatenate([*ends, e[at : got.at]]))
+                parts, starts, ends, size = [], [], [], 0
+            parts += [layer.text[at : got.at], got.text]
+            starts += [s[at : got.at], s[got.start]]
+            ends += [e[at : got.at], e[np.maximum(got.start, got.end - 1)]]
+            at, size = got.to, size + len(got.text)
+        if parts:
             yield Layer("".join([*parts, layer.text[at:]]), np.concatenate([*starts, s[at:]]), np.concatenate([*ends, e[at:]]))
 
 
@@ -202,15 +347,18 @@ def find_secrets(text: str, cfg: ScanConfig, base: list[Span] | None = None, hid
     base = scan(text) if base is None else base
     found = set(base)
     if hidden:
-        most = cfg.max_growth * len(text) + cfg.max_extra
-        work, seen = [Layer(text)], {hashlib.blake2b(text.encode(), digest_size=16).digest()}
+        budget = Budget(cfg, cfg.max_growth * len(text) + cfg.max_extra)
+        work, seen = [unwrap(Layer(text), budget)], {hashlib.blake2b(text.encode(), digest_size=16).digest()}
         while work:
-            for layer in unwrap(work.pop(), cfg, most):
-                key = hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                if key not in seen:
-                    seen.add(key)
-                    found |= {(kind, *layer.span(a, b)) for kind, a, b in scan(layer.text)}
-                    work.append(layer)
+            layer = next(work[-1], None)
+            if layer is None:
+                work.pop()
+                continue
+            key = hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+            if key not in seen:
+                seen.add(key)
+                found |= {(kind, *layer.span(a, b)) for kind, a, b in scan(layer.text)}
+                work.append(unwrap(layer, budget))
     return _order(base), _order(found)
 
 
