@@ -176,31 +176,64 @@ def fit_softmax(x: np.ndarray, y: np.ndarray, classes: int, penalty: float, step
 GRID = "penalty double, validation_accuracy double, validation_loss double, test_accuracy double, test_loss double, converged boolean, selected boolean"
 
 
-def probe_grid(rows: DataFrame, penalties: tuple[float, ...], classes: int, most: int = 20_000) -> DataFrame:
-    """Fits of every penalty on the training part, judged on the others; the best is marked.
+FITS = "penalty double, weights array<double>, converged boolean"
+SCORES = "penalty double, n long, correct long, loss double"
 
-    rows: split, label, features. A fit is one task; its rows are bounded by `most`, taken by hash.
-    """
-    ship(rows.sparkSession)
-    bounded = rows.orderBy(F.xxhash64("features")).limit(most)
+
+def _fit_each(rows: DataFrame, penalties: list[float], classes: int, most: int) -> list[tuple[float, np.ndarray, bool]]:
+    """Weights of a fit for each penalty, on at most `most` rows taken by hash. They are few: the driver holds them."""
+    bounded = rows.orderBy(F.xxhash64("features"), "label").limit(most).select("label", "features")
     grid = bounded.withColumn("penalty", F.explode(F.array(*map(F.lit, penalties))))
 
     def run(key: tuple[Any, ...], part: pd.DataFrame) -> pd.DataFrame:
         x, y = np.stack(part["features"].to_numpy()).astype(float), part["label"].to_numpy(int)
-        where = {s: (part["split"] == s).to_numpy() for s in ("train", "validation", "test")}
-        w, _, ok = fit_softmax(x[where["train"]], y[where["train"]], classes, float(key[0]))
-        out = {"penalty": float(key[0])}
-        for s in ("validation", "test"):
-            score = np.hstack([x[where[s]], np.ones((where[s].sum(), 1))]) @ w.T
-            log = score - score.max(1, keepdims=True)
-            log -= np.log(np.exp(log).sum(1, keepdims=True))
-            out[f"{s}_accuracy"] = float((score.argmax(1) == y[where[s]]).mean()) if len(score) else 0.0
-            out[f"{s}_loss"] = float(-log[np.arange(len(log)), y[where[s]]].mean()) if len(score) else 0.0
-        return pd.DataFrame([out | {"converged": ok, "selected": False}])
-
-    fits = grid.groupBy("penalty").applyInPandas(run, GRID)
-    order = Window.partitionBy(F.lit(1)).orderBy(F.desc("validation_accuracy"), "validation_loss", F.desc("penalty"))
-    return fits.withColumn("selected", F.row_number().over(order) == 1)
+        w, _, ok = fit_softmax(x, y, classes, float(key[0]))
+        return pd.DataFrame([{"penalty": float(key[0]), "weights": w.ravel(), "converged": ok}])
+
+    return [(r["penalty"], np.array(r["weights"]).reshape(classes, -1), r["converged"]) for r in grid.groupBy("penalty").applyInPandas(run, FITS).collect()]
+
+
+def _score_each(rows: DataFrame, fits: list[tuple[float, np.ndarray, bool]]) -> dict[float, tuple[float, float]]:
+    """Accuracy and mean loss of each fit over all rows; each batch sends on its sums."""
+
+    def run(batches):
+        for part in batches:
+            if not len(part):
+                continue
+            x, y = np.stack(part["features"].to_numpy()).astype(float), part["label"].to_numpy(int)
+            out = []
+            for penalty, w, _ in fits:
+                score = np.hstack([x, np.ones((len(x), 1))]) @ w.T
+                log = score - score.max(1, keepdims=True)
+                log -= np.log(np.exp(log).sum(1, keepdims=True))
+                out.append((penalty, len(y), int((score.argmax(1) == y).sum()), float(-log[np.arange(len(log)), y].sum())))
+            yield pd.DataFrame(out, columns=["penalty", "n", "correct", "loss"])
+
+    sums = rows.select("label", "features").mapInPandas(run, SCORES).groupBy("penalty").agg(F.sum("n").alias("n"), F.sum("correct").alias("k"), F.sum("loss").alias("loss")).collect()
+    found = {r["penalty"]: (r["k"] / r["n"], r["loss"] / r["n"]) for r in sums}
+    return {penalty: found.get(penalty, (0.0, 0.0)) for penalty, _, _ in fits}
+
+
+def probe_grid(rows: DataFrame, penalties: tuple[float, ...], classes: int, most: int = 20_000) -> DataFrame:
+    """Fits of every penalty on the training part, judged on all validation rows; the best is marked.
+
+    The best one is fitted again on training and validation rows and judged once on all test rows; other
+    penalties have no test figures. rows: split, label, features. A fit is one task, so it sees at most
+    `most` rows, taken by hash; what is judged is not bounded. Without training rows there are no fits.
+    """
+    ship(rows.sparkSession)
+    part = lambda *names: rows.where(F.col("split").isin(*names))
+    fits = _fit_each(part("train"), list(penalties), classes, most)
+    judged = _score_each(part("validation"), fits) if fits else {}
+    out = []
+    if fits:
+        chosen = max(judged, key=lambda penalty: (judged[penalty][0], -judged[penalty][1], penalty))
+        again = _fit_each(part("train", "validation"), [chosen], classes, most)
+        test = _score_each(part("test"), again)[chosen]
+        for penalty, _, ok in fits:
+            mine = penalty == chosen
+            out.append((penalty, *judged[penalty], *(test if mine else (None, None)), ok and (again[0][2] or not mine), mine))
+    return literal(rows.sparkSession, out, GRID)
 
 
 def probe_report(rows: DataFrame, axis: str) -> DataFrame:

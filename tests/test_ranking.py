@@ -65,3 +65,28 @@ def test_components_of_paths_and_isolated_nodes(spark):
     got = {r["node"]: r["label"] for r in graph.components(nodes, literal(spark, edges, "a long, b long")).collect()}
     assert all(got[i] == 0 for i in range(41)) and got[102] == 100 and got[500] == 500
     assert graph.components(literal(spark, [], "node long"), literal(spark, [], "a long, b long")).count() == 0
+
+
+def test_probe_grid_judges_all_rows_and_fits_the_best_again(spark):
+    from pairforge.operators import probes
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(600, 4))
+    y = (x[:, 0] + 0.7 * rng.normal(size=600) > 0).astype(int)
+    split = np.repeat(["train", "validation", "test"], [100, 300, 200])
+    rows = literal(spark, [(s, int(k), v.tolist()) for s, k, v in zip(split, y, x, strict=True)], "split string, label int, features array<double>").repartition(3)
+
+    def judge(w, part):
+        score = np.hstack([x[split == part], np.ones(((split == part).sum(), 1))]) @ w.T
+        log = score - np.log(np.exp(score).sum(1, keepdims=True))
+        return float((score.argmax(1) == y[split == part]).mean()), float(-log[np.arange(len(log)), y[split == part]].mean())
+
+    got = {r["penalty"]: r for r in probes.probe_grid(rows, (0.1, 10.0), 2, most=400).collect()}
+    want = {p: judge(probes.fit_softmax(x[split == "train"], y[split == "train"], 2, p)[0], "validation") for p in (0.1, 10.0)}
+    best = max(want, key=lambda p: (want[p][0], -want[p][1], p))
+    test = judge(probes.fit_softmax(x[split != "test"], y[split != "test"], 2, best)[0], "test")
+    for p, r in got.items():
+        assert (r["validation_accuracy"], r["validation_loss"]) == pytest.approx(want[p]) and r["selected"] == (p == best)
+        assert (r["test_accuracy"], r["test_loss"]) == (pytest.approx(test) if p == best else (None, None))
+    few = {r["penalty"]: r for r in probes.probe_grid(rows, (0.1, 10.0), 2, most=50).collect()}
+    assert all(round(300 * r["validation_accuracy"], 6) == round(300 * r["validation_accuracy"]) for r in few.values())
