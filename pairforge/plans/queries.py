@@ -515,7 +515,7 @@ FIXTURE_ORDER = AxisOrder((), (), (), (), (), ())
 
 
 def _lassos(spark, sf_dir):
-    return lasso.fit_lassos(observations(spark, sf_dir), lasso.LassoConfig(order=FIXTURE_ORDER, path=12, folds=3))
+    return lasso.fit_lassos(observations(spark, sf_dir), lasso.LassoConfig(order=FIXTURE_ORDER))
 
 
 @query()

@@ -78,3 +78,12 @@ def test_lasso_arguments():
         lasso.LassoConfig(folds=1)
     with pytest.raises(ValueError):
         lasso.LassoConfig(l2=0)
+
+
+def test_lasso_queries_run_the_whole_grid(monkeypatch):
+    from pairforge.plans import queries
+
+    monkeypatch.setattr(queries, "observations", lambda *_: None)
+    monkeypatch.setattr(queries.lasso, "fit_lassos", lambda _, cfg: cfg)
+    cfg = queries._lassos(None, "")
+    assert (cfg.path, cfg.folds) == (40, 5)
