@@ -7,11 +7,11 @@ candidates, and a banded alignment of their shingle sequences decides: m aligned
 give similarity m / (n1 + n2 - m), and 0.8 makes a link. Classes are the components of the links.
 
 Equal texts are one node. In a bucket (the nodes of one sketch) a node is compared with the bucket's
-leader, not with all others; what the leader does not link goes on to another leader. Buckets that still
-hold several components then are compared in full, but only across components and without pairs that
-share too few shingles with any other node to reach 0.8. A link that is not tried joins nodes that are
-in one class already, so none between classes is lost, and large groups of copies cost a comparison a
-copy. All tables live in the shared folder; leaders, links and
+leader, not with all others. Buckets that still hold several components are compared in full where they
+are small; where they are large, their nodes are compared with the reference of the bucket, the best known
+node of its largest component, and what is left is told apart by shingles: see `_split`. A link that is
+not tried joins nodes that are in one class already, so none between classes is lost, and large groups of
+copies cost a comparison or two a copy. All tables live in the shared folder; leaders, links and
 components are joined and aggregated, never collected.
 
 Short and long texts have sketches of their own (`short_keep` of the lowest, `keep` of the lowest); texts
@@ -20,7 +20,7 @@ between `long_from` and `short_to` shingles have both, so any two texts that can
 Defined results: null text counts as empty; equal texts are always in one class, also without words;
 a text of fewer than five words is one shingle; a class is named by its smallest id, null if it has
 none; repeated rows are each answered; an empty table gives an empty result. Texts are told apart by
-64 bits of hash.
+128 bits of hash.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.llm import common
@@ -47,7 +47,7 @@ class NearConfig:
     short_to: int = 24
     long_from: int = 20
     full_bucket: int = 32
-    leader_rounds: int = 2
+    block: int = 256
 
 
 def shingles(text: bytes, words: int) -> np.ndarray:
@@ -162,39 +162,42 @@ def _sketch_kernel(cfg: NearConfig):
         for batch in batches:
             for lo in range(0, batch.num_rows, 512):
                 part = batch.slice(lo, 512)
-                got = [sketch(t.as_buffer().to_pybytes() if len(t.as_py()) else b"", cfg) for t in part.column(2)]
+                got = [sketch(t.as_py().encode(), cfg) for t in part.column(3)]
                 lists = [s.view(np.int64) for _, s in got]
-                yield pa.record_batch([part.column(0), part.column(1), pa.array([n for n, _ in got], pa.int32()), pa.array(lists, pa.list_(pa.int64()))], names=["id", "node", "n", "sketches"])
+                yield pa.record_batch([*part.columns[:3], pa.array([n for n, _ in got], pa.int32()), pa.array(lists, pa.list_(pa.int64()))], names=["id", "h1", "h2", "n", "sketches"])
 
     return run
 
 
-def _shingle_kernel(cfg: NearConfig):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        common.worker_turn("near")
-        for batch in batches:
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                h = label_occurrences(shingles(text.as_py().encode(), cfg.words)).view(np.int64)
-                yield pa.record_batch([pa.array(np.full(h.size, node, np.int64)), pa.array(h)], names=["node", "shingle"])
+def telling_shingles(own: np.ndarray, inside: np.ndarray, need: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles outside and inside a reference, by hash, of which a partner must share one.
 
-    return run
+    A partner shares `need` shingles or more. If the reference's shingles alone make that up, one of the
+    first (inside - need + 1) inside is shared; if not, at least one and at least (need - inside) outside
+    are, hence one of the first (outside - that + 1).
+    """
+    k = int(inside.sum())
+    outer, inner = np.sort(own[~inside]), np.sort(own[inside])
+    return outer[: max(0, outer.size - max(1, need - k) + 1)], inner[: max(0, k - need + 1)]
 
 
-def _mask_kernel(cfg: NearConfig):
+def _reference_kernel(cfg: NearConfig):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common.worker_turn("near")
-        at, sorted_leader = None, np.empty(0, np.uint64)
+        at, reference, longs = None, np.empty(0, np.uint64), pa.list_(pa.int64())
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
-                part, masks, inside = batch.slice(lo, 256), [], []
+                part, rows = batch.slice(lo, 256), []
                 for k in range(part.num_rows):
-                    leader = part.column(1)[k].as_py()
-                    if leader != at:
-                        at, sorted_leader = leader, np.sort(label_occurrences(shingles(part.column(3)[k].as_py().encode(), cfg.words)))
-                    has = np.isin(sorted_leader, label_occurrences(shingles(part.column(2)[k].as_py().encode(), cfg.words)))
-                    masks.append(np.packbits(np.pad(has, (0, -has.size % 64))).view(np.int64))
-                    inside.append(int(has.sum()))
-                yield pa.record_batch([part.column(0), part.column(1), pa.array(masks, pa.list_(pa.int64())), pa.array(inside, pa.int32())], names=["node", "l", "mask", "inside"])
+                    l = part.column(1)[k].as_py()
+                    if l != at:
+                        at, reference = l, np.sort(label_occurrences(shingles(part.column(3)[k].as_py().encode(), cfg.words)))
+                    own = label_occurrences(shingles(part.column(2)[k].as_py().encode(), cfg.words))
+                    has = np.isin(reference, own)
+                    outer, inner = telling_shingles(own, np.isin(own, reference), part.column(4)[k].as_py())
+                    rows.append((int(has.sum()), np.packbits(np.pad(has, (0, -has.size % 64))).view(np.int64), outer.view(np.int64), inner.view(np.int64)))
+                inside, *lists = zip(*rows, strict=True)
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(inside, pa.int32()), *(pa.array(x, longs) for x in lists)], names=["node", "l", "inside", "mask", "outer", "inner"])
 
     return run
 
@@ -227,13 +230,13 @@ def _verify_kernel(cfg: NearConfig):
 
 
 class NearDuplicates:
-    """One run: tables by node (hash of a text), links, and components."""
+    """One run: tables by node (a distinct text), links, and components."""
 
     def __init__(self, df: DataFrame, cfg: NearConfig, id_col: str, text_col: str):
         self.spark, self.cfg, self.paths = df.sparkSession, cfg, []
         common.ship(self.spark)
-        text = common.whole_text(text_col)
-        self.docs = df.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("node"), text.alias("text"))
+        h1, h2 = text_hashes(text_col)
+        self.docs = df.select(F.col(id_col).cast("long").alias("id"), h1.alias("h1"), h2.alias("h2"), common.whole_text(text_col).alias("text"))
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """A table in the shared folder; all but the last ones go when the classes are known."""
@@ -247,9 +250,10 @@ class NearDuplicates:
                 common.remove(self.spark, path)
 
     def _named(self) -> tuple[DataFrame, DataFrame]:
-        """(id, node) of every row, and (node, first_id, label) of every node."""
-        signed = self.save(self.docs.mapInArrow(_sketch_kernel(self.cfg), "id long, node long, n int, sketches array<long>"), "sketches")
-        nodes = self.save(signed.groupBy("node").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("sketches").alias("sketches")), "nodes")
+        """(id, h1, h2) of every row, and (node, h1, h2, first_id, label) of every node."""
+        signed = self.save(self.docs.mapInArrow(_sketch_kernel(self.cfg), "id long, h1 long, h2 long, n int, sketches array<long>"), "sketches")
+        nodes = signed.groupBy("h1", "h2").agg(F.min("id").alias("first_id"), F.first("n").alias("n"), F.first("sketches").alias("sketches"))
+        nodes = self.save(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
         rows = nodes.select("node", "n", F.explode("sketches").alias("bucket"))
         sizes = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         members = self.save(rows.join(self.save(sizes, "sizes"), "bucket"), "shared")
@@ -257,112 +261,167 @@ class NearDuplicates:
         members = self.save(members.join(fame, "node"), "members")
         self.texts = self._texts(nodes, members)
         labels = self._link_all(members)
-        named = nodes.select("node", "first_id").join(labels, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label"))
-        return signed.select("id", "node"), named
+        named = nodes.select("node", "h1", "h2", "first_id").join(labels, "node", "left")
+        return signed.select("id", "h1", "h2"), named.withColumn("label", F.coalesce("label", "node"))
 
     def classes(self) -> DataFrame:
         """(id, class_id) for every row."""
         rows, named = self._named()
         names = named.groupBy("label").agg(F.min("first_id").alias("class_id"))
-        of_node = self.save(named.join(self.save(names, "names"), "label").select("node", "class_id"), "classes")
+        of_node = self.save(named.join(self.save(names, "names"), "label").select("h1", "h2", "class_id"), "classes")
         self.clear(keep=("sketches", "classes"))
-        return rows.join(of_node, "node").select("id", "class_id")
+        return rows.join(of_node, ["h1", "h2"]).select("id", "class_id")
 
     def survivors(self) -> DataFrame:
-        """(id, node) of one row of each class: the smallest id, null last, then the smallest node."""
+        """(id, h1, h2) of one row of each class: the smallest id, null last, then the smallest hashes."""
         _, named = self._named()
-        first = named.groupBy("label").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "node")).alias("x"))
-        out = self.save(first.select(F.col("x.first_id").alias("id"), F.col("x.node").alias("node")), "survivors")
+        first = named.groupBy("label").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "h1", "h2")).alias("x"))
+        out = self.save(first.select(F.col("x.first_id").alias("id"), "x.h1", "x.h2"), "survivors")
         self.clear(keep=("survivors",))
         return out
 
     def _texts(self, nodes: DataFrame, members: DataFrame) -> DataFrame:
         """Text of each node that shares a sketch: read from the row of its smallest id."""
-        wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select(F.col("node").alias("w"), "first_id")
-        found = self.docs.join(self.save(wanted, "wanted").hint("merge"), (F.col("node") == F.col("w")) & F.col("id").eqNullSafe(F.col("first_id")), "left_semi")
+        wanted = nodes.join(members.select("node").distinct(), "node", "left_semi").select("node", "h1", "h2", "first_id")
+        found = self.docs.join(self.save(wanted, "wanted").hint("merge"), ["h1", "h2"]).where(F.col("id").eqNullSafe(F.col("first_id")))
         return self.save(found.select("node", "text").dropDuplicates(["node"]), "texts")
 
     def _link_all(self, members: DataFrame) -> DataFrame:
-        """(node, label) of linked nodes."""
-        labels = None
-        tried = None
-        for turn in range(self.cfg.leader_rounds + 1):
-            if labels is not None:
-                current = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-                spread = current.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-                current = current.join(spread, "bucket", "left_semi")
-            else:
-                current = members.withColumn("label", F.col("node"))
-            current = self.save(current, "open")
-            if current.isEmpty():
-                break
-            pairs = self._pairs(current, turn)
-            if tried is not None:
-                pairs = pairs.join(tried, ["a", "b"], "left_anti")
-            pairs = self.save(pairs, "pairs")
-            links = self._verify(pairs)
-            tried = pairs if tried is None else tried.unionByName(pairs)
-            labels = self._merge(labels, links)
-            if turn >= 1 and turn < self.cfg.leader_rounds:
-                members = self.save(current.where(F.col("size") > self.cfg.full_bucket).drop("label"), "large")
-        if labels is None:
-            return self.spark.createDataFrame([], "node long, label long")
-        return labels
+        """(node, label) of linked nodes.
 
-    def _pairs(self, current: DataFrame, turn: int) -> DataFrame:
-        """Pairs to compare: with leaders; all across components in small buckets, and in any at last.
-
-        The first leader of a bucket is the node that shares most sketches with others, the likely
-        centre of its copies; later ones are chosen by hash.
-        """
-        least, last = self.cfg.similarity, turn == self.cfg.leader_rounds
-        near = lambda p, q: F.least(p, q) >= least * F.greatest(p, q)
-        out = None
-        if not last:
-            order = F.struct(-F.col("fame") if turn == 0 else F.lit(0), F.xxhash64("node", F.lit(turn)))
-            lead = current.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "node", "label", "n")).alias("x"))
-            lead = self.save(lead.select("bucket", F.col("x.node").alias("l"), F.col("x.label").alias("l_label"), F.col("x.n").alias("l_n")), "leaders")
-            by_leader = current if turn == 0 else current.where(F.col("size") > self.cfg.full_bucket)
-            met = by_leader.join(lead, "bucket").where((F.col("label") != F.col("l_label")) & near(F.col("n"), F.col("l_n")))
-            out = met.select(F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b"))
-        if turn >= 1:
-            rest = self._masked(current) if last else current.where(F.col("size") <= self.cfg.full_bucket)
-            rest = rest.select("bucket", "node", "label", "n", *(["extra", "mask"] if last else []))
-            p, q = rest.alias("p"), rest.toDF("bucket", *(f"m_{c}" for c in rest.columns[1:])).alias("q")
-            good = (F.col("node") < F.col("m_node")) & (F.col("label") != F.col("m_label")) & near(F.col("n"), F.col("m_n"))
-            if last:
-                both = F.aggregate(F.zip_with("mask", "m_mask", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda s, x: s + x)
-                good = good & (both + F.least("extra", "m_extra") >= least / (1 + least) * (F.col("n") + F.col("m_n")) - 1e-9)
-            across = p.join(q, "bucket").where(good).select(F.col("node").alias("a"), F.col("m_node").alias("b"))
-            out = across if out is None else out.unionByName(across)
-        return out.distinct()
-
-    def _shared(self, current: DataFrame) -> DataFrame:
-        """Adds how many of a node's shingles any other node of these buckets has.
-
-        No alignment can match more, so nodes and pairs that cannot reach the similarity drop out
-        without being compared: copies with edits of their own, in the end. One row per shingle.
+        Leaders first; then small buckets in full and large ones by their references; then what is
+        left of the large ones by the shingles that tell their nodes apart.
         """
-        nodes = self.save(current.select("node", "n").distinct(), "rest")
-        rows = self.save(self.texts.join(nodes.select("node").hint("merge"), "node").select("node", "text").mapInArrow(_shingle_kernel(self.cfg), "node long, shingle long"), "shingles")
-        own = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"), F.min("node").alias("node")).where("df = 1").groupBy("node").agg(F.count(F.lit(1)).alias("own"))
-        counted = nodes.join(self.save(own, "own"), "node", "left").select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
-        counted = counted.where(F.col("common") >= self.cfg.similarity * F.col("n") - 1e-9).select("node", "common")
-        return self.save(current.join(self.save(counted, "counted"), "node"), "remaining")
-
-    def _masked(self, current: DataFrame) -> DataFrame:
-        """Adds which of the bucket's leader's shingles a node has, as bits, and how many others it shares.
-
-        Two nodes have at most the bits that both have, and of the rest no more than either shares. The
-        leader itself has no rest: all it has is inside, also what it shares with no other node.
+        self.labels = self.tried = None
+        current = self._open(members)
+        if current is not None:
+            self._compare(self._leader_pairs(current, ["bucket"], 0))
+            current = self._open(current.drop("label"))
+        if current is not None:
+            small = current.where(F.col("size") <= self.cfg.full_bucket)
+            led = self._led(current)
+            by_reference = led.where((F.col("label") != F.col("l_label")) & self._near(F.col("n"), F.col("l_n"))).select(F.least("node", "l").alias("a"), F.greatest("node", "l").alias("b"))
+            self._compare(self._all_pairs(small, ["bucket"]).unionByName(by_reference).distinct())
+            current = self._open(current.where(F.col("size") > self.cfg.full_bucket).drop("label"))
+        if current is not None:
+            keyed, told = self._split(current)
+            current = self._open(keyed)
+            if current is not None:
+                small, large = current.where(F.col("size") <= self.cfg.full_bucket), current.where(F.col("size") > self.cfg.full_bucket)
+                pairs = self._all_pairs(small, ["l", "s"], ["l"]).unionByName(self._leader_pairs(large, ["l", "s"], 1))
+                self._compare(self._possible(pairs.distinct(), told))
+                current = self._open(large.drop("label"))
+            if current is not None:
+                self._compare(self._possible(self._blocked_pairs(current, ["l", "s"], ["l"]), told))
+        return self.labels if self.labels is not None else common.literal(self.spark, [], "node long, label long")
+
+    def _near(self, p, q):
+        return F.least(p, q) >= self.cfg.similarity * F.greatest(p, q)
+
+    def _open(self, members: DataFrame) -> DataFrame | None:
+        """Members with their labels, of buckets or keys that hold several labels; None if there are none."""
+        keys = ["bucket"] if "bucket" in members.columns else ["l", "s"]
+        if self.labels is None:
+            current = members.withColumn("label", F.col("node"))
+        else:
+            current = members.join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            spread = current.groupBy(*keys).agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select(*keys)
+            current = current.join(spread, keys, "left_semi")
+        current = self.save(current, "open")
+        return None if current.isEmpty() else current
+
+    def _compare(self, pairs: DataFrame) -> None:
+        """Verify pairs (a, b) that were not tried, and merge labels over the links."""
+        pairs = self.save(pairs if self.tried is None else pairs.join(self.tried, ["a", "b"], "left_anti"), "pairs")
+        self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
+        self.labels = self._merge(self.labels, self._verify(pairs))
+
+    def _leader_pairs(self, current: DataFrame, keys: list[str], turn: int) -> DataFrame:
+        """Each node with the leader of its bucket: at first the node that shares most sketches with
+        others, the likely centre of its copies; later ones are chosen by hash."""
+        order = F.struct(-F.col("fame") if turn == 0 else F.lit(0), F.xxhash64("node", F.lit(turn)))
+        lead = current.groupBy(*keys).agg(F.min(F.struct(order.alias("o"), "node", "label", "n")).alias("x"))
+        lead = self.save(lead.select(*keys, F.col("x.node").alias("led_by"), F.col("x.label").alias("l_label"), F.col("x.n").alias("l_n")), "leaders")
+        met = current.join(lead, keys).where((F.col("label") != F.col("l_label")) & self._near(F.col("n"), F.col("l_n")))
+        return met.select(*[k for k in keys if k == "l"], F.least("node", "led_by").alias("a"), F.greatest("node", "led_by").alias("b")).distinct()
+
+    def _all_pairs(self, current: DataFrame, keys: list[str], out: list[str] | None = None) -> DataFrame:
+        """Pairs across labels within each key."""
+        own = [c for c in ("node", "label", "n", "first") if c in current.columns]
+        p = current.select(*keys, *own)
+        q = p.toDF(*keys, *(f"m_{c}" for c in own))
+        return p.join(q, keys).where((F.col("node") < F.col("m_node")) & self._meet(p)).select(*(out or []), F.col("node").alias("a"), F.col("m_node").alias("b")).distinct()
+
+    def _meet(self, p: DataFrame):
+        """Whether two members of a key are to be compared; the shorter must have the key among its first."""
+        good = (F.col("label") != F.col("m_label")) & self._near(F.col("n"), F.col("m_n"))
+        if "first" in p.columns:
+            good = good & F.when(F.struct("n", "node") < F.struct("m_n", "m_node"), F.col("first")).otherwise(F.col("m_first"))
+        return good
+
+    def _blocked_pairs(self, current: DataFrame, keys: list[str], out: list[str]) -> DataFrame:
+        """The same for large keys: members are dealt into blocks, and every two blocks meet in a task of their own."""
+        blocks = F.ceil(F.col("size") / self.cfg.block).cast("int")
+        p = current.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        p = p.select(*keys, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "label", "n", "first")
+        both = [*keys, "lo", "hi"]
+        q = p.toDF(*both, *(f"m_{c}" for c in p.columns[len(both) :]))
+        good = (F.col("own") == F.col("lo")) & (F.col("m_own") == F.col("hi")) & ((F.col("lo") < F.col("hi")) | (F.col("node") < F.col("m_node"))) & self._meet(p)
+        return p.join(q, both).where(good).select(*out, F.least("node", "m_node").alias("a"), F.greatest("node", "m_node").alias("b")).distinct()
+
+    def _led(self, current: DataFrame) -> DataFrame:
+        """(node, label, n, l, l_label, l_n) of large buckets: l is the bucket's reference, the node of most
+        fame in the component that has most nodes in it. Buckets of one component have one reference."""
+        large = current.where(F.col("size") > self.cfg.full_bucket)
+        shares = large.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"), F.max("fame").alias("f"))
+        lead = shares.groupBy("bucket").agg(F.max(F.struct("c", "f", "label")).alias("x")).select("bucket", F.col("x.label").alias("l_label"))
+        best = large.groupBy("label").agg(F.min(F.struct((-F.col("fame")).alias("f"), "node", "n")).alias("x"))
+        best = best.select(F.col("label").alias("l_label"), F.col("x.node").alias("l"), F.col("x.n").alias("l_n"))
+        lead = self.save(lead.join(best, "l_label"), "references")
+        return self.save(large.join(lead, "bucket").select("node", "label", "n", "l", "l_label", "l_n").distinct(), "led")
+
+    def _split(self, current: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members of keys (l, s) and, by (node, l), what a node shares with its reference l.
+
+        Two nodes of a bucket that reach the similarity share a telling shingle s (`telling_shingles`),
+        outside their reference or inside it, where `need` is what the shortest possible partner asks: for
+        nodes of the reference's component a partner is a stranger to it. That the reference's shingles are
+        enough asks for a stranger that has enough of them for its own and its partner's length; other
+        groups need no rows for what is inside. A key is among the `first` of a node if it would be with a
+        partner at least as long. Only keys that several components share are kept.
         """
-        rows = self._shared(current)
-        lead = rows.groupBy("bucket").agg(F.min(F.struct(-F.col("fame"), "node")).alias("x")).select("bucket", F.col("x.node").alias("l"))
-        rows = self.save(rows.join(self.save(lead, "leaders"), "bucket"), "led")
+        led, share = self._led(current), self.cfg.similarity / (1 + self.cfg.similarity)
+        own_side = F.col("label") == F.col("l_label")
+        lengths = led.groupBy("l").agg(F.min("n").alias("any_n"), F.min(F.when(~own_side, F.col("n"))).alias("other_n"))
+        partner = F.greatest(F.ceil(self.cfg.similarity * F.col("n") - 1e-9), F.when(own_side, F.col("other_n")).otherwise(F.col("any_n")))
+        led = led.join(self.save(lengths.where("other_n IS NOT NULL"), "lengths"), "l").withColumn("partner_n", partner).where(self._near(F.col("n"), F.col("partner_n")))
+        led = led.withColumn("need", F.ceil(share * (F.col("n") + F.col("partner_n")) - 1e-9).cast("int")).drop("any_n", "other_n", "partner_n")
         side = lambda key, name: self.texts.select(F.col("node").alias(key), F.col("text").alias(name)).hint("merge")
-        pairs = rows.select("node", "l").distinct().join(side("node", "tn"), "node").join(side("l", "tl"), "l").select("node", "l", "tn", "tl")
-        masks = self.save(pairs.mapInArrow(_mask_kernel(self.cfg), "node long, l long, mask array<long>, inside int"), "masks")
-        return self.save(rows.join(masks, ["node", "l"]).withColumn("extra", F.greatest(F.col("common") - F.col("inside"), F.lit(0))), "final")
+        pairs = led.select("node", "l", "need").join(side("node", "tn"), "node").join(side("l", "tl"), "l").select("node", "l", "tn", "tl", "need")
+        told = self.save(pairs.mapInArrow(_reference_kernel(self.cfg), "node long, l long, inside int, mask array<long>, outer array<long>, inner array<long>"), "told")
+        both = led.join(told, ["node", "l"])
+        enough = lambda partner: F.col("inside") >= share * (F.col("n") + F.col(partner)) - 1e-9
+        within = both.where(F.size("inner") > 0)
+        shortest = within.groupBy("l").agg(F.min("n").alias("any_n"))
+        stranger = (F.col("label") != F.col("l_label")) & enough("any_n")
+        bounds = self.save(within.join(shortest, "l").where(stranger).groupBy("l").agg(F.min("n").alias("stranger_n"), F.min("any_n").alias("any_n")), "bounds")
+        within = within.join(bounds, "l").where(stranger | enough("stranger_n"))
+        longer = F.ceil(2 * share * F.col("n") - 1e-9)
+        shown = lambda df, side, first: df.select("l", "node", "label", F.posexplode(side).alias("at", "s"), first.alias("k")).select("l", "s", "node", "label", (F.col("at") < F.col("k")).alias("first"))
+        rows = shown(both, "outer", F.col("n") - F.col("inside") - F.greatest(F.lit(1), longer - F.col("inside")) + 1)
+        rows = self.save(rows.unionByName(shown(within, "inner", F.col("inside") - longer + 1)), "telling")
+        sizes = rows.groupBy("l", "s").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("first").alias("any")).where("lo <> hi AND any").select("l", "s", "size")
+        keyed = rows.drop("label").join(sizes, ["l", "s"]).join(led.select("node", "l", "n"), ["node", "l"])
+        return self.save(keyed, "keyed"), self.save(both.select("node", "l", "mask", (F.col("n") - F.col("inside")).alias("outside"), "n"), "masks")
+
+    def _possible(self, pairs: DataFrame, told: DataFrame) -> DataFrame:
+        """Pairs (l, a, b) that can reach the similarity: they share at most the reference's shingles that
+        both have, and of the others no more than either has."""
+        side = lambda p: told.toDF(p, "l", f"{p}_mask", f"{p}_outside", f"{p}_n")
+        met = pairs.join(side("a"), ["a", "l"]).join(side("b"), ["b", "l"])
+        both = F.aggregate(F.zip_with("a_mask", "b_mask", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda t, x: t + x)
+        least = self.cfg.similarity / (1 + self.cfg.similarity) * (F.col("a_n") + F.col("b_n")) - 1e-9
+        return met.where(both + F.least("a_outside", "b_outside") >= least).select("a", "b").distinct()
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
         side = lambda key, name: self.texts.select(F.col("node").alias(key), F.col("text").alias(name))
@@ -412,13 +471,19 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return NearDuplicates(df, cfg or NearConfig(), id_col, text_col).classes().withColumnRenamed("id", id_col)
 
 
+def text_hashes(text_col: str) -> tuple[Column, Column]:
+    """128 bits by which texts are told apart."""
+    text = common.whole_text(text_col)
+    return F.xxhash64(text), F.xxhash64(F.lit(1), text)
+
+
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", cfg: NearConfig | None = None) -> DataFrame:
     """One row of each class: that of the smallest id, a null id last; of several texts with it, one."""
     first = NearDuplicates(df, cfg or NearConfig(), id_col, text_col).survivors()
-    key = lambda i, node: (F.coalesce(i, F.lit(0)), i.isNull(), node)
-    names = [f"_first_{k}" for k in ("id", "none", "node")]
-    first = first.select(*(c.alias(n) for c, n in zip(key(F.col("id"), F.col("node")), names, strict=True)))
-    own = key(df[id_col].cast("long"), F.xxhash64(common.whole_text(text_col)))
+    key = lambda i, *hashes: (F.coalesce(i, F.lit(0)), i.isNull(), *hashes)
+    names = [f"_first_{k}" for k in ("id", "none", "h1", "h2")]
+    first = first.select(*(c.alias(n) for c, n in zip(key(F.col("id"), F.col("h1"), F.col("h2")), names, strict=True)))
+    own = key(df[id_col].cast("long"), *text_hashes(text_col))
     rows = df.select("*", *(c.alias(n) for c, n in zip(own, names, strict=True)))
     return rows.join(first, names, "left_semi").dropDuplicates(names).select(*df.columns)
 
