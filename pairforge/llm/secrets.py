@@ -1,8 +1,9 @@
 """Secret scan with a recursive decoding worklist.
 
 The whole text is scanned for three kinds of secret. Then a worklist unwraps what may hide more:
-URL escapes, Unicode escapes, base64 runs (also over several lines) and compressed payloads inside them,
-between whose escapes plain characters may stand. Each unwrapping
+URL escapes, Unicode escapes, base64 runs (also over several lines, or glued to other characters of their
+alphabet) and compressed payloads of one or more members inside them, between whose escapes plain
+characters may stand. Each unwrapping
 replaces the encoded stretch in place and gives a new layer; a layer is scanned, put on the
 worklist, and dropped if it has been seen before (cycles) until nothing new comes. Every character
 of a layer knows the span of the original text that it came from, so a finding in any layer is
@@ -48,7 +49,10 @@ URL_RUN = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_RUN = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|\\u\{[0-9A-Fa-f]{1,6}\})+")
 UNICODE_ONE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,6})\}")
 BASE64_RUN = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]+)*={0,2}")
-BASE64_LINE = re.compile(r"[A-Za-z0-9+/_-]+=*")
+BASE64_LINE = re.compile(r"([A-Za-z0-9+/_-]+)=*")
+STANDARD = str.maketrans("-_", "+/")
+READABLE = re.compile(rb"[\t\n\r -~]{16,}")
+COMPRESSED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|\x78[\x01\x5e\x9c\xda]")
 #: Beginnings of gzip, zlib, bzip2 and xz with at least one escape, and a byte of the rest, escaped or not.
 URL_PAYLOAD = re.compile(r"(?i:%1f%8b|%78(?:%01|%5e|\^|%9c|%da)|x(?:%01|%5e|%9c|%da)|(?:B|%42)(?:Z|%5a)(?:h|%68)(?=[1-9%])|%fd(?:7|%37)(?:z|%7a))")
 URL_BYTE = re.compile(r"%([0-9A-Fa-f]{2})|([!-$&-~])")
@@ -180,32 +184,43 @@ def _box(data: bytes):
 
 
 def inflate(data: bytes, most: int) -> tuple[bytes, int] | None:
-    """The payload and the bytes it took; more than `most` bytes of it: the payload is larger."""
-    box = _box(data)
-    try:
-        out = box.decompress(data, most + 1) if box else b""
-    except FAULTS:
-        return None
-    if len(out) > most:
-        return out, len(data)
-    return (out, len(data) - len(box.unused_data)) if box and box.eof else None
+    """What all whole members at the beginning of data hold, and the bytes they took; more than `most` bytes
+    of it: the payload is larger."""
+    parts, size, used, view = [], 0, 0, memoryview(data)
+    while used < len(data) and (box := _box(bytes(view[used : used + 6]))):
+        at, member = used, []
+        try:
+            while not box.eof and at < len(data):
+                chunk = view[at : at + (1 << 16)]
+                member.append(box.decompress(chunk, most - size + 1))
+                at, size = at + len(chunk), size + len(member[-1])
+                if size > most:
+                    return b"".join(parts + member), len(data)
+        except FAULTS:
+            break
+        if not box.eof:
+            break
+        parts, used = parts + member, at - len(box.unused_data)
+    return (b"".join(parts), used) if used else None
 
 
 def _pieces(data: Iterator[bytes], size: int) -> Iterator[bytes]:
-    """The payload of data in pieces of at most `size` bytes, as far as it can be read."""
-    head = b""
-    for more in data:
-        head += more
-        if len(head) >= 6:
-            break
-    box = _box(head)
+    """The payload of data, member by member, in pieces of at most `size` bytes, as far as it can be read."""
+    head: bytes | None = b""
     try:
-        while box and not box.eof and head is not None:
-            out = box.decompress(head, size)
-            rest = getattr(box, "unconsumed_tail", b"")
-            if out:
-                yield out
-            head = rest if rest or out or not getattr(box, "needs_input", True) else next(data, None)
+        while True:
+            while len(head) < 6 and (more := next(data, None)) is not None:
+                head += more
+            box = _box(head)
+            while box and not box.eof and head is not None:
+                out = box.decompress(head, size)
+                rest = getattr(box, "unconsumed_tail", b"")
+                if out:
+                    yield out
+                head = rest if rest or out or not getattr(box, "needs_input", True) else next(data, None)
+            if not box or not box.eof:
+                return
+            head = box.unused_data
     except FAULTS:
         return
 
@@ -225,12 +240,17 @@ def _windows(data: bytes, depth: int, budget: Budget) -> Iterator[str]:
 
 
 def _payload(data: bytes, budget: Budget) -> tuple[str, Iterator[str] | None, int] | None:
-    """The text of compressed data, or its windows, and the bytes it took."""
+    """The text of compressed data, or its windows, and the bytes it took.
+
+    Data that inflates to itself, at once or by a detour, is unwrapped once.
+    """
     got = inflate(data, budget.most)
     if got is None:
         return None
-    (inner, used), depth = got, 1
-    while len(inner) <= budget.most and (deeper := inflate(inner, budget.most)) is not None:
+    (inner, used), depth, seen = got, 1, {_digest(data[: got[1]])}
+    while len(inner) <= budget.most and (key := _digest(inner)) not in seen and budget.stream > 0 and (deeper := inflate(inner, budget.most)) is not None:
+        seen.add(key)
+        budget.stream -= len(inner)
         inner, depth = deeper[0], depth + 1
     if len(inner) <= budget.most:
         return inner.decode("utf-8", "replace"), None, used
@@ -239,6 +259,10 @@ def _payload(data: bytes, budget: Budget) -> tuple[str, Iterator[str] | None, in
     return "", _windows(data[:used], depth, budget), used
 
 
+def _digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
 def _whole(a: int, b: int, text: str, windows: Iterator[str] | None = None) -> Decoded:
     return Decoded(a, b, text, np.broadcast_to(np.int64(a), len(text)), np.broadcast_to(np.int64(b), len(text)), windows)
 
@@ -280,7 +304,7 @@ def _base64_one(text: str, lines: list[tuple[int, int]], budget: Budget) -> Deco
     if len(body) % 4 == 1 or (len(run) - len(body)) not in (0, -len(body) % 4):
         return None
     try:
-        data = base64.b64decode(body.replace("-", "+").replace("_", "/") + "=" * (-len(body) % 4), validate=True)
+        data = base64.b64decode(body.translate(STANDARD) + "=" * (-len(body) % 4), validate=True)
     except (binascii.Error, ValueError):
         return None
     a, b = lines[0][0], lines[-1][1]
@@ -307,6 +331,48 @@ def _base64(text: str, budget: Budget) -> Iterator[Decoded]:
             k = end
 
 
+def _glued(shift: int):
+    """Base64 that other characters of its alphabet precede or follow, such as a word and an underscore.
+
+    A run is decoded from its `shift`-th character on; what can be read in that, or inflated, is taken, wherever it
+    begins. One of four shifts meets the encoder's. Stretches too short for any secret are left.
+    """
+
+    def decode(text: str, budget: Budget) -> Iterator[Decoded]:
+        for m in BASE64_RUN.finditer(text):
+            lines = [x.span(1) for x in BASE64_LINE.finditer(text, m.start(), m.end())]
+            run = "".join(text[a:b] for a, b in lines)[shift:]
+            run = run[: len(run) - (len(run) % 4 == 1)]
+            data = base64.b64decode(run.translate(STANDARD) + "=" * (-len(run) % 4))
+            if not shift and _is_text(data):
+                continue
+            place = np.concatenate([*(np.arange(*x) for x in lines), [lines[-1][1]]])[shift:]
+            char = lambda k, place=place, n=len(run): place[np.minimum(n, (4 * k + 2) // 3)]
+            found, at = [], 0
+            for x in COMPRESSED.finditer(data):
+                if x.start() >= at and (got := _payload(data[x.start() :], budget)):
+                    at = x.start() + got[2]
+                    found.append((x.start(), at, got))
+            for x in READABLE.finditer(data):
+                if not any(a < x.end() and x.start() < b for a, b, _ in found):
+                    found.append((x.start(), x.end(), None))
+            for a, b, got in sorted(found, key=lambda f: f[0]):
+                if got:
+                    yield _whole(int(char(a)), int(char(b)), got[0], got[1])
+                else:
+                    k = np.arange(a, b)
+                    yield Decoded(int(char(a)), int(char(b)), data[a:b].decode(), char(k), char(k + 1))
+
+    return decode
+
+
+def _is_text(data: bytes) -> bool:
+    try:
+        return bool(data.decode())
+    except UnicodeDecodeError:
+        return False
+
+
 def _url_payload(text: str, budget: Budget) -> Iterator[Decoded]:
     return _mixed(text, budget, URL_PAYLOAD, URL_BYTE)
 
@@ -315,9 +381,12 @@ def _unicode_payload(text: str, budget: Budget) -> Iterator[Decoded]:
     return _mixed(text, budget, UNICODE_PAYLOAD, UNICODE_BYTE)
 
 
+DECODERS = (_url, _unicode, _base64, _url_payload, _unicode_payload, *(_glued(k) for k in range(4)))
+
+
 def unwrap(layer: Layer, budget: Budget) -> Iterator[Layer]:
     """New layers for each kind of encoding that the layer holds: one, or several where it would be too large."""
-    for decode in (_url, _unicode, _base64, _url_payload, _unicode_payload):
+    for decode in DECODERS:
         parts, starts, ends, at, size = [], [], [], 0, 0
         marks = None
         for got in decode(layer.text, budget):
@@ -348,13 +417,13 @@ def find_secrets(text: str, cfg: ScanConfig, base: list[Span] | None = None, hid
     found = set(base)
     if hidden:
         budget = Budget(cfg, cfg.max_growth * len(text) + cfg.max_extra)
-        work, seen = [unwrap(Layer(text), budget)], {hashlib.blake2b(text.encode(), digest_size=16).digest()}
+        work, seen = [unwrap(Layer(text), budget)], {_digest(text.encode("utf-8", "surrogatepass"))}
         while work:
             layer = next(work[-1], None)
             if layer is None:
                 work.pop()
                 continue
-            key = hashlib.blake2b(layer.text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+            key = _digest(layer.text.encode("utf-8", "surrogatepass"))
             if key not in seen:
                 seen.add(key)
                 found |= {(kind, *layer.span(a, b)) for kind, a, b in scan(layer.text)}

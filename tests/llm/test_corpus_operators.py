@@ -142,7 +142,7 @@ def test_near_classes_equal_brute_force(spark):
     texts += [passage + " " + " ".join(f"own{i}x{j}" for j in range(50)) for i in range(60)]
     texts += texts[:20]
     df = literal(spark, list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    cfg = order_minhash.NearConfig(full_bucket=8)
+    cfg = order_minhash.NearConfig(full_bucket=8, block=4)
     got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(df, cfg=cfg).collect()}
     sh = [order_minhash.shingles(t.encode(), 5) for t in texts]
     up = list(range(len(texts)))
@@ -181,7 +181,7 @@ def test_last_comparison_keeps_links_of_leaders(spark):
         for p in range(6):
             shared = [f"g{g}p{p}s{j}" for j in range(20)]
             texts += [" ".join([*core, *shared, *(f"g{g}p{p}t{t}o{j}" for j in range(8))]) for t in (0, 1)]
-    cfg = order_minhash.NearConfig(sketches=1, keep=1, short_to=0, long_from=1, full_bucket=2)
+    cfg = order_minhash.NearConfig(sketches=1, keep=1, short_to=0, long_from=1, full_bucket=2, block=3)
     sketches = [tuple(order_minhash.sketch(t.encode(), cfg)[1].tolist()) for t in texts]
     together = [g for g in range(40) if len(set(sketches[12 * g : 12 * g + 12])) == 1][:6]
     assert len(together) == 6
