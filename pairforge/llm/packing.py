@@ -4,14 +4,19 @@ An example has three demands: tokens, one segment, and tokens that bear loss. A
 many of each as its limits say. The packer opens a sequence and takes, again and again, the example
 that fits and whose demands have the largest dot product with what is left, both in units of the
 limits. If none fits, the next best one is cut at what is left. So a sequence ends full unless the
-segment or loss limit binds first.
+segment or loss limit binds first, and where loss binds, tokens that bear none fill the rest.
+
+Which tokens bear loss: of instruction data (`pack_parts`) those of the parts that say so; of plain
+documents all but the first `prompt`, which are read as context. A document cannot be full of loss, then:
+the limit on loss is that on tokens less a prompt.
 
 Each task packs its own rows as they stream by, with a bounded pool; what remains at a task's end is
 laid out in sequences whose lengths are powers of two, which need no padding. No shuffle; ids of
 sequences carry the partition's number. A task that is run again packs its rows again as a whole.
 
 Defined results: null text counts as empty and has the end id alone; a null id stays null; repeated
-rows are separate examples; an empty table gives no pieces; a text longer than a sequence is cut.
+rows are separate examples; an empty table gives no pieces; a text longer than a sequence is cut. Of parts,
+null text is empty, null loss is true, and null or no parts are an example of the end id alone, which bears loss.
 """
 
 from __future__ import annotations
@@ -34,7 +39,8 @@ from pairforge.llm.stretches import PreTokenModel, StretchStore, no_collection
 class PackConfig:
     tokens: int = 2048
     segments: int = 256
-    loss: int = 2048
+    loss: int = 2040
+    prompt: int = 8
     pool: int = 1024
     end_id: int = 1
     store_words: int = 700_000
@@ -42,23 +48,26 @@ class PackConfig:
 
 @dataclass
 class Example:
-    """ids: little-endian unsigned 32-bit; loss: running count of loss-bearing ids, or None: all."""
+    """ids: little-endian unsigned 32-bit; loss: running count of loss-bearing ids, or None: all but the first `prompt`."""
 
     key: int | None
     ids: bytes
     loss: np.ndarray | None = None
+    prompt: int = 0
 
     def __len__(self) -> int:
         return len(self.ids) // 4
 
     def loss_between(self, a: int, b: int) -> int:
-        return b - a if self.loss is None else int(self.loss[b] - self.loss[a])
+        if self.loss is None:
+            return max(b, self.prompt) - max(a, self.prompt)
+        return int(self.loss[b] - self.loss[a])
 
-    def reach(self, a: int, tokens: int, loss: int) -> int:
-        """The furthest end from a within both limits."""
-        b = min(len(self), a + tokens)
+    def reach(self, a: int, end: int, tokens: int, loss: int) -> int:
+        """The furthest place from a, up to end, within both limits."""
+        b = min(end, a + tokens)
         if self.loss is None:
-            return min(b, a + loss)
+            return min(b, max(a, self.prompt) + loss)
         return min(b, int(np.searchsorted(self.loss, self.loss[a] + loss, "right")) - 1)
 
 
@@ -66,24 +75,22 @@ Piece = tuple[Example, int, int, int, int]  # example, start, length, sequence,
 
 
 class Packer:
-    """Takes examples one by one and yields pieces; at most cfg.pool examples wait."""
+    """Takes examples one by one and yields pieces; at most cfg.pool examples, or parts of long ones, wait."""
 
     def __init__(self, cfg: PackConfig, first_sequence: int = 0):
         self.cfg, self.sequence = cfg, first_sequence
         self.limits = np.array([cfg.tokens, cfg.segments, cfg.loss], float)
-        self.waiting: list[tuple[Example, int]] = []
+        self.waiting: list[tuple[Example, int, int]] = []
 
     def add(self, example: Example) -> Iterator[Piece]:
-        """Whole sequences are cut off at once; the rest waits in the pool."""
+        """What would fill a sequence alone is cut off and waits as a part of its own."""
         at, n = 0, len(example)
-        while n - at >= self.cfg.tokens:
-            end = example.reach(at, self.cfg.tokens, self.cfg.loss)
-            yield example, at, end - at, self._next(), 0
+        while at < n:
+            end = example.reach(at, n, self.cfg.tokens, self.cfg.loss)
+            self.waiting.append((example, at, end))
             at = end
-        if at < n:
-            self.waiting.append((example, at))
-        if len(self.waiting) >= self.cfg.pool:
-            yield from self._pack(last=False)
+            if len(self.waiting) >= self.cfg.pool:
+                yield from self._pack(last=False)
 
     def finish(self) -> Iterator[Piece]:
         yield from self._pack(last=True)
@@ -94,7 +101,7 @@ class Packer:
 
     def _pack(self, last: bool) -> Iterator[Piece]:
         cfg, pool = self.cfg, self.waiting
-        need = np.array([[len(e) - a, 1, e.loss_between(a, len(e))] for e, a in pool], float).reshape(-1, 3)
+        need = np.array([[b - a, 1, e.loss_between(a, b)] for e, a, b in pool], float).reshape(-1, 3)
         alive = np.ones(len(pool), bool)
         total = int(need[:, 0].sum())
         while alive.any() and (total >= cfg.tokens if not last else True):
@@ -108,16 +115,15 @@ class Packer:
                 value = (need / self.limits) @ (left / self.limits)
                 if fits.any():
                     k = int(np.where(fits, value, -1.0).argmax())
-                    example, a = pool[k]
-                    b = len(example)
+                    example, a, b = pool[k]
                     alive[k] = False
                 else:
-                    k = int(np.where(alive, value, -1.0).argmax())
-                    example, a = pool[k]
-                    b = example.reach(a, int(left[0]), int(left[2]))
-                    if b == a:
+                    k = self._best_cut(pool, alive, value, left)
+                    if k < 0:
                         break
-                    pool[k] = (example, b)
+                    example, a, end = pool[k]
+                    b = example.reach(a, end, int(left[0]), int(left[2]))
+                    pool[k] = (example, b, end)
                 used = np.array([b - a, 1, example.loss_between(a, b)], float)
                 need[k] -= (used[0], 0, used[2])
                 left = left - used
@@ -126,6 +132,17 @@ class Packer:
                 offset += b - a
         self.waiting = [p for p, keep in zip(pool, alive.tolist(), strict=True) if keep]
 
+    @staticmethod
+    def _best_cut(pool: list[tuple[Example, int, int]], alive: np.ndarray, value: np.ndarray, left: np.ndarray) -> int:
+        """The best example of which anything can be taken; without room for loss, only what begins without any."""
+        if left[2] >= 1:
+            return int(np.where(alive, value, -1.0).argmax())
+        for k in np.argsort(-value, kind="stable").tolist():
+            example, a, end = pool[k]
+            if alive[k] and example.reach(a, end, int(left[0]), 0) > a:
+                return k
+        return -1
+
 
 class WordStore:
     """Ids of texts by whitespace-free stretches.
@@ -148,7 +165,7 @@ class WordStore:
 OUT = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def _kernel(path: str | None, cfg: PackConfig, keep_ids: bool):
+def _kernel(path: str | None, cfg: PackConfig, keep_ids: bool, parts: bool = False):
     names = ["id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * keep_ids
 
     def table(pieces: list[Piece]) -> pa.RecordBatch:
@@ -159,6 +176,22 @@ def _kernel(path: str | None, cfg: PackConfig, keep_ids: bool):
             arrays.append(pa.array([np.frombuffer(x, "<u4").astype(np.int32) for _, x in part], pa.list_(pa.int32())))
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
+    end = np.array([cfg.end_id], "<u4").tobytes()
+
+    def examples(keys: list[int | None], rows: list) -> Iterator[Example]:
+        store = common.WORKER[("words", path, cfg)]
+        if not parts:
+            yield from (Example(k, ids + end, None, cfg.prompt) for k, ids in zip(keys, store.encode(rows), strict=True))
+            return
+        flat = iter(store.encode([p["text"] or "" for row in rows for p in row or ()]))
+        for key, row in zip(keys, rows, strict=True):
+            got, bears = [next(flat) for _ in row or ()], [p["loss"] is not False for p in row or ()]
+            marks = [np.full(len(x) // 4, y) for x, y in zip(got, bears, strict=True)]
+            yield Example(key, b"".join([*got, end]), np.cumsum(np.concatenate([[False], *marks, [bears[-1] if bears else True]])))
+
+    def size_of(row) -> int:
+        return len(row) if not parts else sum(len(p["text"] or "") for p in row or ())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -166,7 +199,6 @@ def _kernel(path: str | None, cfg: PackConfig, keep_ids: bool):
         key = ("words", path, cfg)
         if key not in common.WORKER:
             common.WORKER[key] = WordStore(path or tokenizer_path("word_bpe_49k.json"), cfg)
-        end = np.array([cfg.end_id], "<u4").tobytes()
         packer, pieces = Packer(cfg, TaskContext.get().partitionId() << 36), []
         for batch in batches:
             keys, texts, lo = batch.column(0).to_pylist(), batch.column(1), 0
@@ -174,9 +206,9 @@ def _kernel(path: str | None, cfg: PackConfig, keep_ids: bool):
                 part, size = [], 0
                 while lo + len(part) < batch.num_rows and (not part or size < 4_000_000):
                     part.append(texts[lo + len(part)].as_py())
-                    size += len(part[-1])
-                for k, ids in zip(keys[lo : lo + len(part)], common.WORKER[key].encode(part), strict=True):
-                    pieces += packer.add(Example(k, ids + end))
+                    size += size_of(part[-1])
+                for example in examples(keys[lo : lo + len(part)], part):
+                    pieces += packer.add(example)
                 lo += len(part)
                 yield table(pieces)
                 pieces = []
@@ -192,5 +224,13 @@ def pack_documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(_kernel(path, cfg or PackConfig(), keep_ids), OUT + ", ids array<int>" * keep_ids).withColumnRenamed("id", id_col)
 
 
+def pack_parts(df: DataFrame, id_col: str, parts_col: str, path: str | None = None, cfg: PackConfig | None = None, keep_ids: bool = False) -> DataFrame:
+    """Pieces of instruction data: each row's parts are an array of {text, loss}, encoded one by one and followed
+    by the end id, which bears loss if the last part does."""
+    common.ship(df.sparkSession)
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.transform(parts_col, lambda p: F.struct(p["text"].cast("string").alias("text"), p["loss"].cast("boolean").alias("loss"))).alias("parts"))
+    return rows.mapInArrow(_kernel(path, cfg or PackConfig(), keep_ids, parts=True), OUT + ", ids array<int>" * keep_ids).withColumnRenamed("id", id_col)
+
+
 def op5_packing(spark, sf_dir: str) -> DataFrame:
     return pack_documents(common.table(spark, sf_dir, "documents"))

@@ -220,7 +220,7 @@ def test_word_store_equals_the_library():
 
 
 def test_limits_on_segments_and_loss():
-    cfg = packing.PackConfig(tokens=64, segments=3, loss=20, pool=50)
+    cfg = packing.PackConfig(tokens=64, segments=3, loss=20, pool=50, prompt=0)
     rng = np.random.default_rng(0)
     packer, pieces = packing.Packer(cfg), []
     for k in range(300):
@@ -234,3 +234,47 @@ def test_limits_on_segments_and_loss():
         covered[e.key] += n
     assert all(t <= 64 and c <= 3 and m <= 20 for t, c, m in used.values())
     assert len(covered) == 300
+
+
+def test_each_limit_binds_in_the_query(spark, texts, tmp_path):
+    """Loss in long texts, segments where texts are short, tokens elsewhere; what bears no loss fills the rest."""
+    cfg = packing.PackConfig()
+    used = defaultdict(lambda: [0, 0, 0])
+
+    def count(rows):
+        used.clear()
+        for r in rows:
+            a, b = r["start"], r["start"] + r["length"]
+            u = used[r["sequence_id"]]
+            u[0], u[1], u[2] = u[0] + r["length"], u[1] + 1, u[2] + max(b, cfg.prompt) - max(a, cfg.prompt)
+        assert all(t <= cfg.tokens and c <= cfg.segments and x <= cfg.loss for t, c, x in used.values())
+
+    count(packing.op5_packing(spark, SF).collect())
+    full = [u for u in used.values() if u[0] == cfg.tokens]
+    assert any(u[2] == cfg.loss for u in full) and any(u[2] < cfg.loss for u in full)
+    spark.createDataFrame([(k, "") for k in range(2000)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    count(packing.op5_packing(spark, str(tmp_path)).collect())
+    assert max(u[1] for u in used.values()) == cfg.segments and sum(u[0] for u in used.values()) == 2000
+
+
+def test_instruction_data_packs_by_its_loss(spark):
+    """Conversations: what the assistant says bears loss."""
+    turns = defaultdict(list)
+    for r in spark.read.parquet(f"{SF}/conversations.parquet").orderBy("conv_id", "turn").collect():
+        turns[r["conv_id"]].append((r["text"], r["role"] == "assistant"))
+    rows = [*turns.items(), (-1, None), (-2, []), (-3, [(None, None), ("some words", None)])]
+    df = spark.createDataFrame(rows, "conv_id long, parts array<struct<text:string,loss:boolean>>").repartition(2)
+    cfg = packing.PackConfig(loss=300)
+    got = packing.pack_parts(df, "conv_id", "parts", cfg=cfg, keep_ids=True).collect()
+    tok = bpe_reuse.load_tokenizer(bpe_reuse.tokenizer_path("word_bpe_49k.json"))
+    marks, ids = {}, {}
+    for i, parts in rows:
+        encoded = [tok.encode(t or "", add_special_tokens=False).ids for t, _ in parts or []]
+        bears = [x is not False for _, x in parts or []]
+        ids[i] = [*(k for e in encoded for k in e), 1]
+        marks[i] = [*(b for e, b in zip(encoded, bears, strict=True) for _ in e), bears[-1] if bears else True]
+    loss, back = defaultdict(int), defaultdict(list)
+    for r in sorted(got, key=lambda r: r["start"]):
+        back[r["conv_id"]] += r["ids"]
+        loss[r["sequence_id"]] += sum(marks[r["conv_id"]][r["start"] : r["start"] + r["length"]])
+    assert back == ids and max(loss.values()) == cfg.loss
