@@ -184,10 +184,12 @@ FULL = "id long, n_bytes long, media binary, segments array<struct<start_s:doubl
 DIGEST = "id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, n_segments long"
 
 
-def _digest(got: Analysis, tensors: pa.RecordBatch) -> str:
-    means = ",".join(f"{v:.2f}" for v in got.log_mel.mean(0, dtype=np.float64))
-    voiced = sum(b - a for a, b in got.segments)
-    return f"frames={len(got.log_mel)};tensors={tensors.num_rows};segments={len(got.segments)};voiced_s={voiced:.3f};log_mel={means}"
+def _digest(segments: list[tuple[float, float]], stored: bytes) -> str:
+    """What the stored tensors say, read back: their number, time span and mean log-mel bands; and the segments."""
+    table = tensors_from_ipc(stored)
+    means = ",".join(f"{v:.2f}" for v in table["log_mel"].combine_chunks().to_numpy_ndarray().mean((0, 1), dtype=np.float64))
+    voiced = sum(b - a for a, b in segments)
+    return f"tensors={table.num_rows};to_s={table['end_s'][-1].as_py():.4f};segments={len(segments)};voiced_s={voiced:.3f};log_mel={means}"
 
 
 def _kernel(cfg: AudioConfig, full: bool):
@@ -203,11 +205,11 @@ def _kernel(cfg: AudioConfig, full: bool):
                     media = encode_wav(pad_payload(data), cfg.rate)
                     payload = decode_wav(media)[1]
                     got = analyzer.analyse(payload)
-                    tensors = analyzer.tensors(got)
+                    stored = tensors_to_ipc(analyzer.tensors(got))
                     if full:
-                        rows.append((len(data), media, [{"start_s": a, "end_s": b} for a, b in got.segments], tensors_to_ipc(tensors)))
+                        rows.append((len(data), media, [{"start_s": a, "end_s": b} for a, b in got.segments], stored))
                     else:
-                        rows.append((len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), _digest(got, tensors), len(got.log_mel), len(got.segments)))
+                        rows.append((len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), _digest(got.segments, stored), len(got.log_mel), len(got.segments)))
                 schema = _FULL_ARROW if full else _DIGEST_ARROW
                 columns = list(zip(*rows, strict=True))
                 yield pa.record_batch([ids[lo : lo + 512].cast(pa.int64()), *(pa.array(c, t.type) for c, t in zip(columns, list(schema)[1:], strict=True))], schema=schema)
@@ -221,7 +223,7 @@ _DIGEST_ARROW = pa.schema([(c.split()[0], {"long": pa.int64(), "string": pa.stri
 
 
 def audio_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", cfg: AudioConfig | None = None, digests: bool = False) -> DataFrame:
-    """Media, segments and tensors of every row, or only their digests (same computation).
+    """Media, segments and tensors of every row, or only their digests, the feature from the tensors read back.
 
     Full output: id, n_bytes, media (WAV bytes), segments (time spans), tensors (an Arrow stream
     whose column log_mel has the type fixed_shape_tensor, with start_s and end_s).

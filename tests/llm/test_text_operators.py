@@ -5,6 +5,7 @@ import bz2
 import gzip
 import hashlib
 import lzma
+import math
 import random
 import urllib.parse
 import zlib
@@ -82,6 +83,63 @@ def test_tensors_have_a_fixed_shape_and_overlap():
     assert (cut[0][32:] == cut[1][:32]).all() and (cut[0] == got.log_mel[:64]).all()
 
 
+def plain_features(data, cfg):
+    """Zero-stuffed resampling, a DFT by its sum, triangles by their definition, a loop for segments."""
+    x = np.frombuffer(data, np.uint8) / 128.0 - 1.0
+    half = cfg.half_width * max(cfg.up, cfg.down)
+    t = np.arange(-half, half + 1)
+    taps = np.sinc(t / max(cfg.up, cfg.down)) * np.hamming(t.size)
+    stuffed = np.zeros(x.size * cfg.up)
+    stuffed[:: cfg.up] = x
+    y = np.convolve(stuffed, taps * cfg.up / taps.sum())[half : half + stuffed.size][:: cfg.down]
+    y = np.pad(y, (0, max(0, cfg.frame - y.size)))
+    rate, bins = cfg.rate * cfg.up / cfg.down, cfg.frame // 2 + 1
+    dft = np.exp(-2j * np.pi * np.outer(np.arange(bins), np.arange(cfg.frame)) / cfg.frame)
+    mel = lambda hz: 2595 * math.log10(1 + hz / 700)
+    points = [700 * (10 ** ((mel(60) + k * (mel(rate / 2) - mel(60)) / (cfg.mels + 1)) / 2595) - 1) for k in range(cfg.mels + 2)]
+    bank = np.zeros((bins, cfg.mels))
+    for i in range(bins):
+        hz = i * rate / cfg.frame
+        for m in range(cfg.mels):
+            a, b, c = points[m : m + 3]
+            bank[i, m] = (hz - a) / (b - a) if a <= hz <= b else (c - hz) / (c - b) if b < hz <= c else 0.0
+    frames = [y[k : k + cfg.frame] for k in range(0, y.size - cfg.frame + 1, cfg.hop)]
+    log_mel = np.array([np.log(np.maximum(np.abs(dft @ (f * np.hanning(cfg.frame))) ** 2 @ bank, 1e-10)) for f in frames])
+    db = [10 * math.log10(max(float((f * f).mean()), 1e-10)) for f in frames]
+    middle, spans, on = float(np.median(db)), [], None
+    for k, v in enumerate([*db, -math.inf]):
+        if on is None and v >= middle + cfg.on_db:
+            on = k
+        elif on is not None and v < middle + cfg.off_db:
+            spans.append((on * cfg.hop / rate, (k - 1) * cfg.hop / rate + cfg.frame / rate))
+            on = None
+    count = 1 + max(0, math.ceil((len(frames) - cfg.tensor_frames) / cfg.tensor_hop))
+    silence = np.full(((count - 1) * cfg.tensor_hop + cfg.tensor_frames - len(frames), cfg.mels), np.log(1e-10))
+    whole = np.concatenate([log_mel, silence])
+    return log_mel, spans, np.stack([whole[k * cfg.tensor_hop : k * cfg.tensor_hop + cfg.tensor_frames] for k in range(count)])
+
+
+def test_audio_features_of_the_query_equal_a_plain_version(spark, texts):
+    cfg, seen = audio.AudioConfig(), 0
+    full = {r["doc_id"]: r for r in audio.audio_features(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
+    for r in audio.op1_audio(spark, SF).collect():
+        data, f = texts[r["doc_id"]].encode(), full[r["doc_id"]]
+        payload = audio.pad_payload(data)
+        assert f["media"][-len(payload) :] == payload and (r["media_bytes"], r["media_sha256"]) == (len(f["media"]), hashlib.sha256(f["media"]).hexdigest())
+        if len(payload) > 6000:
+            continue
+        seen += 1
+        log_mel, spans, tensors = plain_features(payload, cfg)
+        table = audio.tensors_from_ipc(f["tensors"])
+        assert np.allclose(table["log_mel"].combine_chunks().to_numpy_ndarray(), tensors, atol=2e-3)
+        assert np.allclose(table["start_s"], np.arange(len(tensors)) * cfg.tensor_hop * cfg.hop / cfg.new_rate)
+        assert np.allclose([tuple(s) for s in f["segments"]] or [(0, 0)], spans or [(0, 0)])
+        said = dict(x.split("=") for x in r["feature"].split(";"))
+        assert (int(said["tensors"]), int(said["segments"]), r["n_frames"]) == (len(tensors), len(spans), len(log_mel))
+        assert np.allclose([float(v) for v in said["log_mel"].split(",")], tensors.mean((0, 1)), atol=0.011)
+    assert seen > 100
+
+
 def test_bpe_query_and_fuzz(spark, texts):
     encoder = bpe_reuse.ReusingEncoder(bpe_reuse.tokenizer_path("byte_bpe_50k.json"), bpe_reuse.ChunkConfig(mean=64, least=16, most=512, store_tokens=3000, store_words=500))
     sample = [*texts.values(), *fuzz(200), "a" * 5000, " " * 3000, "日本語" * 900]
