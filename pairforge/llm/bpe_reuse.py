@@ -3,9 +3,9 @@
 A rolling hash over the bytes cuts a text where the content says so, hence the same passage is
 cut alike in every document. Each chunk is encoded once per worker and kept in a bounded store;
 documents are put together from chunks. A cut may fall inside a word, so every join is repaired:
-a window around it is encoded anew, and widened until both of its ends are token boundaries of
-the neighbouring chunks and places that no pre-token can span. Then the result is exactly what
-encoding the whole text would give.
+a window around it is encoded anew, and widened until its first and last stretch have the very tokens that
+the neighbouring chunks have there. Stretches end where the chunks' tokens do and no pre-token goes on, so
+the result is exactly what encoding the whole text would give.
 
 No shuffle: reuse is per worker. Encoding a chunk once in the whole cluster would move every
 chunk's text and ids through a shuffle, more than the encoding saves.
@@ -167,47 +167,80 @@ class ReusingEncoder:
             return self._encode_all(texts)
 
     def _encode_all(self, texts: list[bytes]) -> list[np.ndarray]:
-        plans = []
+        drafts = []
         for data in texts:
             raw = np.frombuffer(data, np.uint8)
             cuts = cut_points(raw, self.cfg)
-            plans.append((data, cuts, [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]))
-        known = self._fetch([c for _, _, chunks in plans for c in chunks])
-        drafts = [self._windows(data, cuts, [known[c] for c in chunks]) for data, cuts, chunks in plans]
-        known = self._fetch([data[a:b] for (data, _, _), (_, spans, _) in zip(plans, drafts, strict=True) for a, b in spans])
-        return [self._join(data, ids, spans, ends, known) for (data, _, _), (ids, spans, ends) in zip(plans, drafts, strict=True)]
-
-    def _windows(self, data: bytes, cuts: list[int], chunks: list[np.ndarray]):
-        """All ids by chunk, the windows to encode anew, and the byte offset of each token's end."""
-        if not chunks:
-            return np.empty(0, np.uint16), [], np.empty(0, np.int64)
-        ids = np.concatenate(chunks)
-        ends = np.cumsum(self.width[ids])
-        if len(cuts) == 1:
-            return ids, [], ends
-        safe = safe_points(np.frombuffer(data, np.uint8))
-        agreed = safe[np.searchsorted(ends, safe) < ends.size]
-        agreed = agreed[ends[np.searchsorted(ends, agreed)] == agreed]
-        where, spans = np.searchsorted(agreed, cuts[:-1]), []
-        for cut, k in zip(cuts[:-1], where.tolist(), strict=True):
-            if k < agreed.size and agreed[k] == cut:
-                continue
-            a, b = int(agreed[k - 1]) if k else 0, int(agreed[k]) if k < agreed.size else len(data)
-            if spans and a < spans[-1][1]:
-                spans[-1] = (spans[-1][0], b)
-            else:
-                spans.append((a, b))
-        return ids, spans, ends
+            drafts.append((data, raw, cuts, [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]))
+        known = self._fetch([c for _, _, _, chunks in drafts for c in chunks])
+        joined = [Joined(data, raw, cuts, [known[c] for c in chunks], self.width) for data, raw, cuts, chunks in drafts]
+        del drafts
+        pending = [j for j in joined if j.windows]
+        while pending:
+            known = self._fetch([j.text(w) for j in pending for w in j.windows])
+            pending = [j for j in pending if not j.agree(known)]
+        return [j.ids for j in joined]
+
+
+class Joined:
+    """Ids of a text put together from its chunks' ids, repaired at the joins.
+
+    A window is a stretch between stops: places where no pre-token goes on and where the chunks' tokens end,
+    too. It reaches one stop further from the cut than it must, so that its first and last stretch are also
+    in the chunks' ids. Encoded anew, it must give the same ids there; else it is widened at that end.
+    """
 
-    @staticmethod
-    def _join(data: bytes, ids: np.ndarray, spans: list[tuple[int, int]], ends: np.ndarray, known: dict) -> np.ndarray:
-        if not spans:
-            return ids
+    def __init__(self, data: bytes, raw: np.ndarray, cuts: list[int], chunks: list[np.ndarray], width: np.ndarray):
+        self.data, self.width = data, width
+        self.ids = np.concatenate(chunks) if chunks else np.empty(0, np.uint16)
+        self.windows: list[tuple[int, int]] = []
+        if len(cuts) < 2:
+            return
+        self.ends = np.cumsum(width[self.ids])
+        safe = safe_points(raw)
+        at = np.searchsorted(self.ends, safe)
+        safe = safe[(at < self.ends.size) & (self.ends[np.minimum(at, self.ends.size - 1)] == safe)]
+        self.stops = np.concatenate(([0], safe, [len(data)]))
+        where = np.searchsorted(self.stops, cuts[:-1]).tolist()
+        self._set([(k - 2, k + 1) for k, cut in zip(where, cuts[:-1], strict=True) if self.stops[k] != cut])
+
+    def _set(self, windows: list[tuple[int, int]]) -> None:
+        """Windows in order; those that overlap become one."""
+        last, self.windows = self.stops.size - 1, []
+        for i, j in windows:
+            i, j = max(0, i), min(last, j)
+            if self.windows and i < self.windows[-1][1]:
+                i, j = self.windows[-1][0], max(j, self.windows.pop()[1])
+            self.windows.append((i, j))
+
+    def text(self, window: tuple[int, int]) -> bytes:
+        return self.data[self.stops[window[0]] : self.stops[window[1]]]
+
+    def agree(self, known: dict[bytes, np.ndarray]) -> bool:
+        """Put the windows' ids in place if all agree with the chunks; else widen those that do not."""
+        wider, last = [], self.stops.size - 1
+        fresh = [known[self.text(w)] for w in self.windows]
+        for (i, j), ids in zip(self.windows, fresh, strict=True):
+            ends = self.stops[i] + np.cumsum(self.width[ids])
+            left = i == 0 or self._same(i, i + 1, ids, ends)
+            right = j == last or self._same(j - 1, j, ids, ends)
+            wider.append((i if left else i - 2, j if right else j + 2))
+        if wider != self.windows:
+            self._set(wider)
+            return False
         out, at = [], 0
-        for a, b in spans:
-            out += [ids[at : np.searchsorted(ends, a, "right")], known[data[a:b]]]
-            at = int(np.searchsorted(ends, b, "right"))
-        return np.concatenate([*out, ids[at:]])
+        for (i, j), ids in zip(self.windows, fresh, strict=True):
+            out += [self.ids[at : np.searchsorted(self.ends, self.stops[i], "right")], ids]
+            at = int(np.searchsorted(self.ends, self.stops[j], "right"))
+        self.ids = np.concatenate([*out, self.ids[at:]])
+        return True
+
+    def _same(self, i: int, j: int, ids: np.ndarray, ends: np.ndarray) -> bool:
+        """Whether both have the same tokens from stop i to stop j."""
+        bounds = self.stops[[i, j]]
+        a, b = np.searchsorted(self.ends, bounds, "right")
+        c, d = np.searchsorted(ends, bounds, "right")
+        return b - a == d - c and (c == 0 or ends[c - 1] == bounds[0]) and d > 0 and ends[d - 1] == bounds[1] and bool((self.ids[a:b] == ids[c:d]).all())
 
 
 FULL = "id long, ids array<int>, decoded string"
