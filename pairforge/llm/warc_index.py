@@ -1,16 +1,20 @@
 """WARC archives of pages and their capture index by external merge.
 
 1. Pages with equal payloads are told apart by an aggregate over digests: the smallest page_id is
-   written as a response, the others as revisits of it. Copies never meet in one task.
+   written as a response, the others as revisits of it. Payloads that a 4,096th of all pages share are
+   broadcast, at most 4,096 digests; pages of others meet their digest in a shuffle.
 2. Writers put records into gzip-per-record archives in the shared folder.
 3. Indexers read the archives back, check every payload against its digest, and write a run of
    captures sorted by URL key and timestamp, beside the archive.
 4. Runs are merged by a loser tree. Where there are more runs than the fan-in, groups of them are
-   merged into longer runs first. The last merge is split into ranges of (key, timestamp, id), so
-   a single URL with many captures is spread over ranges too. Memory is one batch per run.
+   merged into longer runs first. Every merge is split into ranges of (key, timestamp, id), so
+   a single URL with many captures is spread over ranges too, and a longer run is a list of files.
+   Memory is one batch per run.
 
 Every step's result is a small table in the shared folder that names files; a file of an attempt
-that failed is named nowhere.
+that failed is named nowhere. Archives and runs stay in the folder: the result is read from them.
+
+Pages have no time of capture, so the archives' is `first_capture` and page_id seconds.
 
 Defined results: null html counts as empty, a null url has an empty key and sorts first, a null
 page_id sorts last in its key and is never referred to while its payload has a row with an id;
@@ -21,6 +25,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import re
 import uuid
 import zlib
@@ -49,6 +54,8 @@ class WarcConfig:
 
 HIGH = 0x70616972666F8267
 NO_ID = 0x70616972666F8268
+#: A digest that more than one page in HOT has is broadcast: there are fewer than HOT of them.
+HOT = 4096
 
 RUN = pa.schema([("surt", pa.string()), ("timestamp", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("archive", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 MERGED = "surt string, timestamp string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive string, offset long, length long, range long, ordinal long"
@@ -167,10 +174,16 @@ def write_archives(pages: DataFrame, folder: str, cfg: WarcConfig) -> DataFrame:
     """Write (page_id, url, html) as archives; returns the table of archives (name, records, bytes)."""
     spark = pages.sparkSession
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), common.whole_text("html").cast("binary").alias("payload"))
-    digest = F.unhex(F.sha1("payload"))
-    firsts = rows.select("page_id", digest.alias("digest")).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first")
-    joined = rows.withColumn("digest", digest).join(firsts, "digest", "left").select("page_id", "url", "payload", "first")
+    rows = rows.withColumn("digest", F.unhex(F.sha1("payload")))
+    firsts, path = common.materialize(spark, rows.select("page_id", "digest").groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "firsts")
+    often = F.col("n") * HOT > pages.count()
+    hot = F.broadcast(firsts.where(often).select("digest", F.col("first").alias("hot_first"), F.lit(True).alias("hot")))
+    rows = rows.join(hot, "digest", "left")
+    own = F.when(F.col("hot"), F.unhex(F.sha1(F.concat_ws(" ", F.lit("hot"), "page_id", "url").cast("binary")))).otherwise(F.col("digest"))
+    rows = rows.withColumn("digest", own).join(firsts.where(~often).select("digest", "first"), "digest", "left")
+    joined = rows.select("page_id", "url", "payload", F.coalesce("hot_first", "first").alias("first"))
     written, _ = common.materialize(spark, joined.mapInArrow(_write(cfg, folder), "archive string, records long, bytes long"), "archives")
+    common.remove(spark, path)
     return written
 
 
@@ -221,43 +234,69 @@ def _index(cfg: WarcConfig, folder: str, keys_per_run: int):
                 _save_run(fs, f"{root}/{path}", _batches(iter(rows), cfg.batch, RUN))
                 step = max(1, len(rows) // keys_per_run)
                 keys = [{"surt": r[0], "timestamp": r[1], "page_id": r[2]} for r in rows[step // 2 :: step][:keys_per_run]]
-                yield pa.record_batch([pa.array([path]), pa.array([len(rows)], pa.int64()), pa.array([keys], _KEYS)], names=["run", "records", "keys"])
+                yield pa.record_batch([pa.array([[path]]), pa.array([keys], _KEYS)], names=["run", "keys"])
 
     return run
 
 
 _KEYS = pa.list_(pa.struct([("surt", pa.string()), ("timestamp", pa.string()), ("page_id", pa.int64())]))
-_RUNS = "run string, records long, keys array<struct<surt:string,timestamp:string,page_id:long>>"
+_RUNS = "run array<string>, keys array<struct<surt:string,timestamp:string,page_id:long>>"
+_BOUND = "struct<surt:string,timestamp:string,page_id:long>"
 
 
 class Cursor:
-    """Rows of a run from the first key above `low`, batch by batch."""
+    """Rows of a run from the first key above `low`, batch by batch. A run's files are in order."""
 
-    def __init__(self, fs, path: str, low: tuple | None):
-        self.source = fs.open_input_file(path)
-        self.reader = pa.ipc.open_file(self.source)
-        n = self.reader.num_record_batches
-        a, b = 0, n
-        while low is not None and a < b:  # the last batch that begins at or below low
-            mid = (a + b) // 2
-            head = self.reader.get_batch(mid).slice(0, 1)
-            if _key(*(head.column(c)[0].as_py() for c in range(3))) <= low:
-                a = mid + 1
-            else:
-                b = mid
-        self.next_batch, self.rows, self.at, self.n = max(0, a - 1), [], 0, n
+    def __init__(self, fs, root: str, files: list[str], low: tuple | None):
+        self.fs, self.paths = fs, [f"{root}/{f}" for f in files]
+        self.file, self.reader, self.next_batch, self.batches = -1, None, 0, 0
+        self.rows, self.at = [], 0
         self.key: tuple | None = None
         self.row: tuple = ()
+        if low is not None:
+            self._open(max(0, self._first_above(len(self.paths), lambda k: self._head(k), low) - 1))
+            if self.reader is not None:
+                self.next_batch = max(0, self._first_above(self.batches, lambda k: self._key_of(self.reader.get_batch(k)), low) - 1)
         self.advance()
         while low is not None and self.key is not None and self.key <= low:
             self.advance()
 
+    @staticmethod
+    def _first_above(n: int, key, low: tuple) -> int:
+        """How many of n parts in order begin at or below low."""
+        a, b = 0, n
+        while a < b:
+            mid = (a + b) // 2
+            if key(mid) <= low:
+                a = mid + 1
+            else:
+                b = mid
+        return a
+
+    @staticmethod
+    def _key_of(batch: pa.RecordBatch) -> tuple:
+        return _key(*(batch.column(c)[0].as_py() for c in range(3)))
+
+    def _head(self, file: int) -> tuple:
+        with self.fs.open_input_file(self.paths[file]) as source:
+            return self._key_of(pa.ipc.open_file(source).get_batch(0))
+
+    def _open(self, file: int) -> None:
+        if self.reader is not None:
+            self.source.close()
+        self.file, self.reader, self.next_batch, self.batches = file, None, 0, 0
+        if file < len(self.paths):
+            self.source = self.fs.open_input_file(self.paths[file])
+            self.reader = pa.ipc.open_file(self.source)
+            self.batches = self.reader.num_record_batches
+
     def advance(self) -> None:
         if self.at >= len(self.rows):
-            if self.next_batch >= self.n:
-                self.key, self.rows = None, []
-                self.source.close()
-                return
+            while self.next_batch >= self.batches:
+                self._open(self.file + 1)
+                if self.reader is None:
+                    self.key, self.rows, self.at = None, [], 0
+                    return
             self.rows = list(zip(*(c.to_pylist() for c in self.reader.get_batch(self.next_batch).columns), strict=True))
             self.next_batch, self.at = self.next_batch + 1, 0
         self.row = self.rows[self.at]
@@ -304,63 +343,88 @@ class LoserTree:
             self._replay(self.winner)
 
 
-def merge_runs(fs, root: str, runs: list[str], low: tuple | None, high: tuple | None) -> Iterator[tuple]:
+def merge_runs(fs, root: str, runs: list[list[str]], low: tuple | None, high: tuple | None) -> Iterator[tuple]:
     """Rows of all runs with low < key <= high, in order."""
-    tree = LoserTree([Cursor(fs, f"{root}/{r}", low) for r in runs])
+    tree = LoserTree([Cursor(fs, root, r, low) for r in runs])
     for row in tree:
         if high is not None and _key(*row[:3]) > high:
             return
         yield row
 
 
-def _merge_group(cfg: WarcConfig, folder: str, keys_per_run: int):
+def _unpack(k: dict | None) -> tuple | None:
+    return k and _key(k["surt"], k["timestamp"], k["page_id"])
+
+
+def _merge_group(cfg: WarcConfig, folder: str):
+    """One file of a longer run: a group's rows in one range; no file where there are none."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_store(folder)
         for batch in batches:
-            for runs, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                path, counted = f"{uuid.uuid4().hex}.run", [0]
-
-                def rows(runs=runs, counted=counted):
-                    for row in merge_runs(fs, root, runs, None, None):
-                        counted[0] += 1
-                        yield row
-
-                _save_run(fs, f"{root}/{path}", _batches(rows(), cfg.batch, RUN))
-                keys = sorted(keys, key=lambda k: _key(k["surt"], k["timestamp"], k["page_id"]))
-                step = max(1, len(keys) // keys_per_run)
-                yield pa.record_batch([pa.array([path]), pa.array([counted[0]], pa.int64()), pa.array([keys[step // 2 :: step]], _KEYS)], names=["run", "records", "keys"])
+            for g, k, runs, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                found = _batches(merge_runs(fs, root, runs, _unpack(low), _unpack(high)), cfg.batch, RUN)
+                first, path = next(found, None), f"{uuid.uuid4().hex}.run"
+                if first is not None:
+                    _save_run(fs, f"{root}/{path}", itertools.chain([first], found))
+                yield pa.record_batch([pa.array([g], pa.int64()), pa.array([k], pa.int64()), pa.array([path if first is not None else None], pa.string())], names=["g", "k", "file"])
 
     return run
 
 
-def _merge_ranges(cfg: WarcConfig, folder: str, runs: list[str]):
+def _merge_ranges(cfg: WarcConfig, folder: str, runs: list[list[str]]):
     schema = RUN.append(pa.field("range", pa.int64())).append(pa.field("ordinal", pa.int64()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = open_store(folder)
-        unpack = lambda k: k and _key(k["surt"], k["timestamp"], k["page_id"])
         for batch in batches:
             for number, low, high in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                rows = ((*row, number, k) for k, row in enumerate(merge_runs(fs, root, runs, unpack(low), unpack(high))))
+                rows = ((*row, number, k) for k, row in enumerate(merge_runs(fs, root, runs, _unpack(low), _unpack(high))))
                 yield from _batches(rows, cfg.batch, schema)
 
     return run
 
 
+def _merge_pass(spark: SparkSession, runs: DataFrame, groups: int, folder: str, cfg: WarcConfig) -> DataFrame:
+    """Runs merged into one for each group; every group in ranges of its own, so that all tasks have a share."""
+    per_group = max(1, -(-common.shuffle_partitions(spark) // groups))
+    held = runs.withColumn("g", F.pmod(F.xxhash64(F.element_at("run", 1)), F.lit(groups)).cast("long")).groupBy("g").agg(F.collect_list("run").alias("runs"), F.flatten(F.collect_list("keys")).alias("keys"))
+    ordered = F.array_sort("keys", lambda x, y: _compare(x, y))
+    bound = lambda k: F.try_element_at("keys", (F.lit(1) + F.floor(k * F.size("keys") / per_group)).cast("int"))
+    tasks = held.withColumn("keys", ordered).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(per_group - 1)))).withColumn("k", F.col("k").cast("long"))
+    low, high = F.when(F.col("k") > 0, bound(F.col("k"))), F.when(F.col("k") < per_group - 1, bound(F.col("k") + 1))
+    tasks = tasks.select("g", "k", "runs", low.alias("low"), high.alias("high"))
+    files, file_path = common.materialize(spark, tasks.repartition(groups * per_group, "g", "k").mapInArrow(_merge_group(cfg, folder), "g long, k long, file string"), "run-files")
+    run = F.transform(F.array_sort(F.collect_list(F.struct("k", "file"))), lambda f: f["file"])
+    step = F.greatest(F.lit(1), F.floor(F.size("keys") / max(1, cfg.sample // cfg.fan_in)))
+    sample = F.filter(ordered, lambda _, i: i % step == 0)
+    out, _ = common.materialize(spark, files.where("file IS NOT NULL").groupBy("g").agg(run.alias("run")).join(held.select("g", sample.alias("keys")), "g").select("run", "keys"), "runs")
+    common.remove(spark, file_path)
+    return out
+
+
+def _compare(x, y):
+    """The order of _key on columns: no id comes last."""
+    a = [x["surt"], x["timestamp"], x["page_id"].isNull(), F.coalesce(x["page_id"], F.lit(0))]
+    b = [y["surt"], y["timestamp"], y["page_id"].isNull(), F.coalesce(y["page_id"], F.lit(0))]
+    out = F.lit(0)
+    for p, q in reversed(list(zip(a, b, strict=True))):
+        out = F.when(p < q, F.lit(-1)).when(p > q, F.lit(1)).otherwise(out)
+    return out
+
+
 def merge_index(spark: SparkSession, runs: DataFrame, folder: str, cfg: WarcConfig) -> DataFrame:
     """Globally ordered captures: order by (range, ordinal)."""
     count = runs.count()
     while count > cfg.fan_in:
-        per_run = max(1, cfg.sample // (-(-count // cfg.fan_in)))
-        groups = runs.withColumn("g", F.pmod(F.xxhash64("run"), F.lit(-(-count // cfg.fan_in)))).groupBy("g").agg(F.collect_list("run").alias("runs"), F.flatten(F.collect_list("keys")).alias("keys"))
-        runs, _ = common.materialize(spark, groups.select("runs", "keys").mapInArrow(_merge_group(cfg, folder, per_run), _RUNS), "runs")
+        runs = _merge_pass(spark, runs, -(-count // cfg.fan_in), folder, cfg)
         count = runs.count()
     held = runs.collect()  # at most fan_in rows and, over all of them, about cfg.sample keys
-    keys = sorted({_key(k["surt"], k["timestamp"], k["page_id"]) for r in held for k in r["keys"]})
+    keys = sorted({_unpack(k) for r in held for k in r["keys"]})
     parts = min(common.shuffle_partitions(spark), len(keys) + 1)
     bounds = [keys[i * len(keys) // parts] for i in range(1, parts)]
     struct = [None if b is None else (b[0], b[1], None if b[2] else b[3]) for b in [None, *bounds, None]]
-    ranges = spark.createDataFrame([(i, struct[i], struct[i + 1]) for i in range(len(struct) - 1)], "range long, low struct<surt:string,timestamp:string,page_id:long>, high struct<surt:string,timestamp:string,page_id:long>")
+    ranges = spark.createDataFrame([(i, struct[i], struct[i + 1]) for i in range(len(struct) - 1)], f"range long, low {_BOUND}, high {_BOUND}")
     return ranges.repartition(len(struct) - 1).mapInArrow(_merge_ranges(cfg, folder, [r["run"] for r in held]), MERGED)
 
 

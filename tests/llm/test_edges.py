@@ -70,7 +70,7 @@ def test_near_classes_of_edges(docs):
 def test_filters_keep_columns(docs):
     model = ordinal_tox.OrdinalModel({"words": 5.0}, (1.0,))
     out = ordinal_tox.drop_toxic(docs, model)
-    assert out.columns == docs.columns and {r["doc_id"] for r in out.collect()} == {2, 3, 4, 6, 7, 8, None} - set()
+    assert out.columns == docs.columns and {r["doc_id"] for r in out.collect()} == {2, 3, 4, 6, 7, 8, None}
     assert ordinal_tox.drop_toxic(docs, ordinal_tox.OrdinalModel()).count() == len(ROWS)
 
 
