@@ -229,6 +229,10 @@ def _verify_kernel(cfg: NearConfig):
     return run
 
 
+#: Columns of the keys of NearDuplicates._split.
+KEYED = ("at", "inner", "inside")
+
+
 class NearDuplicates:
     """One run: tables by node (a distinct text), links, and components."""
 
@@ -347,23 +351,30 @@ class NearDuplicates:
 
     def _all_pairs(self, current: DataFrame, keys: list[str], out: list[str] | None = None) -> DataFrame:
         """Pairs across labels within each key."""
-        own = [c for c in ("node", "label", "n", "first") if c in current.columns]
+        own = [c for c in ("node", "label", "n", *KEYED) if c in current.columns]
         p = current.select(*keys, *own)
         q = p.toDF(*keys, *(f"m_{c}" for c in own))
         return p.join(q, keys).where((F.col("node") < F.col("m_node")) & self._meet(p)).select(*(out or []), F.col("node").alias("a"), F.col("m_node").alias("b")).distinct()
 
     def _meet(self, p: DataFrame):
-        """Whether two members of a key are to be compared; the shorter must have the key among its first."""
+        """Whether two members of a key are to be compared. If a key of `_split` is the first that they share, they
+        share no more than what either has from there on, and of what is inside the reference no more than either has."""
         good = (F.col("label") != F.col("m_label")) & self._near(F.col("n"), F.col("m_n"))
-        if "first" in p.columns:
-            good = good & F.when(F.struct("n", "node") < F.struct("m_n", "m_node"), F.col("first")).otherwise(F.col("m_first"))
+        if "at" in p.columns:
+            of = lambda m: F.when(F.col("inner"), F.col(f"{m}inside")).otherwise(F.col(f"{m}n") - F.col(f"{m}inside")) - F.col(f"{m}at")
+            inside = F.when(F.col("inner"), F.lit(0)).otherwise(F.least("inside", "m_inside"))
+            good = good & (F.least(of(""), of("m_")) + inside >= self._enough(F.col("n") + F.col("m_n")))
         return good
 
+    def _enough(self, n):
+        """The least number of shared shingles for two texts with n shingles together."""
+        return self.cfg.similarity / (1 + self.cfg.similarity) * n - 1e-9
+
     def _blocked_pairs(self, current: DataFrame, keys: list[str], out: list[str]) -> DataFrame:
         """The same for large keys: members are dealt into blocks, and every two blocks meet in a task of their own."""
         blocks = F.ceil(F.col("size") / self.cfg.block).cast("int")
         p = current.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        p = p.select(*keys, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "label", "n", "first")
+        p = p.select(*keys, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "label", "n", *KEYED)
         both = [*keys, "lo", "hi"]
         q = p.toDF(*both, *(f"m_{c}" for c in p.columns[len(both) :]))
         good = (F.col("own") == F.col("lo")) & (F.col("m_own") == F.col("hi")) & ((F.col("lo") < F.col("hi")) | (F.col("node") < F.col("m_node"))) & self._meet(p)
@@ -387,8 +398,8 @@ class NearDuplicates:
         outside their reference or inside it, where `need` is what the shortest possible partner asks: for
         nodes of the reference's component a partner is a stranger to it. That the reference's shingles are
         enough asks for a stranger that has enough of them for its own and its partner's length; other
-        groups need no rows for what is inside. A key is among the `first` of a node if it would be with a
-        partner at least as long. Only keys that several components share are kept.
+        groups need no rows for what is inside. Only keys that several components share are kept, and keys
+        with the same two smallest hashes of members are one: a passage that many texts share is not many keys.
         """
         led, share = self._led(current), self.cfg.similarity / (1 + self.cfg.similarity)
         own_side = F.col("label") == F.col("l_label")
@@ -400,18 +411,19 @@ class NearDuplicates:
         pairs = led.select("node", "l", "need").join(side("node", "tn"), "node").join(side("l", "tl"), "l").select("node", "l", "tn", "tl", "need")
         told = self.save(pairs.mapInArrow(_reference_kernel(self.cfg), "node long, l long, inside int, mask array<long>, outer array<long>, inner array<long>"), "told")
         both = led.join(told, ["node", "l"])
-        enough = lambda partner: F.col("inside") >= share * (F.col("n") + F.col(partner)) - 1e-9
+        enough = lambda partner: F.col("inside") >= self._enough(F.col("n") + F.col(partner))
         within = both.where(F.size("inner") > 0)
         shortest = within.groupBy("l").agg(F.min("n").alias("any_n"))
         stranger = (F.col("label") != F.col("l_label")) & enough("any_n")
         bounds = self.save(within.join(shortest, "l").where(stranger).groupBy("l").agg(F.min("n").alias("stranger_n"), F.min("any_n").alias("any_n")), "bounds")
         within = within.join(bounds, "l").where(stranger | enough("stranger_n"))
-        longer = F.ceil(2 * share * F.col("n") - 1e-9)
-        shown = lambda df, side, first: df.select("l", "node", "label", F.posexplode(side).alias("at", "s"), first.alias("k")).select("l", "s", "node", "label", (F.col("at") < F.col("k")).alias("first"))
-        rows = shown(both, "outer", F.col("n") - F.col("inside") - F.greatest(F.lit(1), longer - F.col("inside")) + 1)
-        rows = self.save(rows.unionByName(shown(within, "inner", F.col("inside") - longer + 1)), "telling")
-        sizes = rows.groupBy("l", "s").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi"), F.max("first").alias("any")).where("lo <> hi AND any").select("l", "s", "size")
-        keyed = rows.drop("label").join(sizes, ["l", "s"]).join(led.select("node", "l", "n"), ["node", "l"])
+        shown = lambda df, side: df.select("l", "node", "label", "n", "inside", F.lit(side == "inner").alias("inner"), F.posexplode(side).alias("at", "s"))
+        rows = self.save(shown(both, "outer").unionByName(shown(within, "inner")), "telling")
+        one = lambda salt: F.min(F.xxhash64("node", F.lit(salt))).alias(f"m{salt}")
+        keys = rows.groupBy("l", "s").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), one(1), one(2)).where("lo <> hi").select("l", "s", "m1", "m2")
+        folded = rows.join(keys, ["l", "s"]).groupBy("l", F.xxhash64("inner", "m1", "m2").alias("s"), "node").agg(F.min("at").alias("at"), *(F.first(c).alias(c) for c in ("n", "inner", "inside")))
+        folded = self.save(folded, "folded")
+        keyed = folded.join(folded.groupBy("l", "s").agg(F.count(F.lit(1)).alias("size")), ["l", "s"])
         return self.save(keyed, "keyed"), self.save(both.select("node", "l", "mask", (F.col("n") - F.col("inside")).alias("outside"), "n"), "masks")
 
     def _possible(self, pairs: DataFrame, told: DataFrame) -> DataFrame:
@@ -420,8 +432,7 @@ class NearDuplicates:
         side = lambda p: told.toDF(p, "l", f"{p}_mask", f"{p}_outside", f"{p}_n")
         met = pairs.join(side("a"), ["a", "l"]).join(side("b"), ["b", "l"])
         both = F.aggregate(F.zip_with("a_mask", "b_mask", lambda x, y: F.bit_count(x.bitwiseAND(y))), F.lit(0), lambda t, x: t + x)
-        least = self.cfg.similarity / (1 + self.cfg.similarity) * (F.col("a_n") + F.col("b_n")) - 1e-9
-        return met.where(both + F.least("a_outside", "b_outside") >= least).select("a", "b").distinct()
+        return met.where(both + F.least("a_outside", "b_outside") >= self._enough(F.col("a_n") + F.col("b_n"))).select("a", "b").distinct()
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
         side = lambda key, name: self.texts.select(F.col("node").alias(key), F.col("text").alias(name))
