@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.functions.text import is_slug, is_trimmed
-from pairforge.schema import AUTHORS, CHANNELS, FRAMINGS, MANUAL_FRAMINGS, USER_CHANNEL
+from pairforge.schema import USER_CHANNEL, AxisOrder
 
 
 class InvalidData(ValueError):
@@ -60,14 +60,33 @@ def pair_violations(bank: DataFrame) -> DataFrame:
     return bank.where(~is_slug(F.col("pair_id")) | (F.col("first") == F.col("second")) | ~is_trimmed(F.col("first")) | ~is_trimmed(F.col("second")))
 
 
-def writable(author: Column, framing: Column) -> Column:
+def writable(author: Column, framing: Column, order: AxisOrder | None = None) -> Column:
     """The user writes only the manual framings."""
-    return (author != "user") | framing.isin(*MANUAL_FRAMINGS)
+    return (author != "user") | framing.isin(*(order or AxisOrder()).manual)
 
 
-def spec_violations(specs: DataFrame) -> DataFrame:
-    known = F.col("framing").isin(*FRAMINGS) & F.col("channel").isin(*CHANNELS) & F.col("author").isin(*AUTHORS)
-    return specs.where(~known | ~writable(F.col("author"), F.col("framing")) | ~is_trimmed(F.col("instruction")))
+def spec_violations(specs: DataFrame, order: AxisOrder | None = None) -> DataFrame:
+    order = order or AxisOrder()
+    known = F.col("framing").isin(*order.framing) & F.col("channel").isin(*order.channel) & F.col("author").isin(*order.author)
+    return specs.where(~known | ~writable(F.col("author"), F.col("framing"), order) | ~is_trimmed(F.col("instruction")))
+
+
+def side_violations(specs: DataFrame) -> DataFrame:
+    """(pair_id, problem): sides that are missing, hold a specification twice, share one with the other side, or
+    cannot reach the other because neither has a specification in the user's channel."""
+    key = ("pair_id", "framing", "channel", "author", "instruction")
+    user = F.count_if(F.col("channel") == USER_CHANNEL)
+    count = specs.groupBy("pair_id").agg(F.countDistinct("side").alias("sides"), user.alias("users"))
+    twice = specs.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("side").alias("sides")).where("n > 1")
+    empty = count.where("sides < 2").select("pair_id", F.lit("missing side").alias("problem"))
+    lonely = count.where("users = 0").select("pair_id", F.lit("no user channel").alias("problem"))
+    same = twice.select("pair_id", F.when(F.col("sides") > 1, "shared by both sides").otherwise("repeated").alias("problem")).distinct()
+    return empty.unionByName(lonely).unionByName(same)
+
+
+def require_compliant(audit: DataFrame) -> None:
+    """Fail closed if any message of an audit does not comply or was not decided."""
+    require_empty(audit.where(~F.coalesce(F.col("complies"), F.lit(False))), "messages that do not comply")
 
 
 def study_violations(studies: DataFrame) -> DataFrame:

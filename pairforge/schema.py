@@ -9,8 +9,8 @@ from pyspark.sql import types as T
 
 from pairforge.shared import literal
 
-# Levels of each axis in declared order.
-FRAMINGS = ("normal", "casual", "persuasive", "subagent", "reasonese-normal", "reasonese-persuasive", "compressed-normal", "compressed-persuasive")
+# Default levels of each axis in declared order. Other names of levels are parameters (AxisOrder).
+FRAMINGS = ("normal", "casual", "persuasive", "subagent", "reasoning-normal", "reasoning-persuasive", "compressed-normal", "compressed-persuasive")
 REASONING_FRAMINGS = FRAMINGS[4:6]
 DESCRIPTIVE_FRAMINGS = FRAMINGS[6:8]
 MANUAL_FRAMINGS = ("normal", "casual", "persuasive")
@@ -48,7 +48,7 @@ STUDIES = "study_id string, assistant string, rollouts int, input1 struct<instru
 
 @dataclass(frozen=True)
 class AxisOrder:
-    """Order and reference levels of the axes of a data set."""
+    """Order, reference levels and roles of the axes' levels of a data set."""
 
     framing: tuple[str, ...] = FRAMINGS
     channel: tuple[str, ...] = CHANNELS
@@ -56,9 +56,12 @@ class AxisOrder:
     framing_reference: tuple[str, ...] = ("normal",)
     channel_reference: tuple[str, ...] = (USER_CHANNEL,)
     author_reference: tuple[str, ...] = AUTHORS[1:]
+    reasoning: tuple[str, ...] = REASONING_FRAMINGS
+    descriptive: tuple[str, ...] = DESCRIPTIVE_FRAMINGS
+    manual: tuple[str, ...] = MANUAL_FRAMINGS
 
 
-def axis_dimension(spark: SparkSession) -> DataFrame:
+def axis_dimension(spark: SparkSession, order: AxisOrder | None = None) -> DataFrame:
     """(axis, value, ordinal): every level in declared order."""
-    rows = [(axis, value, k) for axis, values in (("framing", FRAMINGS), ("channel", CHANNELS), ("author", AUTHORS)) for k, value in enumerate(values)]
+    rows = [(axis, value, k) for axis in AXES for k, value in enumerate(getattr(order or AxisOrder(), axis))]
     return literal(spark, rows, "axis string, value string, ordinal int")
