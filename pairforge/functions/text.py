@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 SLUG = r"^[a-z0-9]+(-[a-z0-9]+)*$"
 
@@ -64,15 +66,59 @@ def strict_boolean(payload: Column, field: str) -> Column:
 
 
 def tool_call_id(assistant: Column, identity: Column, long_prefix: str = "Qwen3.8 2.4T") -> Column:
-    """Id of a tool call in the assistant's own form; no built-in function has BLAKE2s."""
+    """Id of a tool call in the assistant's own form; no built-in function has BLAKE2s, so batches go through Arrow."""
 
-    def digest(text: str | None) -> str | None:
-        return None if text is None else hashlib.blake2s(text.encode(), digest_size=16).hexdigest()
+    @F.arrow_udf("string")
+    def digest(text: pa.Array) -> pa.Array:
+        return pa.array([None if t is None else hashlib.blake2s(t.encode(), digest_size=16).hexdigest() for t in text.to_pylist()], pa.string())
 
-    d = F.udf(digest, T.StringType())(identity)
+    d = digest(identity)
     return F.when(assistant == long_prefix, F.concat(F.lit("chatcmpl-tool-"), F.substring(d, 1, 16))).otherwise(F.concat(F.lit("call_"), F.substring(d, 1, 24)))
 
 
+def response_fingerprint(payload: Column) -> Column:
+    """SHA-256 of a response's canonical JSON, its model without a route's suffix; null where it is no JSON object."""
+
+    @F.arrow_udf("string")
+    def digest(text: pa.Array) -> pa.Array:
+        out = []
+        for t in text.to_pylist():
+            try:
+                found = json.loads(t) if t is not None else None
+            except ValueError:
+                found = None
+            if not isinstance(found, dict):
+                out.append(None)
+                continue
+            if isinstance(found.get("model"), str):
+                found["model"] = re.sub(r":(free|batch)$", "", found["model"])
+            out.append(hashlib.sha256(json.dumps(found, sort_keys=True, separators=(",", ":")).encode()).hexdigest())
+        return pa.array(out, pa.string())
+
+    return digest(payload)
+
+
+def pair_audit(content: Column) -> Column:
+    """The audit of a pair of instructions where the content is exactly that, else null.
+
+    {first, second: {feasible, requires_tools, difficulty}, mutually_exclusive, issues}, with booleans, whole numbers
+    from 1 to 5 and a list of strings.
+    """
+    parsed = F.try_parse_json(content)
+    kind = lambda path: F.schema_of_variant(F.try_variant_get(parsed, path, "variant"))
+    value = lambda path, of: F.try_variant_get(parsed, path, of)
+    keys = lambda c, *names: F.coalesce(F.sort_array(F.json_object_keys(c)) == F.array(*map(F.lit, sorted(names))), F.lit(False))
+    ok = keys(content, "first", "second", "mutually_exclusive", "issues") & (kind("$.mutually_exclusive") == "BOOLEAN") & kind("$.issues").isin("ARRAY<STRING>", "ARRAY<VOID>")
+    sides = []
+    for side in ("first", "second"):
+        at = f"$.{side}"
+        ok = ok & keys(F.get_json_object(content, at), "feasible", "requires_tools", "difficulty") & (kind(f"{at}.feasible") == "BOOLEAN") & (kind(f"{at}.requires_tools") == "BOOLEAN")
+        ok = ok & (kind(f"{at}.difficulty") == "BIGINT") & value(f"{at}.difficulty", "int").between(1, 5)
+        sides.append(F.struct(value(f"{at}.feasible", "boolean").alias("feasible"), value(f"{at}.requires_tools", "boolean").alias("requires_tools"), value(f"{at}.difficulty", "int").alias("difficulty")).alias(side))
+    issues = F.from_json(F.get_json_object(content, "$.issues"), "array<string>")
+    return F.when(F.coalesce(ok, F.lit(False)), F.struct(*sides, value("$.mutually_exclusive", "boolean").alias("mutually_exclusive"), issues.alias("issues")))
+
+
 def is_written(content: Column, placeholder: str = "TODO:") -> Column:
     """Whether a text is there and not just a placeholder."""
     text = F.regexp_replace(content, r"^\s+|\s+$", "")

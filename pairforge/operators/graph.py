@@ -2,21 +2,51 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairforge.shared import materialize
+from pairforge.shared import materialize, ship
+
+
+def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, smallest node of its component) of a few edges."""
+    up: dict = {}
+
+    def root(x):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        return x
 
+    kind = None
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            up.setdefault(a, a)
+            up.setdefault(b, b)
+            a, b = root(a), root(b)
+            up[max(a, b)] = min(a, b)
+    if up:
+        yield pa.record_batch([pa.array(list(up), kind), pa.array([root(x) for x in up], kind)], names=["node", "label"])
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+
+def components(nodes: DataFrame, edges: DataFrame, in_one_task: int = 500_000) -> DataFrame:
     """(node, label): label is the smallest node of the component; nodes without an edge keep their own.
 
     nodes: (node); edges: (a, b). Each round takes the smallest label around a node, then the label's
-    own label, and writes the table, so the lineage stays short and lost executors cost one round.
+    own label, and writes the table, so the lineage stays short and lost executors cost one round. A graph of
+    at most `in_one_task` edges, which are counted first, is labelled by union-find in one task instead.
     """
     spark = nodes.sparkSession
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
-    both, _ = materialize(spark, both, "edges")
+    single, _ = materialize(spark, edges.select("a", "b").where("a <> b").distinct(), "edges")
+    if single.count() <= in_one_task:
+        ship(spark)
+        kind = dict(nodes.dtypes)["node"]
+        found = single.coalesce(1).mapInArrow(_union_find, f"node {kind}, label {kind}")
+        return nodes.join(found, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+    both = single.unionByName(single.select(F.col("b").alias("a"), F.col("a").alias("b")))
     labels = nodes.select("node", F.col("node").alias("label"))
     while True:
         around = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
@@ -29,13 +59,39 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def component_index(labels: DataFrame) -> DataFrame:
-    """Adds component: 0, 1, ... in the order of the smallest members.
+def cumulative(rows: DataFrame, order: str, sums: list[str], parts: int = 128) -> DataFrame:
+    """Adds before_<c>, the sum of c over rows of smaller order (which must be distinct), and `following`, the next order.
 
-    Only one row per component is numbered in a single task, not the nodes.
+    Rows are dealt into ranges at fixed cuts from a sample of at most 100 values a range; the ranges' totals are added up on
+    the driver, at most `parts` rows, and each range in a window of its own. So no task holds all rows.
     """
-    from pyspark.sql import Window
+    spark = rows.sparkSession
+    share = min(1.0, 100 * parts / max(1, rows.count()))
+    seen = sorted(r[0] for r in rows.sample(share, seed=1).select(order).where(F.col(order).isNotNull()).limit(400 * parts).collect())
+    cuts = sorted({seen[len(seen) * k // parts] for k in range(1, parts)}) if seen else []
+    at = F.lit(0)
+    if cuts:
+        kind = dict(rows.dtypes)[order]
+        at = F.size(F.filter(F.array(*map(F.lit, cuts)).cast(f"array<{kind}>"), lambda c: c <= F.col(order)))
+    dealt = rows.withColumn("_part", at)
+    totals = dealt.groupBy("_part").agg(F.min(order).alias("lo"), *(F.sum(c).alias(c) for c in sums)).orderBy("_part").collect()
+    running, out = [0] * len(sums), []
+    for k, r in enumerate(totals):
+        out.append((r["_part"], totals[k + 1]["lo"] if k + 1 < len(totals) else None, *running))
+        running = [x + (r[c] or 0) for x, c in zip(running, sums, strict=True)]
+    kinds = dict(rows.dtypes)
+    offsets = spark.createDataFrame(out, ", ".join(["_part int", f"_next {kinds[order]}", *(f"_before_{c} {'double' if kinds[c] == 'double' else 'long'}" for c in sums)]))
+    mine = Window.partitionBy("_part").orderBy(order)
+    earlier = mine.rowsBetween(Window.unboundedPreceding, -1)
+    joined = dealt.join(F.broadcast(offsets), "_part")
+    joined = joined.withColumn("following", F.coalesce(F.lead(order).over(mine), F.col("_next")))
+    for c in sums:
+        joined = joined.withColumn(f"before_{c}", F.col(f"_before_{c}") + F.coalesce(F.sum(c).over(earlier), F.lit(0)))
+    return joined.select(*rows.columns, "following", *(f"before_{c}" for c in sums))
 
-    roots = labels.where("node = label").select("label")
-    numbered = roots.withColumn("component", (F.row_number().over(Window.orderBy("label")) - 1).cast("int"))
-    return labels.join(numbered, "label").select("node", "label", "component")
+
+def component_index(labels: DataFrame) -> DataFrame:
+    """Adds component: 0, 1, ... in the order of the smallest members, numbered within ranges of them."""
+    roots, _ = materialize(labels.sparkSession, labels.where("node = label").select("label"), "roots")
+    numbered = cumulative(roots.withColumn("one", F.lit(1).cast("long")), "label", ["one"])
+    return labels.join(numbered.select("label", F.col("before_one").cast("int").alias("component")), "label").select("node", "label", "component")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
 from typing import Any
 
 import numpy as np
@@ -10,16 +12,37 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairforge.functions.stats import softmax
-from pairforge.schema import DESCRIPTIVE_FRAMINGS, REASONING_FRAMINGS
-from pairforge.shared import literal, ship
+from pairforge.operators.graph import cumulative
+from pairforge.operators.validate import InvalidData, require_empty
+from pairforge.schema import AxisOrder
+from pairforge.shared import literal, materialize, ship
 
-def probe_expectation(framing: Column) -> Column:
-    return F.when(framing.isin(*REASONING_FRAMINGS), "reasoning").when(framing.isin(*DESCRIPTIVE_FRAMINGS), "descriptive").otherwise("nonreasoning")
 
+def probe_expectation(framing: Column, order: AxisOrder | None = None) -> Column:
+    order = order or AxisOrder()
+    return F.when(framing.isin(*order.reasoning), "reasoning").when(framing.isin(*order.descriptive), "descriptive").otherwise("nonreasoning")
 
-def decision(expectation: Column, probability: Column, threshold: Column) -> Column:
-    """Whether a probability is as expected; null where nothing is expected."""
-    return F.when(expectation == "reasoning", probability >= threshold).when(expectation == "nonreasoning", probability < threshold)
+
+def decision(expectation: Column, probability: Column, threshold: Column, below: Column | None = None) -> Column:
+    """Whether a probability is as expected; null where nothing is expected.
+
+    With `below`, what is not reasoning is held against that threshold instead.
+    """
+    return F.when(expectation == "reasoning", probability >= threshold).when(expectation == "nonreasoning", probability < (threshold if below is None else below))
+
+
+def decide(rows: DataFrame, threshold: float, by_channel: DataFrame | None = None) -> DataFrame:
+    """Adds complies and issue. rows: expectation, channel, probability; by_channel: channel, reasoning_minimum,
+    nonreasoning_maximum, which replace the threshold in their channel; channels are few, so it is broadcast."""
+    if by_channel is not None:
+        rows = rows.join(F.broadcast(by_channel.select("channel", "reasoning_minimum", "nonreasoning_maximum")), "channel", "left")
+    else:
+        rows = rows.withColumns({"reasoning_minimum": F.lit(None).cast("double"), "nonreasoning_maximum": F.lit(None).cast("double")})
+    low, high = (F.coalesce(c, F.lit(float(threshold))) for c in ("reasoning_minimum", "nonreasoning_maximum"))
+    complies = decision(F.col("expectation"), F.col("probability"), low, high)
+    used = F.when(F.col("expectation") == "reasoning", low).otherwise(high)
+    issue = F.when(~complies, F.format_string("mean probability %.8f conflicts with %s at threshold %.8f", "probability", "expectation", used))
+    return rows.withColumn("complies", complies).withColumn("issue", issue).drop("reasoning_minimum", "nonreasoning_maximum")
 
 
 def split_counts(n: int, shares: tuple[float, ...]) -> list[int]:
@@ -80,19 +103,24 @@ def segment_means(rows: DataFrame) -> DataFrame:
     return rows.groupBy("conversation", "role").agg(F.avg("probability").alias("probability"))
 
 
+def score_steps(rows: DataFrame) -> DataFrame:
+    """Distinct scores with pos, neg, what lies below (before_pos, before_neg) and the next score. rows: score, positive."""
+    by_score = rows.groupBy("score").agg(F.count_if("positive").alias("pos"), F.count_if(~F.col("positive")).alias("neg"))
+    by_score, _ = materialize(rows.sparkSession, by_score, "scores")
+    return cumulative(by_score, "score", ["pos", "neg"])
+
+
+def _auc(pos: str = "pos", neg: str = "neg") -> list[Column]:
+    wins = F.sum(F.col(pos) * (F.col(f"before_{neg}") + F.col(neg) / 2))
+    return [F.sum(pos).alias("positives"), F.sum(neg).alias("negatives"), F.try_divide(wins, (F.sum(pos) * F.sum(neg)).cast("double")).alias("auc")]
+
+
 def pooled_auc(rows: DataFrame) -> DataFrame:
     """AUC of score for positive against negative rows, ties a half, by ranks instead of all pairs.
 
-    Equal scores are counted together first; running counts are then taken within hundreds of score
-    ranges whose totals come first, so the sort is spread over tasks.
+    Equal scores are counted together first; running counts are taken within ranges of scores.
     """
-    by_score = rows.groupBy("score").agg(F.count_if("positive").alias("pos"), F.count_if(~F.col("positive")).alias("neg"))
-    by_score = by_score.repartitionByRange("score").withColumn("part", F.spark_partition_id())
-    before = by_score.groupBy("part").agg(F.sum("neg").alias("neg_in_part")).withColumn("neg_before", F.sum("neg_in_part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    running = by_score.withColumn("below", F.sum("neg").over(Window.partitionBy("part").orderBy("score")) - F.col("neg"))
-    joined = running.join(F.broadcast(before.select("part", F.coalesce("neg_before", F.lit(0)).alias("neg_before"))), "part")
-    wins = F.sum(F.col("pos") * (F.col("neg_before") + F.col("below") + F.col("neg") / 2))
-    return joined.agg(F.sum("pos").alias("positives"), F.sum("neg").alias("negatives"), F.try_divide(wins, (F.sum("pos") * F.sum("neg")).cast("double")).alias("auc"))
+    return score_steps(rows).agg(*_auc())
 
 
 def paired_concordance(rows: DataFrame) -> DataFrame:
@@ -102,19 +130,83 @@ def paired_concordance(rows: DataFrame) -> DataFrame:
 
 
 def threshold_calibration(rows: DataFrame) -> DataFrame:
-    """The threshold with the best (balanced accuracy, smaller of both rates, threshold).
+    """One row: the threshold with the best (balanced accuracy, smaller of both rates, threshold), the rates, the AUC and
+    how many candidates there are; not usable, and null, if the AUC is no more than a half or nothing tells rows apart.
 
     Between neighbouring scores both rates are constant, so of each gap the largest candidate counts:
     the upper score itself. Candidates that call all rows alike are left out.
     """
-    by_score = rows.groupBy("score").agg(F.count_if("positive").alias("pos"), F.count_if(~F.col("positive")).alias("neg"))
-    up = Window.orderBy("score")
-    total = rows.agg(F.count_if("positive").alias("p"), F.count_if(~F.col("positive")).alias("n"))
-    c = by_score.crossJoin(F.broadcast(total)).select("score", "p", "n", (F.col("p") - F.coalesce(F.sum("pos").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("tp"), F.coalesce(F.sum("neg").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("tn"))
-    c = c.where((F.col("tp") + F.col("n") - F.col("tn") < F.col("p") + F.col("n")) & (F.col("tp") + F.col("n") - F.col("tn") > 0))
-    sensitivity, specificity = F.try_divide(F.col("tp"), F.col("p")), F.try_divide(F.col("tn"), F.col("n"))
-    c = c.select(F.col("score").alias("threshold"), sensitivity.alias("sensitivity"), specificity.alias("specificity"), ((sensitivity + specificity) / 2).alias("balanced_accuracy"))
-    return c.orderBy(F.desc("balanced_accuracy"), F.desc(F.least("sensitivity", "specificity")), F.desc("threshold")).limit(1)
+    steps, _ = materialize(rows.sparkSession, score_steps(rows), "steps")
+    total = steps.agg(*_auc(), F.count(F.lit(1)).alias("scores"), F.count_if((F.col("score").cast("double") + F.col("following")) / 2 > F.col("score")).alias("middles"))
+    c = steps.join(F.broadcast(total.select("positives", "negatives", "auc")), how="cross")
+    tp, tn = F.col("positives") - F.col("before_pos"), F.col("before_neg")
+    c = c.where((F.col("before_pos") + F.col("before_neg") > 0) & (F.col("auc") > 0.5))
+    c = c.select(F.col("score").alias("threshold"), (tp / F.col("positives")).alias("sensitivity"), (tn / F.col("negatives")).alias("specificity"))
+    c = c.withColumn("balanced_accuracy", (F.col("sensitivity") + F.col("specificity")) / 2)
+    best = c.orderBy(F.desc("balanced_accuracy"), F.desc(F.least("sensitivity", "specificity")), F.desc("threshold")).limit(1)
+    count = F.when(F.col("scores") > 0, F.col("scores") + F.col("middles") + 2).otherwise(F.lit(0))
+    out = total.select("auc", count.alias("candidate_count")).join(best, how="left")
+    return out.select("threshold", "auc", "balanced_accuracy", "sensitivity", "specificity", "candidate_count", F.col("threshold").isNotNull().alias("usable"))
+
+
+def rates_at(rows: DataFrame, calibration: DataFrame) -> DataFrame:
+    """Sensitivity and specificity of a calibration's threshold on other rows. rows: score, positive."""
+    both = rows.join(F.broadcast(calibration.select("threshold")), how="cross")
+    up = F.col("score") >= F.col("threshold")
+    return both.agg(F.try_divide(F.count_if(F.col("positive") & up), F.count_if("positive")).alias("test_sensitivity"), F.try_divide(F.count_if(~F.col("positive") & ~up), F.count_if(~F.col("positive"))).alias("test_specificity"))
+
+
+@dataclass(frozen=True)
+class Gates:
+    """The least figures of a probe that may be used."""
+
+    role_accuracy: float = 0.75
+    document_accuracy: float = 0.75
+    sensitivity: float = 0.75
+    specificity: float = 0.75
+    auc: float = 0.85
+    auc_above: float = 0.5
+
+
+def qualification(calibration_pairs: DataFrame, test_pairs: DataFrame, test_tokens: DataFrame, gates: Gates | None = None, replicates: int = 10_000, seed: int = 0) -> DataFrame:
+    """One row: the threshold frozen on calibration pairs, its figures on test pairs, and which gates they pass.
+
+    pairs: conversation, reasoning, final; tokens: document, label, predicted, p. Calibration and test must not share
+    a conversation. The bootstrap needs the test pairs at the driver, so there may be at most 4,096.
+    """
+    shared = calibration_pairs.join(test_pairs, "conversation", "left_semi")
+    require_empty(shared.select("conversation"), "conversations in calibration and in test")
+    gates, spark = gates or Gates(), test_pairs.sparkSession
+    frozen, _ = materialize(spark, threshold_calibration(paired_scores(calibration_pairs)), "calibration")
+    at_test = rates_at(paired_scores(test_pairs), frozen)
+    metrics = classification_metrics(test_tokens).select("document_accuracy").join(role_accuracies(test_tokens).agg(F.min("accuracy").alias("role_accuracy")), how="cross")
+    row = frozen.join(at_test, how="cross").join(metrics, how="cross").join(paired_bootstrap(test_pairs, replicates, seed), how="cross")
+    segment = (F.col("test_auc") >= gates.auc) & (F.col("lower_95") > gates.auc_above) & (F.col("test_sensitivity") >= gates.sensitivity) & (F.col("test_specificity") >= gates.specificity)
+    segment = F.coalesce(F.col("usable") & segment, F.lit(False))
+    whole = F.coalesce(segment & (F.col("role_accuracy") >= gates.role_accuracy) & (F.col("document_accuracy") >= gates.document_accuracy), F.lit(False))
+    return row.select("threshold", "usable", F.col("auc").alias("calibration_auc"), "test_auc", "lower_95", "upper_95", "test_sensitivity", "test_specificity", "role_accuracy", "document_accuracy", segment.alias("segment_passed"), whole.alias("passed"))
+
+
+def paired_scores(pairs: DataFrame) -> DataFrame:
+    """conversation, reasoning, final -> score, positive."""
+    return pairs.select(F.explode(F.array(F.struct(F.col("reasoning").cast("double").alias("score"), F.lit(True).alias("positive")), F.struct(F.col("final").cast("double").alias("score"), F.lit(False).alias("positive")))).alias("x")).select("x.score", "x.positive")
+
+
+def paired_bootstrap(pairs: DataFrame, replicates: int = 10_000, seed: int = 0, most: int = 4096) -> DataFrame:
+    """(test_auc, lower_95, upper_95, conversations) of pairs in the order of their conversations; more than `most` are an error."""
+    rows = pairs.select("conversation", "reasoning", "final").orderBy("conversation").limit(most + 1).collect()
+    if len(rows) > most:
+        raise InvalidData(f"a bootstrap of more than {most} conversations")
+    if not rows:
+        return literal(pairs.sparkSession, [(None, None, None, 0)], "test_auc double, lower_95 double, upper_95 double, conversations long")
+    a, b = (np.array([r[c] for r in rows], float) for c in ("reasoning", "final"))
+    return literal(pairs.sparkSession, [(*bootstrap_auc(a, b, replicates, seed), len(rows))], "test_auc double, lower_95 double, upper_95 double, conversations long")
+
+
+def role_accuracies(rows: DataFrame) -> DataFrame:
+    """(label, accuracy, document_accuracy): share of right tokens of each role, over all and as mean of documents' shares."""
+    by_document = rows.groupBy("label", "document").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == F.col("predicted")).alias("k"))
+    return by_document.groupBy("label").agg((F.sum("k") / F.sum("n")).alias("accuracy"), F.avg(F.col("k") / F.col("n")).alias("document_accuracy"))
 
 
 def bootstrap_auc(reasoning: np.ndarray, final: np.ndarray, replicates: int = 10_000, seed: int = 0) -> tuple[float, float, float]:
@@ -237,8 +329,17 @@ def probe_grid(rows: DataFrame, penalties: tuple[float, ...], classes: int, most
 
 
 def probe_report(rows: DataFrame, axis: str) -> DataFrame:
-    """Scores, directional scores, mismatches and errors by an axis. rows: axis, complies, error."""
-    return rows.groupBy(axis).agg(F.count_if(F.col("error").isNull()).alias("scores"), F.count("complies").alias("directional"), F.count_if(~F.col("complies")).alias("mismatches"), F.count("error").alias("errors"))
+    """Scores, directional scores, mismatches and errors by an axis, and masked tokens if there are any.
+
+    rows: axis, complies, error, and possibly masked.
+    """
+    masked = [F.coalesce(F.sum("masked"), F.lit(0)).cast("long").alias("masked")] if "masked" in rows.columns else []
+    return rows.groupBy(axis).agg(F.count_if(F.col("error").isNull()).alias("scores"), F.count("complies").alias("directional"), F.count_if(~F.col("complies")).alias("mismatches"), F.count("error").alias("errors"), *masked)
+
+
+def probe_reports(rows: DataFrame, axes: tuple[str, ...]) -> DataFrame:
+    """probe_report of several axes in one pass: axis, value and the counts."""
+    return probe_report(rows.unpivot(["complies", "error", "masked"], [F.col(a).cast("string").alias(a) for a in axes], "axis", "value").withColumn("key", F.struct("axis", "value")), "key").select("key.axis", "key.value", "scores", "directional", "mismatches", "errors", "masked")
 
 
 def judge_totals(rows: DataFrame) -> DataFrame:
@@ -259,11 +360,14 @@ def neutral_pair_violations(tokens: DataFrame) -> DataFrame:
 
 
 def threshold_candidates(rows: DataFrame) -> DataFrame:
-    """Distinct scores and the midpoints of neighbours; ties and order by value."""
+    """Distinct scores, the midpoints of neighbours, and the numbers next to the least and the greatest."""
     scores = rows.select(F.col("score").cast("double").alias("score")).distinct()
-    scores = scores.withColumn("following", F.lead("score").over(Window.orderBy("score")))
+    scores, _ = materialize(rows.sparkSession, scores, "scores")
+    scores = cumulative(scores, "score", [])
     both = scores.select(F.explode(F.array_compact(F.array(F.col("score"), (F.col("score") + F.col("following")) / 2))).alias("threshold"))
-    return both.distinct()
+    ends = scores.agg(F.min("score").alias("lo"), F.max("score").alias("hi")).first()
+    outer = [] if ends["lo"] is None else [(math.nextafter(ends["lo"], -math.inf),), (math.nextafter(ends["hi"], math.inf),)]
+    return both.unionByName(rows.sparkSession.createDataFrame(outer, "threshold double")).distinct()
 
 
 def classify(score: Column, threshold: Column) -> Column:

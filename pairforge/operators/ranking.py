@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairforge.functions.stats import sigmoid
 from pairforge.operators.graph import component_index, components
 from pairforge.shared import literal, materialize, ship
 
@@ -43,8 +44,8 @@ def comparisons(obs: DataFrame) -> DataFrame:
 
 def cell_components(obs: DataFrame, compared: DataFrame) -> DataFrame:
     """(cell_id, component) with components numbered by their smallest cells."""
-    edges = compared.select(F.col("first").alias("a"), F.col("second").alias("b")).distinct()
-    labels = components(obs.select(F.col("cell_id").alias("node")).distinct(), edges)
+    edges = compared.select(F.col("first").alias("a"), F.col("second").alias("b"))
+    labels, _ = materialize(obs.sparkSession, components(obs.select(F.col("cell_id").alias("node")).distinct(), edges), "cells")
     return component_index(labels).select(F.col("node").alias("cell_id"), "component")
 
 
@@ -170,32 +171,68 @@ def bootstrap_intervals(met: DataFrame, cfg: FitConfig) -> DataFrame:
     return q.select("cell_id", F.col("q")[0].alias("bootstrap_low"), F.col("q")[1].alias("bootstrap_high"))
 
 
-def ranking(obs: DataFrame, cfg: FitConfig | None = None, bootstrap: bool = False) -> DataFrame:
-    """Rank, score, error, completions and (on request) bootstrap interval of every cell."""
+@dataclass
+class Fits:
+    """Everything that is fitted for an analysis, from one table of comparisons."""
+
+    l2: float
+    compared: DataFrame
+    cells: DataFrame
+    fitted: DataFrame
+    ranking: DataFrame
+
+
+def fit_all(obs: DataFrame, cfg: FitConfig | None = None, bootstrap: bool = False, penalties: tuple[float, ...] = (0.1, 1.0, 10.0)) -> Fits:
+    """Comparisons, components, fits at multiples of the penalty, and the ranking at the penalty itself."""
     cfg, spark = cfg or FitConfig(), obs.sparkSession
     compared, _ = materialize(spark, comparisons(obs), "comparisons")
     cells = cell_components(obs, compared)
     met, _ = materialize(spark, meetings(compared, cells), "meetings")
-    fitted = fit_scores(met, [cfg.l2], cfg)
+    fitted, _ = materialize(spark, fit_scores(met, sorted({cfg.l2 * x for x in penalties} | {cfg.l2}), cfg), "fits")
     counts = obs.groupBy("cell_id", "instruction", "framing", "channel", "author", "assistant", "pair_id", "side", "skill", "conflict").agg(F.count_if("completed").alias("completions"), F.count(F.lit(1)).alias("observations"))
-    out = counts.join(fitted, "cell_id").withColumnRenamed("rank_in", "rank").withColumn("completion_rate", F.col("completions") / F.col("observations"))
+    out = counts.join(fitted.where(F.col("l2") == cfg.l2), "cell_id").withColumnRenamed("rank_in", "rank").withColumn("completion_rate", F.col("completions") / F.col("observations"))
     if bootstrap:
-        return out.join(bootstrap_intervals(met, cfg), "cell_id", "left")
-    return out.withColumn("bootstrap_low", F.lit(None).cast("double")).withColumn("bootstrap_high", F.lit(None).cast("double"))
+        out = out.join(bootstrap_intervals(met, cfg), "cell_id", "left")
+    else:
+        out = out.withColumn("bootstrap_low", F.lit(None).cast("double")).withColumn("bootstrap_high", F.lit(None).cast("double"))
+    return Fits(cfg.l2, compared, cells, fitted, out)
 
 
-def l2_sensitivity(obs: DataFrame, cfg: FitConfig | None = None) -> DataFrame:
-    """(l2, rank_correlation_with_primary, max_absolute_rank_shift) at a tenth, once and ten times l2."""
-    cfg, spark = cfg or FitConfig(), obs.sparkSession
-    compared, _ = materialize(spark, comparisons(obs), "comparisons")
-    met, _ = materialize(spark, meetings(compared, cell_components(obs, compared)), "meetings")
-    fitted, _ = materialize(spark, fit_scores(met, [cfg.l2 / 10, cfg.l2, cfg.l2 * 10], cfg), "fits")
-    primary = fitted.where(F.col("l2") == cfg.l2).select("cell_id", F.col("rank_in").cast("double").alias("p"))
+def ranking(obs: DataFrame, cfg: FitConfig | None = None, bootstrap: bool = False) -> DataFrame:
+    """Rank, score, error, completions and (on request) bootstrap interval of every cell."""
+    return fit_all(obs, cfg, bootstrap, (1.0,)).ranking
+
+
+def rank_table(fitted: DataFrame) -> DataFrame:
+    return fitted.select("l2", "component", "cell_id", "score", F.col("rank_in").alias("rank"))
+
+
+def rank_stability(fitted: DataFrame, l2: float) -> DataFrame:
+    """(l2, rank_correlation_with_primary, max_absolute_rank_shift) of each penalty against the primary."""
+    primary = fitted.where(F.col("l2") == l2).select("cell_id", F.col("rank_in").cast("double").alias("p"))
     both = fitted.join(primary, "cell_id").withColumn("r", F.col("rank_in").cast("double"))
     corr = F.try_divide(F.covar_pop("p", "r"), F.stddev_pop("p") * F.stddev_pop("r"))
     return both.groupBy("l2").agg(F.when(F.count(F.lit(1)) == 1, 1.0).otherwise(corr).alias("rank_correlation_with_primary"), F.max(F.abs(F.col("p") - F.col("r"))).cast("int").alias("max_absolute_rank_shift"))
 
 
+def l2_sensitivity(obs: DataFrame, cfg: FitConfig | None = None) -> DataFrame:
+    """rank_stability at a tenth, once and ten times l2."""
+    cfg = cfg or FitConfig()
+    return rank_stability(fit_all(obs, cfg).fitted, cfg.l2)
+
+
+def stationarity(obs: DataFrame, fits: Fits) -> DataFrame:
+    """(component, largest gradient, mean score) of the fits at the primary penalty: how far from a centred optimum."""
+    s = fits.fitted.where(F.col("l2") == fits.l2).select("cell_id", "component", "score")
+    side = lambda c, name: s.select(F.col("cell_id").alias(c), F.col("score").alias(name))
+    pair = fits.compared.join(side("first", "s1"), "first").join(side("second", "s2"), "second")
+    pull = sigmoid(F.col("s1") - F.col("s2")) - F.col("outcome")
+    ends = pair.select(F.explode(F.array(F.struct(F.col("first").alias("cell_id"), pull.alias("g")), F.struct(F.col("second").alias("cell_id"), (-pull).alias("g")))).alias("x")).select("x.*")
+    total = s.join(ends.groupBy("cell_id").agg(F.sum("g").alias("g")), "cell_id", "left")
+    gradient = F.coalesce("g", F.lit(0.0)) + fits.l2 * F.col("score")
+    return total.groupBy("component").agg(F.max(F.abs(gradient)).alias("largest_gradient"), F.avg("score").alias("mean_score"), F.count(F.lit(1)).alias("cells"))
+
+
 def diagnostics(obs: DataFrame, fitted: DataFrame, compared: DataFrame) -> dict:
     """Counts and checks of an analysis, from single-row aggregates."""
     rows = obs.agg(F.count(F.lit(1)).alias("observations"), F.countDistinct("trial_id").alias("trials"), F.countDistinct("cell_id").alias("cells")).first().asDict()

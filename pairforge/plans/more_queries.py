@@ -59,17 +59,6 @@ def diagnostic_counts(spark, sf_dir):
     return rows.join(pairs)
 
 
-@query()
-def analysis_diagnostics(spark, sf_dir):
-    """Fit and graph checks of an analysis as one JSON row."""
-    import json
-
-    obs = observations(spark, sf_dir)
-    fitted, _ = materialize(spark, ranking.ranking(obs), "ranking")
-    found = ranking.diagnostics(obs, fitted, ranking.comparisons(obs))
-    return spark.range(1).select(F.lit(json.dumps(found, sort_keys=True)).alias("diagnostics"))
-
-
 @query(f"WITH {OBS_SQL} SELECT cell_id, instruction, framing, channel, author, assistant, count(*) AS observations FROM obs GROUP BY ALL")
 def cells(spark, sf_dir):
     return observations(spark, sf_dir).groupBy("cell_id", "instruction", "framing", "channel", "author", "assistant").agg(F.count(F.lit(1)).alias("observations"))
@@ -248,7 +237,7 @@ def ragged_pairs(spark, sf_dir):
     return design.ragged_pairs(design.pairing_counts(design.pair_specs(pair_bank(spark, sf_dir))))
 
 
-@query("WITH s AS (SELECT DISTINCT CAST(n_chars AS DOUBLE) AS s FROM labels JOIN documents USING (doc_id)), m AS (SELECT s, (s + lead(s) OVER (ORDER BY s)) / 2 AS m FROM s) SELECT s AS threshold FROM m UNION SELECT m FROM m WHERE m IS NOT NULL")
+@query("WITH s AS (SELECT DISTINCT CAST(n_chars AS DOUBLE) AS s FROM labels JOIN documents USING (doc_id)), m AS (SELECT s, (s + lead(s) OVER (ORDER BY s)) / 2 AS m FROM s) SELECT s AS threshold FROM m UNION SELECT m FROM m WHERE m IS NOT NULL UNION SELECT nextafter(min(s), '-infinity'::DOUBLE) FROM s UNION SELECT nextafter(max(s), 'infinity'::DOUBLE) FROM s")
 def threshold_candidates(spark, sf_dir):
     return probes.threshold_candidates(_labelled(spark, sf_dir).select(F.col("n_chars").alias("score")))
 
@@ -317,7 +306,7 @@ def block_sizes(spark, sf_dir):
     return obs.groupBy("assistant", F.col("pair_id").alias("pair")).agg(F.floor(F.count(F.lit(1)) / 2).alias("comparisons"), F.countDistinct("cell_id").alias("cells"))
 
 
-@query()
+@query(f"WITH {OBS_SQL}, {_STUDIES} SELECT study_id, assistant, p AS permutation, q AS position, CASE WHEN assistant <> 'P' THEN p / (p + q)::DOUBLE END AS score, CASE WHEN assistant = 'P' THEN 'no score' END AS error FROM studies, (VALUES (1), (2)) x(p), (VALUES (1), (2)) y(q)")
 def scored_requests(spark, sf_dir):
     """A scorer that fails for one assistant: its requests become error rows, the others are scored."""
     requests = design.probe_requests(studies(spark, sf_dir)).select("study_id", "assistant", "permutation", "position")

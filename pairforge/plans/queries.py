@@ -366,8 +366,10 @@ def pooled_auc(spark, sf_dir):
 
 @query(
     "WITH r AS (SELECT n_chars AS s, quality = 1 AS pos FROM labels JOIN documents USING (doc_id)), t AS (SELECT DISTINCT s FROM r),"
-    " c AS (SELECT t.s AS threshold, count_if(pos AND r.s >= t.s) / CAST(count_if(pos) AS DOUBLE) AS sensitivity, count_if(NOT pos AND r.s < t.s) / CAST(count_if(NOT pos) AS DOUBLE) AS specificity, count_if(r.s >= t.s) AS up, count(*) AS n FROM t, r GROUP BY t.s)"
-    " SELECT threshold, round(sensitivity, 9) AS sensitivity, round(specificity, 9) AS specificity, round((sensitivity + specificity) / 2, 9) AS balanced_accuracy FROM c WHERE up > 0 AND up < n ORDER BY (sensitivity + specificity) / 2 DESC, least(sensitivity, specificity) DESC, threshold DESC LIMIT 1"
+    " c AS (SELECT t.s AS threshold, count_if(pos AND r.s >= t.s) / CAST(count_if(pos) AS DOUBLE) AS sensitivity, count_if(NOT pos AND r.s < t.s) / CAST(count_if(NOT pos) AS DOUBLE) AS specificity, count_if(r.s >= t.s) AS up, count(*) AS n FROM t, r GROUP BY t.s),"
+    " b AS (SELECT * FROM c WHERE up > 0 AND up < n ORDER BY (sensitivity + specificity) / 2 DESC, least(sensitivity, specificity) DESC, threshold DESC LIMIT 1),"
+    " a AS (SELECT avg(CASE WHEN p.s > q.s THEN 1.0 WHEN p.s = q.s THEN 0.5 ELSE 0.0 END::DOUBLE) AS auc FROM r p, r q WHERE p.pos AND NOT q.pos)"
+    " SELECT threshold, round(auc, 9) AS auc, round(sensitivity, 9) AS sensitivity, round(specificity, 9) AS specificity, round((sensitivity + specificity) / 2, 9) AS balanced_accuracy, (SELECT 2 * count(*) + 1 FROM t) AS candidate_count, threshold IS NOT NULL AS usable FROM a LEFT JOIN b ON auc > 0.5"
 )
 def threshold_calibration(spark, sf_dir):
     rows = _labelled(spark, sf_dir).select(F.col("n_chars").alias("score"), (F.col("quality") == 1).alias("positive"))
@@ -383,8 +385,8 @@ def hash_split(spark, sf_dir):
 
 
 @query(
-    "WITH w AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark), s AS (SELECT a.item_id AS id, b.item_id AS neighbour, len(list_intersect(a.w, b.w)) / CAST(len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)) AS DOUBLE) AS similarity FROM w a JOIN w b ON a.item_id <> b.item_id),"
-    " r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, neighbour) AS k FROM s) SELECT id, neighbour, round(similarity, 9) AS similarity FROM r WHERE k = 1 AND similarity > 0"
+    "WITH w AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark), s AS (SELECT a.item_id AS id, b.item_id AS neighbour, CASE WHEN len(a.w) + len(b.w) = 0 THEN 1.0 ELSE len(list_intersect(a.w, b.w)) / CAST(len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)) AS DOUBLE) END AS similarity FROM w a JOIN w b ON a.item_id <> b.item_id),"
+    " r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, neighbour) AS k FROM s) SELECT id, neighbour, round(similarity, 9) AS similarity FROM r WHERE k = 1"
 )
 def jaccard_neighbours(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("item_id").alias("group"), "text")

@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 import pairforge.plans.more_queries  # noqa: F401
+import pairforge.plans.study_queries  # noqa: F401
 from pairforge.plans.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
