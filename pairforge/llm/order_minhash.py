@@ -112,7 +112,7 @@ def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
     """Length of the longest common subsequence that stays within `band` of the diagonal.
 
     Equal ends are matched first; the rest is a bit-parallel alignment, one big-integer step per
-    element of b, where matches outside the band do not count.
+    element of b, where matches outside the band do not count. Memory grows with the texts, not their square.
     """
     n = min(a.size, b.size)
     differ = np.flatnonzero(a[:n] != b[:n])
@@ -120,26 +120,34 @@ def aligned(a: np.ndarray, b: np.ndarray, band: int) -> int:
     a, b, n = a[head:], b[head:], n - head
     differ = np.flatnonzero(a[a.size - n :][::-1] != b[b.size - n :][::-1])
     tail = int(differ[0]) if differ.size else n
-    a, b = a[: a.size - tail].tolist(), b[: b.size - tail].tolist()
-    if not a or not b:
+    a, b = a[: a.size - tail], b[: b.size - tail]
+    if not a.size or not b.size:
         return head + tail
-    where: dict[int, int] = {}
-    wanted = set(b)
-    for i, x in enumerate(a):
-        if x in wanted:
-            where[x] = where.get(x, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    row, wide = full, (1 << (2 * band + 1)) - 1
-    narrow = len(a) > 2 * band + 1
-    for j, x in enumerate(b):
-        match = where.get(x)
-        if match is None:
+    order = np.argsort(a, kind="stable")
+    found = a[order]
+    first, last = np.searchsorted(found, b, "left").tolist(), np.searchsorted(found, b, "right").tolist()
+    place = order.tolist()
+    row = full = (1 << a.size) - 1
+    for j, (lo, hi) in enumerate(zip(first, last, strict=True)):
+        if hi - lo == 1 and abs(place[lo] - j) <= band:
+            match = 1 << place[lo]
+        elif hi - lo > 1:
+            match = _bits(order[lo:hi], j - band, j + band, a.size)
+        else:
             continue
-        if narrow:
-            match &= wide << (j - band) if j >= band else wide >> (band - j)
         u = row & match
         row = ((row + u) | (row - u)) & full
-    return head + tail + len(a) - row.bit_count()
+    return head + tail + a.size - row.bit_count()
+
+
+def _bits(places: np.ndarray, lo: int, hi: int, size: int) -> int:
+    """A number with the bits of those places that are between lo and hi."""
+    places = places[(places >= lo) & (places <= hi)]
+    if places.size <= 16:
+        return sum(1 << p for p in places.tolist())
+    mark = np.zeros(size, bool)
+    mark[places] = True
+    return int.from_bytes(np.packbits(mark, bitorder="little").tobytes(), "little")
 
 
 def similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
