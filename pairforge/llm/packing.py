@@ -43,7 +43,7 @@ class PackConfig:
     prompt: int = 8
     pool: int = 1024
     end_id: int = 1
-    store_words: int = 700_000
+    store_words: int = 1_000_000
 
 
 @dataclass
@@ -79,7 +79,6 @@ class Packer:
 
     def __init__(self, cfg: PackConfig, first_sequence: int = 0):
         self.cfg, self.sequence = cfg, first_sequence
-        self.limits = np.array([cfg.tokens, cfg.segments, cfg.loss], float)
         self.waiting: list[tuple[Example, int, int]] = []
 
     def add(self, example: Example) -> Iterator[Piece]:
@@ -100,46 +99,49 @@ class Packer:
         return self.sequence - 1
 
     def _pack(self, last: bool) -> Iterator[Piece]:
+        """The demand for a segment is one for all, so it bounds a sequence but does not tell examples apart."""
         cfg, pool = self.cfg, self.waiting
-        need = np.array([[b - a, 1, e.loss_between(a, b)] for e, a, b in pool], float).reshape(-1, 3)
-        alive = np.ones(len(pool), bool)
-        total = int(need[:, 0].sum())
-        while alive.any() and (total >= cfg.tokens if not last else True):
-            if total >= cfg.tokens:
-                size = cfg.tokens
-            else:
-                size = 1 << (total.bit_length() - 1)
-            left, offset, sequence = np.minimum(self.limits, [size, cfg.segments, cfg.loss]), 0, self._next()
-            while left[0] >= 1 and left[1] >= 1 and alive.any():
-                fits = alive & (need <= left).all(1)
-                value = (need / self.limits) @ (left / self.limits)
-                if fits.any():
-                    k = int(np.where(fits, value, -1.0).argmax())
+        tokens = np.array([b - a for _, a, b in pool], float)  # infinite when taken
+        bears = np.array([e.loss_between(a, b) for e, a, b in pool], float)
+        total, waiting = int(tokens.sum()), len(pool)
+        while waiting and (total >= cfg.tokens or last):
+            size = cfg.tokens if total >= cfg.tokens else 1 << (total.bit_length() - 1)
+            room, segments, loss, offset, sequence = size, cfg.segments, cfg.loss, 0, self._next()
+            while room >= 1 and segments >= 1 and waiting:
+                value = tokens * (room / cfg.tokens**2) + bears * (loss / cfg.loss**2)
+                fits = (tokens <= room) & (bears <= loss)
+                k = int(np.where(fits, value, -1.0).argmax())
+                if fits[k]:
                     example, a, b = pool[k]
-                    alive[k] = False
+                    used, bearing = b - a, int(bears[k])
+                    tokens[k], waiting = np.inf, waiting - 1
                 else:
-                    k = self._best_cut(pool, alive, value, left)
+                    k = self._best_cut(pool, tokens, value, room, loss)
                     if k < 0:
                         break
                     example, a, end = pool[k]
-                    b = example.reach(a, end, int(left[0]), int(left[2]))
+                    b = example.reach(a, end, room, loss)
+                    used, bearing = b - a, example.loss_between(a, b)
                     pool[k] = (example, b, end)
-                used = np.array([b - a, 1, example.loss_between(a, b)], float)
-                need[k] -= (used[0], 0, used[2])
-                left = left - used
-                total -= b - a
-                yield example, a, b - a, sequence, offset
-                offset += b - a
-        self.waiting = [p for p, keep in zip(pool, alive.tolist(), strict=True) if keep]
+                    tokens[k] -= used
+                    bears[k] -= bearing
+                room, segments, loss, total = room - used, segments - 1, loss - bearing, total - used
+                yield example, a, used, sequence, offset
+                offset += used
+            if 2 * waiting < len(pool):
+                keep = np.flatnonzero(np.isfinite(tokens))
+                pool, tokens, bears = [pool[k] for k in keep.tolist()], tokens[keep], bears[keep]
+        self.waiting = [pool[k] for k in np.flatnonzero(np.isfinite(tokens)).tolist()]
 
     @staticmethod
-    def _best_cut(pool: list[tuple[Example, int, int]], alive: np.ndarray, value: np.ndarray, left: np.ndarray) -> int:
+    def _best_cut(pool: list[tuple[Example, int, int]], tokens: np.ndarray, value: np.ndarray, room: int, loss: int) -> int:
         """The best example of which anything can be taken; without room for loss, only what begins without any."""
-        if left[2] >= 1:
-            return int(np.where(alive, value, -1.0).argmax())
+        value = np.where(np.isfinite(tokens), value, -1.0)
+        if loss >= 1:
+            return int(value.argmax())
         for k in np.argsort(-value, kind="stable").tolist():
             example, a, end = pool[k]
-            if alive[k] and example.reach(a, end, int(left[0]), 0) > a:
+            if value[k] >= 0 and example.reach(a, end, room, 0) > a:
                 return k
         return -1
 
