@@ -372,3 +372,52 @@ def test_pipeline_stages(spark):
     last = docs.collect()
     assert {r["doc_id"] for r in last} == {r["doc_id"] for r in before.collect()}
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, SF).collect()} == {r["doc_id"] for r in last}
+
+
+def test_severities_order_graded_rows_that_were_held_out(spark):
+    """Four grades, each with words of its own and some of the grade below: severities follow the grades."""
+    rng = random.Random(11)
+    words = {g: [f"grade{g}word{k}" for k in range(12)] for g in range(1, 4)}
+    rows = []
+    for i in range(900):
+        g = rng.choices(range(4), (60, 20, 12, 8))[0]
+        text = [f"plain{rng.randrange(300)}" for _ in range(40)]
+        for level in range(1, g + 1):
+            text += rng.sample(words[level], 2)
+        rng.shuffle(text)
+        rows.append((i, " ".join(text), g))
+    df = literal(spark, rows, "doc_id long, text string, y int")
+    labels = df.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.col("y").alias("grade"))
+    model = ordinal_tox.fit_toxicity(df, labels, ordinal_tox.ToxicityConfig())
+    assert len(model.thresholds) == 3 and list(model.thresholds) == sorted(model.thresholds)
+    out = ordinal_tox.toxicity(df, model).join(df.select("doc_id", "y"), "doc_id").where("doc_id % 2 = 1").collect()
+    mean = [np.mean([r["severity"] for r in out if r["y"] == g]) for g in range(4)]
+    assert all(b > a + 0.5 for a, b in itertools.pairwise(mean))
+    assert np.mean([r["grade"] == r["y"] for r in out]) > 0.8
+
+
+def test_toxicity_query_equals_the_model_by_hand(spark):
+    """Words and beginnings counted plainly, sigmoids of their weights' sum less each threshold, summed up."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = ordinal_tox.fit_toxicity(docs, ordinal_tox.toxic_labels(spark, sf), ordinal_tox.ToxicityConfig())
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    rows = QUERIES["op10_toxicity"](spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        words = set()
+        word = ""
+        for ch in texts[r["doc_id"]].lower() + " ":
+            if ch.isalnum() or ch == "_":
+                word += ch
+            elif word:
+                words.add(word)
+                word = ""
+        score = sum(w for f, w in model.weights.items() if f in words or "-" in f and plainly(f, words))
+        p = [1 / (1 + math.exp(t - score)) for t in model.thresholds]
+        assert r["severity"] == pytest.approx(sum(p), abs=1e-9) and r["grade"] == sum(x >= 0.5 for x in p) and r["toxic"] == (p[0] >= 0.5)
+
+
+def plainly(feature, words):
+    head, _, least = feature.partition("-")
+    return sum(w.startswith(head) and len(w) > len(head) for w in words) >= int(least or 1)
