@@ -6,7 +6,7 @@ PPM method D (of n occurrences of a symbol, half a one goes to the escape), and
 context has seen are excluded from the shorter ones. A text's score is the log10 probability of its bytes (A-Z lower-cased)
 and of its end under the counts of all training texts.
 
-Rows are dealt into blocks of bounded size by a hash. A block reports each distinct (context, symbol)
+Rows are dealt into blocks of bounded size by a hash of id and text, so an id that many texts share is many keys. A block reports each distinct (context, symbol)
 and word once, with its training count; counts are added over blocks; the trie's tables are joined
 level by level to value what was never seen in training; values go back to the blocks that asked, and
 a block sums them over its texts. Counts of words go back only where they are not the block's own. Every table is keyed by context or block, none is collected; what is
@@ -256,7 +256,7 @@ def score_documents(df: DataFrame, held_out, id_col: str = "doc_id", text_col: s
     rows = df.select(F.col(id_col).cast("long").alias("id"), common.whole_text(text_col).alias("text"))
     size = rows.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0)).alias("s")).first()["s"]
     blocks = max(1, -(-size // cfg.block_bytes), min(2 * spark.sparkContext.defaultParallelism, -(-size // cfg.least_block)))
-    rows = rows.select("id", F.coalesce(held_out(F.col("id")), F.lit(False)).alias("held_out"), "text", F.pmod(F.xxhash64("id", F.length("text")), F.lit(blocks)).alias("block"))
+    rows = rows.select("id", F.coalesce(held_out(F.col("id")), F.lit(False)).alias("held_out"), "text", F.pmod(F.xxhash64("id", "text"), F.lit(blocks)).alias("block"))
     keys, _ = common.materialize(spark, rows.groupBy("block").applyInArrow(_summarise(cfg), "block long, key long, n long"), "ppm-keys")
     counts, count_path = common.materialize(spark, keys.groupBy("key").agg(F.sum("n").alias("n")), "ppm-counts")
     words = counts.where((F.col("key") >= END_WORD) & (F.col("n") > 0))
