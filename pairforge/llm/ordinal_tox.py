@@ -7,8 +7,8 @@ vocabulary holds those that are more frequent in toxic documents by several stan
 few others, so ordinary words of long texts add nothing. Weights are not negative: no amount of harmless text makes up for a
 toxic word.
 
-The model is fitted on a bounded sample of labelled rows (`sample` rows of smallest hash, exact
-copies once); everything else covers all rows. Labels say toxic or not; toxic sample rows whose evidence
+The model is fitted on a bounded sample of labelled rows (`sample` ids of smallest hash, exact
+copies once, and of ids with many texts the `sample` texts of smallest hash); everything else covers all rows. Labels say toxic or not; toxic sample rows whose evidence
 under a first fit of that one threshold is above the median of toxic rows get the higher of two toxic
 grades, so that there are ordered thresholds to share weights across. A table with graded labels can pass them as
 they are.
@@ -135,19 +135,21 @@ def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
-            found = [sorted(words_of(t.as_py())) for t in part.column(2)]
-            yield pa.record_batch([part.column(0), part.column(1), pa.array(found, pa.list_(pa.string()))], names=["id", "grade", "words"])
+            found = [sorted(words_of(t.as_py())) for t in part.column("text")]
+            yield pa.record_batch([part.column("h"), part.column("id"), part.column("grade"), pa.array(found, pa.list_(pa.string()))], names=["h", "id", "grade", "words"])
 
 
 def fit_toxicity(df: DataFrame, labels: DataFrame, cfg: ToxicityConfig, id_col: str = "doc_id", text_col: str = "text") -> OrdinalModel:
-    """labels: (id, grade). At most cfg.sample rows are read in full; the fit runs on the driver."""
+    """labels: (id, grade). The fit, on the driver, sees at most cfg.sample labelled ids and as many different texts."""
     spark = df.sparkSession
     common.ship(spark)
     graded = labels.where("id IS NOT NULL AND grade IS NOT NULL").groupBy("id").agg(F.max("grade").cast("int").alias("grade"))
     sample = graded.orderBy(F.xxhash64("id"), "id").limit(cfg.sample)
     texts = df.select(F.col(id_col).alias("id"), common.whole_text(text_col).alias("text")).join(F.broadcast(sample), "id")
     texts = texts.groupBy(F.xxhash64("text").alias("h")).agg(F.min("id").alias("id"), F.max("grade").alias("grade"), F.first("text").alias("text"))
-    words, path = common.materialize(spark, texts.select("id", "grade", "text").mapInArrow(_word_rows, "id long, grade int, words array<string>"), "tox-sample")
+    words, path = common.materialize(spark, texts.select("h", "id", "grade", "text").mapInArrow(_word_rows, "h long, id long, grade int, words array<string>"), "tox-sample")
+    if words.count() > cfg.sample:
+        words = words.where(F.col("h") <= words.select("h").orderBy("h").limit(cfg.sample).agg(F.max("h")).first()[0])
     total = words.agg(F.count("*").alias("n"), F.sum((F.col("grade") > 0).cast("long")).alias("k"), F.max("grade").alias("top")).first()
     if not total["n"] or not total["k"] or total["k"] == total["n"] and total["top"] == 0:
         common.remove(spark, path)
