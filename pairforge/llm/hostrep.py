@@ -12,6 +12,9 @@ Counts are aggregated before they are shuffled; a page row meets one row of its
 Spark may split where a host is hot. Only four numbers (the overall rate and three prior strengths)
 come to the driver.
 
+A suffix is the last label or, below a country's two letters, the last two where the first of them is a
+usual second level (`second_level`, a parameter). Addresses in digits stand for themselves.
+
 Defined results: a url that is null or has no `://` has an empty host and path, and its pages share
 one reputation; null outcomes are no labels; an id labelled more than once is bad if any label says
 so; repeated pages are each answered; an empty table gives an empty result; no labels at all give the
@@ -50,7 +53,10 @@ class ReputationConfig:
     limit: float = 0.5
     weakest: float = 2.0
     strongest: float = 1000.0
-    two_label_suffixes: tuple[str, ...] = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "com.br")
+    second_level: tuple[str, ...] = ("ac", "co", "com", "edu", "gob", "gov", "gouv", "govt", "ltd", "mil", "ne", "net", "nom", "or", "org", "plc", "sch")
+
+
+ADDRESS = r"^([0-9]+(\.[0-9]+){3}|\[[0-9a-f:.]*\])$"
 
 
 def ascii_lower(c: Column) -> Column:
@@ -71,15 +77,22 @@ def path_of(url: Column) -> Column:
 
 
 def suffix_of(host: Column, cfg: ReputationConfig) -> Column:
-    """The known two-label suffix, or the last label."""
-    two = F.substring_index(_name(host), ".", -2)
-    return F.when(two.isin(*cfg.two_label_suffixes), two).otherwise(F.substring_index(_name(host), ".", -1))
+    """A country and its second level (co.uk), or the last label; of an address in digits the address."""
+    name = _name(host)
+    two = F.substring_index(name, ".", -2)
+    return F.when(name.rlike(ADDRESS), name).when(_country(two, cfg), two).otherwise(F.substring_index(name, ".", -1))
 
 
 def domain_of(host: Column, cfg: ReputationConfig) -> Column:
-    """The suffix and one more label."""
-    two = F.substring_index(_name(host), ".", -2)
-    return F.when(two.isin(*cfg.two_label_suffixes), F.substring_index(_name(host), ".", -3)).otherwise(two)
+    """The suffix and one more label; an address in digits is its own domain."""
+    name = _name(host)
+    two = F.substring_index(name, ".", -2)
+    return F.when(name.rlike(ADDRESS), name).when(_country(two, cfg), F.substring_index(name, ".", -3)).otherwise(two)
+
+
+def _country(two: Column, cfg: ReputationConfig) -> Column:
+    """Whether two labels are a country's second level."""
+    return two.rlike(rf"^({'|'.join(cfg.second_level)})\.[a-z]{{2}}$")
 
 
 def _name(host: Column) -> Column:

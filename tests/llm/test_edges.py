@@ -96,3 +96,37 @@ def test_vectors(spark):
     got = [tuple(r) for r in topk.top_k(df, lambda i: i % 20 == 0).orderBy("rank").collect()]
     assert got == [(20, 1, 4, (1 << 63) - 1), (20, 2, 1, 16 * 32 + 32 * 32), (20, 3, 21, 16 * 32 + 32 * 32)]
     assert topk.top_k(df.where("false"), lambda i: i % 20 == 0).count() == 0
+
+
+def test_pipeline_stages(spark, docs):
+    import corpus_pipeline
+
+    sf_dir, ids = "/root/testdata/sf0.001", lambda df: sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in df.select("doc_id").collect())
+    stages = dict(corpus_pipeline.STAGES)
+    every = sorted((i is None, i or 0) for i, _ in ROWS)
+    for name in ("toxicity", "secrets"):
+        out = stages[name](spark, docs, sf_dir)
+        assert out.columns == docs.columns and ids(out) == every
+    once = stages["near_dedup"](spark, docs, sf_dir)
+    assert once.columns == docs.columns and ids(once) == [(False, 1), (False, 2), (False, 4), (False, 6), (False, 7), (False, 8), (True, 0)]
+    packed = stages["packing"](spark, docs, sf_dir)
+    assert ids(packed.where("start = 0")) == every
+    assert {r["doc_tokens"] for r in packed.where("doc_id in (2, 3)").collect()} == {1}
+    for stage in stages.values():
+        assert stage(spark, docs.where("false"), sf_dir).count() == 0
+
+
+def test_an_id_with_many_texts_is_sampled(spark):
+    rows = [(1, f"bad wordy{k % 7} number{k} of many") for k in range(300)] + [(k, f"good words, number{k}") for k in range(2, 60)]
+    df = literal(spark, rows, "doc_id long, text string")
+    labels = literal(spark, [(1, 1), *((k, 0) for k in range(2, 60))], "id long, grade int")
+    model = ordinal_tox.fit_toxicity(df, labels, ordinal_tox.ToxicityConfig(sample=100))
+    assert ordinal_tox.toxicity(df, model).where("doc_id = 1 AND severity <= 0").count() == 0
+
+
+def test_domains_and_suffixes(spark):
+    cases = {"a.b.co.nz": ("b.co.nz", "co.nz"), "x.com.cn:80": ("x.com.cn", "com.cn"), "www.a.com": ("a.com", "com"), "10.0.0.1": ("10.0.0.1", "10.0.0.1"), "[::1]:8080": ("[::1]", "[::1]"), "u@t.co": ("t.co", "co"), "": ("", ""), "co.uk": ("co.uk", "co.uk"), "a.computer.uk": ("computer.uk", "uk")}
+    cfg = hostrep.ReputationConfig()
+    hosts = literal(spark, [(h,) for h in cases], "host string")
+    got = hosts.select("host", hostrep.domain_of(F.col("host"), cfg).alias("d"), hostrep.suffix_of(F.col("host"), cfg).alias("s")).collect()
+    assert {r["host"]: (r["d"], r["s"]) for r in got} == cases
