@@ -33,9 +33,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """URI of the shared folder named by the session; only where unset is one made (tests)."""
+    """URI of the shared folder named by the session; only in local mode is one made where none is named."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("a cluster needs spark.checkpoint.dir, a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="pairforge-shared-")
         spark.sparkContext.setCheckpointDir(base)
     return base if "://" in base or base.startswith("file:") else "file://" + os.path.abspath(base)
