@@ -92,7 +92,7 @@ class StreamingDeduplicator:
             changed.write.mode("overwrite").parquet(f"{self.folder}/changes/batch={batch}")
 
         for attempt in range(self.cfg.restarts + 1):
-            with _conf(self.spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB, spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage="true", spark__sql__streaming__noDataMicroBatches__enabled="false"):
+            with _conf(self.spark, spark__sql__streaming__stateStore__providerClass=ROCKSDB, spark__sql__streaming__stateStore__rocksdb__boundedMemoryUsage="true", spark__sql__streaming__stateStore__rocksdb__allowFAllocate="false", spark__sql__streaming__noDataMicroBatches__enabled="false"):
                 query = state.writeStream.outputMode("update").foreachBatch(log).option("checkpointLocation", f"{self.folder}/checkpoint").trigger(availableNow=True).start()
             try:
                 query.awaitTermination()
