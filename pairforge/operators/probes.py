@@ -3,19 +3,14 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
-from typing import Any
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairforge.functions.stats import softmax
 from pairforge.operators.graph import cumulative
-from pairforge.operators.validate import InvalidData, require_empty
 from pairforge.schema import AxisOrder
-from pairforge.shared import literal, materialize, ship
+from pairforge.shared import literal, materialize
 
 
 def probe_expectation(framing: Column, order: AxisOrder | None = None) -> Column:
@@ -156,178 +151,17 @@ def rates_at(rows: DataFrame, calibration: DataFrame) -> DataFrame:
     return both.agg(F.try_divide(F.count_if(F.col("positive") & up), F.count_if("positive")).alias("test_sensitivity"), F.try_divide(F.count_if(~F.col("positive") & ~up), F.count_if(~F.col("positive"))).alias("test_specificity"))
 
 
-@dataclass(frozen=True)
-class Gates:
-    """The least figures of a probe that may be used."""
-
-    role_accuracy: float = 0.75
-    document_accuracy: float = 0.75
-    sensitivity: float = 0.75
-    specificity: float = 0.75
-    auc: float = 0.85
-    auc_above: float = 0.5
-
-
-def qualification(calibration_pairs: DataFrame, test_pairs: DataFrame, test_tokens: DataFrame, gates: Gates | None = None, replicates: int = 10_000, seed: int = 0) -> DataFrame:
-    """One row: the threshold frozen on calibration pairs, its figures on test pairs, and which gates they pass.
-
-    pairs: conversation, reasoning, final; tokens: document, label, predicted, p. Calibration and test must not share
-    a conversation. The bootstrap needs the test pairs at the driver, so there may be at most 4,096.
-    """
-    shared = calibration_pairs.join(test_pairs, "conversation", "left_semi")
-    require_empty(shared.select("conversation"), "conversations in calibration and in test")
-    gates, spark = gates or Gates(), test_pairs.sparkSession
-    frozen, _ = materialize(spark, threshold_calibration(paired_scores(calibration_pairs)), "calibration")
-    at_test = rates_at(paired_scores(test_pairs), frozen)
-    metrics = classification_metrics(test_tokens).select("document_accuracy").join(role_accuracies(test_tokens).agg(F.min("accuracy").alias("role_accuracy")), how="cross")
-    row = frozen.join(at_test, how="cross").join(metrics, how="cross").join(paired_bootstrap(test_pairs, replicates, seed), how="cross")
-    segment = (F.col("test_auc") >= gates.auc) & (F.col("lower_95") > gates.auc_above) & (F.col("test_sensitivity") >= gates.sensitivity) & (F.col("test_specificity") >= gates.specificity)
-    segment = F.coalesce(F.col("usable") & segment, F.lit(False))
-    whole = F.coalesce(segment & (F.col("role_accuracy") >= gates.role_accuracy) & (F.col("document_accuracy") >= gates.document_accuracy), F.lit(False))
-    return row.select("threshold", "usable", F.col("auc").alias("calibration_auc"), "test_auc", "lower_95", "upper_95", "test_sensitivity", "test_specificity", "role_accuracy", "document_accuracy", segment.alias("segment_passed"), whole.alias("passed"))
-
-
 def paired_scores(pairs: DataFrame) -> DataFrame:
     """conversation, reasoning, final -> score, positive."""
     return pairs.select(F.explode(F.array(F.struct(F.col("reasoning").cast("double").alias("score"), F.lit(True).alias("positive")), F.struct(F.col("final").cast("double").alias("score"), F.lit(False).alias("positive")))).alias("x")).select("x.score", "x.positive")
 
 
-def paired_bootstrap(pairs: DataFrame, replicates: int = 10_000, seed: int = 0, most: int = 4096) -> DataFrame:
-    """(test_auc, lower_95, upper_95, conversations) of pairs in the order of their conversations; more than `most` are an error."""
-    rows = pairs.select("conversation", "reasoning", "final").orderBy("conversation").limit(most + 1).collect()
-    if len(rows) > most:
-        raise InvalidData(f"a bootstrap of more than {most} conversations")
-    if not rows:
-        return literal(pairs.sparkSession, [(None, None, None, 0)], "test_auc double, lower_95 double, upper_95 double, conversations long")
-    a, b = (np.array([r[c] for r in rows], float) for c in ("reasoning", "final"))
-    return literal(pairs.sparkSession, [(*bootstrap_auc(a, b, replicates, seed), len(rows))], "test_auc double, lower_95 double, upper_95 double, conversations long")
-
-
 def role_accuracies(rows: DataFrame) -> DataFrame:
     """(label, accuracy, document_accuracy): share of right tokens of each role, over all and as mean of documents' shares."""
     by_document = rows.groupBy("label", "document").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == F.col("predicted")).alias("k"))
     return by_document.groupBy("label").agg((F.sum("k") / F.sum("n")).alias("accuracy"), F.avg(F.col("k") / F.col("n")).alias("document_accuracy"))
 
 
-def bootstrap_auc(reasoning: np.ndarray, final: np.ndarray, replicates: int = 10_000, seed: int = 0) -> tuple[float, float, float]:
-    """AUC and percentile interval over resampled conversations; a kernel for small paired sets."""
-    def auc(a: np.ndarray, b: np.ndarray) -> float:
-        order = np.sort(b)
-        below, upto = np.searchsorted(order, a, "left"), np.searchsorted(order, a, "right")
-        return float((below + upto).mean() / (2 * b.size))
-
-    rng, n = np.random.default_rng(seed), reasoning.size
-    picks = rng.integers(0, n, (replicates, n))
-    values = np.array([auc(reasoning[p], final[p]) for p in picks])
-    low, high = np.quantile(values, (0.025, 0.975))
-    return auc(reasoning, final), float(low), float(high)
-
-
-def fit_softmax(x: np.ndarray, y: np.ndarray, classes: int, penalty: float, steps: int = 60) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Minimum of the summed loss plus penalty/2 times the squared weights; intercepts are free.
-
-    Newton steps with backtracking; one class's parameters more than needed are fixed by the penalty
-    and, for intercepts, by a tiny ridge.
-    """
-    n, d = x.shape
-    z = np.hstack([x, np.ones((n, 1))])
-    ridge = np.tile(np.append(np.full(d, penalty), 1e-8), classes)
-    onehot = np.eye(classes)[y]
-    w = np.zeros((classes, d + 1))
-
-    def value(w: np.ndarray) -> tuple[float, np.ndarray]:
-        s = z @ w.T
-        top = s.max(1, keepdims=True)
-        log = s - top - np.log(np.exp(s - top).sum(1, keepdims=True))
-        return float(-(onehot * log).sum() + 0.5 * (ridge * w.ravel() ** 2).sum()), np.exp(log)
-
-    best, p = value(w)
-    for _ in range(steps):
-        g = ((p - onehot).T @ z).ravel() + ridge * w.ravel()
-        h = np.diag(ridge)
-        for a in range(classes):
-            for b in range(a, classes):
-                block = (z * (p[:, a] * ((a == b) - p[:, b]))[:, None]).T @ z
-                h[a * (d + 1) : (a + 1) * (d + 1), b * (d + 1) : (b + 1) * (d + 1)] += block
-                if a != b:
-                    h[b * (d + 1) : (b + 1) * (d + 1), a * (d + 1) : (a + 1) * (d + 1)] += block.T
-        move, size = np.linalg.solve(h, g).reshape(w.shape), 1.0
-        while True:
-            new = w - size * move
-            now, q = value(new)
-            if now <= best + 1e-12 * abs(best) or size < 1e-6:
-                break
-            size /= 2
-        small = np.abs(new - w).max() < 1e-8
-        w, best, p = new, now, q
-        if small:
-            return w, p, True
-    return w, p, False
-
-
-GRID = "penalty double, validation_accuracy double, validation_loss double, test_accuracy double, test_loss double, converged boolean, selected boolean"
-
-
-FITS = "penalty double, weights array<double>, converged boolean"
-SCORES = "penalty double, n long, correct long, loss double"
-
-
-def _fit_each(rows: DataFrame, penalties: list[float], classes: int, most: int) -> list[tuple[float, np.ndarray, bool]]:
-    """Weights of a fit for each penalty, on at most `most` rows taken by hash. They are few: the driver holds them."""
-    bounded = rows.orderBy(F.xxhash64("features"), "label").limit(most).select("label", "features")
-    grid = bounded.withColumn("penalty", F.explode(F.array(*map(F.lit, penalties))))
-
-    def run(key: tuple[Any, ...], part: pd.DataFrame) -> pd.DataFrame:
-        x, y = np.stack(part["features"].to_numpy()).astype(float), part["label"].to_numpy(int)
-        w, _, ok = fit_softmax(x, y, classes, float(key[0]))
-        return pd.DataFrame([{"penalty": float(key[0]), "weights": w.ravel(), "converged": ok}])
-
-    return [(r["penalty"], np.array(r["weights"]).reshape(classes, -1), r["converged"]) for r in grid.groupBy("penalty").applyInPandas(run, FITS).collect()]
-
-
-def _score_each(rows: DataFrame, fits: list[tuple[float, np.ndarray, bool]]) -> dict[float, tuple[float, float]]:
-    """Accuracy and mean loss of each fit over all rows; each batch sends on its sums."""
-
-    def run(batches):
-        for part in batches:
-            if not len(part):
-                continue
-            x, y = np.stack(part["features"].to_numpy()).astype(float), part["label"].to_numpy(int)
-            out = []
-            for penalty, w, _ in fits:
-                score = np.hstack([x, np.ones((len(x), 1))]) @ w.T
-                log = score - score.max(1, keepdims=True)
-                log -= np.log(np.exp(log).sum(1, keepdims=True))
-                out.append((penalty, len(y), int((score.argmax(1) == y).sum()), float(-log[np.arange(len(log)), y].sum())))
-            yield pd.DataFrame(out, columns=["penalty", "n", "correct", "loss"])
-
-    sums = rows.select("label", "features").mapInPandas(run, SCORES).groupBy("penalty").agg(F.sum("n").alias("n"), F.sum("correct").alias("k"), F.sum("loss").alias("loss")).collect()
-    found = {r["penalty"]: (r["k"] / r["n"], r["loss"] / r["n"]) for r in sums}
-    return {penalty: found.get(penalty, (0.0, 0.0)) for penalty, _, _ in fits}
-
-
-def probe_grid(rows: DataFrame, penalties: tuple[float, ...], classes: int, most: int = 20_000) -> DataFrame:
-    """Fits of every penalty on the training part, judged on all validation rows; the best is marked.
-
-    The best one is fitted again on training and validation rows and judged once on all test rows; other
-    penalties have no test figures. rows: split, label, features. A fit is one task, so it sees at most
-    `most` rows, taken by hash; what is judged is not bounded. Without training rows there are no fits.
-    """
-    ship(rows.sparkSession)
-    part = lambda *names: rows.where(F.col("split").isin(*names))
-    fits = _fit_each(part("train"), list(penalties), classes, most)
-    judged = _score_each(part("validation"), fits) if fits else {}
-    out = []
-    if fits:
-        chosen = max(judged, key=lambda penalty: (judged[penalty][0], -judged[penalty][1], penalty))
-        again = _fit_each(part("train", "validation"), [chosen], classes, most)
-        test = _score_each(part("test"), again)[chosen]
-        for penalty, _, ok in fits:
-            mine = penalty == chosen
-            out.append((penalty, *judged[penalty], *(test if mine else (None, None)), ok and (again[0][2] or not mine), mine))
-    return literal(rows.sparkSession, out, GRID)
-
-
 def probe_report(rows: DataFrame, axis: str) -> DataFrame:
     """Scores, directional scores, mismatches and errors by an axis, and masked tokens if there are any.
 

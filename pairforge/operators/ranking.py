@@ -18,7 +18,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairforge.functions.stats import sigmoid
-from pairforge.operators.graph import component_index, components
+from pairforge.operators.graph import component_index, components, cumulative
+from pairforge.operators.resampling import drawn_within
 from pairforge.shared import literal, materialize, ship
 
 RANK_DIGITS = 12
@@ -138,36 +139,41 @@ def fit_scores(met: DataFrame, penalties: list[float], cfg: FitConfig) -> DataFr
     return met.join(F.broadcast(grid), how="cross").groupBy("l2", "component").applyInPandas(_fit_kernel(cfg), FITTED)
 
 
-def _bootstrap_kernel(cfg: FitConfig, totals: dict[int, np.ndarray]):
+def _bootstrap_kernel(cfg: FitConfig):
     def run(key: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
         component, chunk = int(key[0]), int(key[1])
         rows = rows.sort_values(["first", "second", "outcome"])
         cells, first, second = _arrays(rows)
         n, outcome = rows["n"].to_numpy(float), rows["outcome"].to_numpy(float)
+        lo, hi = chunk * cfg.chunk, min(cfg.bootstrap, (chunk + 1) * cfg.chunk)
+        totals = drawn_within(int(rows["before_n"].iloc[0]), int(n.sum()), int(rows["trials"].iloc[0]), cfg.seed, lo, hi)
         out = []
-        for b in range(chunk * cfg.chunk, min(cfg.bootstrap, (chunk + 1) * cfg.chunk)):
-            draw = np.random.default_rng([cfg.seed, b, component]).multinomial(int(totals[component][b]), n / n.sum()).astype(float)
+        for b, total in zip(range(lo, hi), totals, strict=True):
+            draw = np.random.default_rng([cfg.seed, b, component]).multinomial(int(total), n / n.sum()).astype(float)
             fit = fit_component(len(cells), first, second, draw, draw * outcome, cfg, errors=False)
-            out.append(pd.DataFrame({"cell_id": cells, "score": fit.scores}))
-        return pd.concat(out) if out else pd.DataFrame({"cell_id": [], "score": []})
+            out.append(pd.DataFrame({"replicate": b, "component": component, "total": total, "cell_id": cells, "score": fit.scores}))
+        return pd.concat(out) if out else pd.DataFrame({"replicate": [], "component": [], "total": [], "cell_id": [], "score": []})
 
     return run
 
 
-def bootstrap_intervals(met: DataFrame, cfg: FitConfig) -> DataFrame:
-    """(cell_id, bootstrap_low, bootstrap_high): percentile intervals over resampled trials.
+def bootstrap_scores(met: DataFrame, cfg: FitConfig) -> DataFrame:
+    """(replicate, component, total, cell_id, score): fits of resampled trials, and how many of them fell on the component.
 
-    Trials are resampled over all components: how many fall on each comes from one multinomial draw
-    per replicate, on the driver, over components alone.
+    Trials are resampled over all components. Each task draws its own component's total: components are ranges of trials, in
+    a tree of conditional binomials, so the totals of a replicate add up to the number of trials.
     """
-    ship(met.sparkSession)
-    sizes = met.groupBy("component").agg(F.sum("n").alias("n")).orderBy("component").collect()
-    n = np.array([r["n"] for r in sizes], float)
-    draws = np.stack([np.random.default_rng([cfg.seed, b]).multinomial(int(n.sum()), n / n.sum()) for b in range(cfg.bootstrap)])
-    totals = {r["component"]: draws[:, k] for k, r in enumerate(sizes)}
+    spark = met.sparkSession
+    ship(spark)
+    sizes, _ = materialize(spark, met.groupBy("component").agg(F.sum("n").alias("n")), "component-trials")
+    ranges = cumulative(sizes, "component", ["n"]).join(sizes.agg(F.sum("n").alias("trials")), how="cross").select("component", "before_n", "trials")
     chunks = F.explode(F.sequence(F.lit(0), F.lit(-(-cfg.bootstrap // cfg.chunk) - 1))).alias("chunk")
-    scored = met.select("*", chunks).groupBy("component", "chunk").applyInPandas(_bootstrap_kernel(cfg, totals), "cell_id string, score double")
-    q = scored.groupBy("cell_id").agg(F.percentile("score", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
+    return met.join(ranges, "component").select("*", chunks).groupBy("component", "chunk").applyInPandas(_bootstrap_kernel(cfg), "replicate int, component int, total long, cell_id string, score double")
+
+
+def bootstrap_intervals(met: DataFrame, cfg: FitConfig) -> DataFrame:
+    """(cell_id, bootstrap_low, bootstrap_high): percentile intervals over resampled trials."""
+    q = bootstrap_scores(met, cfg).groupBy("cell_id").agg(F.percentile("score", F.array(F.lit(0.025), F.lit(0.975))).alias("q"))
     return q.select("cell_id", F.col("q")[0].alias("bootstrap_low"), F.col("q")[1].alias("bootstrap_high"))
 
 

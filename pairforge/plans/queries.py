@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairforge.functions import stats, text
-from pairforge.operators import design, lasso, observe, probes, ranking, reports, sampling, validate
+from pairforge.operators import design, lasso, multinomial, observe, probes, ranking, reports, sampling, validate
 from pairforge.plans.fixture import OBS_SQL, observations, pair_bank
 from pairforge.schema import AUTHORS, AXES, CHANNELS, DESCRIPTIVE_FRAMINGS, FRAMINGS, MANUAL_FRAMINGS, REASONING_FRAMINGS, STRATA, AxisOrder
-from pairforge.shared import table
+from pairforge.shared import materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -542,9 +542,28 @@ def sampled_studies(spark, sf_dir):
     return out.select("study_id", "pair_id", "assistant", "rollouts", F.to_json("input1").alias("input1"), F.to_json("input2").alias("input2"))
 
 
-@query()
-def probe_grid(spark, sf_dir):
+def probe_rows(spark, sf_dir):
+    """Vectors as activations of two layers, split by their ids' hashes."""
     rows = table(spark, sf_dir, "embeddings")
     split = probes.hash_split(rows, "vec_id", 0)
-    rows = rows.join(split, rows["vec_id"] == split["id"]).select("split", F.col("label").cast("int").alias("label"), F.col("embedding").alias("features"))
-    return rounded(probes.probe_grid(rows, (0.01, 1.0, 100.0), 10))
+    layers = F.array(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32))
+    return rows.join(split, rows["vec_id"] == split["id"]).select("split", F.col("label").cast("int").alias("label"), layers.alias("features"))
+
+
+PROBE_GRID = multinomial.ProbeGridConfig(10, (0.01, 1.0, 100.0), (0, 1))
+
+
+@query()
+def probe_grid(spark, sf_dir):
+    return rounded(multinomial.probe_grid(probe_rows(spark, sf_dir), PROBE_GRID).drop("steps", "largest_gradient"))
+
+
+@query("SELECT l AS layer, p AS penalty, true AS converged, true AS stationary, true AS chosen_by_rule FROM (VALUES (0), (1)) a(l), (VALUES (0.01::DOUBLE), (1.0), (100.0)) b(p)")
+def probe_conditions(spark, sf_dir):
+    """What a right grid fulfils, computed anew: no gradient is left on any training row's sum, and the rule chose the marked candidate."""
+    rows, _ = materialize(spark, probe_rows(spark, sf_dir), "probe-input")
+    probe = multinomial.train_probe(rows, PROBE_GRID)
+    order = Window.orderBy(F.desc("converged"), F.desc("validation_accuracy"), "validation_loss", F.desc("penalty"), "layer")
+    grid = probe.grid.withColumn("chosen_by_rule", F.col("selected") == (F.row_number().over(order) == 1))
+    found = multinomial.fit_conditions(rows.where("split = 'train'"), probe)
+    return grid.join(found.select("layer", "penalty", (F.col("largest_gradient") < 1e-7).alias("stationary")), ["layer", "penalty"]).select("layer", "penalty", "converged", "stationary", "chosen_by_rule")

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pairforge.functions import text
-from pairforge.operators import design, probes, ranking, suite, validate
+from pairforge.operators import design, probes, qualify, ranking, resampling, suite, validate
 from pairforge.plans import bundle
 from pairforge.plans.fixture import OBS_SQL, observations, pair_bank
 from pairforge.plans.queries import _BANK, _COMPONENTS, _JUDGED, _REJECTED, _SPECS, _STUDIES, _labelled, _rejected, query, rounded, studies
@@ -192,7 +192,7 @@ def _nations(spark, sf_dir):
 
 @query()
 def bootstrap_auc(spark, sf_dir):
-    return rounded(probes.paired_bootstrap(_nations(spark, sf_dir)))
+    return rounded(resampling.paired_bootstrap(_nations(spark, sf_dir)))
 
 
 @query()
@@ -200,7 +200,29 @@ def probe_qualification(spark, sf_dir):
     """Frozen on the first nations, tested on the others, with the documents' labels as tokens."""
     pairs, p = _nations(spark, sf_dir), F.col("n_chars") / (F.col("n_chars") + 1000.0)
     tokens = _labelled(spark, sf_dir).select(F.col("source").alias("document"), F.col("quality").alias("label"), (F.col("n_chars") >= 1000).cast("int").alias("predicted"), p.alias("p"))
-    return rounded(probes.qualification(pairs.where("conversation < 12"), pairs.where("conversation >= 12"), tokens))
+    return rounded(qualify.qualification(pairs.where("conversation < 12"), pairs.where("conversation >= 12"), tokens))
+
+
+def _word_tokens(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return docs.select(F.col("doc_id").alias("document"), F.posexplode_outer(F.regexp_extract_all("text", F.lit(r"([^ \n]+)"), 1)).alias("position", "token"))
+
+
+@query("WITH w AS (SELECT doc_id AS document, regexp_extract_all(text, '[^ \\n]+') AS words FROM documents), f AS (SELECT document, min(document) OVER (PARTITION BY words) AS original, len(words) AS tokens FROM w) SELECT document, original, tokens FROM f WHERE document <> original")
+def copied_documents(spark, sf_dir):
+    """Documents that hold another one's words under an id of their own, whatever stands between the words."""
+    marks, _ = materialize(spark, qualify.content_signatures(_word_tokens(spark, sf_dir)), "signatures")
+    first = marks.groupBy("signature").agg(F.min("document").alias("original"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return marks.join(first, "signature").where("document <> original").select("document", "original", "tokens")
+
+
+@query("WITH w AS (SELECT lang, regexp_extract_all(text, '[^ \\n]+') AS words FROM documents), d AS (SELECT words, list_sort(list(DISTINCT lang)) AS parts FROM w GROUP BY words) SELECT parts[1] AS first_part, len(parts) AS parts, count(*) AS contents FROM d WHERE len(parts) > 1 GROUP BY ALL")
+def shared_content(spark, sf_dir):
+    """Content that documents of several languages hold, counted by the first of them."""
+    tokens = _word_tokens(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document"), "lang"), "document")
+    marks, _ = materialize(spark, qualify.content_signatures(tokens, ("lang", "document")), "signatures")
+    found = qualify.shared_content({x: marks.where(F.col("lang") == x) for x in ("de", "en", "es", "fr")})
+    return found.groupBy(F.element_at("parts", 1).alias("first_part"), F.size("parts").cast("long").alias("parts")).agg(F.count(F.lit(1)).alias("contents"))
 
 
 @query(f"WITH RECURSIVE {OBS_SQL}, {_COMPONENTS} SELECT component, 0.0::DOUBLE AS largest_gradient, 0.0::DOUBLE AS mean_score, count(*) AS cells FROM c GROUP BY component")

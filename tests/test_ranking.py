@@ -1,9 +1,13 @@
 """Bradley-Terry fits against a plain solver, components against a search, and planted orders."""
 
 import numpy as np
+import plain
 import pytest
 
-from pairforge.operators import graph, ranking
+from pyspark.sql import functions as F
+
+from pairforge.operators import graph, multinomial, ranking
+from pairforge.operators.validate import InvalidData
 from pairforge.shared import literal
 
 
@@ -67,26 +71,66 @@ def test_components_of_paths_and_isolated_nodes(spark):
     assert graph.components(literal(spark, [], "node long"), literal(spark, [], "a long, b long")).count() == 0
 
 
-def test_probe_grid_judges_all_rows_and_fits_the_best_again(spark):
-    from pairforge.operators import probes
-
+@pytest.fixture(scope="module")
+def activations(spark):
+    """Two layers, of which the second tells the three classes apart better; one is 4 wide, the other 6."""
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(600, 4))
-    y = (x[:, 0] + 0.7 * rng.normal(size=600) > 0).astype(int)
-    split = np.repeat(["train", "validation", "test"], [100, 300, 200])
-    rows = literal(spark, [(s, int(k), v.tolist()) for s, k, v in zip(split, y, x, strict=True)], "split string, label int, features array<double>").repartition(3)
+    x, z = rng.normal(size=(900, 4)), rng.normal(size=(900, 6))
+    y = (z[:, 0] + 0.3 * x[:, 0] + 0.5 * rng.normal(size=900) > 0).astype(int) + (z[:, 1] > 0.8)
+    split = np.repeat(["train", "validation", "test"], [400, 300, 200])
+    data = [(s, int(k), [a.tolist(), b.tolist()]) for s, k, a, b in zip(split, y, x, z, strict=True)]
+    return split, y, (x, z), literal(spark, data, "split string, label int, features array<array<double>>").repartition(5)
+
 
-    def judge(w, part):
+@pytest.mark.parametrize("newton", [1024, 0])
+def test_grid_fits_all_rows_of_every_layer(activations, newton):
+    """Newton's and L-BFGS's minima are those of the plain fit on all rows; the rule chooses, the chosen one is fitted again."""
+    split, y, layers, rows = activations
+
+    def judge(w, x, part):
         score = np.hstack([x[split == part], np.ones(((split == part).sum(), 1))]) @ w.T
         log = score - np.log(np.exp(score).sum(1, keepdims=True))
         return float((score.argmax(1) == y[split == part]).mean()), float(-log[np.arange(len(log)), y[split == part]].mean())
 
-    got = {r["penalty"]: r for r in probes.probe_grid(rows, (0.1, 10.0), 2, most=400).collect()}
-    want = {p: judge(probes.fit_softmax(x[split == "train"], y[split == "train"], 2, p)[0], "validation") for p in (0.1, 10.0)}
-    best = max(want, key=lambda p: (want[p][0], -want[p][1], p))
-    test = judge(probes.fit_softmax(x[split != "test"], y[split != "test"], 2, best)[0], "test")
-    for p, r in got.items():
-        assert (r["validation_accuracy"], r["validation_loss"]) == pytest.approx(want[p]) and r["selected"] == (p == best)
-        assert (r["test_accuracy"], r["test_loss"]) == (pytest.approx(test) if p == best else (None, None))
-    few = {r["penalty"]: r for r in probes.probe_grid(rows, (0.1, 10.0), 2, most=50).collect()}
-    assert all(round(300 * r["validation_accuracy"], 6) == round(300 * r["validation_accuracy"]) for r in few.values())
+    cfg = multinomial.ProbeGridConfig(3, (0.1, 10.0), (0, 1), newton=newton, fan_in=2, driver_bytes=1)
+    probe = multinomial.train_probe(rows, cfg)
+    got = {(r["layer"], r["penalty"]): r for r in probe.grid.collect()}
+    want = {}
+    for layer, x in enumerate(layers):
+        for p in cfg.penalties:
+            w, _, ok = plain.fit_softmax(x[split == "train"], y[split == "train"], 3, p)
+            (mine,) = (f for f in probe.fits if (f.layer, f.penalty) == (layer, p))
+            assert ok and np.abs((mine.weights - mine.weights.mean(0)) - (w - w.mean(0))).max() < 1e-5
+            want[layer, p] = judge(w, x, "validation")
+    best = max(want, key=lambda k: (want[k][0], -want[k][1], k[1], -k[0]))
+    assert best[0] == 1
+    again, _, _ = plain.fit_softmax(layers[1][split != "test"], y[split != "test"], 3, best[1])
+    for key, r in got.items():
+        assert (r["validation_accuracy"], r["validation_loss"]) == pytest.approx(want[key], rel=1e-5) and r["converged"] and r["selected"] == (key == best)
+        assert (r["test_accuracy"], r["test_loss"]) == (pytest.approx(judge(again, layers[1], "test"), rel=1e-5) if key == best else (None, None))
+    found = {(r["layer"], r["penalty"]): r["largest_gradient"] for r in multinomial.fit_conditions(rows.where("split = 'train'"), probe).collect()}
+    assert set(found) == set(got) and max(found.values()) < 1e-7
+
+
+def test_grid_never_chooses_what_failed(activations):
+    _, _, _, rows = activations
+    once = multinomial.train_probe(rows, multinomial.ProbeGridConfig(3, (1e-3, 1e3), (1,), steps=5))
+    got = {r["penalty"]: r for r in once.grid.collect()}
+    assert got[1e3]["converged"] and got[1e3]["selected"] and not got[1e-3]["converged"] and not got[1e-3]["selected"]
+    assert got[1e-3]["validation_accuracy"] > got[1e3]["validation_accuracy"]
+    with pytest.raises(InvalidData, match="no candidate"):
+        multinomial.train_probe(rows, multinomial.ProbeGridConfig(3, (1e-3,), (1,), steps=1))
+    with pytest.raises(InvalidData, match="classes"):
+        multinomial.train_probe(rows, multinomial.ProbeGridConfig(2, (1.0,)))
+    with pytest.raises(InvalidData, match="lack a layer"):
+        multinomial.train_probe(rows, multinomial.ProbeGridConfig(3, (1.0,), (2,)))
+    assert multinomial.probe_grid(rows.where("split <> 'train'"), multinomial.ProbeGridConfig(3, (1.0,))).count() == 0
+
+
+def test_ties_go_to_the_greater_penalty_and_the_smaller_layer(activations):
+    _, _, _, rows = activations
+    twice = rows.withColumn("features", F.array(F.element_at("features", 2), F.element_at("features", 2)))
+    grid = multinomial.probe_grid(twice, multinomial.ProbeGridConfig(3, (1.0,), (0, 1))).collect()
+    assert [r["layer"] for r in grid if r["selected"]] == [0] and grid[0]["validation_loss"] == grid[1]["validation_loss"]
+
+

@@ -98,15 +98,3 @@ def test_split_counts():
     shares = (0.8, 0.1, 0.1)
     assert [probes.split_counts(n, shares) for n in (0, 2, 3, 4, 10, 15)] == [[0, 0, 0], [2, 0, 0], [1, 1, 1], [2, 1, 1], [8, 1, 1], [12, 2, 1]]
     assert all(sum(probes.split_counts(n, shares)) == n for n in range(200))
-
-
-def test_auc_and_softmax_kernels():
-    rng = np.random.default_rng(0)
-    a, b = rng.normal(1, 1, 30).round(1), rng.normal(0, 1, 30).round(1)
-    auc, low, high = probes.bootstrap_auc(a, b, 200)
-    assert abs(auc - ((a[:, None] > b) + 0.5 * (a[:, None] == b)).mean()) < 1e-12 and low <= auc <= high
-    x = rng.normal(size=(120, 3))
-    y = (x[:, 0] > 0).astype(int) + (x[:, 1] > 0.5)
-    w, p, ok = probes.fit_softmax(x, y, 3, 2.0)
-    g = (p - np.eye(3)[y]).T @ np.hstack([x, np.ones((120, 1))])
-    assert ok and np.abs(g[:, :3] + 2.0 * w[:, :3]).max() < 1e-5 and (p.argmax(1) == y).mean() > 0.7

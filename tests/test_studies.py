@@ -6,12 +6,13 @@ import json
 import math
 
 import numpy as np
+import plain
 import pytest
 import yaml
 from pyspark.sql import functions as F
 
 from pairforge.functions import text
-from pairforge.operators import graph, lasso, observe, probes, ranking, suite, validate
+from pairforge.operators import graph, lasso, observe, probes, qualify, ranking, resampling, suite, validate
 from pairforge.operators.validate import InvalidData
 from pairforge.plans import bundle, study_queries  # noqa: F401
 from pairforge.plans.fixture import observations, pair_bank
@@ -69,19 +70,95 @@ def test_calibration_by_all_candidates(spark):
 
 def test_bootstrap_and_gates(spark):
     a, b = [0.8 + i / 100 for i in range(12)], [0.1 + i / 100 for i in range(11)] + [0.85]
-    got = probes.paired_bootstrap(pairs(spark, zip(a, b, strict=True)), replicates=300).first()
-    rng = np.random.default_rng(0)
-    draws = [auc(np.array(a)[k], np.array(b)[k]) for k in rng.integers(0, 12, (300, 12))]
-    assert tuple(got) == (pytest.approx(auc(a, b)), *(pytest.approx(x) for x in np.quantile(draws, (0.025, 0.975))), 12)
+    cfg = resampling.BootstrapConfig(replicates=2000)
+    got = resampling.paired_bootstrap(pairs(spark, zip(a, b, strict=True)), cfg).first()
+    _, low, high = plain.bootstrap_auc(np.array(a), np.array(b), 2000)
+    assert tuple(got) == (pytest.approx(auc(a, b)), pytest.approx(low, abs=0.03), pytest.approx(high, abs=0.01), 12)
     tokens = literal(spark, [(d, y, y if (d + y) % 5 else 1 - y, 0.9) for d in range(8) for y in (0, 1)], "document int, label int, predicted int, p double")
     cal, test = pairs(spark, zip(a, b, strict=True)), pairs(spark, zip(a, b, strict=True)).withColumn("conversation", F.col("conversation") + 100)
-    row = probes.qualification(cal, test, tokens, replicates=300).first()
+    row = qualify.qualification(cal, test, tokens, bootstrap=cfg).first()
     assert row["segment_passed"] and row["passed"] and row["test_auc"] == pytest.approx(auc(a, b))
-    assert not probes.qualification(cal, test.select("conversation", F.col("final").alias("reasoning"), F.col("reasoning").alias("final")), tokens, replicates=50).first()["segment_passed"]
-    strict = probes.qualification(cal, test, tokens, probes.Gates(role_accuracy=1.0), replicates=50).first()
+    assert not qualify.qualification(cal, test.select("conversation", F.col("final").alias("reasoning"), F.col("reasoning").alias("final")), tokens, bootstrap=cfg).first()["segment_passed"]
+    strict = qualify.qualification(cal, test, tokens, qualify.Gates(role_accuracy=1.0), cfg).first()
     assert strict["segment_passed"] and not strict["passed"]
     with pytest.raises(InvalidData):
-        probes.qualification(cal, cal, tokens)
+        qualify.qualification(cal, cal, tokens)
+    said = lambda rows: qualify.content_signatures(literal(spark, rows, "document string, position int, token long"))
+    contents = {"training": said([("x", 0, 5), ("x", 1, 7)]), "calibration": said([("y", 0, 7), ("y", 1, 5)]), "test": said([("z", 1, 7), ("z", 0, 5)])}
+    with pytest.raises(InvalidData, match="more than one part"):
+        qualify.qualification(cal, test, tokens, bootstrap=cfg, contents=contents)
+    assert qualify.qualification(cal, test, tokens, bootstrap=cfg, contents=contents | {"test": said([("z", 0, 5)])}).first()["passed"]
+
+
+@pytest.mark.parametrize(("part", "cells"), [(65_536, 1 << 22), (64, 1 << 12), (7, 64)])
+def test_bootstrap_by_parts(spark, part, cells):
+    """Many parts, ties within and over parts: the AUC is exact, every way gives the same replicates."""
+    rng = np.random.default_rng(8)
+    a, b = np.round(rng.normal(0.6, 1, 300), 1), np.round(rng.normal(0, 1, 300), 1)
+    rows = pairs(spark, zip(a, b, strict=True)).repartition(3)
+    got = {r["replicate"]: r["auc"] for r in resampling.auc_replicates(rows, resampling.BootstrapConfig(40, 3, part, cells)).collect()}
+    assert set(got) == set(range(41)) and got[0] == pytest.approx(auc(a, b), abs=1e-12)
+    key = np.array([r[0] for r in rows.select(F.xxhash64("conversation")).collect()], np.int64)
+    values = {r[0]: (r[1], r[2]) for r in rows.select(F.xxhash64("conversation"), "reasoning", "final").collect()}
+    x, y = (np.array([values[k][i] for k in key.tolist()]) for i in (0, 1))
+    w = resampling.poisson_weights(key, 0, 41, 3, resampling.poisson_table()).astype(float)
+    wins = (x[:, None] > y) + 0.5 * (x[:, None] == y)
+    for r in (1, 17, 40):
+        assert got[r] == pytest.approx(w[:, r] @ wins @ w[:, r] / w[:, r].sum() ** 2, abs=1e-12)
+
+
+def test_bootstrap_agrees_with_resampled_rows(spark):
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(0.5, 1, 4000), rng.normal(0, 1, 4000)
+    got = resampling.paired_bootstrap(pairs(spark, zip(a, b, strict=True)), resampling.BootstrapConfig(1000)).first()
+    _, low, high = plain.bootstrap_auc(a, b, 1000)
+    assert (got["lower_95"], got["upper_95"]) == (pytest.approx(low, abs=0.0015), pytest.approx(high, abs=0.0015)) and got["conversations"] == 4000
+    odd = pairs(spark, [(0.9, 0.1), (float("nan"), 0.2)]).unionByName(literal(spark, [(5, None, 0.5)], "conversation int, reasoning double, final double"))
+    assert resampling.paired_bootstrap(odd, resampling.BootstrapConfig(20)).first()["test_auc"] == 1.0
+    assert tuple(resampling.paired_bootstrap(odd.where("false"), resampling.BootstrapConfig(20)).first()) == (None, None, None, 0)
+
+
+def test_poisson_weights():
+    w = resampling.poisson_weights(np.arange(20_000), 4, 104, 7, resampling.poisson_table()).astype(float)
+    assert abs(w.mean() - 1) < 0.003 and abs(w.var() - 1) < 0.01 and abs(np.corrcoef(w[:, 0], w[:, 1])[0, 1]) < 0.03 and abs(np.corrcoef(w[:-1, 5], w[1:, 5])[0, 1]) < 0.03
+    assert (w[:, 4:40] == resampling.poisson_weights(np.arange(20_000), 8, 44, 7, resampling.poisson_table())).all()
+
+
+def test_totals_of_components(spark):
+    """Draws on neighbouring ranges add up in every replicate, and are binomial."""
+    total, cuts = 1000, [0, 1, 7, 500, 501, 990, 1000]
+    draws = np.array([resampling.drawn_within(a, b - a, total, 5, 0, 400) for a, b in itertools.pairwise(cuts)])
+    assert (draws.sum(0) == total).all() and (draws >= 0).all()
+    assert draws[2].mean() == pytest.approx(493, abs=3) and draws[2].var() == pytest.approx(250, rel=0.25)
+    met = literal(spark, [(c, f"{c}a", f"{c}b", o, 5 + c) for c in range(9) for o in (0.0, 1.0)], "component int, first string, second string, outcome double, n long")
+    rows = ranking.bootstrap_scores(met, ranking.FitConfig(bootstrap=30, chunk=7)).select("replicate", "component", "total").distinct().collect()
+    sums = {}
+    for r in rows:
+        sums[r["replicate"]] = sums.get(r["replicate"], 0) + r["total"]
+    assert sums == dict.fromkeys(range(30), sum(2 * (5 + c) for c in range(9)))
+
+
+def test_content_signatures(spark):
+    rows = [("a", k, t) for k, t in enumerate([3, 1, 2])] + [("b", k, t) for k, t in enumerate([3, 1, 2])] + [("c", k, t) for k, t in enumerate([1, 3, 2])] + [("d", 0, 3), ("d", 1, 1)] + [("e", 0, 3), ("e", 0, 3), ("e", 1, 1)]
+    got = {r["document"]: r["signature"] for r in qualify.content_signatures(literal(spark, rows, "document string, position int, token long").repartition(4)).collect()}
+    assert got["a"] == got["b"] and len(set(got.values())) == 4
+
+
+def test_adoption(spark, tmp_path):
+    w = np.array([[-1.0, 0.0], [1.0, 0.0]])
+    rows = literal(spark, [("test", 1, [[2.0]]), ("test", 0, [[-1.0]]), ("test", 0, [[1.0]]), ("train", 0, [[9.0]])], "split string, label int, features array<array<double>>")
+    marks = literal(spark, [("a", "s1"), ("b", "s2")], "document string, signature string")
+    grid = literal(spark, [(0, 1.0, 0.9, 0.5, True), (1, 1.0, 0.9, 0.5, True), (0, 5.0, 0.99, 0.1, False)], "layer int, penalty double, validation_accuracy double, validation_loss double, converged boolean")
+    artifacts.save_probe(spark, f"{tmp_path}/probe", 0, ["final", "reasoning"], w, {"penalty": 1.0})
+    saved = artifacts.load_probe(spark, f"{tmp_path}/probe")
+    got = qualify.adopt_probe(saved, marks, marks, grid, rows).first()
+    loss = np.mean([np.log1p(np.exp(-2 * m)) for m in (2.0, 1.0, -1.0)])
+    assert tuple(got) == (0, 1.0, pytest.approx(2 / 3), pytest.approx(loss), 2)
+    for other in (marks.where("document = 'a'"), marks.withColumn("signature", F.lit("s1")), marks.withColumn("document", F.concat("document", F.lit("x")))):
+        with pytest.raises(InvalidData, match="not those of the saved"):
+            qualify.adopt_probe(saved, marks, other, grid, rows)
+    with pytest.raises(InvalidData, match="not the best"):
+        qualify.adopt_probe(saved, marks, marks, grid.where("layer = 1"), rows)
 
 
 def test_probe_artifacts(spark, tmp_path):
