@@ -15,8 +15,10 @@ exact patterns.
 Defined results: null text counts as empty; rows repeat as they come; bytes that are not valid text are
 left alone in URL escapes, replaced in payloads, and base64 that has any and is no payload is left alone; a layer may be
 at most `max_growth` times the text plus `max_extra` characters: what would be larger becomes several
-layers, and a larger payload is streamed in windows that overlap. A guard against decompression bombs
-inside bombs ends the streaming of one text after `max_stream` bytes; an empty table gives an empty result.
+layers, and a larger payload is streamed to its end in windows. Windows are cut where no encoded run and no secret is
+open, so that what lies in one is whole; only a run of over `max_run` bytes inside a streamed payload is cut, with an overlap. A guard
+against decompression bombs inside bombs ends a payload, and it alone, after `max_stream` bytes of its own; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -71,7 +73,8 @@ MAY_BASE64 = r"[A-Za-z0-9+/_-]{16}"
 class ScanConfig:
     max_growth: int = 16
     max_extra: int = 1 << 20
-    max_stream: int = 1 << 28
+    max_stream: int = 1 << 35
+    max_run: int = 1 << 26
     window: int = 1 << 20
     overlap: int = 1 << 13
 
@@ -120,10 +123,10 @@ class Decoded:
 
 
 class Budget:
-    """What a text's layers may hold, and how many bytes may still be streamed."""
+    """What a text's layers may hold; larger payloads are streamed."""
 
     def __init__(self, cfg: ScanConfig, most: int):
-        self.cfg, self.most, self.stream = cfg, most, cfg.max_stream
+        self.cfg, self.most = cfg, most
 
 
 def _by_character(data: bytes, at) -> tuple[str, list[int], list[int]] | None:
@@ -225,18 +228,46 @@ def _pieces(data: Iterator[bytes], size: int) -> Iterator[bytes]:
         return
 
 
-def _windows(data: bytes, depth: int, budget: Budget) -> Iterator[str]:
-    """Overlapping texts of a payload that is compressed `depth` times over."""
+#: Where bytes can be cut: before a control character or one beyond ASCII, after an empty line, and after a line whose last
+#: character is not of base64. No encoded run and no secret goes over any of these.
+HARD_CUT = re.compile(rb"(?=[\x00-\x08\x0b\x0c\x0e-\x1f\x7f\xc0-\xff])|(?<=\n)[ \t]*\r?\n|(?<=[^A-Za-z0-9+/_=\s-])[ \t]*\r?\n")
+#: Before a blank between two words; only where there is no backslash, as bytes in Unicode escapes may have blanks between them.
+SOFT_CUT = re.compile(rb"(?<=\S)(?= \S)")
+
+
+def _cut(data: bytearray, after: int) -> int:
+    """The last place beyond `after` where data can be cut, or 0."""
+    patterns = (HARD_CUT,) if b"\\" in data else (SOFT_CUT, HARD_CUT)
+    for size in (1 << 12, 1 << 16, len(data)):
+        for pattern in patterns:
+            places = [m.end() for m in pattern.finditer(data, max(after, len(data) - size)) if m.end() > after]
+            if places:
+                return places[-1]
+    return 0
+
+
+def _windows(data: bytes, depth: int, cfg: ScanConfig) -> Iterator[str]:
+    """Texts of a payload that is compressed `depth` times over, to its end; each repeats the last characters of the one before."""
     stream: Iterator[bytes] = iter([data])
     for _ in range(depth):
-        stream = _pieces(stream, budget.cfg.window)
-    last = b""
+        stream = _pieces(stream, cfg.window)
+    held, done, tried, left = bytearray(), 0, 0, cfg.max_stream
     for piece in stream:
-        if budget.stream <= 0:
-            return
-        budget.stream -= len(piece)
-        yield (last + piece).decode("utf-8", "replace")
-        last = (last + piece)[-budget.cfg.overlap :]
+        held += piece
+        left -= len(piece)
+        if len(held) - done < cfg.window:
+            continue
+        cut = _cut(held, max(done, tried - 256)) or (len(held) if len(held) >= cfg.max_run else 0)
+        tried = len(held)
+        if cut:
+            yield held[:cut].decode("utf-8", "replace")
+            done = min(cut, cfg.overlap)
+            del held[: cut - done]
+            tried = 0
+        if left <= 0:
+            break
+    if len(held) > done:
+        yield held.decode("utf-8", "replace")
 
 
 def _payload(data: bytes, budget: Budget) -> tuple[str, Iterator[str] | None, int] | None:
@@ -248,15 +279,16 @@ def _payload(data: bytes, budget: Budget) -> tuple[str, Iterator[str] | None, in
     if got is None:
         return None
     (inner, used), depth, seen = got, 1, {_digest(data[: got[1]])}
-    while len(inner) <= budget.most and (key := _digest(inner)) not in seen and budget.stream > 0 and (deeper := inflate(inner, budget.most)) is not None:
+    while len(inner) <= budget.most and (key := _digest(inner)) not in seen and (deeper := inflate(inner, budget.most)) is not None:
         seen.add(key)
-        budget.stream -= len(inner)
         inner, depth = deeper[0], depth + 1
     if len(inner) <= budget.most:
         return inner.decode("utf-8", "replace"), None, used
-    while depth < 8 and (inner := next(_pieces(iter([inner]), 64), b"")):
+    # What is too large may be compressed itself: its beginning tells, level by level, until one is seen again.
+    while (inner := next(_pieces(iter([inner]), 1 << 12), b"")) and (key := _digest(inner)) not in seen:
+        seen.add(key)
         depth += 1
-    return "", _windows(data[:used], depth, budget), used
+    return "", _windows(data[:used], depth, budget.cfg), used
 
 
 def _digest(data: bytes) -> bytes:
@@ -349,7 +381,9 @@ def _glued(shift: int):
             place = np.concatenate([*(np.arange(*x) for x in lines), [lines[-1][1]]])[shift:]
             char = lambda k, place=place, n=len(run): place[np.minimum(n, (4 * k + 2) // 3)]
             found, at = [], 0
-            for x in COMPRESSED.finditer(data):
+            # What a single run of whole groups holds from its first character on has been read by _base64.
+            known = not shift and len(lines) == 1 and len(run) == lines[0][1] - lines[0][0]
+            for x in COMPRESSED.finditer(data, int(known)):
                 if x.start() >= at and (got := _payload(data[x.start() :], budget)):
                     at = x.start() + got[2]
                     found.append((x.start(), at, got))
