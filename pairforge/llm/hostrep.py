@@ -92,7 +92,11 @@ def domain_of(host: Column, cfg: ReputationConfig) -> Column:
 
 def _country(two: Column, cfg: ReputationConfig) -> Column:
     """Whether two labels are a country's second level."""
-    return two.rlike(rf"^({'|'.join(cfg.second_level)})\.[a-z]{{2}}$")
+    return two.rlike(_second_level(cfg))
+
+
+def _second_level(cfg: ReputationConfig) -> str:
+    return rf"^({'|'.join(cfg.second_level)})\.[a-z]{{2}}$"
 
 
 def _name(host: Column) -> Column:
@@ -189,7 +193,10 @@ h AS (
   SELECT host, count(bad) AS n, CAST(coalesce(sum(bad), 0) AS BIGINT) AS k,
          regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name
   FROM p LEFT JOIN l ON page_id = doc_id GROUP BY host),
-hd AS (SELECT host, n, k, split(name, '.')[-1] AS suffix, array_to_string(split(name, '.')[-2:], '.') AS domain FROM h),
+hw AS (SELECT *, array_to_string(split(name, '.')[-2:], '.') AS two, regexp_matches(name, '{ADDRESS}') AS is_address FROM h),
+hc AS (SELECT *, regexp_matches(two, '{_second_level(ReputationConfig())}') AS is_country FROM hw),
+hd AS (SELECT host, n, k, CASE WHEN is_address THEN name WHEN is_country THEN two ELSE split(name, '.')[-1] END AS suffix,
+  CASE WHEN is_address THEN name WHEN is_country THEN array_to_string(split(name, '.')[-3:], '.') ELSE two END AS domain FROM hc),
 t AS (SELECT coalesce(sum(k), 0)::DOUBLE AS pk, coalesce(sum(n), 0)::DOUBLE AS pn, 0.5::DOUBLE AS pm, 2.0::DOUBLE AS ps FROM hd),
 s0 AS (SELECT suffix, sum(n)::DOUBLE AS n, sum(k)::DOUBLE AS k, any_value(pn) AS pn, any_value(pk) AS pk, any_value(pm) AS pm, any_value(ps) AS ps FROM hd, t GROUP BY suffix),
 {_prior_sql('s1', 's0', 'suffix')},

@@ -499,12 +499,11 @@ def text_hashes(text_col: str) -> tuple[Column, Column]:
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", cfg: NearConfig | None = None) -> DataFrame:
     """One row of each class: that of the smallest id, a null id last; of several texts with it, one."""
     first = NearDuplicates(df, cfg or NearConfig(), id_col, text_col).survivors()
-    key = lambda i, *hashes: (F.coalesce(i, F.lit(0)), i.isNull(), *hashes)
-    names = [f"_first_{k}" for k in ("id", "none", "h1", "h2")]
-    first = first.select(*(c.alias(n) for c, n in zip(key(F.col("id"), F.col("h1"), F.col("h2")), names, strict=True)))
-    own = key(df[id_col].cast("long"), *text_hashes(text_col))
-    rows = df.select("*", *(c.alias(n) for c, n in zip(own, names, strict=True)))
-    return rows.join(first, names, "left_semi").dropDuplicates(names).select(*df.columns)
+    key = lambda i, *hashes: F.struct(F.coalesce(i, F.lit(0)).alias("id"), i.isNull().alias("none"), *hashes).alias("key")
+    first = first.select(key(F.col("id"), F.col("h1").alias("h1"), F.col("h2").alias("h2")))
+    one, two = text_hashes(text_col)
+    rows = df.select(F.struct(*(df[c] for c in df.columns)).alias("row"), key(df[id_col].cast("long"), one.alias("h1"), two.alias("h2")))
+    return rows.join(first, "key", "left_semi").dropDuplicates(["key"]).select("row.*")
 
 
 def op6_near(spark, sf_dir: str) -> DataFrame:

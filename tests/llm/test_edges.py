@@ -67,6 +67,16 @@ def test_near_classes_of_edges(docs):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.collect()) == [(False, 1), (False, 2), (False, 4), (False, 6), (False, 7), (False, 8), (True, 0)]
 
 
+def test_one_is_kept_whatever_columns_are_named(docs):
+    """Names that helpers use, here or in earlier versions, as columns of the table."""
+    names = ["_first_id", "_first_none", "_first_h1", "_first_h2", "key", "row", "h1", "h2", "id", "none", "node", "label", "class_id", "leader", "mask", "a", "b"]
+    more = docs.withColumns({n: F.lit(n) for n in names})
+    kept = order_minhash.keep_one(more)
+    assert kept.columns == more.columns
+    rows = kept.collect()
+    assert len(rows) == 7 and all(r[n] == n for r in rows for n in names)
+
+
 def test_filters_keep_columns(docs):
     model = ordinal_tox.OrdinalModel({"words": 5.0}, (1.0,))
     out = ordinal_tox.drop_toxic(docs, model)
@@ -89,6 +99,24 @@ def test_pages(spark):
     assert hostrep.filter_urls(pages, outcomes.where("false")).where("verdict = 'block'").count() == 0
 
 
+def test_hosts_of_all_kinds_equal_sql(spark):
+    """Second levels, addresses, ports and users: the registered SQL gives the operator's rows."""
+    import duckdb
+
+    hosts = [f"{w}.{d}" for d in ("bad.co.uk", "good.co.uk", "a.com.au", "b.com.au", "x.net", "y.org.nz", "co.uk") for w in ("www", "m", "new")]
+    hosts += ["10.0.2.3", "10.1.2.3:8080", "[::1]", "[2001:db8::1]:443", "me@www.bad.co.uk", "me:pw@www.x.net:81", "localhost", "A.COM.AU", ""]
+    rows = [(k, f"http://{h}/{k % 3}") for k, h in enumerate(hosts * 4)]
+    bad = [(k, int("good" in u or "x.net" in u or k % 7 == 0), int("10." in u and k % 2)) for k, u in rows if k % 5]
+    pages, labels = literal(spark, rows, "page_id long, url string"), literal(spark, bad, "doc_id long, quality int, toxic int")
+    outcomes = labels.select(F.col("doc_id").alias("id"), ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    got = [tuple(r) for r in hostrep.filter_urls(pages, outcomes, hostrep.RULES).select("page_id", "host", "path", "rule", "verdict").collect()]
+    con = duckdb.connect()
+    con.register("pages", pages.toPandas())
+    con.register("labels", labels.toPandas())
+    want = con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({hostrep.ORACLE})").fetchall()
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and {v for *_, v in got} == {"allow", "block"}
+
+
 def test_vectors(spark):
     rows = [(1, [0.5, 0.5]), (2, None), (3, [None, 1.0]), (None, [1.0, 1.0]), (4, [0.5, -0.5]), (5, [1.0]), (6, []), (20, [0.25, 0.5]), (4, [1e30, 1e30]), (21, [0.5, 0.5])]
     df = literal(spark, rows, "vec_id long, embedding array<double>").withColumn("v", F.lit(1)).withColumn("score", F.lit(2))
