@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairforge.functions.text import cell_id, jaccard, response_id, word_set
 from pairforge.operators.validate import require_empty
-from pairforge.shared import materialize
+from pairforge.shared import materialize, unused
 
 SPEC = ("instruction", "framing", "channel", "author")
 
@@ -124,35 +124,6 @@ def failure_reasons(checks: DataFrame, easiest: int = 2, hardest: int = 4) -> Da
     return checks.withColumn("reasons", F.array_compact(F.array(*tests))).withColumn("passes", F.size("reasons") == 0)
 
 
-def jaccard_neighbours(texts: DataFrame, least: float = 0.0) -> DataFrame:
-    """The most similar text of another group for each text: (id, neighbour, similarity).
-
-    texts: id, group, text. Texts meet by the words that they share, counted per pair; ties go to the smallest id.
-    Those that share no word with another group have similarity 0 with the smallest id of another group, or 1 with that
-    of the other texts without words. Nothing is paired that shares nothing. Without another group there is no row.
-    A word that many texts have pairs them all: meant for banks of instructions, not for corpora.
-    """
-    rows = texts.select("id", "group", word_set(F.col("text")).alias("w")).withColumn("n", F.size("w"))
-    words = rows.select("id", "group", "n", F.explode("w").alias("word"))
-    other = words.select(F.col("id").alias("other"), F.col("group").alias("other_group"), F.col("n").alias("other_n"), "word")
-    met = words.join(other, "word").where(F.col("group") != F.col("other_group")).groupBy("id", "n", "other", "other_n").agg(F.count(F.lit(1)).alias("common"))
-    scored = met.select("id", F.col("other").alias("neighbour"), (F.col("common") / (F.col("n") + F.col("other_n") - F.col("common"))).alias("similarity"))
-    best = scored.groupBy("id").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "neighbour")).alias("b"))
-
-    def smallest(of: DataFrame, name: str) -> DataFrame:
-        """The smallest ids of the two groups that have the smallest: one row."""
-        groups = of.groupBy("group").agg(F.min("id").alias("id")).orderBy("id").limit(2)
-        return groups.agg(F.sort_array(F.collect_list(F.struct("id", "group"))).alias(name))
-
-    alone = rows.select("id", "group", "n").join(best.select("id", "b"), "id", "left")
-    alone = alone.join(F.broadcast(smallest(rows, "any")), how="cross").join(F.broadcast(smallest(rows.where("n = 0"), "empty")), how="cross")
-    first = lambda name: F.try_element_at(F.filter(name, lambda g: g["group"] != F.col("group")), F.lit(1))["id"]
-    wordless = (F.col("n") == 0) & first("empty").isNotNull()
-    neighbour = F.coalesce(F.col("b.neighbour"), F.when(wordless, first("empty")), first("any"))
-    similarity = F.coalesce(-F.col("b.s"), F.when(wordless, F.lit(1.0)), F.lit(0.0))
-    return alone.select("id", neighbour.alias("neighbour"), similarity.alias("similarity")).where(F.col("neighbour").isNotNull() & (F.col("similarity") >= least))
-
-
 def similarity(first: str, second: str):
     return jaccard(word_set(F.col(first)), word_set(F.col(second)))
 
@@ -167,25 +138,29 @@ def delivered_provenance(delivered: DataFrame, cached: DataFrame) -> DataFrame:
     return cached.join(delivered.select(*SPEC, "content").distinct(), [*SPEC, "content"], "left_semi").dropDuplicates(list(SPEC))
 
 
-def score_requests(requests: DataFrame, scorer, schema: str, chunks: int = 64) -> DataFrame:
+def score_requests(requests: DataFrame, scorer, schema: str, part: int = 10_000) -> DataFrame:
     """Rows of scorer(pandas frame) of one assistant's requests; if it fails, one error row per request instead.
 
-    An assistant's requests are scored in `chunks` parts by hash, so none is too much for a task; a failure is that of
-    its part. The schema needs an error column; the others are null in error rows.
+    Requests are counted first: an assistant's are scored in parts of about `part` by hash, so none grows with the table; a
+    failure is that of its part. The schema needs an error column; the others are null in error rows.
     """
     import pandas as pd
 
     names = [c.split()[0] for c in schema.split(", ")]
+    chunk, parts, who = (unused(requests, n) for n in ("chunk", "parts", "who"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop(columns=chunk)
         try:
             out = scorer(rows)
             return (out if "error" in out else out.assign(error=None)).reindex(columns=names)
         except Exception as failure:  # the failure is the result of these requests
             return rows.reindex(columns=names).assign(error=str(failure))
 
-    dealt = requests.withColumn("_chunk", F.pmod(F.xxhash64(*requests.columns), F.lit(chunks)))
-    return dealt.groupBy("assistant", "_chunk").applyInPandas(lambda rows: run(rows.drop(columns="_chunk")), schema)
+    counts = requests.groupBy(F.col("assistant").alias(who)).agg(F.ceil(F.count(F.lit(1)) / part).alias(parts))
+    dealt = requests.join(counts, F.col("assistant").eqNullSafe(F.col(who)))
+    dealt = dealt.select(*requests.columns, F.pmod(F.xxhash64(*requests.columns), F.col(parts)).alias(chunk))
+    return dealt.groupBy("assistant", chunk).applyInPandas(run, schema)
 
 
 def ordered_distinct(rows: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pairforge.plans.queries import _AXIS_U, _BANK, _CELL, _EDGES, _PAIRED, _REJ
 from pairforge.plans.queries import ORACLE_SQL as _SQL
 from pairforge.schema import AUTHORS, CHANNELS, FRAMINGS, axis_dimension
 from pairforge.shared import materialize, scratch, table
-from pairforge.sources import files
+from pairforge.sources import buckets, files
 
 
 @query(_SQL["observation_rows"])
@@ -29,7 +29,7 @@ def observations_round_trip(spark, sf_dir):
 def keyed_table(spark, sf_dir):
     """Two writes of a keyed table, the second replacing rows of the first."""
     orders = table(spark, sf_dir, "orders")
-    saved = files.KeyedTable(spark, scratch(spark, "keyed"), "trial_id string, payload string", ["trial_id"])
+    saved = buckets.KeyedTable(spark, scratch(spark, "keyed"), "trial_id string, payload string", ["trial_id"])
     saved.put(orders.select(F.col("o_orderkey").cast("string").alias("trial_id"), F.lit("old").alias("payload")))
     saved.put(orders.where("o_orderstatus = 'F'").select(F.col("o_orderkey").cast("string").alias("trial_id"), F.lit("new").alias("payload")))
     return saved.read()

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pairforge.functions import stats, text
-from pairforge.operators import design, lasso, multinomial, observe, probes, ranking, reports, sampling, validate
+from pairforge.operators import design, lasso, multinomial, observe, probes, ranking, reports, sampling, similar, validate
 from pairforge.plans.fixture import OBS_SQL, observations, pair_bank
 from pairforge.schema import AUTHORS, AXES, CHANNELS, DESCRIPTIVE_FRAMINGS, FRAMINGS, MANUAL_FRAMINGS, REASONING_FRAMINGS, STRATA, AxisOrder
 from pairforge.shared import materialize, table
@@ -384,13 +384,23 @@ def hash_split(spark, sf_dir):
     return probes.hash_split(table(spark, sf_dir, "documents"), "doc_id", 0)
 
 
-@query(
+_NEAREST = (
     "WITH w AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark), s AS (SELECT a.item_id AS id, b.item_id AS neighbour, CASE WHEN len(a.w) + len(b.w) = 0 THEN 1.0 ELSE len(list_intersect(a.w, b.w)) / CAST(len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)) AS DOUBLE) END AS similarity FROM w a JOIN w b ON a.item_id <> b.item_id),"
     " r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, neighbour) AS k FROM s) SELECT id, neighbour, round(similarity, 9) AS similarity FROM r WHERE k = 1"
 )
+
+
+@query(_NEAREST)
 def jaccard_neighbours(spark, sf_dir):
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("item_id").alias("group"), "text")
-    return rounded(observe.jaccard_neighbours(items))
+    return rounded(similar.jaccard_neighbours(items))
+
+
+@query(_NEAREST + " AND similarity >= 0.12")
+def close_neighbours(spark, sf_dir):
+    """Nearest texts that are similar enough to be looked at."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.col("item_id").alias("group"), "text")
+    return rounded(similar.jaccard_neighbours(items, least=0.12))
 
 
 @query("SELECT conv_id AS conversation, role, round(avg(length(text) / (length(text) + 100.0::DOUBLE)), 9) AS probability FROM conversations GROUP BY ALL")

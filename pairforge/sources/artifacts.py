@@ -16,7 +16,8 @@ from pairforge.operators.probes import decide
 from pairforge.operators.suite import partitioned_dialogues
 from pairforge.operators.validate import InvalidData, repeated, require_empty
 from pairforge.shared import literal, ship
-from pairforge.sources.files import KeyedTable, read_strict
+from pairforge.sources.buckets import KeyedTable
+from pairforge.sources.files import read_strict
 
 DOCUMENTS = "id string, text string"
 DIALOGUES = "id string, split string, text string, response string"

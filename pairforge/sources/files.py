@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairforge.functions.text import cell_id
-from pairforge.operators.observe import upsert
 from pairforge.operators.validate import InvalidData, pair_violations, repeated, repeated_instructions, require_empty
 from pairforge.schema import OBSERVATION, OPTIONAL, PAIRS
 from pairforge.shared import literal, scratch
@@ -96,43 +95,6 @@ def study_fingerprint(study: dict) -> str:
     return hashlib.sha256(text.encode()).hexdigest()[:12]
 
 
-class KeyedTable:
-    """A Parquet table with one row per key: versions side by side, a pointer to the current one.
-
-    put() writes a whole new version and then moves the pointer, so a reader sees the old or the new
-    table. A missing table reads as empty.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str]):
-        self.spark, self.path, self.schema, self.keys = spark, path.rstrip("/"), schema, keys
-
-    def _fs(self, path: str):
-        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
-
-    def _versions(self) -> list[int]:
-        fs, p = self._fs(self.path)
-        if not fs.exists(p):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(p)]
-        done = [n for n in names if n.startswith("v") and n[1:].isdigit() and fs.exists(self._fs(f"{self.path}/{n}/_SUCCESS")[1])]
-        return sorted(int(n[1:]) for n in done)
-
-    def read(self) -> DataFrame:
-        versions = self._versions()
-        if not versions:
-            return literal(self.spark, [], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v{versions[-1]}")
-
-    def put(self, rows: DataFrame) -> None:
-        versions = self._versions()
-        number = versions[-1] + 1 if versions else 1
-        upsert(self.read(), rows, self.keys).write.mode("overwrite").parquet(f"{self.path}/v{number}")
-
-    def matching(self, keys: DataFrame) -> DataFrame:
-        return self.read().join(keys.select(*self.keys), self.keys, "left_semi")
-
-
 def text_library(spark: SparkSession, path: str) -> DataFrame:
     """(folder, name, content) of a directory with one folder per instruction."""
     rows = spark.read.text(f"{path.rstrip('/')}/*/*.txt", wholetext=True).withColumn("file", F.input_file_name())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pairforge.schema import OBSERVATION
-from pairforge.sources.files import KeyedTable
+from pairforge.sources.buckets import KeyedTable
 
 
 def read_stream(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,4 +19,4 @@ def deduplicated(stream: DataFrame, time: str, delay: str = "1 hour") -> DataFra
 
 def upsert_stream(stream: DataFrame, table: KeyedTable, checkpoint: str):
     """Every batch replaces rows of the table by key; running a batch again changes nothing."""
-    return stream.writeStream.foreachBatch(lambda rows, _: table.put(rows.dropDuplicates(table.keys))).option("checkpointLocation", checkpoint).start()
+    return stream.writeStream.foreachBatch(lambda rows, _: table.put(rows)).option("checkpointLocation", checkpoint).start()

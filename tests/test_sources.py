@@ -11,7 +11,7 @@ from pairforge.operators import observe, probes
 from pairforge.operators.validate import InvalidData
 from pairforge.plans.queries import observation_rows
 from pairforge.shared import literal
-from pairforge.sources import files
+from pairforge.sources import buckets, files
 
 SF = "/root/testdata/sf0.001"
 
@@ -42,7 +42,7 @@ def test_empty_file_is_rejected(spark, tmp_path):
 
 
 def test_keyed_table_replaces_by_key(spark, tmp_path):
-    table = files.KeyedTable(spark, str(tmp_path / "t"), "trial_id string, payload string", ["trial_id"])
+    table = buckets.KeyedTable(spark, str(tmp_path / "t"), "trial_id string, payload string", ["trial_id"])
     assert table.read().count() == 0
     table.put(literal(spark, [("a", "1"), ("b", "1")], table.schema))
     table.put(literal(spark, [("b", "2"), ("c", "2")], table.schema))
@@ -54,7 +54,7 @@ def test_stream_upsert_is_idempotent(spark, rows, tmp_path):
     from pairforge.streaming import observations as streaming
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in OBSERVATION)
-    table = files.KeyedTable(spark, str(tmp_path / "t"), schema, ["trial_id", "cell_id"])
+    table = buckets.KeyedTable(spark, str(tmp_path / "t"), schema, ["trial_id", "cell_id"])
     for run in range(2):
         q = streaming.upsert_stream(streaming.read_stream(spark, rows), table, str(tmp_path / f"c{run}"))
         q.processAllAvailable()
@@ -98,3 +98,51 @@ def test_split_counts():
     shares = (0.8, 0.1, 0.1)
     assert [probes.split_counts(n, shares) for n in (0, 2, 3, 4, 10, 15)] == [[0, 0, 0], [2, 0, 0], [1, 1, 1], [2, 1, 1], [8, 1, 1], [12, 2, 1]]
     assert all(sum(probes.split_counts(n, shares)) == n for n in range(200))
+
+
+def test_keyed_tables_by_buckets(spark, tmp_path):
+    """Repeated keys in a batch, touched buckets alone, null keys, removal of what no version names."""
+    path, kind = f"{tmp_path}/t", "a int, b string, v string"
+    keyed = buckets.KeyedTable(spark, path, kind, ["a", "b"], buckets=8)
+    put = lambda rows, **more: keyed.put(literal(spark, rows, f"{kind}, at int"), **more)
+    put([(k, "x", "old", 0) for k in range(100)] + [(None, None, "n", 0)])
+    put([(1, "x", "z-first", 1), (1, "x", "a-second", 2), (None, None, "m", 1)], order="at")
+    put([(2, "x", "b", 0), (2, "x", "c", 0)])
+    got = {(r["a"], r["b"]): r["v"] for r in keyed.read().collect()}
+    assert len(got) == keyed.read().count() == 101 and (got[1, "x"], got[2, "x"], got[3, "x"], got[None, None]) == ("a-second", "c", "old", "m")
+    put([])
+    assert keyed.versions() == [2, 3]
+    folders = sorted(p.name for p in (tmp_path / "t" / "data").iterdir())
+    held = {w: sorted(int(p.name[7:]) for p in (tmp_path / "t" / "data" / w).iterdir() if p.name.startswith("bucket=")) for w in folders}
+    assert len(folders) == 3 and sorted(map(len, held.values()))[:2] in ([1, 1], [1, 2])
+    put([(k, "x", "new", 0) for k in range(100)] + [(None, None, "new", 0)])
+    put([(7, "x", "newer", 0)])
+    assert len(list((tmp_path / "t" / "data").iterdir())) == 2 and {r["v"] for r in keyed.read().collect()} == {"new", "newer"}
+    with pytest.raises(InvalidData):
+        buckets.KeyedTable(spark, path, "bucket int, v string", ["bucket"])
+
+
+def test_the_second_of_two_writers_fails(spark, tmp_path, monkeypatch):
+    kind = "a int, v string"
+    one, two = (buckets.KeyedTable(spark, f"{tmp_path}/t", kind, ["a"], buckets=4) for _ in range(2))
+    one.put(literal(spark, [(1, "a"), (2, "a")], kind))
+    before = one._current()
+    two.put(literal(spark, [(1, "two")], kind))
+    monkeypatch.setattr(one, "_current", lambda: before)
+    with pytest.raises(buckets.Superseded):
+        one.put(literal(spark, [(2, "one")], kind))
+    assert {tuple(r) for r in two.read().collect()} == {(1, "two"), (2, "a")} and two.versions() == [1, 2]
+    assert len(list((tmp_path / "t" / "data").iterdir())) == 2 and not list((tmp_path / "t" / "versions").glob("*.draft"))
+
+
+def test_scoring_keeps_columns_and_parts_are_counted(spark):
+    rows = [(("a", "b", None)[k % 3], k, k, f"p{k}") for k in range(60)]
+    requests = literal(spark, rows, "assistant string, chunk int, _chunk int, parts string")
+    sizes = []
+
+    def scorer(frame):
+        assert len(frame) <= 20
+        return frame.assign(score=frame["chunk"] * 2.0)
+
+    got = observe.score_requests(requests, scorer, "assistant string, chunk int, _chunk int, parts string, score double, error string", part=5).collect()
+    assert sorted((r["chunk"], r["_chunk"], r["parts"], r["score"], r["error"]) for r in got) == sorted((k, k, f"p{k}", 2.0 * k, None) for k in range(60)) and not sizes

@@ -12,12 +12,12 @@ import yaml
 from pyspark.sql import functions as F
 
 from pairforge.functions import text
-from pairforge.operators import graph, lasso, observe, probes, qualify, ranking, resampling, suite, validate
+from pairforge.operators import graph, lasso, observe, probes, qualify, ranking, resampling, similar, suite, validate
 from pairforge.operators.validate import InvalidData
 from pairforge.plans import bundle, study_queries  # noqa: F401
 from pairforge.plans.fixture import observations, pair_bank
 from pairforge.plans.queries import QUERIES
-from pairforge.shared import literal
+from pairforge.shared import literal, materialize
 from pairforge.sources import artifacts, files
 
 SF = "/root/testdata/sf0.001"
@@ -264,9 +264,9 @@ def test_dialogues_documents_and_texts_fail_closed(spark, tmp_path):
 
 def test_neighbours_of_every_text(spark):
     rows = [(1, 1, "a b"), (2, 1, "a b c"), (3, 2, "x y"), (4, 3, ""), (5, 4, "..."), (6, 5, "b c")]
-    got = {r["id"]: (r["neighbour"], round(r["similarity"], 6)) for r in observe.jaccard_neighbours(literal(spark, rows, "id int, group int, text string")).collect()}
+    got = {r["id"]: (r["neighbour"], round(r["similarity"], 6)) for r in similar.jaccard_neighbours(literal(spark, rows, "id int, group int, text string")).collect()}
     assert got == {1: (6, 0.333333), 2: (6, 0.666667), 3: (1, 0.0), 4: (5, 1.0), 5: (4, 1.0), 6: (2, 0.666667)}
-    assert observe.jaccard_neighbours(literal(spark, rows[:2], "id int, group int, text string")).count() == 0
+    assert similar.jaccard_neighbours(literal(spark, rows[:2], "id int, group int, text string")).count() == 0
 
 
 def test_ids_and_fingerprints(spark):
@@ -304,3 +304,35 @@ def test_rank_stability_equals_numpy(spark):
     for r in ranking.rank_stability(fits.fitted, fits.l2).collect():
         assert r["rank_correlation_with_primary"] == pytest.approx(np.corrcoef(table[1.0], table[r["l2"]])[0, 1])
         assert r["max_absolute_rank_shift"] == int((table[1.0] - table[r["l2"]]).abs().max())
+
+
+@pytest.mark.parametrize("levels", [similar.LEVELS, (), (0.5,)])
+def test_nearest_texts_by_prefixes(spark, levels):
+    """Random bags of words, one of which all texts have: the same as comparing all; ties by the given order."""
+    rng = np.random.default_rng(5)
+    words = [f"w{int(k)}" for k in np.minimum(60, rng.zipf(1.4, 4000))]
+    rows, at = [], 0
+    for i in range(120):
+        n = int(rng.integers(0, 14))
+        rows.append((i, int(rng.integers(0, 50)), int(rng.permutation(200)[0]), " ".join([*words[at : at + n], "all"]) if i % 17 else None))
+        at += n
+    rows += [(200 + k, k, k, "one two three four") for k in range(3)]
+    df = literal(spark, rows, "id int, group int, place int, text string").repartition(3)
+    bags = {i: set((t or "").split()) for i, _, _, t in rows}
+    got = {r["id"]: (r["neighbour"], r["similarity"]) for r in similar.jaccard_neighbours(df, order="place", levels=levels).collect()}
+    for i, g, _, _ in rows:
+        others = [(j, p) for j, h, p, _ in rows if h != g]
+        sim = lambda j: 1.0 if not bags[i] | bags[j] else len(bags[i] & bags[j]) / len(bags[i] | bags[j])  # noqa: E731, B023
+        best = max(sim(j) for j, _ in others)
+        first = min((p, j) for j, p in others if abs(sim(j) - best) < 1e-12)
+        assert got[i] == (first[1], pytest.approx(best))
+
+
+def test_a_word_that_all_texts_have_pairs_none(spark):
+    rows = [(k, k, f"all t{k // 2}a t{k // 2}b t{k // 2}c u{k}") for k in range(400)]
+    df = literal(spark, rows, "id int, group int, text string")
+    bags, _ = materialize(spark, df.select("id", "group", F.col("id").alias("order"), text.word_set(F.col("text")).alias("w")), "bags")
+    words = similar._ordered_words(bags)
+    assert similar.candidates(bags.select("id", F.lit(0.0).alias("bound")), words, bags, F.lit(0.6)).count() == 400
+    assert similar.candidates(bags.select("id", F.lit(4 / 6).alias("bound")), words, bags, F.col("bound")).count() == 400
+    assert {(r["id"], r["neighbour"]) for r in similar.jaccard_neighbours(df).collect()} == {(k, k ^ 1) for k in range(400)}
