@@ -8,13 +8,20 @@ from pyspark.sql import functions as F
 from pairforge.functions.stats import guarded_corr, smoothed_odds, wilson
 from pairforge.schema import AXES, STRATA
 
+OUTCOMES = ("exactly_one", "both_completed", "neither_completed")
 CELL = ("instruction", "framing", "channel", "author", "assistant")
 
 
-def rates(grouped) -> DataFrame:
-    """observations, completions, completion_rate and its Wilson interval of each group."""
-    counts = grouped.agg(F.count(F.lit(1)).alias("observations"), F.count_if("completed").alias("completions"))
-    return with_rates(counts)
+def measured(obs: DataFrame) -> list[str]:
+    """What is counted: completed of each observation, or n and k where rows are counts of observations already."""
+    return ["completed"] if "completed" in obs.columns else ["n", "k"]
+
+
+def tally(obs: DataFrame, n: str = "n", k: str = "k") -> list[Column]:
+    """Observations and completions of a group, from either kind of rows."""
+    if measured(obs) == ["completed"]:
+        return [F.count(F.lit(1)).alias(n), F.count_if("completed").alias(k)]
+    return [F.sum("n").alias(n), F.sum("k").alias(k)]
 
 
 def with_rates(counts: DataFrame) -> DataFrame:
@@ -33,7 +40,7 @@ def axis_summary(obs: DataFrame, scores: DataFrame | None = None, axes: tuple[st
 
     Counts are taken by (axis, value, cell) first, which serves both the rates and the cells.
     """
-    cells = unpivot(obs, axes, "axis", ["cell_id", "completed"]).groupBy("axis", "value", "cell_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("completed").alias("k"))
+    cells = unpivot(obs, axes, "axis", ["cell_id", *measured(obs)]).groupBy("axis", "value", "cell_id").agg(*tally(obs))
     out = [F.sum("n").alias("observations"), F.sum("k").alias("completions"), F.count(F.lit(1)).alias("cells")]
     if scores is not None:
         cells = cells.join(scores.select("cell_id", "score"), "cell_id", "left")
@@ -57,23 +64,29 @@ def axis_comparisons(summary: DataFrame) -> DataFrame:
 def stratum_summary(obs: DataFrame, strata: tuple[str, ...] = STRATA) -> DataFrame:
     """Rates by what is constant within a trial: assistant, skill, conflict, pair."""
     rows = obs.withColumnRenamed("pair_id", "pair")
-    cells = unpivot(rows, strata, "stratum", ["cell_id", "completed"]).groupBy("stratum", "value", "cell_id").agg(F.count(F.lit(1)).alias("n"), F.count_if("completed").alias("k"))
+    cells = unpivot(rows, strata, "stratum", ["cell_id", *measured(obs)]).groupBy("stratum", "value", "cell_id").agg(*tally(obs))
     return with_rates(cells.groupBy("stratum", "value").agg(F.count(F.lit(1)).alias("cells"), F.sum("n").alias("observations"), F.sum("k").alias("completions")))
 
 
-def pair_exclusivity(obs: DataFrame) -> DataFrame:
-    """How many trials of a pair completed exactly one, both, or neither instruction."""
+def trial_outcomes(obs: DataFrame) -> DataFrame:
+    """(trial_id, pair, skill, conflict, exactly_one, both_completed, neither_completed): 1 or 0 each."""
     trials = obs.groupBy("pair_id", "skill", "conflict", "trial_id").agg(F.count_if("completed").alias("k"), F.count(F.lit(1)).alias("n"))
     k, n = F.col("k"), F.col("n")
     one, both = k == 1, (k != 1) & (k == n)
-    out = trials.groupBy(F.col("pair_id").alias("pair"), "skill", "conflict").agg(
-        F.count(F.lit(1)).alias("trials"), F.count_if(one).alias("exactly_one"), F.count_if(both).alias("both_completed"), F.count_if(~one & ~both).alias("neither_completed")
-    )
-    return out.withColumns({f"{c}_rate": F.col(c) / F.col("trials") for c in ("exactly_one", "both_completed", "neither_completed")})
+    return trials.select("trial_id", F.col("pair_id").alias("pair"), "skill", "conflict", *(c.cast("long").alias(name) for c, name in zip((one, both, ~one & ~both), OUTCOMES, strict=True)))
+
+
+def outcome_rates(counts: DataFrame) -> DataFrame:
+    return counts.withColumns({f"{c}_rate": F.col(c) / F.col("trials") for c in OUTCOMES})
+
+
+def pair_exclusivity(obs: DataFrame) -> DataFrame:
+    """How many trials of a pair completed exactly one, both, or neither instruction."""
+    return outcome_rates(trial_outcomes(obs).groupBy("pair", "skill", "conflict").agg(F.count(F.lit(1)).alias("trials"), *(F.sum(c).alias(c) for c in OUTCOMES)))
 
 
 def position_summary(obs: DataFrame) -> DataFrame:
-    return rates(obs.groupBy("position"))
+    return with_rates(obs.groupBy("position").agg(*tally(obs, "observations", "completions")))
 
 
 def _moments(n: str = "n") -> list[Column]:
@@ -90,7 +103,7 @@ def _correlation() -> Column:
 
 def _by_position(obs: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
     """Counts by keys and position, and by keys alone: one aggregate over the rows, one over its result."""
-    fine = obs.groupBy(*keys, "position").agg(F.count(F.lit(1)).alias("n"), F.count_if("completed").alias("k"))
+    fine = obs.groupBy(*keys, "position").agg(*tally(obs))
     rate = F.col("k") / F.col("n")
     whole = fine.groupBy(*keys).agg(*_moments(), F.min(rate).alias("min_position_rate"), F.max(rate).alias("max_position_rate"))
     whole = whole.select(*keys, "observations", "completions", _correlation().alias("position_correlation"), "min_position_rate", "max_position_rate")
@@ -106,7 +119,7 @@ def cell_position_effects(obs: DataFrame) -> DataFrame:
 
 
 def axis_position_effects(obs: DataFrame, axes: tuple[str, ...] = AXES) -> DataFrame:
-    fine, whole = _by_position(unpivot(obs, axes, "axis", ["position", "completed"]), ["axis", "value"])
+    fine, whole = _by_position(unpivot(obs, axes, "axis", ["position", *measured(obs)]), ["axis", "value"])
     whole = whole.select("axis", "value", (F.col("completions") / F.col("observations")).alias("overall"), "position_correlation")
     out = with_rates(fine).join(whole, ["axis", "value"])
     return out.withColumn("delta_from_axis_value_rate", F.col("completion_rate") - F.col("overall")).drop("overall")
@@ -115,7 +128,7 @@ def axis_position_effects(obs: DataFrame, axes: tuple[str, ...] = AXES) -> DataF
 def order_sensitivity(obs: DataFrame, axes: tuple[str, ...] = AXES) -> DataFrame:
     """Range of position rates of every cell and axis value, widest first."""
     _, cells = _by_position(obs, ["cell_id", *CELL])
-    _, values = _by_position(unpivot(obs, axes, "axis", ["position", "completed"]), ["axis", "value"])
+    _, values = _by_position(unpivot(obs, axes, "axis", ["position", *measured(obs)]), ["axis", "value"])
     cells = cells.withColumn("kind", F.lit("cell")).withColumn("value", F.col("cell_id"))
     both = cells.unionByName(values.withColumn("kind", F.lit("axis")), allowMissingColumns=True)
     both = both.withColumn("position_rate_range", F.col("max_position_rate") - F.col("min_position_rate"))
@@ -125,7 +138,7 @@ def order_sensitivity(obs: DataFrame, axes: tuple[str, ...] = AXES) -> DataFrame
 
 def position_balance(obs: DataFrame) -> DataFrame:
     """Whether a cell has every position from 1 up equally often."""
-    fine = obs.groupBy("cell_id", "position").agg(F.count(F.lit(1)).alias("n"))
+    fine = obs.groupBy("cell_id", "position").agg(*tally(obs))
     out = fine.groupBy("cell_id").agg(F.min("n").alias("count_min"), F.max("n").alias("count_max"), F.count(F.lit(1)).alias("positions"), F.max("position").alias("last_position"), F.min("position").alias("first_position"))
     balanced = (F.col("count_min") == F.col("count_max")) & (F.col("first_position") == 1) & (F.col("positions") == F.col("last_position"))
     return out.select("cell_id", "count_min", "count_max", "positions", balanced.alias("balanced"))

@@ -22,10 +22,11 @@ class AnalysisConfig:
 
 @dataclass
 class Analysis:
-    """tables by name, and the row of checks."""
+    """tables by name, the row of checks, and one row an assistant on the sparse model, if it was fitted."""
 
     tables: dict[str, DataFrame]
     diagnostics: DataFrame
+    lasso_diagnostics: DataFrame | None = None
 
 
 def analyse(obs: DataFrame, bank: DataFrame, cfg: AnalysisConfig | None = None) -> Analysis:
@@ -54,11 +55,12 @@ def analyse(obs: DataFrame, bank: DataFrame, cfg: AnalysisConfig | None = None)
         "order_sensitivity": reports.order_sensitivity(obs),
         "bank_coverage": reports.bank_coverage(bank),
     }
+    found = None
     if cfg.lasso:
         found = lasso.fit_lassos(obs, cfg.lasso)
         tables |= {"lasso_path": found["path"], "lasso_features": found["features"], "lasso_blocks": found["blocks"]}
     balance = keep(reports.position_balance(obs), "balance")
-    return Analysis(tables, diagnostics(obs, fits, ranked, exclusivity, balance))
+    return Analysis(tables, diagnostics(obs, fits, ranked, exclusivity, balance), found and found["diagnostics"])
 
 
 def diagnostics(obs: DataFrame, fits: ranking.Fits, ranked: DataFrame, exclusivity: DataFrame, balance: DataFrame) -> DataFrame:
@@ -90,12 +92,14 @@ def report(analysis: Analysis, most: int = 20) -> str:
 
 
 def write_analysis(analysis: Analysis, folder: str) -> list[str]:
-    """One CSV folder for each table that has rows, diagnostics.json and report.md; returns the tables' names."""
+    """One CSV folder for each table that has rows, diagnostics.json, lasso_diagnostics.json and report.md; returns the tables' names."""
     spark = analysis.diagnostics.sparkSession
     names = write_tables(analysis.tables, folder)
     row = json.dumps(analysis.diagnostics.first().asDict(), sort_keys=True)
     for name, text in (("diagnostics.json", row), ("report.md", report(analysis))):
         spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{folder.rstrip('/')}/{name}", lineSep="\n")
+    if analysis.lasso_diagnostics is not None:
+        analysis.lasso_diagnostics.coalesce(1).write.json(f"{folder.rstrip('/')}/lasso_diagnostics.json")
     return names
 
 

@@ -545,6 +545,33 @@ def lasso_blocks(spark, sf_dir):
     return rounded(_lassos(spark, sf_dir)["blocks"])
 
 
+@query(f"WITH {OBS_SQL} SELECT assistant, CAST(i AS INTEGER) AS lambda_index, true AS features_optimal, true AS offsets_optimal FROM (SELECT DISTINCT assistant FROM obs), range(40) t(i)")
+def lasso_conditions(spark, sf_dir):
+    """What makes each fit of the path a minimum, computed anew from the comparisons and the coefficients."""
+    obs, _ = materialize(spark, observations(spark, sf_dir), "observations")
+    cfg = lasso.LassoConfig(order=FIXTURE_ORDER, folds=0)
+    found = lasso.conditions(obs, lasso.fit_lassos(obs, cfg), cfg)
+    return found.select("assistant", "lambda_index", (F.col("excess") < 1e-6).alias("features_optimal"), (F.col("block_gradient") < 1e-7).alias("offsets_optimal"))
+
+
+_LEVELS = ", u AS (SELECT assistant, trial_id, 'framing' AS axis, framing AS v FROM obs UNION ALL SELECT assistant, trial_id, 'channel', channel FROM obs UNION ALL SELECT assistant, trial_id, 'author', author FROM obs), r AS (SELECT *, min(v) OVER (PARTITION BY assistant, axis) AS reference FROM u), d AS (SELECT assistant, axis, v, trial_id FROM r WHERE v <> reference GROUP BY ALL HAVING count(*) = 1)"
+
+
+@query(f"WITH {OBS_SQL}{_LEVELS} SELECT assistant, axis || '[' || v || ']' AS feature, count(*) AS differing_comparisons FROM d GROUP BY ALL UNION ALL SELECT assistant, 'first_position', count(DISTINCT trial_id) FROM obs GROUP BY assistant")
+def lasso_screening(spark, sf_dir):
+    """In how many comparisons each main effect differs between the two inputs."""
+    obs, _ = materialize(spark, observations(spark, sf_dir), "observations")
+    features = lasso.fit_lassos(obs, lasso.LassoConfig(order=FIXTURE_ORDER, folds=0, path=2))["features"]
+    return features.where("group IN ('framing', 'channel', 'author', 'position') AND differing_comparisons > 0").select("assistant", "feature", "differing_comparisons")
+
+
+@query(f"WITH {OBS_SQL}, t AS (SELECT assistant, trial_id, any_value(pair_id) AS pair, min(cell_id) AS a, max(cell_id) AS b FROM obs GROUP BY ALL) SELECT assistant, count(*) AS comparisons, count(DISTINCT (a, b)) AS cell_pairs, count(DISTINCT pair) AS blocks, 10::BIGINT AS path_length, true AS converged FROM t GROUP BY assistant")
+def lasso_diagnostics(spark, sf_dir):
+    obs, _ = materialize(spark, observations(spark, sf_dir), "observations")
+    row = lasso.fit_lassos(obs, lasso.LassoConfig(order=FIXTURE_ORDER, folds=0, path=10))["diagnostics"]
+    return row.select("assistant", "comparisons", "cell_pairs", "blocks", "path_length", "converged")
+
+
 @query()
 def sampled_studies(spark, sf_dir):
     edges = design.ranked_edges(_edges(spark, sf_dir))

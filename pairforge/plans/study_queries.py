@@ -10,10 +10,10 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pairforge.functions import text
-from pairforge.operators import design, probes, qualify, ranking, resampling, suite, validate
+from pairforge.operators import design, incremental, probes, qualify, ranking, resampling, suite, validate
 from pairforge.plans import bundle
 from pairforge.plans.fixture import OBS_SQL, observations, pair_bank
-from pairforge.plans.queries import _BANK, _COMPONENTS, _JUDGED, _REJECTED, _SPECS, _STUDIES, _labelled, _rejected, query, rounded, studies
+from pairforge.plans.queries import ORACLE_SQL, _BANK, _COMPONENTS, _JUDGED, _REJECTED, _SPECS, _STUDIES, _labelled, _rejected, query, rounded, studies
 from pairforge.shared import materialize, scratch, table
 from pairforge.sources import artifacts, files
 
@@ -316,3 +316,23 @@ def analysis_diagnostics(spark, sf_dir):
     """The checks of an analysis that SQL can count, and that the fit converged."""
     found = bundle.analyse(observations(spark, sf_dir), pair_bank(spark, sf_dir), bundle.AnalysisConfig(bootstrap=False, lasso=None)).diagnostics
     return found.drop("fit_iterations", "fit_objective", "least_rank_correlation", "greatest_rank_shift")
+
+
+def _followed(spark, sf_dir):
+    """Stored counts after three batches: some trials come first with other outcomes, and are replaced by what they are."""
+    obs, _ = materialize(spark, observations(spark, sf_dir), "observations")
+    followed = incremental.IncrementalReports(spark, scratch(spark, "followed"), buckets=8)
+    early = obs.where("trial_id % 3 = 0").withColumn("completed", F.when(F.col("trial_id") % 2 == 0, ~F.col("completed")).otherwise(F.col("completed")))
+    for batch in (early, obs.where("trial_id % 3 = 1"), obs.where("trial_id % 3 = 2 OR trial_id % 2 = 0")):
+        followed.add(batch)
+    return followed
+
+
+@query(ORACLE_SQL["axis_summary"])
+def followed_axis_summary(spark, sf_dir):
+    return rounded(_followed(spark, sf_dir).reports()["axis_summary"])
+
+
+@query(ORACLE_SQL["pair_exclusivity"])
+def followed_pair_exclusivity(spark, sf_dir):
+    return rounded(_followed(spark, sf_dir).reports()["pair_exclusivity"])

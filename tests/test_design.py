@@ -2,6 +2,7 @@
 
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from pairforge.operators import design, lasso, sampling
@@ -73,6 +74,50 @@ def test_lasso_is_optimal_and_screens(spark):
         assert np.allclose(g[b != 0], penalty * np.sign(b[b != 0]), atol=1e-5)
 
 
+@pytest.mark.parametrize("rows", [60, 400])
+def test_the_strong_rule_changes_no_path(rows):
+    """More features than rows and fewer: the path with screening is the path without."""
+    rng = np.random.default_rng(rows)
+    x = rng.integers(-1, 2, (rows, 90)).astype(float)
+    x[:, 60:] = x[:, :30] + 0.1 * rng.normal(size=(rows, 30))
+    n = rng.integers(1, 4, rows).astype(float)
+    y = np.round(n * (1 / (1 + np.exp(-(x[:, 0] - x[:, 1] + 0.5 * x[:, 61]))) > rng.random(rows)), 0)
+    p = lasso.Problem(x, n, y, rng.integers(0, 3, rows), rng.choice([-1.0, 1.0], rows), 3)
+    cfg = lasso.LassoConfig()
+    o, b, _, _ = lasso.solve(p, np.zeros(3), np.zeros(90), 1.0, np.inf, cfg)
+    top = float(np.abs(p.pull(o, b)).max())
+    lambdas = [top * 0.02 ** (k / 14) for k in range(15)]
+    for (o1, b1, ok, _), penalty in zip(lasso.fit_path(p, 1.0, lambdas, cfg), lambdas, strict=True):
+        o, b, _, _ = lasso.solve(p, o, b, 1.0, penalty, cfg)
+        assert ok and np.abs(b - b1).max() < 1e-6 and np.abs(o - o1).max() < 1e-6
+        g = np.abs(p.pull(o1, b1))
+        assert (g <= penalty * (1 + 1e-6)).all() and np.allclose(g[b1 != 0], penalty, rtol=1e-5)
+
+
+def test_lasso_tables_are_whole(spark):
+    from pairforge.plans.queries import FIXTURE_ORDER
+
+    obs = observations(spark, SF).where("assistant IN ('F', 'O')")
+    t = lasso.fit_lassos(obs, lasso.LassoConfig(order=FIXTURE_ORDER, path=6, folds=2))
+    path = {(r["assistant"], r["lambda_index"]): r for r in t["path"].collect()}
+    assert all(r["lambda_ratio"] == pytest.approx(1e-3 ** (k / 5)) for (_, k), r in path.items())
+    chosen = {r["assistant"]: r for r in t["chosen"].collect()}
+    values = {(r["assistant"], r["lambda_index"], r["feature"]): r["coefficient"] for r in t["coefficients"].collect()}
+    for r in t["features"].collect():
+        a, f = r["assistant"], r["feature"]
+        if r["status"] != "fitted":
+            assert r["entry_index"] is None and r["coefficient_selected"] is None
+            continue
+        entry = min((k for k in range(6) if values[a, k, f] != 0), default=None)
+        assert (r["entry_index"], r["coefficient_selected"], r["coefficient_cv_min"]) == (entry, values[a, chosen[a]["selected"], f], values[a, chosen[a]["index_min"], f])
+        assert (r["entry_lambda"], r["entry_lambda_ratio"]) == ((None, None) if entry is None else (path[a, entry]["lambda"], pytest.approx(path[a, entry]["lambda_ratio"])))
+    assert all(r["first_side_win_probability"] == pytest.approx(1 / (1 + np.exp(-r["offset_selected"]))) for r in t["blocks"].collect())
+    for r in t["diagnostics"].collect():
+        assert r["candidate_features"] == r["fitted_features"] + r["never_differing_features"] + r["aliased_features"] and r["design_rank"] <= min(r["fitted_features"], r["comparisons"])
+        assert r["lambda_selected"] == path[r["assistant"], r["selected_index"]]["lambda"] and set(r["references"]) == {"framing", "channel", "author"} and r["folds"] == 2
+    assert t["diagnostics"].count() == 2
+
+
 def test_lasso_arguments():
     with pytest.raises(ValueError):
         lasso.LassoConfig(folds=1)

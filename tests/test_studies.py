@@ -12,7 +12,7 @@ import yaml
 from pyspark.sql import functions as F
 
 from pairforge.functions import text
-from pairforge.operators import graph, lasso, observe, probes, qualify, ranking, resampling, similar, suite, validate
+from pairforge.operators import graph, incremental, lasso, observe, probes, qualify, ranking, reports, resampling, similar, suite, validate
 from pairforge.operators.validate import InvalidData
 from pairforge.plans import bundle, study_queries  # noqa: F401
 from pairforge.plans.fixture import observations, pair_bank
@@ -286,6 +286,7 @@ def test_analysis_writes_every_table(spark, tmp_path):
     names = bundle.write_analysis(out, f"file://{tmp_path}/out")
     assert len(out.tables) == 14 and set(names) == set(out.tables)
     row = json.loads("".join(r["value"] for r in spark.read.text(f"{tmp_path}/out/diagnostics.json").collect()))
+    assert spark.read.json(f"{tmp_path}/out/lasso_diagnostics.json").count() == obs.select("assistant").distinct().count()
     assert row["observations"] == obs.count() and row["fit_converged"] and row["trials"] == row["comparison_count"]
     said = "\n".join(r["value"] for r in spark.read.text(f"{tmp_path}/out/report.md").collect())
     assert "## cell_ranking" in said and "## lasso_features" in said
@@ -336,3 +337,23 @@ def test_a_word_that_all_texts_have_pairs_none(spark):
     assert similar.candidates(bags.select("id", F.lit(0.0).alias("bound")), words, bags, F.lit(0.6)).count() == 400
     assert similar.candidates(bags.select("id", F.lit(4 / 6).alias("bound")), words, bags, F.col("bound")).count() == 400
     assert {(r["id"], r["neighbour"]) for r in similar.jaccard_neighbours(df).collect()} == {(k, k ^ 1) for k in range(400)}
+
+
+def test_reports_follow_their_observations(spark, tmp_path):
+    """After batches with replaced, repeated and moved trials every report is that of all observations."""
+    obs = observations(spark, SF).where("pair_id < '4'")
+    followed = incremental.IncrementalReports(spark, f"{tmp_path}/reports", buckets=4)
+    assert all(df.count() == 0 for df in followed.reports().values())
+    wrong = obs.where("trial_id % 2 = 0").withColumn("completed", F.lit(True)).withColumn("skill", F.lit("other"))
+    for batch in (wrong, obs.where("trial_id % 2 = 1"), obs.where("trial_id % 2 = 0"), obs.where("trial_id % 5 = 0"), obs.where("false")):
+        followed.add(batch)
+    axis = reports.axis_summary(obs)
+    want = {
+        "axis_summary": axis, "axis_comparisons": reports.axis_comparisons(axis), "stratum_summary": reports.stratum_summary(obs), "pair_exclusivity": reports.pair_exclusivity(obs), "position_summary": reports.position_summary(obs),
+        "cell_position_effects": reports.cell_position_effects(obs), "axis_position_effects": reports.axis_position_effects(obs), "order_sensitivity": reports.order_sensitivity(obs), "position_balance": reports.position_balance(obs),
+    }
+    got = followed.reports()
+    assert set(got) == set(want)
+    for name, df in want.items():
+        tidy = lambda d: sorted(repr([round(v, 9) if isinstance(v, float) else v for v in r]) for r in d.select(*df.columns).collect())  # noqa: E731, B023
+        assert tidy(got[name]) == tidy(df), name
