@@ -18,11 +18,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairforge.functions.stats import sigmoid
+from pairforge.operators.checks import checked, trial_rules
 from pairforge.operators.graph import component_index, components, cumulative
 from pairforge.operators.resampling import drawn_within
 from pairforge.shared import literal, materialize, ship
 
 RANK_DIGITS = 12
+COMPARED = ["trial_id", "first", "second", "outcome"]
 
 
 @dataclass(frozen=True)
@@ -35,12 +37,23 @@ class FitConfig:
     chunk: int = 25
 
 
-def comparisons(obs: DataFrame) -> DataFrame:
-    """(trial_id, first, second, outcome): cells in id order, outcome 1, 0 or a half for a tie."""
+def _trials(obs: DataFrame) -> DataFrame:
+    """A row a trial: its cells in id order, the outcome, and what its checks look at."""
     side = F.struct("cell_id", "completed")
-    out = obs.groupBy("trial_id").agg(F.min(side).alias("a"), F.max(side).alias("b"))
+    facts = [F.count(F.lit(1)).alias("rows"), F.min("position").alias("lo"), F.max("position").alias("hi")] if "position" in obs.columns else []
+    out = obs.groupBy("trial_id").agg(F.min(side).alias("a"), F.max(side).alias("b"), *facts)
     outcome = F.when(F.col("a.completed") == F.col("b.completed"), 0.5).when(F.col("a.completed"), 1.0).otherwise(0.0)
-    return out.select("trial_id", F.col("a.cell_id").alias("first"), F.col("b.cell_id").alias("second"), outcome.alias("outcome"))
+    return out.select("trial_id", F.col("a.cell_id").alias("first"), F.col("b.cell_id").alias("second"), outcome.alias("outcome"), *(["rows", "lo", "hi"] if facts else []))
+
+
+def comparisons(obs: DataFrame) -> DataFrame:
+    """(trial_id, first, second, outcome): cells in id order, outcome 1, 0 or a half for a tie."""
+    return _trials(obs).select(*COMPARED)
+
+
+def checked_comparisons(obs: DataFrame) -> DataFrame:
+    """comparisons, stored; a trial that is not two cells at positions 1 and 2 is an error, found in the same pass."""
+    return checked(_trials(obs), trial_rules(), "comparisons", ("trial_id",), COMPARED)
 
 
 def cell_components(obs: DataFrame, compared: DataFrame) -> DataFrame:
@@ -191,7 +204,7 @@ class Fits:
 def fit_all(obs: DataFrame, cfg: FitConfig | None = None, bootstrap: bool = False, penalties: tuple[float, ...] = (0.1, 1.0, 10.0)) -> Fits:
     """Comparisons, components, fits at multiples of the penalty, and the ranking at the penalty itself."""
     cfg, spark = cfg or FitConfig(), obs.sparkSession
-    compared, _ = materialize(spark, comparisons(obs), "comparisons")
+    compared = checked_comparisons(obs)
     cells = cell_components(obs, compared)
     met, _ = materialize(spark, meetings(compared, cells), "meetings")
     fitted, _ = materialize(spark, fit_scores(met, sorted({cfg.l2 * x for x in penalties} | {cfg.l2}), cfg), "fits")

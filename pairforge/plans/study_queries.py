@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pairforge.functions import text
-from pairforge.operators import design, incremental, probes, qualify, ranking, resampling, suite, validate
+from pairforge.operators import checks, design, incremental, probes, qualify, ranking, resampling, suite, validate
 from pairforge.plans import bundle
 from pairforge.plans.fixture import OBS_SQL, observations, pair_bank
 from pairforge.plans.queries import ORACLE_SQL, _BANK, _COMPONENTS, _JUDGED, _REJECTED, _SPECS, _STUDIES, _labelled, _rejected, query, rounded, studies
@@ -336,3 +336,13 @@ def followed_axis_summary(spark, sf_dir):
 @query(ORACLE_SQL["pair_exclusivity"])
 def followed_pair_exclusivity(spark, sf_dir):
     return rounded(_followed(spark, sf_dir).reports()["pair_exclusivity"])
+
+
+_RULES_SQL = " UNION ALL ".join(f"SELECT '{name}' AS rule, sale_id FROM sales WHERE {sql}" for name, sql in (("no client", "client_id IS NULL"), ("no status", "status IS NULL"), ("arrived late", "arrived_at > sold_at + INTERVAL 1 HOUR"), ("no priority", "priority IS NULL")))
+
+
+@query(_RULES_SQL)
+def broken_rules(spark, sf_dir):
+    """Rows of sales that break rules, one row a rule, from one scan."""
+    rules = [checks.Rule("no client", F.col("client_id").isNull()), checks.Rule("no status", F.col("status").isNull()), checks.Rule("arrived late", F.col("arrived_at") > F.col("sold_at") + F.expr("INTERVAL 1 HOUR")), checks.Rule("no priority", F.col("priority").isNull())]
+    return checks.violations(table(spark, sf_dir, "sales"), rules, "sale_id")

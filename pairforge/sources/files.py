@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairforge.functions.text import cell_id
+from pairforge.operators.checks import Rule, checked, observation_rules
 from pairforge.operators.validate import InvalidData, pair_violations, repeated, repeated_instructions, require_empty
 from pairforge.schema import OBSERVATION, OPTIONAL, PAIRS
 from pairforge.shared import literal, scratch
@@ -19,10 +20,10 @@ def _kinds(schema: T.StructType, optional: tuple[str, ...]) -> dict[str, set[str
     return {f.name: {names[type(f.dataType)]} | ({"VOID"} if f.name in optional else set()) for f in schema}
 
 
-def read_strict(spark: SparkSession, paths: list[str], schema: T.StructType, optional: tuple[str, ...] = ()) -> DataFrame:
-    """JSON lines with exactly the schema's fields and types; blank lines are skipped, others fail.
+def _strict_lines(spark: SparkSession, paths: list[str], schema: T.StructType, optional: tuple[str, ...]) -> DataFrame:
+    """(file, value, fits, r): the lines that are not blank, whether each has exactly the schema's fields and types, and its row.
 
-    Spark's reader drops unknown fields, so the keys and the types of each line are checked first.
+    Spark's reader drops unknown fields, so the keys and the types of each line are looked at, too.
     """
     lines = spark.read.text(paths).where(F.trim("value") != "").select("value", F.input_file_name().alias("file"))
     lines = lines.withColumn("v", F.try_parse_json("value"))
@@ -32,19 +33,22 @@ def read_strict(spark: SparkSession, paths: list[str], schema: T.StructType, opt
     for name, allowed in kinds.items():
         kind = F.schema_of_variant(F.try_variant_get("v", f"$.{name}", "variant"))
         ok = ok & F.coalesce(kind, F.lit("VOID")).isin(*allowed)
-    require_empty(lines.where(~ok).select("file", "value"), "lines that do not match the schema")
-    return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
+    return lines.select("file", "value", ok.alias("fits"), F.from_json("value", schema).alias("r"))
+
+
+def read_strict(spark: SparkSession, paths: list[str], schema: T.StructType, optional: tuple[str, ...] = ()) -> DataFrame:
+    """JSON lines with exactly the schema's fields and types; blank lines are skipped, others fail, before anything is read."""
+    lines = _strict_lines(spark, paths, schema, optional)
+    require_empty(lines.where(~F.col("fits")).select("file", "value"), "lines that do not match the schema")
+    return lines.select("r.*")
 
 
 def load_observations(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Observations of one or more files; ids must be those of their cells, and there must be rows."""
-    rows = read_strict(spark, paths, OBSERVATION, OPTIONAL)
+    """Observations of one or more files, checked in the pass that stores them; there must be rows."""
+    rows = _strict_lines(spark, paths, OBSERVATION, OPTIONAL).select("file", "value", "fits", "r.*")
     expected = cell_id(*(F.col(c) for c in ("instruction", "framing", "channel", "author", "assistant")))
-    require_empty(rows.where(F.col("cell_id") != expected).select("trial_id", "cell_id"), "cell ids that do not match their coordinates")
-    require_empty(rows.where((F.col("rollout") < 1) | ~F.col("permutation").isin(1, 2) | ~F.col("position").isin(1, 2)).select("trial_id"), "numbers out of range")
-    if rows.isEmpty():
-        raise InvalidData("no observations")
-    return rows
+    rules = [Rule("lines that do not match the schema", ~F.col("fits")), *observation_rules(expected)]
+    return checked(rows, rules, "observations", ("file", "value"), OBSERVATION.fieldNames(), least=1)
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairforge.functions import text
-from pairforge.operators import observe, probes
+from pairforge.operators import checks, observe, probes
 from pairforge.operators.validate import InvalidData
 from pairforge.plans.queries import observation_rows
 from pairforge.shared import literal
@@ -146,3 +146,30 @@ def test_scoring_keeps_columns_and_parts_are_counted(spark):
 
     got = observe.score_requests(requests, scorer, "assistant string, chunk int, _chunk int, parts string, score double, error string", part=5).collect()
     assert sorted((r["chunk"], r["_chunk"], r["parts"], r["score"], r["error"]) for r in got) == sorted((k, k, f"p{k}", 2.0 * k, None) for k in range(60)) and not sizes
+
+
+def test_rules_are_checked_in_the_write(spark):
+    rows = literal(spark, [(1, 5), (2, None), (3, -1), (4, -2)], "id int, v int")
+    rules = [checks.Rule("negative", F.col("v") < 0), checks.Rule("odd ids", F.col("id") % 2 == 1)]
+    assert sorted(tuple(r) for r in checks.violations(rows, rules, "id").collect()) == [("negative", 3), ("negative", 4), ("odd ids", 1), ("odd ids", 3)]
+    jobs = []
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("checked-rules", "rules")
+    good = checks.checked(rows.where("id = 2"), rules, "good", ("id",), least=1)
+    jobs += tracker.getJobIdsForGroup("checked-rules")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [tuple(r) for r in good.collect()] == [(2, None)] and len(jobs) <= 2
+    with pytest.raises(InvalidData, match=r'negative: 2, such as \{"id":3\}; odd ids: 2, such as \{"id":1\}'):
+        checks.checked(rows, rules, "bad", ("id",))
+    with pytest.raises(InvalidData, match="0 rows"):
+        checks.checked(rows.where("false"), rules, "none", ("id",), least=1)
+
+
+def test_an_analysis_checks_its_trials(spark):
+    from pairforge.operators import ranking
+
+    good = [(1, "a", 1, True), (1, "b", 2, False)]
+    for extra, said in (([(2, "a", 1, True)], "not two rows"), ([(2, "a", 1, True), (2, "b", 1, False)], "positions are not"), ([(2, "a", 1, True), (2, "a", 2, False)], "one cell twice")):
+        with pytest.raises(InvalidData, match=said):
+            ranking.checked_comparisons(literal(spark, good + extra, "trial_id int, cell_id string, position int, completed boolean"))
+    assert [tuple(r) for r in ranking.checked_comparisons(literal(spark, good, "trial_id int, cell_id string, position int, completed boolean")).collect()] == [(1, "a", "b", 1.0)]
