@@ -3,12 +3,11 @@
 An example has three demands: tokens, one segment, and tokens that bear loss. A sequence offers as
 many of each as its limits say. The packer opens a sequence and takes, again and again, the example
 that fits and whose demands have the largest dot product with what is left, both in units of the
-limits. If none fits, the next best one is cut at what is left. So a sequence ends full unless the
-segment or loss limit binds first, and where loss binds, tokens that bear none fill the rest.
+limits. If none fits, the next best one is cut at what is left. So a sequence ends full unless the segment or loss limit binds first, and where loss binds, tokens that bear none fill the rest.
 
-Which tokens bear loss: of instruction data (`pack_parts`) those of the parts that say so; of plain
-documents all but the first `prompt`, which are read as context. A document cannot be full of loss, then:
-the limit on loss is that on tokens less a prompt.
+Which tokens bear loss: of instruction data (`pack_parts`) those of the parts that say so, under a limit of their own;
+of plain documents all of them, so that documents have two limits that bind, tokens and segments. A configuration may
+read the first `prompt` tokens of each document as context that bears none.
 
 Each task packs its own rows as they stream by, with a bounded pool; what remains at a task's end is
 laid out in sequences whose lengths are powers of two, which need no padding. No shuffle; ids of
@@ -39,8 +38,8 @@ from pairforge.llm.stretches import PreTokenModel, StretchStore, no_collection
 class PackConfig:
     tokens: int = 2048
     segments: int = 256
-    loss: int = 2040
-    prompt: int = 8
+    loss: int = 2048
+    prompt: int = 0
     pool: int = 1024
     end_id: int = 1
     store_words: int = 1_000_000
