@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from pairforge.functions import text
-from pairforge.operators import checks, design, incremental, probes, qualify, ranking, resampling, suite, validate
+from pairforge.operators import checks, design, incremental, probes, qualify, ranking, requests, resampling, suite, validate
 from pairforge.plans import bundle
 from pairforge.plans.fixture import OBS_SQL, observations, pair_bank
 from pairforge.plans.queries import ORACLE_SQL, _BANK, _COMPONENTS, _JUDGED, _REJECTED, _SPECS, _STUDIES, _labelled, _rejected, query, rounded, studies
@@ -346,3 +346,39 @@ def broken_rules(spark, sf_dir):
     """Rows of sales that break rules, one row a rule, from one scan."""
     rules = [checks.Rule("no client", F.col("client_id").isNull()), checks.Rule("no status", F.col("status").isNull()), checks.Rule("arrived late", F.col("arrived_at") > F.col("sold_at") + F.expr("INTERVAL 1 HOUR")), checks.Rule("no priority", F.col("priority").isNull())]
     return checks.violations(table(spark, sf_dir, "sales"), rules, "sale_id")
+
+
+def _measured(spark, sf_dir):
+    """Requests of the fixture's studies, their scores and issues: some are missing, in error, classified twice or not at all."""
+    planned, _ = materialize(spark, design.probe_requests(studies(spark, sf_dir)), "requests")
+    h = (F.col("study_id").cast("long") * 3 + F.col("permutation") * 2 + F.col("position")) % 11
+    coordinate = planned.select("study_id", "permutation", "position", h.alias("h"))
+    complies = F.when(F.col("h") % 3 > 0, F.col("h") % 3 == 1)
+    mark = F.when(F.col("study_id").cast("long") % 50 == 0, F.lit("same")).otherwise(F.concat_ws("/", "study_id", "permutation", "position"))
+    scores = coordinate.where("h > 2").select("study_id", "permutation", "position", mark.alias("context_fingerprint"), complies.alias("complies"), F.col("h").alias("masked"))
+    issues = coordinate.where("h IN (0, 1, 10)").select("study_id", "permutation", "position", F.when(F.col("h") == 0, "missing").otherwise("error").alias("kind"), F.concat(F.lit("reason "), "h").alias("reason"))
+    return planned, scores, issues
+
+
+_MEASURED = (
+    f"{OBS_SQL}, {_STUDIES}, c AS (SELECT study_id, assistant, CAST(p AS INTEGER) AS permutation, CAST(q AS INTEGER) AS position, (CAST(study_id AS BIGINT) * 3 + p * 2 + q) % 11 AS h FROM studies, (VALUES (1), (2)) x(p), (VALUES (1), (2)) y(q)),"
+    " o AS (SELECT *, 'score' AS outcome FROM c WHERE h > 2 UNION ALL SELECT *, CASE h WHEN 0 THEN 'missing' ELSE 'error' END FROM c WHERE h IN (0, 1, 10) UNION ALL SELECT *, 'unclassified' FROM c WHERE h = 2)"
+)
+
+
+@query(f"WITH {_MEASURED} SELECT study_id, permutation, position, outcome, CASE WHEN outcome = 'score' AND h % 3 > 0 THEN h % 3 = 1 END AS complies, CASE WHEN outcome IN ('missing', 'error') THEN 'reason ' || h END AS reason FROM o")
+def request_outcomes(spark, sf_dir):
+    return requests.request_outcomes(*_measured(spark, sf_dir)).select("study_id", "permutation", "position", "outcome", "complies", "reason")
+
+
+@query(f"WITH {_MEASURED} SELECT 'not classified' AS rule, study_id, permutation, position FROM c WHERE h = 2 UNION ALL SELECT 'classified twice', study_id, permutation, position FROM c WHERE h = 10 UNION ALL SELECT 'contexts alike', study_id, NULL, NULL FROM o WHERE outcome = 'score' AND CAST(study_id AS BIGINT) % 50 = 0 GROUP BY study_id HAVING count(*) > 1")
+def request_violations(spark, sf_dir):
+    return requests.request_violations(*_measured(spark, sf_dir))
+
+
+@query(
+    f"WITH {_MEASURED} SELECT count(DISTINCT (study_id, permutation, position)) AS planned_requests, count_if(outcome = 'score')::BIGINT AS scores, count_if(outcome = 'score' AND h % 3 > 0)::BIGINT AS directional_scores, count_if(outcome = 'score' AND h % 3 = 0)::BIGINT AS descriptive_scores,"
+    " count_if(outcome = 'score' AND h % 3 = 2)::BIGINT AS reference_mismatches, count_if(outcome = 'missing')::BIGINT AS missing_requests, count_if(outcome = 'error')::BIGINT AS error_requests, round(count_if(outcome = 'score') / CAST(count(DISTINCT (study_id, permutation, position)) AS DOUBLE), 9) AS coverage, CAST(sum(CASE WHEN outcome = 'score' THEN h ELSE 0 END) AS BIGINT) AS masked_boundary_tokens FROM o"
+)
+def request_counts(spark, sf_dir):
+    return rounded(requests.request_counts(requests.request_outcomes(*_measured(spark, sf_dir))))

@@ -178,12 +178,14 @@ def load_yaml_cache(spark: SparkSession, path: str, schema: str, keys: list[str]
     return literal(spark, list(rows.values()), schema)
 
 
-def write_suite(studies: list[dict], path: str) -> None:
-    """Studies as YAML with sorted keys, to a local path."""
+def write_suite(spark: SparkSession, studies: list[dict], path: str) -> None:
+    """Studies as YAML with sorted keys, in one file of any file system that Spark knows."""
     import yaml
 
-    with open(path, "w") as out:
-        yaml.safe_dump({"studies": studies}, out, sort_keys=True, allow_unicode=True)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(yaml.safe_dump({"studies": studies}, sort_keys=True, allow_unicode=True).encode()))
+    out.close()
 
 
 def load_matchups(spark: SparkSession, path: str) -> DataFrame:

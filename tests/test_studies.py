@@ -220,7 +220,7 @@ def test_saved_collections_matchups_and_caches(spark, tmp_path):
     (tmp_path / "bad.yaml").write_text(yaml.safe_dump(STUDY | {"inputs": [STUDY["inputs"][0]] * 2}))
     with pytest.raises(InvalidData):
         artifacts.load_matchups(spark, str(tmp_path / "bad.yaml"))
-    artifacts.write_suite([STUDY], str(tmp_path / "suite.yaml"))
+    artifacts.write_suite(spark, [STUDY], f"file://{tmp_path}/suite.yaml")
     assert files.load_studies(spark, str(tmp_path / "suite.yaml")).count() == 1
     (tmp_path / "cache.yaml").write_text(yaml.safe_dump([{"k": "a", "v": 1}, {"k": "b", "v": 2}, {"k": "a", "v": 3}]))
     assert {tuple(r) for r in artifacts.load_yaml_cache(spark, str(tmp_path / "cache.yaml"), "k string, v int", ["k"]).collect()} == {("a", 3), ("b", 2)}
