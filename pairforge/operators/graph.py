@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pairforge.shared import materialize, ship
+from pairforge.shared import materialize, ship, unused
 
 
 def _union_find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -59,35 +59,27 @@ def components(nodes: DataFrame, edges: DataFrame, in_one_task: int = 500_000) -
             return labels
 
 
-def cumulative(rows: DataFrame, order: str, sums: list[str], parts: int = 128) -> DataFrame:
+def cumulative(rows: DataFrame, order: str, sums: list[str], part: int = 1_000_000) -> DataFrame:
     """Adds before_<c>, the sum of c over rows of smaller order (which must be distinct), and `following`, the next order.
 
-    Rows are dealt into ranges at fixed cuts from a sample of at most 100 values a range; the ranges' totals are added up on
-    the driver, at most `parts` rows, and each range in a window of its own. So no task holds all rows.
+    Rows are counted and dealt into ranges of about `part` rows, each summed in a window of its own; the ranges' totals, one row for
+    each, are summed in a window in turn. So no task holds more than a range or the totals, and nothing goes to the driver.
     """
-    spark = rows.sparkSession
-    share = min(1.0, 100 * parts / max(1, rows.count()))
-    seen = sorted(r[0] for r in rows.sample(share, seed=1).select(order).where(F.col(order).isNotNull()).limit(400 * parts).collect())
-    cuts = sorted({seen[len(seen) * k // parts] for k in range(1, parts)}) if seen else []
-    at = F.lit(0)
-    if cuts:
-        kind = dict(rows.dtypes)[order]
-        at = F.size(F.filter(F.array(*map(F.lit, cuts)).cast(f"array<{kind}>"), lambda c: c <= F.col(order)))
-    dealt = rows.withColumn("_part", at)
-    totals = dealt.groupBy("_part").agg(F.min(order).alias("lo"), *(F.sum(c).alias(c) for c in sums)).orderBy("_part").collect()
-    running, out = [0] * len(sums), []
-    for k, r in enumerate(totals):
-        out.append((r["_part"], totals[k + 1]["lo"] if k + 1 < len(totals) else None, *running))
-        running = [x + (r[c] or 0) for x, c in zip(running, sums, strict=True)]
-    kinds = dict(rows.dtypes)
-    offsets = spark.createDataFrame(out, ", ".join(["_part int", f"_next {kinds[order]}", *(f"_before_{c} {'double' if kinds[c] == 'double' else 'long'}" for c in sums)]))
-    mine = Window.partitionBy("_part").orderBy(order)
+    spark, parts = rows.sparkSession, max(1, -(-rows.count() // part))
+    at, lo, later = (unused(rows, n) for n in ("part", "lo", "later"))
+    so_far = {c: unused(rows, f"so_far_{c}") for c in sums}
+    dealt = rows.withColumn(at, F.lit(0))
+    if parts > 1:
+        dealt, _ = materialize(spark, rows.repartitionByRange(parts, order).withColumn(at, F.spark_partition_id()), "ranges")
+    totals = dealt.groupBy(at).agg(F.min(order).alias(lo), *(F.sum(c).alias(so_far[c]) for c in sums))
+    by_part = Window.orderBy(at)
+    before = by_part.rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(at, F.lead(lo).over(by_part).alias(later), *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in so_far.values()))
+    mine = Window.partitionBy(at).orderBy(order)
     earlier = mine.rowsBetween(Window.unboundedPreceding, -1)
-    joined = dealt.join(F.broadcast(offsets), "_part")
-    joined = joined.withColumn("following", F.coalesce(F.lead(order).over(mine), F.col("_next")))
-    for c in sums:
-        joined = joined.withColumn(f"before_{c}", F.col(f"_before_{c}") + F.coalesce(F.sum(c).over(earlier), F.lit(0)))
-    return joined.select(*rows.columns, "following", *(f"before_{c}" for c in sums))
+    joined = dealt.join(F.broadcast(offsets), at)  # one row a range: a millionth of the rows
+    here = [(F.col(so_far[c]) + F.coalesce(F.sum(c).over(earlier), F.lit(0))).alias(f"before_{c}") for c in sums]
+    return joined.select(*rows.columns, F.coalesce(F.lead(order).over(mine), F.col(later)).alias("following"), *here)
 
 
 def component_index(labels: DataFrame) -> DataFrame:

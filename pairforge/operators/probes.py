@@ -216,5 +216,5 @@ def coverage(requests: DataFrame, results: DataFrame, keys: list[str]) -> DataFr
 
 
 def descriptive_probabilities(rows: DataFrame) -> DataFrame:
-    """Sorted probabilities of descriptive rows by pair."""
-    return rows.where(F.col("expectation") == "descriptive").groupBy("pair").agg(F.sort_array(F.collect_list("probability")).alias("probabilities"))
+    """(pair, probability, times): probabilities of descriptive rows by pair, each value once with how often it occurs."""
+    return rows.where(F.col("expectation") == "descriptive").groupBy("pair", "probability").agg(F.count(F.lit(1)).alias("times"))

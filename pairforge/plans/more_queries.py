@@ -263,7 +263,7 @@ def probe_coverage(spark, sf_dir):
 def descriptive_probabilities(spark, sf_dir):
     expectation = F.when(F.col("lang") == "fr", "descriptive").otherwise("reasoning")
     rows = table(spark, sf_dir, "documents").select(F.col("lang").alias("pair"), expectation.alias("expectation"), F.round(F.col("n_chars") / (F.col("n_chars") + 1000.0), 6).alias("probability"))
-    return probes.descriptive_probabilities(rows).select("pair", F.size("probabilities").cast("long").alias("n"), F.element_at("probabilities", 1).alias("least"), F.element_at("probabilities", -1).alias("most"))
+    return probes.descriptive_probabilities(rows).groupBy("pair").agg(F.sum("times").alias("n"), F.min("probability").alias("least"), F.max("probability").alias("most"))
 
 
 @query("SELECT conv_id AS document, turn AS idx, count(DISTINCT (text, length(text))) AS kinds, count(DISTINCT role) AS roles FROM conversations GROUP BY ALL HAVING count(DISTINCT (text, length(text))) > 1 OR count(DISTINCT role) < 2")

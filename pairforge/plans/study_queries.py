@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-import io
-import json
-
-import numpy as np
 from pyspark.sql import functions as F
 
 from pairforge.functions import text
@@ -246,34 +241,8 @@ def side_violations(spark, sf_dir):
 def activations_round_trip(spark, sf_dir):
     """Vectors saved as shards of two layers with rows and a manifest of digests, and loaded again."""
     folder = scratch(spark, "activations")
-    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding").withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(4)))
-
-    def shards(batches):
-        import pandas as pd
-        from pyarrow import fs as stores
-
-        for frame in batches:
-            x = np.stack(frame["embedding"].to_numpy()).astype(np.float32)
-            for shard in sorted(set(frame["shard"])):
-                name, part = hashlib.sha256(frame["vec_id"].to_numpy().tobytes()).hexdigest()[:16] + f"-{shard}.npy", frame["shard"].to_numpy() == shard
-                out = io.BytesIO()
-                np.save(out, x[part].reshape(part.sum(), 2, -1))
-                fs, root = stores.FileSystem.from_uri(folder)
-                fs.create_dir(root, recursive=True)
-                with fs.open_output_stream(f"{root}/{name}") as sink:
-                    sink.write(out.getvalue())
-                yield pd.DataFrame({"shard": name, "token": np.arange(part.sum()), "vec_id": frame["vec_id"].to_numpy()[part], "sha256": hashlib.sha256(out.getvalue()).hexdigest()})
-
-    from pyarrow import fs as stores
-
-    written, _ = materialize(spark, rows.mapInPandas(shards, "shard string, token long, vec_id long, sha256 string"), "shards")
-    tokens = written.select("shard", "token", F.col("vec_id").cast("string").alias("document"), F.lit("reasoning").alias("role"), F.lit(0).cast("long").alias("position"))
-    lines = "\n".join(r["value"] for r in tokens.select(F.to_json(F.struct("*")).alias("value")).collect())
-    named = {r["shard"]: r["sha256"] for r in written.select("shard", "sha256").distinct().collect()} | {"tokens.jsonl": hashlib.sha256(lines.encode()).hexdigest()}
-    fs, root = stores.FileSystem.from_uri(folder)
-    for name, content in (("tokens.jsonl", lines), ("manifest.json", json.dumps({"files": named}))):
-        with fs.open_output_stream(f"{root}/{name}") as sink:
-            sink.write(content.encode())
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("document"), F.lit("reasoning").alias("role"), F.lit(0).cast("long").alias("position"), F.array(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32)).alias("layers"))
+    artifacts.save_activations(rows, folder)
     loaded = artifacts.load_activations(spark, folder)
     total = F.aggregate("activation", F.lit(0.0), lambda a, x: a + x.cast("double"))
     return loaded.select(F.col("document").cast("long").alias("vec_id"), "layer", (F.round(total, 4) + 0.0).alias("total"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pairforge.operators.probes import decide
 from pairforge.operators.suite import partitioned_dialogues
 from pairforge.operators.validate import InvalidData, repeated, require_empty
-from pairforge.shared import literal, ship
+from pairforge.shared import literal, materialize, ship
 from pairforge.sources.buckets import KeyedTable
 from pairforge.sources.files import read_strict
 
@@ -65,8 +65,49 @@ def _shard_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch([pa.array([shard] * (n * layers)), pa.array(np.repeat(np.arange(a, a + n), layers)), pa.array(np.tile(np.arange(layers), n).astype(np.int32)), values], names=["shard", "token", "layer", "activation"])
 
 
+def _activation_files(folder: str):
+    """Writes each batch of rows as a shard and its token lines; yields the files' names and digests."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs as stores
+
+        fs, root = stores.FileSystem.from_uri(folder)
+        fs.create_dir(root, recursive=True)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = {c: batch.column(c).to_pylist() for c in ("document", "role", "position", "layers")}
+            out = io.BytesIO()
+            np.save(out, np.array(columns.pop("layers"), np.float32))
+            mark = hashlib.sha256(out.getvalue() + json.dumps(columns).encode()).hexdigest()[:32]
+            lines = [json.dumps({"shard": f"{mark}.npy", "token": k} | dict(zip(columns, row, strict=True))) for k, row in enumerate(zip(*columns.values(), strict=True))]
+            files = {f"{mark}.npy": out.getvalue(), f"tokens-{mark}.jsonl": "\n".join(lines).encode()}
+            for name, content in files.items():
+                with fs.open_output_stream(f"{root}/{name}") as sink:
+                    sink.write(content)
+            yield pa.record_batch([pa.array(list(files)), pa.array([hashlib.sha256(c).hexdigest() for c in files.values()])], names=["name", "sha256"])
+
+    return run
+
+
+def save_activations(rows: DataFrame, folder: str) -> None:
+    """Rows (document, role, position, layers: an array of layers of equal width) as shards, token lines and a manifest.
+
+    Every task writes its own files, named by their contents, so a task that runs twice leaves the same ones; the driver sees the
+    files' names and digests alone.
+    """
+    spark = rows.sparkSession
+    ship(spark)
+    files, _ = materialize(spark, rows.mapInArrow(_activation_files(folder.rstrip("/")), "name string, sha256 string"), "activation-files")
+    text = json.dumps({"files": {r["name"]: r["sha256"] for r in files.distinct().collect()}}, sort_keys=True)
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/manifest.json")
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def load_activations(spark: SparkSession, folder: str) -> DataFrame:
-    """(shard, token, document, role, position, layer, activation) of a folder with manifest.json, tokens.jsonl and shards.
+    """(shard, token, document, role, position, layer, activation) of a folder with manifest.json, token lines and shards.
 
     The manifest names every file with its SHA-256; a file that is missing, changed or not named is an error, as is a
     token without a row. Shards are parsed where they are read; meant to be ingested once, to Parquet.
@@ -78,7 +119,7 @@ def load_activations(spark: SparkSession, folder: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(folder).select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").where("name <> 'manifest.json'")
     seen = files.select("name", F.sha2("content", 256).alias("found"))
     require_empty(wanted.join(seen, "name", "full").where(~F.col("sha256").eqNullSafe(F.col("found"))).select("name"), "files that are not as the manifest says")
-    tokens = read_strict(spark, [f"{folder}/tokens.jsonl"], _struct("shard string, token bigint, document string, role string, position bigint"))
+    tokens = read_strict(spark, [f"{folder}/tokens*.jsonl"], _struct("shard string, token bigint, document string, role string, position bigint"))
     rows = files.where(F.col("name").endswith(".npy")).select("name", "content").mapInArrow(_shard_rows, "shard string, token long, layer int, activation array<float>")
     out = rows.join(tokens, ["shard", "token"], "full")
     require_empty(out.where("activation IS NULL OR role IS NULL").select("shard", "token"), "tokens and activations that do not match")

@@ -25,13 +25,13 @@ STUDY = {"assistant": "a", "inputs": [{"instruction": "x", "framing": "normal",
 
 
 @pytest.mark.parametrize("n", [0, 1, 2, 500])
-@pytest.mark.parametrize("parts", [2, 16])
-def test_cumulative_equals_a_loop(spark, n, parts):
+@pytest.mark.parametrize("part", [30, 1000])
+def test_cumulative_equals_a_loop(spark, n, part):
     rng = np.random.default_rng(n)
     at = sorted(set(rng.integers(0, 10_000, n).tolist()))
     rows = [(x, int(v)) for x, v in zip(at, rng.integers(0, 9, len(at)), strict=True)]
     df = literal(spark, rows, "k long, v long").repartition(3)
-    got = [tuple(r) for r in graph.cumulative(df, "k", ["v"], parts).orderBy("k").collect()]
+    got = [tuple(r) for r in graph.cumulative(df, "k", ["v"], part).orderBy("k").collect()]
     assert got == [(k, v, rows[i + 1][0] if i + 1 < len(rows) else None, sum(x for _, x in rows[:i])) for i, (k, v) in enumerate(rows)]
 
 
