@@ -10,7 +10,7 @@ from pairforge.operators import design, observe, probes, ranking, reports, valid
 from pairforge.plans.fixture import OBS_SQL, observations, pair_bank
 from pairforge.plans.queries import _AXIS_U, _BANK, _CELL, _EDGES, _PAIRED, _REJECTED, _SIZES, _SPECS, _STRATA, _STUDIES, _corr_sql, _edges, _labelled, _rejected, observation_rows, order_sensitivity, query, rounded, studies
 from pairforge.plans.queries import ORACLE_SQL as _SQL
-from pairforge.schema import AUTHORS, CHANNELS, FRAMINGS, axis_dimension
+from pairforge.schema import AUTHORS, CHANNELS, FRAMINGS, USER_CHANNEL, axis_dimension
 from pairforge.shared import materialize, scratch, table
 from pairforge.sources import buckets, files
 
@@ -64,16 +64,17 @@ def cells(spark, sf_dir):
     return observations(spark, sf_dir).groupBy("cell_id", "instruction", "framing", "channel", "author", "assistant").agg(F.count(F.lit(1)).alias("observations"))
 
 
-@query(f"WITH {OBS_SQL} SELECT DISTINCT cell_id FROM obs WHERE cell_id IS NULL")
+@query(f"WITH {OBS_SQL}, o AS (SELECT *, CASE WHEN cell_id < '2' AND completed THEN channel || '?' ELSE channel END AS said FROM obs) SELECT cell_id FROM o GROUP BY cell_id HAVING count(DISTINCT (instruction, framing, said, author, assistant)) > 1")
 def cell_violations(spark, sf_dir):
-    """No cell id stands for two coordinates."""
-    return validate.cell_violations(observations(spark, sf_dir))
+    """An eighth of the cells names another channel where it completes; those that do and don't stand for two coordinates."""
+    said = F.when((F.col("cell_id") < "2") & F.col("completed"), F.concat("channel", F.lit("?"))).otherwise(F.col("channel"))
+    return validate.cell_violations(observations(spark, sf_dir).withColumn("channel", said))
 
 
-@query(f"WITH {OBS_SQL}, {_STUDIES}, s AS (SELECT i1 AS instruction, f1 AS framing, c1 AS channel, a1 AS author FROM studies UNION SELECT i2, f2, c2, a2 FROM studies) SELECT * FROM s WHERE (instruction, framing, channel, author) NOT IN (SELECT (instruction, framing, channel, author) FROM obs WHERE completed)")
+@query(f"WITH {OBS_SQL}, {_STUDIES}, s AS (SELECT i1 AS instruction, f1 AS framing, c1 AS channel, a1 AS author FROM studies UNION SELECT i2, f2, c2, a2 FROM studies) SELECT * FROM s WHERE (instruction, framing, channel, author) NOT IN (SELECT (instruction, framing, channel, author) FROM obs WHERE completed AND pair_id < '3')")
 def specs_to_write(spark, sf_dir):
     obs = observations(spark, sf_dir)
-    return observe.specs_to_write(studies(spark, sf_dir), obs.where("completed"))
+    return observe.specs_to_write(studies(spark, sf_dir), obs.where("completed AND pair_id < '3'"))
 
 
 @query(f"WITH {OBS_SQL}, {_STUDIES}, {_REJECTED}, s AS (SELECT i1 AS instruction, f1 AS framing, c1 AS channel, a1 AS author FROM studies UNION SELECT i2, f2, c2, a2 FROM studies), b AS (SELECT *, CAST((instruction, framing, channel, author) IN (SELECT (instruction, framing, channel, author) FROM rejected) AS BIGINT) AS bad FROM s), u AS (" + " UNION ALL ".join(f"SELECT '{a}' AS axis, {a} AS value, bad FROM b" for a in ("instruction", "framing", "channel", "author")) + ") SELECT axis, value, count(*) AS inputs, CAST(sum(bad) AS BIGINT) AS failed_inputs FROM u GROUP BY ALL")
@@ -162,10 +163,15 @@ def cached_pair_checks(spark, sf_dir):
     return observe.cached_pair_checks(bank, saved).select("pair_id")
 
 
-@query(f"WITH {_BANK} SELECT pair_id FROM bank")
+@query(f"WITH {_BANK} SELECT pair_id FROM bank WHERE pair_id < '3' UNION ALL SELECT 'blank' FROM bank WHERE pair_id >= '5' UNION ALL SELECT 'equal' FROM bank WHERE pair_id >= '5'")
 def pair_violations(spark, sf_dir):
-    """The fixture's pair ids are no slugs."""
-    return validate.pair_violations(pair_bank(spark, sf_dir)).select("pair_id")
+    """Ids that are no slugs, an instruction with a blank at its end, and two that are equal; the others are made slugs, and fit."""
+    bank = pair_bank(spark, sf_dir)
+    slug = F.lower(F.regexp_replace("pair_id", "[^A-Za-z0-9]+", "-"))
+    last = bank.where("pair_id >= '5'")
+    rows = bank.withColumn("pair_id", F.when(F.col("pair_id") < "3", F.col("pair_id")).otherwise(slug))
+    rows = rows.unionByName(last.withColumn("pair_id", F.lit("blank")).withColumn("first", F.concat("first", F.lit(" ")))).unionByName(last.withColumn("pair_id", F.lit("equal")).withColumn("second", F.col("first")))
+    return validate.pair_violations(rows).select("pair_id")
 
 
 @query("SELECT o_orderstatus AS instruction, count(*) AS times FROM (SELECT o_orderstatus FROM orders UNION ALL SELECT o_orderpriority FROM orders) GROUP BY ALL HAVING count(*) > 1")
@@ -181,10 +187,13 @@ def specs_by_author_or_channel(spark, sf_dir):
     return own.select("pair_id", "spec_no", "side")
 
 
-@query(f"WITH {OBS_SQL}, {_STUDIES} SELECT study_id FROM studies WHERE (i1, f1, c1, a1) = (i2, f2, c2, a2) OR (c1 <> 'user message' AND c2 <> 'user message')")
+@query(f"WITH {OBS_SQL}, {_STUDIES} SELECT study_id FROM studies WHERE CAST(study_id AS BIGINT) % 13 = 0 OR (c1 <> 'F' AND c2 <> 'F')")
 def study_violations(spark, sf_dir):
-    """The fixture has no user channel, so all its studies break the rule."""
-    return validate.study_violations(studies(spark, sf_dir)).select("study_id")
+    """One of the fixture's channels stands for the user's; studies without it, and those whose inputs are made equal, break a rule."""
+    user = lambda c: F.col(c).withField("channel", F.when(F.col(f"{c}.channel") == "F", USER_CHANNEL).otherwise(F.col(f"{c}.channel")))
+    rows = studies(spark, sf_dir).withColumns({c: user(c) for c in ("input1", "input2")})
+    equal = F.col("study_id").cast("long") % 13 == 0
+    return validate.study_violations(rows.withColumn("input2", F.when(equal, F.col("input1")).otherwise(F.col("input2")))).select("study_id")
 
 
 @query("SELECT DISTINCT l_partkey AS k FROM lineitem WHERE l_returnflag = 'R' INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'A'")
@@ -232,9 +241,12 @@ def rank_bijection(spark, sf_dir):
     return rows.where((edge["first"] == F.col("o1")) & (edge["second"] == second)).select("pair_id", "rank")
 
 
-@query(f"WITH {_SPECS}, {_SIZES} SELECT population, count(*) AS pairs FROM counts GROUP BY population HAVING (SELECT count(DISTINCT population) FROM counts) > 1")
+@query(f"WITH {_SPECS}, {_SIZES}, customers AS (SELECT c_nationkey, count(*) AS population FROM customer GROUP BY c_nationkey), every AS (SELECT 'design' AS of, population FROM counts UNION ALL SELECT 'nations', population FROM customers) SELECT of, population, count(*) AS pairs FROM every e GROUP BY of, population HAVING (SELECT count(DISTINCT x.population) FROM every x WHERE x.of = e.of) > 1")
 def ragged_pairs(spark, sf_dir):
-    return design.ragged_pairs(design.pairing_counts(design.pair_specs(pair_bank(spark, sf_dir))))
+    """The design's populations are even, and give no row; those of nations by their customers are not."""
+    nations = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("population"))
+    even = design.ragged_pairs(design.pairing_counts(design.pair_specs(pair_bank(spark, sf_dir))))
+    return even.select(F.lit("design").alias("of"), "*").unionByName(design.ragged_pairs(nations).select(F.lit("nations").alias("of"), "*"))
 
 
 @query("WITH s AS (SELECT DISTINCT CAST(n_chars AS DOUBLE) AS s FROM labels JOIN documents USING (doc_id)), m AS (SELECT s, (s + lead(s) OVER (ORDER BY s)) / 2 AS m FROM s) SELECT s AS threshold FROM m UNION SELECT m FROM m WHERE m IS NOT NULL UNION SELECT nextafter(min(s), '-infinity'::DOUBLE) FROM s UNION SELECT nextafter(max(s), 'infinity'::DOUBLE) FROM s")
@@ -242,9 +254,9 @@ def threshold_candidates(spark, sf_dir):
     return probes.threshold_candidates(_labelled(spark, sf_dir).select(F.col("n_chars").alias("score")))
 
 
-@query("WITH r AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding[1:4]] AS x FROM embeddings), e AS (SELECT vec_id, [exp(v - list_max(x)) FOR v IN x] AS e FROM r) SELECT vec_id, round(e[1] / list_sum(e), 9) AS p1, round(e[4] / list_sum(e), 9) AS p4, CAST(list_position(e, list_max(e)) - 1 AS INTEGER) AS label FROM e")
+@query("WITH r AS (SELECT vec_id, [CAST(x AS DOUBLE) FOR x IN embedding] AS x FROM embeddings), e AS (SELECT vec_id, [exp(v - list_max(x)) FOR v IN x] AS e FROM r) SELECT vec_id, round(e[1] / list_sum(e), 9) AS p1, round(e[4] / list_sum(e), 9) AS p4, CAST(list_position(e, list_max(e)) - 1 AS INTEGER) AS label FROM e")
 def softmax_predictions(spark, sf_dir):
-    x = F.transform(F.slice("embedding", 1, 4), lambda v: v.cast("double"))
+    x = F.transform("embedding", lambda v: v.cast("double"))
     rows = table(spark, sf_dir, "embeddings").select("vec_id", probes.predict(x).alias("r"))
     return rounded(rows.select("vec_id", F.col("r.p")[0].alias("p1"), F.col("r.p")[3].alias("p4"), F.col("r.label").alias("label")))
 
@@ -272,9 +284,12 @@ def neutral_pairs(spark, sf_dir):
     return probes.neutral_pair_violations(tokens)
 
 
-@query("SELECT doc_id, CAST(count_if(quality IS NOT NULL AND toxic = 0) AS BIGINT) AS scores, CAST(count_if(toxic = 1) AS BIGINT) AS errors FROM labels GROUP BY doc_id HAVING count_if(quality IS NOT NULL AND toxic = 0) + count_if(toxic = 1) <> 1")
+@query("SELECT doc_id, CAST(count_if(quality IS NOT NULL AND toxic = 0) AS BIGINT) AS scores, CAST(count_if(toxic = 1) AS BIGINT) AS errors FROM (SELECT * FROM labels UNION ALL SELECT * FROM labels WHERE doc_id % 7 = 0) GROUP BY doc_id HAVING count_if(quality IS NOT NULL AND toxic = 0) + count_if(toxic = 1) <> 1")
 def score_xor_error(spark, sf_dir):
-    rows = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("toxic") == 0, F.col("quality")).alias("score"), F.when(F.col("toxic") == 1, F.lit("e")).alias("error"))
+    """Every seventh document is judged twice."""
+    labels = table(spark, sf_dir, "labels")
+    labels = labels.unionByName(labels.where("doc_id % 7 = 0"))
+    rows = labels.select("doc_id", F.when(F.col("toxic") == 0, F.col("quality")).alias("score"), F.when(F.col("toxic") == 1, F.lit("e")).alias("error"))
     return validate.score_xor_error(rows, ["doc_id"])
 
 

@@ -211,12 +211,12 @@ def copied_documents(spark, sf_dir):
     return marks.join(first, "signature").where("document <> original").select("document", "original", "tokens")
 
 
-@query("WITH w AS (SELECT lang, regexp_extract_all(text, '[^ \\n]+') AS words FROM documents), d AS (SELECT words, list_sort(list(DISTINCT lang)) AS parts FROM w GROUP BY words) SELECT parts[1] AS first_part, len(parts) AS parts, count(*) AS contents FROM d WHERE len(parts) > 1 GROUP BY ALL")
+@query("WITH w AS (SELECT 'p' || (doc_id % 4) AS part, regexp_extract_all(text, '[^ \\n]+') AS words FROM documents), d AS (SELECT words, list_sort(list(DISTINCT part)) AS parts FROM w GROUP BY words) SELECT parts[1] AS first_part, len(parts) AS parts, count(*) AS contents FROM d WHERE len(parts) > 1 GROUP BY ALL")
 def shared_content(spark, sf_dir):
-    """Content that documents of several languages hold, counted by the first of them."""
-    tokens = _word_tokens(spark, sf_dir).join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document"), "lang"), "document")
-    marks, _ = materialize(spark, qualify.content_signatures(tokens, ("lang", "document")), "signatures")
-    found = qualify.shared_content({x: marks.where(F.col("lang") == x) for x in ("de", "en", "es", "fr")})
+    """Content that more than one of four parts of the documents holds, counted by the first of them."""
+    tokens = _word_tokens(spark, sf_dir).withColumn("part", F.concat(F.lit("p"), F.col("document") % 4))
+    marks, _ = materialize(spark, qualify.content_signatures(tokens, ("part", "document")), "signatures")
+    found = qualify.shared_content({x: marks.where(F.col("part") == x) for x in ("p0", "p1", "p2", "p3")})
     return found.groupBy(F.element_at("parts", 1).alias("first_part"), F.size("parts").cast("long").alias("parts")).agg(F.count(F.lit(1)).alias("contents"))
 
 
