@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pairforge.functions import text
 from pairforge.operators import checks, design, incremental, probes, qualify, ranking, requests, resampling, suite, validate
-from pairforge.plans import bundle
+from pairforge.plans import bundle, curation
 from pairforge.plans.fixture import OBS_SQL, observations, pair_bank
 from pairforge.plans.queries import ORACLE_SQL, _BANK, _COMPONENTS, _JUDGED, _REJECTED, _SPECS, _STUDIES, _labelled, _rejected, query, rounded, studies
 from pairforge.shared import materialize, scratch, table
@@ -351,3 +351,34 @@ def request_violations(spark, sf_dir):
 )
 def request_counts(spark, sf_dir):
     return rounded(requests.request_counts(requests.request_outcomes(*_measured(spark, sf_dir))))
+
+
+def _item_bank(spark, sf_dir):
+    """Items as pairs of a bank, and checks of them: some of another definition, some with issues, some missing."""
+    i = table(spark, sf_dir, "items").where("item_id IS NOT NULL").groupBy("item_id").agg(F.min("kind").alias("kind"), F.min("brand").alias("brand"), F.min("size").alias("size"))
+    bank = i.select(F.concat(F.lit("item-"), "item_id").alias("pair_id"), F.coalesce("kind", F.lit("none")).alias("skill"), F.coalesce("brand", F.lit("none")).alias("conflict"), F.lit("a").alias("first"), F.lit("b").alias("second"), F.lit("r").alias("rationale"), "item_id")
+    n = F.col("item_id")
+    checks = bank.where(n % 5 != 0).withColumns({"first_feasible": n % 7 != 0, "second_feasible": F.lit(True), "first_difficulty": (n % 6).cast("int"), "second_difficulty": F.lit(3), "requires_tools": n % 11 != 0, "mutually_exclusive": F.lit(True), "issues": F.when(n % 2 == 0, F.array(F.lit("note")))})
+    return bank.drop("item_id"), checks.withColumn("second", F.when(n % 13 == 0, "changed").otherwise(F.col("second"))).drop("item_id")
+
+
+@query(
+    "WITH i AS (SELECT item_id AS n, coalesce(min(kind), 'none') AS skill, coalesce(min(brand), 'none') AS conflict FROM items WHERE item_id IS NOT NULL GROUP BY item_id), c AS (SELECT *, n % 5 <> 0 AND n % 13 <> 0 AS checked, list_filter([CASE WHEN n % 7 = 0 THEN 'first instruction is not feasible' END, CASE WHEN n % 6 NOT BETWEEN 2 AND 4 THEN 'first instruction difficulty ' || (n % 6) END, CASE WHEN n % 11 = 0 THEN 'neither instruction requires tools' END], lambda x: x IS NOT NULL) AS reasons FROM i)"
+    " SELECT 'item-' || n AS pair_id, skill, conflict, CASE WHEN NOT checked THEN 'not audited' WHEN len(reasons) = 0 THEN 'pass' ELSE 'FAIL' END AS verdict, CASE WHEN checked THEN (n % 6) || ' / 3' ELSE '' END AS difficulty, CASE WHEN checked THEN array_to_string(list_concat(reasons, CASE WHEN n % 2 = 0 THEN ['note'] ELSE [] END), '; ') ELSE '' END AS reasons FROM c"
+)
+def curation_audit(spark, sf_dir):
+    """Verdicts on every pair of a bank; a check of another definition does not count."""
+    return curation.audit(*_item_bank(spark, sf_dir))
+
+
+@query(
+    "WITH r AS (SELECT CASE WHEN doc_id % 2 = 0 THEN 'baseline' ELSE 'candidate' END AS run, source AS pair_id, lang AS judge, CASE WHEN toxic = 0 THEN quality = 1 END AS complies FROM labels JOIN documents USING (doc_id)),"
+    " g AS (SELECT pair_id, judge, " + ", ".join(f"count_if(run = '{run}' AND complies IS NOT NULL AND complies) AS {run}_p, count_if(run = '{run}' AND complies IS NOT NULL) AS {run}_n" for run in ("baseline", "candidate")) + " FROM r GROUP BY ALL),"
+    " a AS (SELECT * FROM g UNION ALL SELECT 'Overall', judge, sum(baseline_p), sum(baseline_n), sum(candidate_p), sum(candidate_n) FROM g GROUP BY judge)"
+    " SELECT pair_id, judge, " + ", ".join(f"{run}_p || '/' || {run}_n || ' (' || CASE WHEN {run}_n = 0 THEN 'N/A' ELSE format('{{:.1f}}', 100.0::DOUBLE * {run}_p / {run}_n) || '%' END || ')' AS {run}" for run in ("baseline", "candidate")) + " FROM a"
+)
+def run_comparison(spark, sf_dir):
+    """Two runs' passes by pair and judge, and overall."""
+    run = F.when(F.col("doc_id") % 2 == 0, "baseline").otherwise("candidate")
+    rows = _labelled(spark, sf_dir).select(run.alias("run"), F.col("source").alias("pair_id"), F.col("lang").alias("judge"), F.when(F.col("toxic") == 0, F.col("quality") == 1).alias("complies"))
+    return curation.run_comparison(rows)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pairforge.functions import text
 from pairforge.operators import graph, incremental, lasso, observe, probes, qualify, ranking, reports, resampling, similar, suite, validate
 from pairforge.operators.validate import InvalidData
-from pairforge.plans import bundle, study_queries  # noqa: F401
+from pairforge.plans import bundle, curation, study_queries  # noqa: F401
 from pairforge.plans.fixture import observations, pair_bank
 from pairforge.plans.queries import QUERIES
 from pairforge.shared import literal, materialize
@@ -357,3 +357,21 @@ def test_reports_follow_their_observations(spark, tmp_path):
     for name, df in want.items():
         tidy = lambda d: sorted(repr([round(v, 9) if isinstance(v, float) else v for v in r]) for r in d.select(*df.columns).collect())  # noqa: E731, B023
         assert tidy(got[name]) == tidy(df), name
+
+
+def test_curation_and_its_report(spark):
+    rows = [("a-1", "python", "format", "write the sum as json", "write the sum as yaml", "r"), ("b-2", "python", "format", "write the sum as json now", "use the web search tool", "r"), ("c-3", "bash", "content", "list files | sort", "never list anything", "r")]
+    kinds = "pair_id string, skill string, conflict string, first string, second string, rationale string"
+    bank = literal(spark, rows, kinds)
+    judged = [(*rows[0], True, 3, True, 3, True, True, None), (*rows[1], True, 5, True, 3, True, False, ["odd"]), (*rows[2][:5], "another", True, 3, True, 3, True, True, None)]
+    checks = literal(spark, judged, f"{kinds}, first_feasible boolean, first_difficulty int, second_feasible boolean, second_difficulty int, requires_tools boolean, mutually_exclusive boolean, issues array<string>")
+    found = curation.curate(bank, checks, 0.6)
+    assert {r["pair_id"]: (r["verdict"], r["difficulty"], r["reasons"]) for r in found.audit.collect()} == {"a-1": ("pass", "3 / 3", ""), "b-2": ("FAIL", "5 / 3", "first instruction difficulty 5; instructions are not mutually exclusive; odd"), "c-3": ("not audited", "", "")}
+    near = {(r["pair_id"], r["slot"]): (r["nearest_pair_id"], round(r["similarity"], 6), r["over"]) for r in found.overlaps.collect()}
+    assert near["a-1", "first"] == ("b-2", round(5 / 6, 6), True) and near["c-3", "first"][1] == 0.0 and len(near) == 6
+    assert found.summary.first().asDict() == {"pairs": 3, "audited_pairs": 2, "failing_pairs": 1, "cache_hits": 2, "overlapping_instructions": 2, "threshold": 0.6} and not found.passed
+    said = curation.curation_report(found)
+    assert "list files | sort" in said and "| b-2 | python | format | FAIL |" in said and "- failing pairs: 1" in said
+    assert curation.curate(bank.where("pair_id = 'a-1'"), checks, 0.6).passed
+    with pytest.raises(InvalidData):
+        curation.curate(bank, checks, 1.5)
