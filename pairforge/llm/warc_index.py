@@ -47,7 +47,8 @@ class WarcConfig:
     archive_records: int = 100_000
     level: int = 1
     fan_in: int = 512
-    batch: int = 2048
+    #: Rows of a batch of a run; a merge holds one of each run, 83 MB as Python rows at the full fan-in.
+    batch: int = 256
     sample: int = 4096
     first_capture: str = "2020-01-01T00:00:00"
 
