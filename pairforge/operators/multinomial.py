@@ -137,7 +137,7 @@ def tree_sums(parts: DataFrame, tasks: int, rows: int, fan_in: int) -> dict[int,
         tasks = max(rows, -(-tasks // fan_in))
         parts = parts.withColumn("part", F.pmod("part", F.lit(tasks))).groupBy("fit", "part").applyInArrow(_add, SUMS)
     out: dict[int, np.ndarray] = {}
-    for r in parts.orderBy("fit", "part").collect():
+    for r in sorted(parts.collect(), key=lambda r: (r["fit"], r["part"])):  # in one order, so that sums are the same each time
         v = np.frombuffer(r["sums"])
         out[r["fit"]] = out[r["fit"]] + v if r["fit"] in out else v
     return out
