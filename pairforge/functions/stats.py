@@ -39,8 +39,13 @@ def soft_threshold(x: Column, penalty: Column) -> Column:
     return F.signum(x) * F.greatest(F.abs(x) - penalty, F.lit(0.0))
 
 
+def bound(value: Column, body) -> Column:
+    """body of a value that is computed once, however often body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def softmax(scores: Column) -> Column:
-    """Softmax of an array column, shifted by its maximum."""
-    e = F.transform(scores, lambda s: F.exp(s - F.array_max(scores)))
-    total = F.aggregate(e, F.lit(0.0), lambda a, s: a + s)
-    return F.transform(e, lambda s: s / total)
+    """Softmax of an array column, shifted by its maximum; lambdas compute what they hold for every element, so both sums are bound before."""
+    exponents = lambda x: bound(F.array_max(x), lambda top: F.transform(x, lambda s: F.exp(s - top)))
+    shares = lambda e: bound(F.aggregate(e, F.lit(0.0), lambda a, s: a + s), lambda total: F.transform(e, lambda s: s / total))
+    return bound(scores, lambda x: bound(exponents(x), shares))

@@ -25,6 +25,8 @@ SUMS = "fit int, part long, sums binary"
 RIDGE = 1e-8
 #: Least probability in a loss.
 FLOOR = 1e-15
+#: Entries of a gradient that one row of fit_conditions' aggregate holds.
+PLACES = 32
 
 
 @dataclass(frozen=True)
@@ -268,7 +270,7 @@ def train_probe(rows: DataFrame, cfg: ProbeGridConfig) -> TrainedProbe:
     """
     spark = rows.sparkSession
     ship(spark)
-    stored, _ = materialize(spark, rows.select("split", "label", "features"), "probe-rows")
+    stored, _ = materialize(spark, rows.select("split", "label", "features").repartition(spark.sparkContext.defaultParallelism), "probe-rows")
     part = lambda *names: stored.where(F.col("split").isin(*names))
     shape = part("train").select(F.transform("features", lambda v: F.size(v)).alias("sizes"), F.col("label")).groupBy("sizes").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).limit(2).collect()
     if not shape:
@@ -304,14 +306,17 @@ def fit_conditions(rows: DataFrame, probe: TrainedProbe) -> DataFrame:
     """
     spark = rows.sparkSession
     fits = literal(spark, [(f.layer, f.penalty, f.weights.tolist()) for f in probe.fits], "layer int, penalty double, weights array<array<double>>")
-    both = rows.join(F.broadcast(fits), how="cross")
+    both = rows.select("label", "features").repartition(spark.sparkContext.defaultParallelism).join(F.broadcast(fits), how="cross")
     x = F.concat(F.transform(F.element_at("features", F.col("layer") + 1), lambda v: v.cast("double")), F.array(F.lit(1.0)))
     both = both.select("layer", "penalty", "label", x.alias("x"), "weights")
     dot = lambda w: F.aggregate(F.zip_with(w, F.col("x"), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
     p = both.select("layer", "penalty", "label", "x", softmax(F.transform("weights", dot)).alias("p"))
     by_class = p.select("layer", "penalty", "label", "x", F.posexplode("p").alias("class", "q"))
-    off = by_class.select("layer", "penalty", "class", (F.col("q") - (F.col("class") == F.col("label")).cast("double")).alias("off"), F.posexplode("x").alias("place", "v"))
-    sums = off.groupBy("layer", "penalty", "class", "place").agg(F.sum(F.col("off") * F.col("v")).alias("g"), F.count(F.lit(1)).alias("n"))
+    off = (F.col("q") - (F.col("class") == F.col("label")).cast("double")).alias("off")
+    off = by_class.select("layer", "penalty", "class", off, "x", F.explode(F.sequence(F.lit(0), F.size("x") - 1, F.lit(PLACES))).alias("start"))
+    parts = [F.sum(F.col("off") * F.get("x", F.col("start") + i)).alias(f"g{i}") for i in range(PLACES)]
+    sums = off.groupBy("layer", "penalty", "class", "start").agg(*parts, F.count(F.lit(1)).alias("n"))
+    sums = sums.select("layer", "penalty", "class", "start", "n", F.posexplode(F.array(*(f"g{i}" for i in range(PLACES)))).alias("at", "g")).select("layer", "penalty", "class", (F.col("start") + F.col("at")).alias("place"), "g", "n")
     own = fits.select("layer", "penalty", F.posexplode("weights").alias("class", "row")).select("layer", "penalty", "class", F.size("row").alias("width"), F.posexplode("row").alias("place", "w"))
     pull = F.when(F.col("place") < F.col("width") - 1, F.col("penalty") * F.col("w")).otherwise(0.0)
     return sums.join(own, ["layer", "penalty", "class", "place"]).groupBy("layer", "penalty").agg(F.max(F.abs(F.col("g") + pull) / F.col("n")).alias("largest_gradient"))
