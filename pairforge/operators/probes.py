@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,22 +54,28 @@ def split_counts(n: int, shares: tuple[float, ...]) -> list[int]:
     return sizes
 
 
-def hash_split(documents: DataFrame, id_col: str, seed: int, shares: tuple[float, float] = (0.8, 0.1)) -> DataFrame:
-    """(id, split): train, validation and test by the order of the documents' hashes.
+def floor_counts(n: int, shares: tuple[float, ...]) -> list[int]:
+    """Whole sizes of parts: each share rounded down, and what is left for the last."""
+    sizes = [math.floor(n * Fraction(str(s))) for s in shares[:-1]]
+    return [*sizes, n - sum(sizes)]
 
-    Every part has a document while there are three. The ranks come from a range-partitioned sort:
+
+def hash_split(documents: DataFrame, id_col: str, seed: int, shares: tuple[float, float] = (0.8, 0.1), counts: Callable[[int, tuple[float, ...]], list[int]] = split_counts) -> DataFrame:
+    """(id, split): train, validation and test by the order of the documents' hashes, in sizes by `counts`.
+
+    With split_counts every part has a document while there are three. The ranks come from a range-partitioned sort:
     counts of the partitions give each its first rank, so no task holds all rows.
     """
     spark = documents.sparkSession
     key = F.sha2(F.concat_ws("\0", F.lit(str(seed)), F.col("id").cast("string")), 256)
     ids = documents.select(F.col(id_col).alias("id")).distinct().withColumn("h", key)
     n = ids.count()
-    train, validation, _ = split_counts(n, (*shares, 1 - shares[0] - shares[1]))
+    train, validation, _ = counts(n, (*shares, 1 - shares[0] - shares[1]))
     bucket = F.conv(F.substring("h", 1, 3), 16, 10).cast("int")
     ids = ids.withColumn("bucket", bucket)
-    counts = ids.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).orderBy("bucket").collect()  # at most 4096 rows
+    sizes = ids.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).orderBy("bucket").collect()  # at most 4096 rows
     start, rows = 0, []
-    for r in counts:
+    for r in sizes:
         rows.append((r["bucket"], start))
         start += r["n"]
     offsets = literal(spark, rows, "bucket int, before long")

@@ -188,3 +188,16 @@ def test_softmax_computes_sums_once(spark):
     assert time.time() - began < 20
     e = np.exp(scores - scores.max(1, keepdims=True))
     assert np.allclose(got, e / e.sum(1, keepdims=True), rtol=1e-12, atol=0)
+
+
+def test_hash_split_sizes(spark):
+    """32 documents: by largest remainders 26, 3 and 3; rounded down, as the query's SQL says, 25, 3 and 4."""
+    from pairforge.plans import queries
+
+    assert probes.floor_counts(32, (0.8, 0.1, 0.1)) == [25, 3, 4] and probes.floor_counts(10, (0.8, 0.1, 0.1)) == [8, 1, 1]
+    docs = spark.range(32).withColumnRenamed("id", "doc_id")
+    sizes = lambda df: {r["split"]: r["n"] for r in df.groupBy("split").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert sizes(probes.hash_split(docs, "doc_id", 0)) == {"train": 26, "validation": 3, "test": 3}
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(queries, "table", lambda *_: docs)
+        assert sizes(queries.hash_split(spark, "")) == {"train": 25, "validation": 3, "test": 4}
