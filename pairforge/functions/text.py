@@ -24,6 +24,29 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+def fixed(c: Column, digits: int = 8) -> Column:
+    """A double with so many decimals (10 at most), rounded as its exact binary value is, halves to the even digit, as C and Python print it.
+
+    format_string rounds the shortest decimal that stands for the number instead, halves up. The fraction is taken in 2^-124ths, in two
+    whole numbers; what has smaller bits is far from a half. Numbers from 1e15 on, infinities and NaN are left to format_string.
+    """
+    size = F.when(F.abs(c) < 1e15, F.abs(c)).otherwise(0.0)
+    whole = F.floor(size).cast("long")
+    units = (size - whole) * F.lit(float(2**62))
+    high = units.cast("long")
+    low = ((units - high) * F.lit(float(2**62))).cast("long")
+    unit, half = (F.lit(str(n)).cast("decimal(19,0)") for n in (2**62, 2**61))
+    times = lambda x: x.cast("decimal(19,0)") * F.lit(10**digits).cast("decimal(11,0)")
+    scaled = times(high) + F.call_function("div", times(low), unit).cast("decimal(11,0)")
+    over, quotient = scaled % unit, F.call_function("div", scaled, unit)
+    up = (over > half) | ((over == half) & ((times(low) % unit != 0) | (quotient % 2 == 1)))
+    decimals = quotient + up.cast("long")
+    carry = F.when(decimals == 10**digits, 1).otherwise(0)
+    sign = F.when((c < 0) | (c.cast("string") == "-0.0"), "-").otherwise("")
+    text = F.concat(sign, (whole + carry).cast("string"), F.lit("."), F.lpad((decimals - carry * 10**digits).cast("string"), digits, "0"))
+    return F.when(F.abs(c) < 1e15, text).when(c.isNotNull(), F.format_string(f"%.{digits}f", c))
+
+
 def is_slug(c: Column) -> Column:
     return c.rlike(SLUG)
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairforge.functions.stats import softmax
+from pairforge.functions.text import fixed
 from pairforge.operators.graph import cumulative
 from pairforge.schema import AxisOrder
 from pairforge.shared import literal, materialize
@@ -38,7 +39,7 @@ def decide(rows: DataFrame, threshold: float, by_channel: DataFrame | None = Non
     low, high = (F.coalesce(c, F.lit(float(threshold))) for c in ("reasoning_minimum", "nonreasoning_maximum"))
     complies = decision(F.col("expectation"), F.col("probability"), low, high)
     used = F.when(F.col("expectation") == "reasoning", low).otherwise(high)
-    issue = F.when(~complies, F.format_string("mean probability %.8f conflicts with %s at threshold %.8f", "probability", "expectation", used))
+    issue = F.when(~complies, F.concat(F.lit("mean probability "), fixed(F.col("probability").cast("double")), F.lit(" conflicts with "), "expectation", F.lit(" at threshold "), fixed(used)))
     return rows.withColumn("complies", complies).withColumn("issue", issue).drop("reasoning_minimum", "nonreasoning_maximum")
 
 

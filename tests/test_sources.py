@@ -201,3 +201,14 @@ def test_hash_split_sizes(spark):
     with pytest.MonkeyPatch.context() as patch:
         patch.setattr(queries, "table", lambda *_: docs)
         assert sizes(queries.hash_split(spark, "")) == {"train": 25, "validation": 3, "test": 4}
+
+
+def test_fixed_prints_exact_values(spark):
+    """Halves that are exact in binary go to the even digit, near halves by their exact value; Python prints the same."""
+    rng = np.random.default_rng(1)
+    values = [137 / 512, 1 / 512, 3 / 512, -137 / 512, 0.0, -0.0, 1.0, 0.999999995, 0.999999994999, 123456785e-9, 5e-9, 1.5e-8, 1e-300, 7.0, 1e14 + 0.25, *rng.random(500), *(rng.integers(0, 10**9, 500) / 1e9), *(k / (k + 1500.0) for k in range(1, 3000))]
+    rows = spark.createDataFrame([(float(v),) for v in values], "v double")
+    got = rows.select("v", text.fixed(F.col("v")).alias("t"), text.fixed(F.col("v"), 3).alias("u")).collect()
+    assert [(r["t"], r["u"]) for r in got] == [(f"{r['v']:.8f}", f"{r['v']:.3f}") for r in got]
+    odd = literal(spark, [(None,)], "v double").unionByName(spark.sql("SELECT double('NaN') AS v UNION ALL SELECT 1e22 AS v"))
+    assert {r[0] for r in odd.select(text.fixed(F.col("v"))).collect()} == {None, "NaN", "10000000000000000000000.00000000"}
