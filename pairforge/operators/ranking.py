@@ -95,12 +95,11 @@ def fit_component(size: int, first: np.ndarray, second: np.ndarray, met: np.ndar
 
     Scores are centred on zero after every step.
     """
-    s, done, steps = np.zeros(size), False, 0
+    s, done, steps, place = np.zeros(size), False, 0, first * size + second
 
     def hessian(p: np.ndarray) -> np.ndarray:
         w = met * p * (1.0 - p)
-        h = np.zeros((size, size))
-        np.add.at(h, (first, second), -w)
+        h = -np.bincount(place, w, size * size).reshape(size, size)
         h += h.T
         h[np.arange(size), np.arange(size)] = cfg.l2 - h.sum(1)
         return h
@@ -127,6 +126,12 @@ def _arrays(rows: pd.DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
     return cells, rows["first"].map(place).to_numpy(np.int64), rows["second"].map(place).to_numpy(np.int64)
 
 
+def _pairs(size: int, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of cells and the place of each row among them: a fit sees a pair once, whatever its outcomes."""
+    found, at = np.unique(first * size + second, return_inverse=True)
+    return found // size, found % size, at
+
+
 FITTED = "l2 double, component int, cell_id string, score double, standard_error double, rank_in int, converged boolean, iterations int, objective double"
 
 
@@ -135,7 +140,8 @@ def _fit_kernel(cfg: FitConfig):
         l2, component = float(key[0]), int(key[1])
         cells, first, second = _arrays(rows)
         n = rows["n"].to_numpy(float)
-        fit = fit_component(len(cells), first, second, n, n * rows["outcome"].to_numpy(float), FitConfig(l2, cfg.tolerance, cfg.iterations))
+        first, second, at = _pairs(len(cells), first, second)
+        fit = fit_component(len(cells), first, second, np.bincount(at, n), np.bincount(at, n * rows["outcome"].to_numpy(float)), FitConfig(l2, cfg.tolerance, cfg.iterations))
         order = sorted(range(len(cells)), key=lambda i: (-round(float(fit.scores[i]), RANK_DIGITS), cells[i]))
         rank = np.empty(len(cells), np.int64)
         rank[order] = np.arange(1, len(cells) + 1)
@@ -144,12 +150,19 @@ def _fit_kernel(cfg: FitConfig):
     return run
 
 
+def _dealt(tasks: DataFrame, *keys: str) -> DataFrame:
+    """Groups in a fixed number of parts, some for each core: their bytes are few and their work is not, so adaptive execution would put
+    most of them into one task."""
+    return tasks.repartition(4 * tasks.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def fit_scores(met: DataFrame, penalties: list[float], cfg: FitConfig) -> DataFrame:
     """Fits of every component under every penalty, one task group each."""
     spark = met.sparkSession
     ship(spark)
     grid = literal(spark, [(float(x),) for x in penalties], "l2 double")
-    return met.join(F.broadcast(grid), how="cross").groupBy("l2", "component").applyInPandas(_fit_kernel(cfg), FITTED)
+    tasks = met.join(F.broadcast(grid), how="cross")
+    return _dealt(tasks, "l2", "component").groupBy("l2", "component").applyInPandas(_fit_kernel(cfg), FITTED)
 
 
 def _bootstrap_kernel(cfg: FitConfig):
@@ -159,11 +172,12 @@ def _bootstrap_kernel(cfg: FitConfig):
         cells, first, second = _arrays(rows)
         n, outcome = rows["n"].to_numpy(float), rows["outcome"].to_numpy(float)
         lo, hi = chunk * cfg.chunk, min(cfg.bootstrap, (chunk + 1) * cfg.chunk)
+        first, second, at = _pairs(len(cells), first, second)
         totals = drawn_within(int(rows["before_n"].iloc[0]), int(n.sum()), int(rows["trials"].iloc[0]), cfg.seed, lo, hi)
         out = []
         for b, total in zip(range(lo, hi), totals, strict=True):
             draw = np.random.default_rng([cfg.seed, b, component]).multinomial(int(total), n / n.sum()).astype(float)
-            fit = fit_component(len(cells), first, second, draw, draw * outcome, cfg, errors=False)
+            fit = fit_component(len(cells), first, second, np.bincount(at, draw), np.bincount(at, draw * outcome), cfg, errors=False)
             out.append(pd.DataFrame({"replicate": b, "component": component, "total": total, "cell_id": cells, "score": fit.scores}))
         return pd.concat(out) if out else pd.DataFrame({"replicate": [], "component": [], "total": [], "cell_id": [], "score": []})
 
@@ -181,7 +195,7 @@ def bootstrap_scores(met: DataFrame, cfg: FitConfig) -> DataFrame:
     sizes, _ = materialize(spark, met.groupBy("component").agg(F.sum("n").alias("n")), "component-trials")
     ranges = cumulative(sizes, "component", ["n"]).join(sizes.agg(F.sum("n").alias("trials")), how="cross").select("component", "before_n", "trials")
     chunks = F.explode(F.sequence(F.lit(0), F.lit(-(-cfg.bootstrap // cfg.chunk) - 1))).alias("chunk")
-    return met.join(ranges, "component").select("*", chunks).groupBy("component", "chunk").applyInPandas(_bootstrap_kernel(cfg), "replicate int, component int, total long, cell_id string, score double")
+    return _dealt(met.join(ranges, "component").select("*", chunks), "component", "chunk").groupBy("component", "chunk").applyInPandas(_bootstrap_kernel(cfg), "replicate int, component int, total long, cell_id string, score double")
 
 
 def bootstrap_intervals(met: DataFrame, cfg: FitConfig) -> DataFrame:

@@ -134,3 +134,14 @@ def test_ties_go_to_the_greater_penalty_and_the_smaller_layer(activations):
     assert [r["layer"] for r in grid if r["selected"]] == [0] and grid[0]["validation_loss"] == grid[1]["validation_loss"]
 
 
+
+
+def test_fits_are_dealt_over_all_cores(spark):
+    """Few bytes, much work: the groups of fits and bootstraps are not packed into one task; pairs are fitted once, whatever their outcomes."""
+    met = literal(spark, [(k, f"{k}a", f"{k}b", x, 3) for k in range(12) for x in (0.0, 0.5, 1.0)], "component int, first string, second string, outcome double, n long")
+    cfg = ranking.FitConfig(bootstrap=4, chunk=2)
+    for df in (ranking.bootstrap_scores(met, cfg), ranking.fit_scores(met, [1.0], cfg)):
+        plain = df.groupBy(F.spark_partition_id().alias("task")).agg(F.count(F.lit(1)).alias("n")).collect()
+        assert len(plain) >= 4
+    first, second, at = ranking._pairs(4, np.array([2, 0, 2]), np.array([3, 1, 3]))
+    assert first.tolist() == [0, 2] and second.tolist() == [1, 3] and at.tolist() == [1, 0, 1]
