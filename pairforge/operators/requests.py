@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairforge.operators.checks import Rule, violations
+from pairforge.shared import dealt
 
 COORDINATE = ("study_id", "permutation", "position")
 
@@ -22,19 +23,24 @@ def request_outcomes(requests: DataFrame, scores: DataFrame, issues: DataFrame)
 
     requests: the coordinate, assistant and spec; scores: the coordinate, context_fingerprint, complies (null: nothing is expected)
     and masked; issues: the coordinate, kind (missing or error) and reason. A coordinate that is classified twice has a row each.
+    Requests are counted first and dealt by their coordinates, so a task's memory does not grow with them.
     """
-    return requests.join(_outcomes(scores, issues), list(COORDINATE), "left").select("assistant", *COORDINATE, "spec", F.coalesce("kind", F.lit("unclassified")).alias("outcome"), "complies", "masked", "fingerprint", "reason")
+    n = requests.count()
+    return dealt(requests, n, *COORDINATE).join(dealt(_outcomes(scores, issues), n, *COORDINATE), list(COORDINATE), "left").select("assistant", *COORDINATE, "spec", F.coalesce("kind", F.lit("unclassified")).alias("outcome"), "complies", "masked", "fingerprint", "reason")
 
 
 def request_violations(requests: DataFrame, scores: DataFrame, issues: DataFrame) -> DataFrame:
     """(rule, study_id, permutation, position): coordinates that no study plans, or that are not classified exactly once, and those
-    whose scored context is also that of another coordinate of the study (both, by the study alone: permutation and position null)."""
-    planned = requests.groupBy(*COORDINATE).agg(F.count(F.lit(1)).alias("planned"))
-    found = _outcomes(scores, issues).groupBy(*COORDINATE).agg(F.count(F.lit(1)).alias("classified"))
+    whose scored context is also that of another coordinate of the study (both, by the study alone: permutation and position null).
+
+    Requests are counted first and dealt by their coordinates, so a task's memory does not grow with them."""
+    n = requests.count()
+    planned = dealt(requests.select(*COORDINATE), n, *COORDINATE).groupBy(*COORDINATE).agg(F.count(F.lit(1)).alias("planned"))
+    found = dealt(_outcomes(scores, issues).select(*COORDINATE), n, *COORDINATE).groupBy(*COORDINATE).agg(F.count(F.lit(1)).alias("classified"))
     both = planned.join(found, list(COORDINATE), "full")
-    n, m = (F.coalesce(c, F.lit(0)) for c in ("planned", "classified"))
-    rules = [Rule("not planned", n == 0), Rule("planned twice", n > 1), Rule("not classified", (n > 0) & (m == 0)), Rule("classified twice", m > 1)]
-    marks = scores.groupBy("study_id", "context_fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("study_id").distinct()
+    p, m = (F.coalesce(c, F.lit(0)) for c in ("planned", "classified"))
+    rules = [Rule("not planned", p == 0), Rule("planned twice", p > 1), Rule("not classified", (p > 0) & (m == 0)), Rule("classified twice", m > 1)]
+    marks = dealt(scores.select("study_id", "context_fingerprint"), n, "study_id").groupBy("study_id", "context_fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("study_id").distinct()
     shared = marks.select(F.lit("contexts alike").alias("rule"), "study_id", F.lit(None).cast("int").alias("permutation"), F.lit(None).cast("int").alias("position"))
     return violations(both, rules, *COORDINATE).unionByName(shared)
 
