@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pairforge.functions.text import cell_id, jaccard, response_id, word_set
 from pairforge.operators.validate import require_empty
-from pairforge.shared import materialize, unused
+from pairforge.shared import dealt, materialize, unused
 
 SPEC = ("instruction", "framing", "channel", "author")
 
@@ -85,12 +85,17 @@ def without_rejected(studies: DataFrame, rejected: DataFrame) -> DataFrame:
 
 
 def audit_split(messages: DataFrame, audited: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Messages already audited, those still to audit, and specifications with conflicting contents."""
-    by_spec = messages.groupBy(*SPEC).agg(F.min("content").alias("content"), F.max("content").alias("other"))
+    """Messages already audited, those still to audit, and specifications with conflicting contents.
+
+    Messages are counted first and dealt by specification, so no task sorts more than a fixed number of them; specifications are stored once.
+    """
+    n = messages.count()
+    by_spec = dealt(messages.select(*SPEC, "content"), n, *SPEC).groupBy(*SPEC).agg(F.min("content").alias("content"), F.max("content").alias("other"))
+    by_spec, _ = materialize(messages.sparkSession, by_spec, "specifications")
     conflicts = by_spec.where("content <> other").select(*SPEC)
-    single = by_spec.where("content = other").select(*SPEC, "content")
     keys = [*SPEC, "content"]
-    return single.join(audited.select(*keys), keys, "left_semi"), single.join(audited.select(*keys), keys, "left_anti"), conflicts
+    single, known = dealt(by_spec.where("content = other").select(*keys), n, *keys), dealt(audited.select(*keys), n, *keys)
+    return single.join(known, keys, "left_semi"), single.join(known, keys, "left_anti"), conflicts
 
 
 def cached_pair_checks(bank: DataFrame, checks: DataFrame) -> DataFrame:

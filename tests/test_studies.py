@@ -375,3 +375,20 @@ def test_curation_and_its_report(spark):
     assert curation.curate(bank.where("pair_id = 'a-1'"), checks, 0.6).passed
     with pytest.raises(InvalidData):
         curation.curate(bank, checks, 1.5)
+
+
+def test_tasks_do_not_grow_with_requests_and_messages(spark, monkeypatch):
+    """Coordinates and specifications are dealt by how many there are: with a limit of 50 rows, 1,000 make 20 parts, which adaptive execution keeps."""
+    from pairforge import shared
+    from pairforge.operators import requests
+
+    monkeypatch.setattr(shared, "TASK_ROWS", 50)
+    rows = spark.range(1000).select(F.col("id").cast("string").alias("study_id"), F.lit(1).alias("permutation"), F.lit(1).alias("position"), F.lit("a").alias("assistant"), F.lit("s").alias("spec"))
+    scores = rows.select("study_id", "permutation", "position", F.col("study_id").alias("context_fingerprint"), F.lit(True).alias("complies"), F.lit(0).alias("masked"))
+    issues = rows.limit(0).select("study_id", "permutation", "position", F.lit("error").alias("kind"), F.lit("r").alias("reason"))
+    assert requests.request_violations(rows, scores, issues).count() == 0
+    parts = lambda df: df.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert parts(requests.request_outcomes(rows, scores, issues)) == 20
+    messages = spark.range(1000).select(F.col("id").cast("string").alias("instruction"), F.lit("f").alias("framing"), F.lit("c").alias("channel"), F.lit("a").alias("author"), F.when(F.col("id") % 2 == 0, "x").otherwise("y").alias("content"))
+    audited, left, conflicts = observe.audit_split(messages, messages.where("content = 'x'"))
+    assert (audited.count(), left.count(), conflicts.count()) == (500, 500, 0) and parts(audited) == 20
