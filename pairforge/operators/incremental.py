@@ -39,8 +39,8 @@ class IncrementalReports:
         row = F.struct(*(F.col(c).cast(k).alias(c) for c, k in GRAIN.items()), F.col("completed").alias("completed"))
         trials = batch.groupBy(F.col("trial_id").cast("string").alias("key")).agg(F.sort_array(F.collect_set(row)).alias("rows"))
         new, _ = materialize(self.spark, trials.withColumn("kind", F.lit("trial")), "batch")
-        old = self.table.matching(new).select("key", "rows")
-        both, _ = materialize(self.spark, new.select("key", "rows", F.lit(1).cast("long").alias("sign")).unionByName(old.withColumn("sign", F.lit(-1).cast("long"))), "changes")
+        old, _ = materialize(self.spark, self.table.matching(new).select("key", "rows"), "replaced")
+        both = new.select("key", "rows", F.lit(1).cast("long").alias("sign")).unionByName(old.withColumn("sign", F.lit(-1).cast("long")))
         seen = both.select(F.col("key").alias("trial_id"), "sign", F.explode("rows").alias("r")).select("trial_id", "sign", "r.*")
         cell, pair = F.struct(*GRAIN), F.struct(*PAIR)
         of_cells = seen.groupBy(cell.alias("cell")).agg(F.array(F.sum("sign"), F.sum(F.col("sign") * F.col("completed").cast("long"))).alias("counts"))

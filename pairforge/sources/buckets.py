@@ -68,7 +68,7 @@ class KeyedTable:
         last = rows.groupBy(*(F.col(k).alias(k) for k in self.keys)).agg(F.max_by(row, F.struct(order, *rest) if order else F.struct(*(rest or self.keys))).alias("row")).select("row.*")
         dealt = F.pmod(F.xxhash64(*self.keys), F.lit(manifest["buckets"])).cast("int")
         new = last.withColumn("bucket", dealt)
-        touched = [str(r[0]) for r in new.select("bucket").distinct().collect()]  # at most as many as there are buckets
+        touched = [str(r[0]) for r in rows.select(dealt.alias("bucket")).distinct().collect()]  # at most as many as there are buckets
         if not touched:
             return
         write = uuid.uuid4().hex
