@@ -51,8 +51,9 @@ def load_observations(spark: SparkSession, paths: list[str]) -> DataFrame:
     return checked(rows, rules, "observations", ("file", "value"), OBSERVATION.fieldNames(), least=1)
 
 
-def write_jsonl(df: DataFrame, path: str) -> None:
-    df.write.option("ignoreNullFields", "false").json(path)
+def write_jsonl(df: DataFrame, path: str, compression: str = "none") -> None:
+    """JSON lines with every field; Spark's readers, and so load_observations, take compressed files as they are."""
+    df.write.option("ignoreNullFields", "false").option("compression", compression).json(path)
 
 
 def load_pairs(spark: SparkSession, path: str) -> DataFrame:
