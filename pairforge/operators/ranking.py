@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pairforge.functions.stats import sigmoid
 from pairforge.operators.checks import checked, trial_rules
 from pairforge.operators.graph import component_index, components, cumulative
+from pairforge.operators.reports import outcome, tally
 from pairforge.operators.resampling import drawn_within
 from pairforge.shared import literal, materialize, ship
 
@@ -42,8 +43,7 @@ def _trials(obs: DataFrame) -> DataFrame:
     side = F.struct("cell_id", "completed")
     facts = [F.count(F.lit(1)).alias("rows"), F.min("position").alias("lo"), F.max("position").alias("hi")] if "position" in obs.columns else []
     out = obs.groupBy("trial_id").agg(F.min(side).alias("a"), F.max(side).alias("b"), *facts)
-    outcome = F.when(F.col("a.completed") == F.col("b.completed"), 0.5).when(F.col("a.completed"), 1.0).otherwise(0.0)
-    return out.select("trial_id", F.col("a.cell_id").alias("first"), F.col("b.cell_id").alias("second"), outcome.alias("outcome"), *(["rows", "lo", "hi"] if facts else []))
+    return out.select("trial_id", F.col("a.cell_id").alias("first"), F.col("b.cell_id").alias("second"), outcome().alias("outcome"), *(["rows", "lo", "hi"] if facts else []))
 
 
 def comparisons(obs: DataFrame) -> DataFrame:
@@ -70,10 +70,14 @@ def components_match(obs: DataFrame, cells: DataFrame) -> DataFrame:
     return counts.select("components", "blocks", ((F.col("pairs") == F.col("components")) & (F.col("blocks") == F.col("components"))).alias("components_match"))
 
 
-def meetings(compared: DataFrame, cells: DataFrame) -> DataFrame:
-    """(component, first, second, outcome, n): trials counted by what the likelihood needs."""
-    counted = compared.groupBy("first", "second", "outcome").agg(F.count(F.lit(1)).alias("n"))
-    return counted.join(cells.withColumnRenamed("cell_id", "first"), "first").select("component", "first", "second", "outcome", "n")
+def counted(compared: DataFrame) -> DataFrame:
+    """(first, second, outcome, n): trials counted by what the likelihood needs."""
+    return compared.groupBy("first", "second", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+def meetings(counts: DataFrame, cells: DataFrame) -> DataFrame:
+    """(component, first, second, outcome, n) of counted trials."""
+    return counts.join(cells.withColumnRenamed("cell_id", "first"), "first").select("component", "first", "second", "outcome", "n")
 
 
 @dataclass
@@ -215,15 +219,21 @@ class Fits:
     ranking: DataFrame
 
 
-def fit_all(obs: DataFrame, cfg: FitConfig | None = None, bootstrap: bool = False, penalties: tuple[float, ...] = (0.1, 1.0, 10.0)) -> Fits:
-    """Comparisons, components, fits at multiples of the penalty, and the ranking at the penalty itself."""
+def fit_all(obs: DataFrame, cfg: FitConfig | None = None, bootstrap: bool = False, penalties: tuple[float, ...] = (0.1, 1.0, 10.0), compared: DataFrame | None = None) -> Fits:
+    """Comparisons, components, fits at multiples of the penalty, and the ranking at the penalty itself.
+
+    Where comparisons are given, they are taken as checked, and obs may be counts by cell. Trials are counted once, and all else is
+    computed from the counts.
+    """
     cfg, spark = cfg or FitConfig(), obs.sparkSession
-    compared = checked_comparisons(obs)
-    cells = cell_components(obs, compared)
-    met, _ = materialize(spark, meetings(compared, cells), "meetings")
+    compared = checked_comparisons(obs) if compared is None else compared
+    counts, _ = materialize(spark, counted(compared), "counted")
+    cells = cell_components(obs, counts)
+    met, _ = materialize(spark, meetings(counts, cells), "meetings")
     fitted, _ = materialize(spark, fit_scores(met, sorted({cfg.l2 * x for x in penalties} | {cfg.l2}), cfg), "fits")
-    counts = obs.groupBy("cell_id", "instruction", "framing", "channel", "author", "assistant", "pair_id", "side", "skill", "conflict").agg(F.count_if("completed").alias("completions"), F.count(F.lit(1)).alias("observations"))
-    out = counts.join(fitted.where(F.col("l2") == cfg.l2), "cell_id").withColumnRenamed("rank_in", "rank").withColumn("completion_rate", F.col("completions") / F.col("observations"))
+    n, k = tally(obs, "observations", "completions")
+    by_cell = obs.groupBy("cell_id", "instruction", "framing", "channel", "author", "assistant", "pair_id", "side", "skill", "conflict").agg(k, n)
+    out = by_cell.join(fitted.where(F.col("l2") == cfg.l2), "cell_id").withColumnRenamed("rank_in", "rank").withColumn("completion_rate", F.col("completions") / F.col("observations"))
     if bootstrap:
         out = out.join(bootstrap_intervals(met, cfg), "cell_id", "left")
     else:

@@ -68,9 +68,18 @@ def stratum_summary(obs: DataFrame, strata: tuple[str, ...] = STRATA) -> DataFra
     return with_rates(cells.groupBy("stratum", "value").agg(F.count(F.lit(1)).alias("cells"), F.sum("n").alias("observations"), F.sum("k").alias("completions")))
 
 
+def outcome() -> Column:
+    """Of a trial with sides a and b: 1 or 0, or a half for a tie."""
+    return F.when(F.col("a.completed") == F.col("b.completed"), 0.5).when(F.col("a.completed"), 1.0).otherwise(0.0)
+
+
 def trial_outcomes(obs: DataFrame) -> DataFrame:
     """(trial_id, pair, skill, conflict, exactly_one, both_completed, neither_completed): 1 or 0 each."""
-    trials = obs.groupBy("pair_id", "skill", "conflict", "trial_id").agg(F.count_if("completed").alias("k"), F.count(F.lit(1)).alias("n"))
+    return outcomes(obs.groupBy("pair_id", "skill", "conflict", "trial_id").agg(F.count_if("completed").alias("k"), F.count(F.lit(1)).alias("n")))
+
+
+def outcomes(trials: DataFrame) -> DataFrame:
+    """trial_outcomes, of rows with pair_id, skill, conflict, trial_id, and how many k of its n instructions were completed."""
     k, n = F.col("k"), F.col("n")
     one, both = k == 1, (k != 1) & (k == n)
     return trials.select("trial_id", F.col("pair_id").alias("pair"), "skill", "conflict", *(c.cast("long").alias(name) for c, name in zip((one, both, ~one & ~both), OUTCOMES, strict=True)))
@@ -82,7 +91,12 @@ def outcome_rates(counts: DataFrame) -> DataFrame:
 
 def pair_exclusivity(obs: DataFrame) -> DataFrame:
     """How many trials of a pair completed exactly one, both, or neither instruction."""
-    return outcome_rates(trial_outcomes(obs).groupBy("pair", "skill", "conflict").agg(F.count(F.lit(1)).alias("trials"), *(F.sum(c).alias(c) for c in OUTCOMES)))
+    return exclusivity(trial_outcomes(obs))
+
+
+def exclusivity(trials: DataFrame) -> DataFrame:
+    """pair_exclusivity, of trial_outcomes."""
+    return outcome_rates(trials.groupBy("pair", "skill", "conflict").agg(F.count(F.lit(1)).alias("trials"), *(F.sum(c).alias(c) for c in OUTCOMES)))
 
 
 def position_summary(obs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairforge.operators import lasso, ranking, reports
+from pairforge.operators import lasso, ranking, reports, trials
 from pairforge.shared import materialize, scratch
 from pairforge.sources.files import markdown, write_tables
 
@@ -30,18 +30,20 @@ class Analysis:
 
 
 def analyse(obs: DataFrame, bank: DataFrame, cfg: AnalysisConfig | None = None) -> Analysis:
-    """All tables of an analysis. Observations, fits and comparisons are computed once and shared.
+    """All tables of an analysis. Trials, counts by cell, fits and comparisons are computed once and shared.
 
-    obs needs pair_id, side, skill and conflict of each row beside its columns.
+    Trials are stored once and read four times, to count cells, meetings, pairs and lasso rows. All tables read counts, whose rows the
+    design bounds. obs needs pair_id, side, skill and conflict of each row beside its columns.
     """
     cfg, spark = cfg or AnalysisConfig(), obs.sparkSession
     keep = lambda df, name: materialize(spark, df, f"analysis-{name}")[0]
-    obs = keep(obs, "observations")
-    fits = ranking.fit_all(obs, cfg.fit, cfg.bootstrap)
+    tried = trials.checked_trials(obs)
+    obs = keep(trials.cell_counts(tried), "cells")
+    fits = ranking.fit_all(obs, cfg.fit, cfg.bootstrap, compared=trials.comparisons(tried))
     ranked = keep(fits.ranking, "ranking")
     scores = ranked.select("cell_id", "score")
     axis = keep(reports.axis_summary(obs, scores), "axis")
-    exclusivity = keep(reports.pair_exclusivity(obs), "exclusivity")
+    exclusivity = keep(trials.pair_exclusivity(tried), "exclusivity")
     tables = {
         "cell_ranking": ranked,
         "regularization": ranking.rank_table(fits.fitted),
@@ -57,24 +59,24 @@ def analyse(obs: DataFrame, bank: DataFrame, cfg: AnalysisConfig | None = None)
     }
     found = None
     if cfg.lasso:
-        found = lasso.fit_lassos(obs, cfg.lasso)
+        found = lasso.fit_rows(lasso.counted_rows(trials.within(tried, "assistant", "pair_id")), cfg.lasso)
         tables |= {"lasso_path": found["path"], "lasso_features": found["features"], "lasso_blocks": found["blocks"]}
     balance = keep(reports.position_balance(obs), "balance")
     return Analysis(tables, diagnostics(obs, fits, ranked, exclusivity, balance), found and found["diagnostics"])
 
 
 def diagnostics(obs: DataFrame, fits: ranking.Fits, ranked: DataFrame, exclusivity: DataFrame, balance: DataFrame) -> DataFrame:
-    """One row of counts and checks, joined from single-row aggregates."""
-    counts = obs.agg(F.count(F.lit(1)).alias("observations"), F.countDistinct("trial_id").alias("trials"), F.countDistinct("cell_id").alias("cells"))
-    compared = fits.compared.agg(F.count(F.lit(1)).alias("comparison_count"), F.count_if(F.col("outcome") == 0.5).alias("tie_comparisons"))
+    """One row of counts and checks, joined from single-row aggregates; obs are counts by cell, fits.compared has a row a trial."""
+    seen = obs.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("observations"), F.countDistinct("cell_id").alias("cells"))
+    compared = fits.compared.agg(F.count("trial_id").alias("trials"), F.count(F.lit(1)).alias("comparison_count"), F.count_if(F.col("outcome") == 0.5).alias("tie_comparisons"))
     parts = ranking.components_match(obs, fits.cells).select("components", (F.col("components") == 1).alias("comparison_graph_connected"), F.col("components_match").alias("components_match_pair_assistant"))
     both = exclusivity.agg(F.sum("both_completed").cast("long").alias("both_completed_trials"), F.sum("neither_completed").cast("long").alias("neither_completed_trials"))
     balanced = balance.agg(F.min("balanced").alias("position_balanced"), F.count_if(~F.col("balanced")).alias("unbalanced_cells"))
     by_component = ranked.groupBy("component").agg(F.min("converged").alias("c"), F.max("iterations").alias("i"), F.max("objective").alias("o"))
     fit = by_component.agg(F.min("c").alias("fit_converged"), F.max("i").alias("fit_iterations"), F.sum("o").alias("fit_objective"))
     stable = ranking.rank_stability(fits.fitted, fits.l2).agg(F.min("rank_correlation_with_primary").alias("least_rank_correlation"), F.max("max_absolute_rank_shift").alias("greatest_rank_shift"))
-    out = counts
-    for row in (compared, parts, both, balanced, fit, stable):
+    out = seen.join(compared, how="cross").select("observations", "trials", "cells", "comparison_count", "tie_comparisons")
+    for row in (parts, both, balanced, fit, stable):
         out = out.join(row, how="cross")
     return out
 
